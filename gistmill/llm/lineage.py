@@ -1,0 +1,24 @@
+"""Where intermediate tables go: the folder that the cluster shares in spark.checkpoint.dir."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder; a fresh temporary one only where none is set, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = tempfile.mkdtemp(prefix="gistmill-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows read back from a Parquet table in the shared folder, so that lost executors cost no more than this table's reading."""
+    path = f"{shared_dir(df.sparkSession)}/gistmill-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
