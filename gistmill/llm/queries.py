@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gistmill.llm import bpe, chat, exact_dedup, minhash, packing, toxicity
+from gistmill.llm import bpe, chat, exact_dedup, minhash, packing, suffix, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,3 +98,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_minhash"] = op2_minhash
+
+
+def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+QUERIES["op7_suffix"] = op7_suffix
