@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gistmill.llm import bpe, chat, exact_dedup, minhash, packing, suffix, toxicity
+from gistmill.llm import bpe, chat, exact_dedup, lines, minhash, packing, suffix, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,3 +105,10 @@ def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_suffix"] = op7_suffix
+
+
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op5_lines"] = op5_lines
