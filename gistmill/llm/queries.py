@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gistmill.llm import bpe, chat, exact_dedup, lines, minhash, packing, suffix, toxicity
+from gistmill.llm import ann, bpe, chat, exact_dedup, lines, minhash, packing, suffix, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,3 +112,18 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_lines"] = op5_lines
+
+
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+#: Verdict, host, path prefix.
+RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), RULES)
+
+
+QUERIES |= {"op3_ann": op3_ann, "op8_urls": op8_urls}
