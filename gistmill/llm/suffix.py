@@ -282,34 +282,60 @@ def repeated_spans(texts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return spans.unionAll(hot_spans(rows.join(hot, "bucket", "left_semi"))) if some else spans
 
 
+def without(raw: bytes, spans: list | None) -> tuple[bytes, int]:
+    """The bytes outside the spans (start, end), and the number of maximal spans."""
+    kept, at, count = [], 0, 0
+    for start, end in sorted((x["start"], x["end"]) for x in spans or []):
+        if start > at or not count:
+            kept.append(raw[at:start])
+            count += 1
+        at = max(at, end)
+    return b"".join([*kept, raw[at:]]), count
+
+
+_NO_ID = -(1 << 63)
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def _spans_by_document(texts: DataFrame, hot_rows: int) -> DataFrame:
+    return repeated_spans(texts, hot_rows).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The input's rows and columns, with repeated bytes gone from the texts; a null text stays null."""
+    spans = _spans_by_document(_texts(docs, id_col, text_col), hot_rows).select(F.col("doc_id").alias("__doc"), F.col("spans").alias("__spans"))
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            pairs = zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)
+            texts = [text if text is None or not spans else without(text.encode(), spans)[0].decode(errors="ignore") for text, spans in pairs]
+            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    joined = docs.join(spans, F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)) == F.col("__doc"), "left").drop("__doc")
+    return joined.mapInArrow(run, docs.schema)
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 of the bytes kept, and kept_text.
 
     ``kept_text`` leaves out what a cut within a letter leaves of it.
     """
-    none = -(1 << 63)
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("doc_id"), F.col(text_col).alias("text"))
-    spans = repeated_spans(texts, hot_rows).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    texts = _texts(docs, id_col, text_col)
+    spans = _spans_by_document(texts, hot_rows)
 
     def run(batches):
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for text, spans_of in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw = (text or "").encode()
-                pairs = sorted((x["start"], x["end"]) for x in spans_of or [])
-                kept, at, removed, count = [], 0, 0, 0
-                for start, end in pairs:
-                    if start > at or not count:
-                        kept.append(raw[at:start])
-                        count += 1
-                        removed += end - start
-                        at = end
-                    elif end > at:
-                        removed += end - at
-                        at = end
-                kept.append(raw[at:])
-                left = b"".join(kept)
-                for column, x in zip(out, (len(raw), removed, count, hashlib.sha256(left).hexdigest(), left.decode(errors="ignore")), strict=True):
+                left, count = without(raw, spans_of)
+                for column, x in zip(out, (len(raw), len(raw) - len(left), count, hashlib.sha256(left).hexdigest(), left.decode(errors="ignore")), strict=True):
                     column.append(x)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays(
@@ -318,4 +344,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     judged = texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
     cut = judged.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
-    return cut.withColumn("doc_id", F.nullif("doc_id", F.lit(none)))
+    return cut.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(_NO_ID)))
