@@ -12,9 +12,9 @@ chunks miss it with a probability under 1e-9.
 Of the pairs found, only links that can matter for components are confirmed, on the
 full sets.  First every member of an index bucket is held against the bucket's
 smallest one, so a bucket with many copies costs as many comparisons as it has members.
-Then, in buckets that still hold several components, members outside the largest
-component are held against all members of other components.  Every pair in a bucket
-is thus confirmed, refused, or within one component already.
+Then the members of buckets that still hold several components are paired across
+components, where length, prefix and position bounds of exact set joins allow a
+similar pair.  Every pair in a bucket is thus confirmed, refused, or within one component already.
 
 Defined results: words are runs without ASCII white space, A-Z lower-cased; texts with
 fewer than five words have one shingle, the whole sequence; null texts and texts
@@ -28,7 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gistmill.operators.components import components
@@ -134,6 +134,41 @@ def confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     return written(_same(near.join(text("b"), "b").join(text("a"), "a")))
 
 
+def crossing(opened: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs a, b across components that may be similar; ``opened`` has doc_id, component, n_shingles.
+
+    Buckets of texts from one template hold pairs that are all somewhat similar.  They are not
+    enumerated: each document's shingles are put in order of rarity among these documents, and only pairs
+    that share a shingle early enough in that order to reach the similarity are made.
+    """
+
+    def run(batches):
+        memory = WordHashes()
+        for batch in batches:
+            for i, text in enumerate(batch.column(3).to_pylist()):
+                found = shingle_set(text, memory).view(np.int64)
+                same = [pa.array(np.full(len(found), batch.column(k)[i].as_py())) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(found)], names=["doc_id", "component", "n", "shingle"])
+
+    rows = opened.join(texts.dropDuplicates(["doc_id"]), "doc_id").select("doc_id", "component", "n_shingles", "text")
+    rows = rows.mapInArrow(run, "doc_id long, component long, n long, shingle long")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("often", "shingle")) - 1
+    rows = rows.join(often, "shingle").withColumn("pos", place).filter("often > 1")
+    n, pos = F.col("n"), F.col("pos")
+    # of a pair, the longer shares a shingle within this prefix, the shorter within the next
+    longer = written(rows.filter(pos <= n - F.ceil(n * SIMILAR / OF)).drop("often"))
+    shorter = longer.filter(pos <= n - F.ceil(n * 2 * SIMILAR / (OF + SIMILAR)))
+    x, y = longer.alias("x"), shorter.alias("y")
+    at = lambda k: F.col(k)
+    order = (at("x.n") > at("y.n")) | ((at("x.n") == at("y.n")) & (at("x.doc_id") > at("y.doc_id")))
+    fits = at("y.n") * OF >= at("x.n") * SIMILAR
+    reach = F.least(at("x.n") - at("x.pos"), at("y.n") - at("y.pos")) * (OF + SIMILAR) >= (at("x.n") + at("y.n")) * SIMILAR
+    apart = at("x.component") != at("y.component")
+    pairs = x.join(y, (at("x.shingle") == at("y.shingle")) & order & fits & reach & apart)
+    return pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -149,14 +184,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     first_parts = written(components(links))
 
     # what the stars leave open: pairs across components, in buckets that hold several
-    part = members.join(first_parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "hub", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    sizes = part.groupBy("key", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("x"), F.count("*").alias("parts")).filter("parts > 1").select("key", F.col("x.component").alias("largest"))
-    open_rows = written(part.join(largest, "key").filter("doc_id != hub"))
-    x = open_rows.filter("component != largest").select("key", F.col("doc_id").alias("x"), F.col("component").alias("cx"), "largest")
-    y = open_rows.select("key", F.col("doc_id").alias("y"), F.col("component").alias("cy"))
-    crossing = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("largest")) | (F.col("x") < F.col("y")))
-    cross = x.join(y, "key").filter(crossing).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    part = members.join(first_parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    several = part.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
+    opened = part.join(several, "key", "left_semi").select("doc_id", "component").distinct()
+    cross = crossing(written(opened.join(sets.select("doc_id", "n_shingles"), "doc_id")), texts)
     more = confirmed(cross, sets, texts)
     parts = components(first_parts.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
 
