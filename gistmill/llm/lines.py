@@ -14,7 +14,9 @@ verified on the full sets.
 Only whether some earlier line matches has to be known.  So a bucket of lines that share
 a prefix word is first held against its earliest line, which settles families of many
 near copies with one comparison each; only lines that this leaves open are compared
-with the others before them.
+with the others before them.  Small buckets give their possible pairs at once.
+
+Sets are told apart by the sum of 64-bit hashes of their words, of which 44 bits are used.
 
 Defined results: lines are parts between line feeds; words are runs without ASCII white
 space, A-Z lower-cased; lines with fewer than ``LEAST_WORDS`` distinct words stay; order is
@@ -25,9 +27,11 @@ rows; further columns play no part.
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.lineage import written
@@ -38,41 +42,47 @@ LEAST_WORDS = 4
 FREQUENT = 100_000
 #: A batch of documents names its words that occur so often in it.
 OFTEN = 8
+#: Buckets of at most so many lines give all their possible pairs at once.
+SMALL = 16
+#: Documents whose asked lines are broadcast at most; beyond that they are joined by a shuffle.
+BROADCAST_DOCS = 200_000
+#: Bits of a word's hash that order it within a line, and lines that are ordered together.
+_BITS, _LINES = np.uint64(44), 1 << 20
+_HASH = np.uint64((1 << 44) - 1)
 
 
-def _line_words(batch, memory: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """doc_id and number of each line, and (line, word) of all its words, sorted and distinct."""
-    docs, numbers, sizes, words = [], [], [], []
+def _lines(batch):
+    """(doc_id, number, words) of the lines that may have enough words."""
     for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
         for k, line in enumerate((text or "").encode().lower().split(b"\n")):
             found = line.split()
             if len(found) >= LEAST_WORDS:
-                docs.append(doc_id)
-                numbers.append(k)
-                sizes.append(len(found))
-                words += found
-    word = np.fromiter(map(memory.__getitem__, words), dtype=np.uint64, count=len(words))
-    line = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.lexsort((word, line))
-    word, line = word[order], line[order]
-    new = np.ones(len(word), dtype=bool)
-    new[1:] = (word[1:] != word[:-1]) | (line[1:] != line[:-1])
-    return np.array(docs, dtype=np.int64), np.array(numbers, dtype=np.int64), line[new], word[new]
+                yield doc_id, k, found
+
+
+def _word_ids(words: list[bytes], memory: WordHashes) -> np.ndarray:
+    """44 bits of each word's hash."""
+    return np.fromiter(map(memory.__getitem__, words), dtype=np.uint64, count=len(words)) >> np.uint64(20)
 
 
 def frequent_words(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and ranks (from 1, rising with frequency) of at most FREQUENT words."""
+    """Ids, sorted, and ranks (from 1, rising with frequency) of at most FREQUENT words."""
 
     def run(batches):
+        from collections import Counter
+
         memory = WordHashes()
         for batch in batches:
-            word, n = np.unique(_line_words(batch, memory)[3], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word[n >= OFTEN].view(np.int64)), pa.array(n[n >= OFTEN])], names=["word", "n"])
-
-    top = texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    words = np.array([r.word for r in top], dtype=np.int64).view(np.uint64)
+            counts: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                counts.update(text.encode().lower().split())
+            top = [(w, n) for w, n in counts.items() if n >= OFTEN]
+            yield pa.RecordBatch.from_arrays([pa.array(_word_ids([w for w, _ in top], memory).view(np.int64)), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
+
+    top = texts.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT).toPandas()
+    words = top["word"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(words)
-    return words[order], (len(top) - np.arange(len(top)))[order]
+    return words[order], (len(top) - np.arange(len(top)))[order].astype(np.uint64)
 
 
 def line_table(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -82,38 +92,122 @@ def line_table(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Dat
     """
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
 
+    def table(lines: list, memory: WordHashes):
+        known, rank_of = shared.value
+        docs, numbers = (np.array([x[k] for x in lines], dtype=np.int64) for k in (0, 1))
+        sizes = np.array([len(x[2]) for x in lines])
+        line = np.repeat(np.arange(len(lines), dtype=np.uint64), sizes)
+        packed = np.sort((line << _BITS) | _word_ids([w for x in lines for w in x[2]], memory))
+        packed = packed[np.concatenate(([True], packed[1:] != packed[:-1]))]
+        word, line = packed & _HASH, packed >> _BITS
+        n = np.bincount(line.astype(np.int64), minlength=len(lines))
+        at = np.cumsum(n) - n
+        enough = n >= LEAST_WORDS
+        keys = np.add.reduceat(mixed(word), at).view(np.int64)
+        order = np.lexsort((numbers, docs, keys))
+        later = np.zeros(len(lines), dtype=bool)
+        later[order[1:]] = keys[order[1:]] == keys[order[:-1]]
+        place = np.searchsorted(known, word)
+        place[place == len(known)] = 0
+        rank = np.where(known[place] == word, rank_of[place], 0) if len(known) else np.zeros(len(word), dtype=np.uint64)
+        # by line, rank and hash: words come in by hash, so the leading bits suffice for a stable sort
+        word = word[np.argsort((line << np.uint64(40)) | (rank << np.uint64(20)) | (word >> np.uint64(24)), kind="stable")].view(np.int64)
+        size = n - (n * SIMILAR + OF - 1) // OF + 1
+        prefixes = [word[a : a + k] if ok else None for a, k, ok in zip(at.tolist(), size.tolist(), (enough & ~later).tolist(), strict=True)]
+        for i in range(0, len(lines), 1 << 14):
+            part = slice(i, i + (1 << 14))
+            columns = [pa.array(docs[part]), pa.array(numbers[part]), pa.array(keys[part]), pa.array(n[part]), pa.array(later[part]), pa.array(prefixes[part], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "set_key", "n", "later", "prefix"]).filter(pa.array(enough[part]))
+
     def run(batches):
         memory = WordHashes()
-        known, rank_of = shared.value
         for batch in batches:
-            docs, numbers, line, word = _line_words(batch, memory)
-            n = np.bincount(line, minlength=len(docs))
-            enough = n >= LEAST_WORDS
-            at = np.cumsum(n) - n
-            keys = np.add.reduceat(mixed(word), at).view(np.int64) if len(word) else np.array([], dtype=np.int64)
-            order = np.lexsort((numbers, docs, keys))
-            later = np.zeros(len(docs), dtype=bool)
-            later[order[1:]] = keys[order[1:]] == keys[order[:-1]]
-            place = np.searchsorted(known, word)
-            place[place == len(known)] = 0
-            rank = np.where(known[place] == word, rank_of[place], 0) if len(known) else np.zeros(len(word), dtype=np.int64)
-            word = word[np.lexsort((word, rank, line))].view(np.int64)
-            size = n - (n * SIMILAR + OF - 1) // OF + 1
-            prefixes = [word[a : a + k] if ok else None for a, k, ok in zip(at.tolist(), size.tolist(), (enough & ~later).tolist(), strict=True)]
-            for i in range(0, len(docs), 1 << 14):
-                part = slice(i, i + (1 << 14))
-                columns = [pa.array(docs[part]), pa.array(numbers[part]), pa.array(keys[part]), pa.array(n[part]), pa.array(later[part]), pa.array(prefixes[part], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "set_key", "n", "later", "prefix"]).filter(pa.array(enough[part]))
+            lines = _lines(batch)
+            while part := list(islice(lines, _LINES)):
+                yield from table(part, memory)
 
     return texts.mapInArrow(run, "doc_id long, line long, set_key long, n long, later boolean, prefix array<long>")
 
 
+_ROW = ["word", "set_key", "n", "pos", "doc_id", "line"]
+
+
+def _reaches(n, m, i, j):
+    """The bounds on overlap by the lengths n, m and the positions i, j of a shared word; works on arrays and Columns."""
+    less, rest = (np.minimum, np.minimum) if isinstance(n, np.ndarray) else (F.least, F.least)
+    most = np.maximum if isinstance(n, np.ndarray) else F.greatest
+    return (less(n, m) * OF >= most(n, m) * SIMILAR) & (rest(n - i, m - j) * (OF + SIMILAR) >= (n + m) * SIMILAR)
+
+
+def bucket_pairs(rows: DataFrame) -> DataFrame:
+    """Rows word, set_key, n, pos, doc_id, line that come by word become: possible pairs of the lines of small
+    buckets (word null, other the earlier line), and the rows of larger buckets, unchanged."""
+
+    def emit(x: np.ndarray, y: np.ndarray | None):
+        columns = [pa.array(x[:, k]) for k in range(6)]
+        if y is None:
+            other = [pa.nulls(len(x), pa.int64())] * 2
+        else:
+            columns[0], other = pa.nulls(len(x), pa.int64()), [pa.array(y[:, k]) for k in (4, 5)]
+        return pa.RecordBatch.from_arrays([*columns, *other], names=[*_ROW, "other_doc", "other_line"])
+
+    def small(x: np.ndarray):
+        """All possible pairs within the buckets of ``x``, whose rows come by word and then age."""
+        for gap in range(1, SMALL):
+            if gap >= len(x):
+                break
+            a, b = x[:-gap], x[gap:]
+            ok = (a[:, 0] == b[:, 0]) & (a[:, 1] != b[:, 1]) & _reaches(a[:, 2], b[:, 2], a[:, 3], b[:, 3])
+            if ok.any():
+                yield emit(b[ok], a[ok])
+
+    def settle(x: np.ndarray):
+        x = x[np.lexsort((x[:, 5], x[:, 4], x[:, 1], x[:, 0]))]
+        x = x[np.concatenate(([True], (x[1:, 0] != x[:-1, 0]) | (x[1:, 1] != x[:-1, 1])))]  # a set once, where it comes first
+        _, group, size = np.unique(x[:, 0], return_inverse=True, return_counts=True)
+        size = size[group.reshape(-1)]
+        large = x[size > SMALL]
+        for i in range(0, len(large), 1 << 16):
+            yield emit(large[i : i + (1 << 16)], None)
+        x = x[(size > 1) & (size <= SMALL)]
+        if len(x):
+            yield from small(x[np.lexsort((x[:, 5], x[:, 4], x[:, 0]))])
+
+    def run(batches):
+        held, large = np.empty((0, 6), dtype=np.int64), None
+        for batch in batches:
+            x = np.stack([batch.column(k).to_numpy() for k in range(6)], axis=1)
+            if large is not None:  # more of a bucket that is known to be large
+                more = x[:, 0] == large
+                if more.any():
+                    yield emit(x[more], None)
+                    x = x[~more]
+                if len(x):
+                    large = None
+            if not len(x):
+                continue
+            x = np.concatenate((held, x))
+            last = x[:, 0] == x[-1, 0]
+            yield from settle(x[~last]) if not last.all() else ()
+            held = x[last]
+            if len(np.unique(held[:, 1])) > SMALL:
+                large = int(held[0, 0])
+                yield emit(held, None)
+                held = held[:0]
+        if len(held):
+            yield from settle(held)
+
+    return rows.select(*_ROW).mapInArrow(run, ", ".join(f"{x} long" for x in [*_ROW, "other_doc", "other_line"]))
+
+
 def _lines_of(wanted: DataFrame, texts: DataFrame) -> DataFrame:
-    """at (doc_id, line), words: the lower-cased line for each distinct at."""
-    asked = wanted.groupBy("at.doc_id").agg(F.collect_set("at.line").alias("lines"))
-    parts = texts.join(asked, "doc_id").select("doc_id", "lines", F.split("text", "\n", -1).alias("parts"))
-    each = parts.select("doc_id", F.explode("lines").alias("line"), "parts")
-    return each.select(F.struct("doc_id", "line").alias("at"), F.element_at("parts", (F.col("line") + 1).cast("int")).alias("words"))
+    """at (doc_id, line), words: the text of each line that ``wanted`` names by doc_id and line."""
+    asked = written(wanted.groupBy("doc_id").agg(F.collect_set("line").alias("lines")))
+    if asked.count() <= BROADCAST_DOCS:
+        asked = F.broadcast(asked)
+    parts = texts.join(asked, "doc_id").withColumn("parts", F.split("text", "\n", -1))
+    each = parts.select("doc_id", F.explode(F.transform("lines", lambda k: F.struct(k.alias("line"), F.element_at("parts", (k + 1).cast("int")).alias("words")))).alias("x"))
+    return each.select(F.struct("doc_id", "x.line").alias("at"), "x.words")
 
 
 def _matching(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -134,11 +228,11 @@ def _matching(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return full.mapInArrow(run, "set_key long").distinct()
 
 
-def _possible(a: str, b: str) -> F.Column:
-    """The bounds on overlap by lengths and by the positions of the shared word."""
-    n, m, i, j = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.pos"), F.col(f"{b}.pos")
-    length = F.least(n, m) * OF >= F.greatest(n, m) * SIMILAR
-    return length & ((F.least(n - i, m - j)) * (OF + SIMILAR) >= (n + m) * SIMILAR)
+def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """set_key of the later lines of distinct pairs (a, b, set_key) that match."""
+    pairs = written(pairs)
+    ends = pairs.select("a.doc_id", "a.line").unionAll(pairs.select("b.doc_id", "b.line"))
+    return written(_matching(pairs, written(_lines_of(ends, texts))))
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -146,23 +240,26 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     table = written(line_table(texts, frequent_words(texts)))
     place = F.struct("doc_id", "line")
-    firsts = table.filter("NOT later").groupBy("set_key").agg(F.min(place).alias("first"))
+    firsts = written(table.filter("NOT later").groupBy("set_key").agg(F.min(place).alias("first")))
     again = table.filter("NOT later").join(firsts, "set_key").filter(place != F.col("first")).select("doc_id", "line")
 
-    rows = table.filter("NOT later").select("set_key", "n", place.alias("at"), F.posexplode("prefix").alias("pos", "word"))
-    rows = rows.repartition("word").groupBy("word", "set_key").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("pos").alias("pos"))
-    bucket = Window.partitionBy("word")
-    me = F.struct("at", "set_key", "n", "pos").alias("x")
-    rows = written(rows.withColumn("rows", F.count("*").over(bucket)).filter("rows > 1").select("word", me, F.min(F.struct("at", "set_key", "n", "pos")).over(bucket).alias("hub")))
-
-    lines = written(_lines_of(rows.select("x.at"), texts))
-    star = rows.filter((F.col("x.set_key") != F.col("hub.set_key")) & _possible("x", "hub")).select(F.col("hub.at").alias("a"), F.col("x.at").alias("b"), "x.set_key").distinct()
-    settled = written(_matching(star, lines))
-
-    opened = rows.filter(F.col("x.set_key") != F.col("hub.set_key")).select("word", "x", "x.set_key")
-    left = opened.join(settled, "set_key", "left_anti").select("word", F.col("x").alias("y"))
-    pairs = left.join(opened.select("word", "x"), "word").filter((F.col("x.at") < F.col("y.at")) & (F.col("x.set_key") != F.col("y.set_key")) & _possible("x", "y"))
-    more = _matching(pairs.select(F.col("x.at").alias("a"), F.col("y.at").alias("b"), "y.set_key").distinct(), lines)
+    rows = table.filter("NOT later").select("set_key", "n", "doc_id", "line", F.posexplode("prefix").alias("pos", "word"))
+    found = written(bucket_pairs(rows.repartition("word").sortWithinPartitions("word")))
+    pairs = found.filter("word IS NULL").select(F.struct(F.col("other_doc").alias("doc_id"), F.col("other_line").alias("line")).alias("a"), place.alias("b"), "set_key")
+
+    large = found.filter("word IS NOT NULL").groupBy("word", "set_key").agg(F.min(F.struct("doc_id", "line", "n", "pos")).alias("x"))
+    hubs = large.groupBy("word").agg(F.min(F.struct("x", "set_key")).alias("hub"))
+    large = written(large.join(hubs, "word").filter(F.col("set_key") != F.col("hub.set_key")))
+    spot = lambda x: F.struct(F.col(f"{x}.doc_id").alias("doc_id"), F.col(f"{x}.line").alias("line"))
+    near = lambda x, y: _reaches(F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.pos"), F.col(f"{y}.pos"))
+    star = large.filter(near("hub.x", "x")).select(spot("hub.x").alias("a"), spot("x").alias("b"), "set_key")
+    settled = _confirmed(pairs.unionAll(star).distinct(), texts)
+
+    # lines of large buckets that are still open, against all lines before them
+    y = large.join(settled, "set_key", "left_anti").select("word", F.col("x").alias("y"), "set_key")
+    x = large.select("word", "x", F.col("set_key").alias("other_key"))
+    before = (spot("x") < spot("y")) & (F.col("set_key") != F.col("other_key")) & near("x", "y")
+    more = _confirmed(y.join(x, "word").filter(before).select(spot("x").alias("a"), spot("y").alias("b"), "set_key").distinct(), texts)
     matched = firsts.join(settled.unionAll(more).distinct(), "set_key", "left_semi").select("first.doc_id", "first.line")
     gone = table.filter("later").select("doc_id", "line").unionAll(again).unionAll(matched)
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
