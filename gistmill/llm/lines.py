@@ -9,7 +9,7 @@ words come first, by hash, then those of the table, from rare to frequent.  Any
 order gives exact results, so the table, which bounds what is broadcast, costs no match.
 Similar lines share a word of their prefixes under that order; pairs are further held
 against bounds from their lengths and from the positions of the shared word, and what is left is
-verified on the full sets.
+verified on the full sets, after a last bound from 64 parity bits of each set.
 
 Only whether some earlier line matches has to be known.  So a bucket of lines that share
 a prefix word is first held against its earliest line, which settles families of many
@@ -27,156 +27,182 @@ rows; further columns play no part.
 
 from __future__ import annotations
 
-from itertools import islice
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.lineage import written
-from gistmill.llm.shingles import WordHashes, mixed
+from gistmill.llm.shingles import WordHashes, hashed_words, mixed
 
 SIMILAR, OF = 80, 100
 LEAST_WORDS = 4
 FREQUENT = 100_000
 #: A batch of documents names its words that occur so often in it.
 OFTEN = 8
-#: Buckets of at most so many lines give all their possible pairs at once.
-SMALL = 16
+#: Buckets of at most so many lines are paired side by side, those of at most so many by a matrix.
+SMALL, MEDIUM = 64, 2048
 #: Documents whose asked lines are broadcast at most; beyond that they are joined by a shuffle.
 BROADCAST_DOCS = 200_000
-#: Bits of a word's hash that order it within a line, and lines that are ordered together.
-_BITS, _LINES = np.uint64(44), 1 << 20
+#: Bytes of text that are handled together.
+CHUNK = 1 << 20
+_SHIFT, _BITS = np.uint64(20), np.uint64(44)
 _HASH = np.uint64((1 << 44) - 1)
 
 
-def _lines(batch):
-    """(doc_id, number, words) of the lines that may have enough words."""
+def _chunks(batch):
+    """Documents of a batch, joined by line feeds to about CHUNK bytes: bytes, and doc_id and number of each line."""
+    part: list[bytes] = []
+    docs: list[np.ndarray] = []
+    numbers: list[np.ndarray] = []
+    size = 0
     for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        for k, line in enumerate((text or "").encode().lower().split(b"\n")):
-            found = line.split()
-            if len(found) >= LEAST_WORDS:
-                yield doc_id, k, found
-
-
-def _word_ids(words: list[bytes], memory: WordHashes) -> np.ndarray:
-    """44 bits of each word's hash."""
-    return np.fromiter(map(memory.__getitem__, words), dtype=np.uint64, count=len(words)) >> np.uint64(20)
+        raw = (text or "").encode()
+        lines = raw.count(b"\n") + 1
+        part.append(raw)
+        docs.append(np.full(lines, doc_id))
+        numbers.append(np.arange(lines))
+        size += len(raw)
+        if size >= CHUNK:
+            yield b"\n".join(part), np.concatenate(docs), np.concatenate(numbers)
+            part, docs, numbers, size = [], [], [], 0
+    if part:
+        yield b"\n".join(part), np.concatenate(docs), np.concatenate(numbers)
 
 
 def frequent_words(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Ids, sorted, and ranks (from 1, rising with frequency) of at most FREQUENT words."""
 
     def run(batches):
-        from collections import Counter
-
-        memory = WordHashes()
         for batch in batches:
-            counts: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                counts.update(text.encode().lower().split())
-            top = [(w, n) for w, n in counts.items() if n >= OFTEN]
-            yield pa.RecordBatch.from_arrays([pa.array(_word_ids([w for w, _ in top], memory).view(np.int64)), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
+            found = [hashed_words(raw)[0] >> _SHIFT for raw, _, _ in _chunks(batch)]
+            word, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.array([], dtype=np.uint64), np.array([], dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(word[n >= OFTEN].view(np.int64)), pa.array(n[n >= OFTEN])], names=["word", "n"])
 
-    top = texts.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT).toPandas()
+    top = texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT).toPandas()
     words = top["word"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(words)
     return words[order], (len(top) - np.arange(len(top)))[order].astype(np.uint64)
 
 
 def line_table(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, line, set_key, n, later, prefix: all lines with enough words.
+    """doc_id, line, set_key, n, parity, later, prefix: all lines with enough words.
 
-    ``later`` marks lines whose set an earlier line of the same batch has; the others carry their prefix.
+    ``later`` marks lines whose set an earlier line of the same chunk has; the others carry their prefix.
+    ``parity`` has 64 bits, each telling whether an odd number of the set's words hash to it: two sets differ in at
+    least as many words as their bits differ.
     """
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
 
-    def table(lines: list, memory: WordHashes):
+    def table(raw: bytes, docs: np.ndarray, numbers: np.ndarray):
         known, rank_of = shared.value
-        docs, numbers = (np.array([x[k] for x in lines], dtype=np.int64) for k in (0, 1))
-        sizes = np.array([len(x[2]) for x in lines])
-        line = np.repeat(np.arange(len(lines), dtype=np.uint64), sizes)
-        packed = np.sort((line << _BITS) | _word_ids([w for x in lines for w in x[2]], memory))
-        packed = packed[np.concatenate(([True], packed[1:] != packed[:-1]))]
-        word, line = packed & _HASH, packed >> _BITS
-        n = np.bincount(line.astype(np.int64), minlength=len(lines))
+        word, line = hashed_words(raw)
+        packed = np.sort((line.astype(np.uint64) << _BITS) | (word >> _SHIFT))
+        packed = packed[np.concatenate(([True], packed[1:] != packed[:-1]))] if len(packed) else packed
+        word, line = packed & _HASH, (packed >> _BITS).astype(np.int64)
+        n = np.bincount(line, minlength=len(docs))
+        keep = n >= LEAST_WORDS
+        mine = keep[line]
+        word, line = word[mine], (np.cumsum(keep) - 1)[line[mine]]
+        docs, numbers, n = docs[keep], numbers[keep], n[keep]
+        if not len(n):
+            return
         at = np.cumsum(n) - n
-        enough = n >= LEAST_WORDS
-        keys = np.add.reduceat(mixed(word), at).view(np.int64)
+        hashed = mixed(word)
+        keys = np.add.reduceat(hashed, at).view(np.int64)
+        parity = np.bitwise_xor.reduceat(np.uint64(1) << (hashed >> np.uint64(58)), at).view(np.int64)
         order = np.lexsort((numbers, docs, keys))
-        later = np.zeros(len(lines), dtype=bool)
+        later = np.zeros(len(n), dtype=bool)
         later[order[1:]] = keys[order[1:]] == keys[order[:-1]]
         place = np.searchsorted(known, word)
         place[place == len(known)] = 0
         rank = np.where(known[place] == word, rank_of[place], 0) if len(known) else np.zeros(len(word), dtype=np.uint64)
         # by line, rank and hash: words come in by hash, so the leading bits suffice for a stable sort
-        word = word[np.argsort((line << np.uint64(40)) | (rank << np.uint64(20)) | (word >> np.uint64(24)), kind="stable")].view(np.int64)
+        word = word[np.argsort((line.astype(np.uint64) << np.uint64(40)) | (rank << np.uint64(20)) | (word >> np.uint64(24)), kind="stable")].view(np.int64)
         size = n - (n * SIMILAR + OF - 1) // OF + 1
-        prefixes = [word[a : a + k] if ok else None for a, k, ok in zip(at.tolist(), size.tolist(), (enough & ~later).tolist(), strict=True)]
-        for i in range(0, len(lines), 1 << 14):
-            part = slice(i, i + (1 << 14))
-            columns = [pa.array(docs[part]), pa.array(numbers[part]), pa.array(keys[part]), pa.array(n[part]), pa.array(later[part]), pa.array(prefixes[part], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "set_key", "n", "later", "prefix"]).filter(pa.array(enough[part]))
+        inside = np.arange(len(word)) - np.repeat(at, n) < np.repeat(np.where(later, 0, size), n)
+        ends = np.concatenate(([0], np.cumsum(np.where(later, 0, size)))).astype(np.int32)
+        prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(word[inside]))
+        columns = [pa.array(docs), pa.array(numbers), pa.array(keys), pa.array(n), pa.array(parity), pa.array(later), prefix]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "set_key", "n", "parity", "later", "prefix"])
 
     def run(batches):
-        memory = WordHashes()
         for batch in batches:
-            lines = _lines(batch)
-            while part := list(islice(lines, _LINES)):
-                yield from table(part, memory)
+            for chunk in _chunks(batch):
+                yield from table(*chunk)
 
-    return texts.mapInArrow(run, "doc_id long, line long, set_key long, n long, later boolean, prefix array<long>")
+    return texts.mapInArrow(run, "doc_id long, line long, set_key long, n long, parity long, later boolean, prefix array<long>")
 
 
-_ROW = ["word", "set_key", "n", "pos", "doc_id", "line"]
+_ROW = ["word", "set_key", "n", "pos", "parity", "doc_id", "line"]
 
 
-def _reaches(n, m, i, j):
-    """The bounds on overlap by the lengths n, m and the positions i, j of a shared word; works on arrays and Columns."""
-    less, rest = (np.minimum, np.minimum) if isinstance(n, np.ndarray) else (F.least, F.least)
-    most = np.maximum if isinstance(n, np.ndarray) else F.greatest
-    return (less(n, m) * OF >= most(n, m) * SIMILAR) & (rest(n - i, m - j) * (OF + SIMILAR) >= (n + m) * SIMILAR)
+def _possible(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether rows that share a word may match, by their lengths, its positions, and the bits that tell words apart."""
+    n, m = x[..., 2], y[..., 2]
+    both = n + m
+    length = np.minimum(n, m) * OF >= np.maximum(n, m) * SIMILAR
+    reach = np.minimum(n - x[..., 3], m - y[..., 3]) * (OF + SIMILAR) >= both * SIMILAR
+    differ = np.bitwise_count((x[..., 4] ^ y[..., 4]).view(np.uint64)).astype(np.int64) * (OF + SIMILAR) <= both * (OF - SIMILAR)
+    return length & reach & differ & (x[..., 1] != y[..., 1])
 
 
 def bucket_pairs(rows: DataFrame) -> DataFrame:
-    """Rows word, set_key, n, pos, doc_id, line that come by word become: possible pairs of the lines of small
-    buckets (word null, other the earlier line), and the rows of larger buckets, unchanged."""
+    """Of rows that come by word: possible pairs of lines, and rows of buckets that may hold many.
 
-    def emit(x: np.ndarray, y: np.ndarray | None):
-        columns = [pa.array(x[:, k]) for k in range(6)]
+    A pair has the later line's row, ``word`` null, and the earlier line as other_doc and other_line; ``nth`` is 0 for the
+    earliest possible partner in a bucket.  A row of a large bucket stays as it is, if it has a possible partner there.
+    """
+
+    def emit(x: np.ndarray, y: np.ndarray | None, nth: np.ndarray | None = None):
+        columns = [pa.array(x[:, k]) for k in range(7)]
         if y is None:
-            other = [pa.nulls(len(x), pa.int64())] * 2
+            other = [pa.nulls(len(x), pa.int64())] * 3
         else:
-            columns[0], other = pa.nulls(len(x), pa.int64()), [pa.array(y[:, k]) for k in (4, 5)]
-        return pa.RecordBatch.from_arrays([*columns, *other], names=[*_ROW, "other_doc", "other_line"])
+            columns[0], other = pa.nulls(len(x), pa.int64()), [pa.array(y[:, 5]), pa.array(y[:, 6]), pa.array(nth)]
+        return pa.RecordBatch.from_arrays([*columns, *other], names=[*_ROW, "other_doc", "other_line", "nth"])
 
     def small(x: np.ndarray):
-        """All possible pairs within the buckets of ``x``, whose rows come by word and then age."""
-        for gap in range(1, SMALL):
-            if gap >= len(x):
+        """Pairs within buckets of at most SMALL rows, which come by word and age."""
+        later, earlier = [], []
+        for gap in range(1, min(SMALL, len(x))):
+            same = np.flatnonzero(x[gap:, 0] == x[:-gap, 0])
+            if not len(same):
                 break
-            a, b = x[:-gap], x[gap:]
-            ok = (a[:, 0] == b[:, 0]) & (a[:, 1] != b[:, 1]) & _reaches(a[:, 2], b[:, 2], a[:, 3], b[:, 3])
-            if ok.any():
-                yield emit(b[ok], a[ok])
+            same = same[_possible(x[same], x[same + gap])]
+            earlier.append(same)
+            later.append(same + gap)
+        if not later:
+            return
+        a, b = np.concatenate(earlier), np.concatenate(later)
+        order = np.lexsort((a, b))
+        a, b = a[order], b[order]
+        nth = np.concatenate(([True], b[1:] != b[:-1])) if len(b) else np.array([], dtype=bool)
+        for i in range(0, len(a), 1 << 16):
+            part = slice(i, i + (1 << 16))
+            yield emit(x[b[part]], x[a[part]], 1 - nth[part].astype(np.int64))
 
     def settle(x: np.ndarray):
-        x = x[np.lexsort((x[:, 5], x[:, 4], x[:, 1], x[:, 0]))]
+        x = x[np.lexsort((x[:, 6], x[:, 5], x[:, 1], x[:, 0]))]
         x = x[np.concatenate(([True], (x[1:, 0] != x[:-1, 0]) | (x[1:, 1] != x[:-1, 1])))]  # a set once, where it comes first
-        _, group, size = np.unique(x[:, 0], return_inverse=True, return_counts=True)
-        size = size[group.reshape(-1)]
-        large = x[size > SMALL]
-        for i in range(0, len(large), 1 << 16):
-            yield emit(large[i : i + (1 << 16)], None)
-        x = x[(size > 1) & (size <= SMALL)]
+        x = x[np.lexsort((x[:, 6], x[:, 5], x[:, 0]))]
+        _, at, size = np.unique(x[:, 0], return_index=True, return_counts=True)
+        each = np.repeat(size, size)
+        for i, n in zip(at[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+            mine = x[i : i + n]
+            if n <= MEDIUM:
+                mine = mine[_possible(mine[:, None, :], mine[None, :, :]).any(axis=1)]
+            if len(mine):
+                yield emit(mine, None)
+        x = x[(each > 1) & (each <= SMALL)]
         if len(x):
-            yield from small(x[np.lexsort((x[:, 5], x[:, 4], x[:, 0]))])
+            yield from small(x)
 
     def run(batches):
-        held, large = np.empty((0, 6), dtype=np.int64), None
+        held, large = [], None
+        waiting = 0
         for batch in batches:
-            x = np.stack([batch.column(k).to_numpy() for k in range(6)], axis=1)
+            x = np.stack([batch.column(k).to_numpy() for k in range(7)], axis=1)
             if large is not None:  # more of a bucket that is known to be large
                 more = x[:, 0] == large
                 if more.any():
@@ -186,18 +212,31 @@ def bucket_pairs(rows: DataFrame) -> DataFrame:
                     large = None
             if not len(x):
                 continue
-            x = np.concatenate((held, x))
+            held.append(x)
+            waiting += len(x)
+            if waiting < 1 << 17:
+                continue
+            x = np.concatenate(held)
             last = x[:, 0] == x[-1, 0]
-            yield from settle(x[~last]) if not last.all() else ()
-            held = x[last]
-            if len(np.unique(held[:, 1])) > SMALL:
-                large = int(held[0, 0])
-                yield emit(held, None)
-                held = held[:0]
-        if len(held):
-            yield from settle(held)
+            if not last.all():
+                yield from settle(x[~last])
+            held, waiting = [x[last]], int(last.sum())
+            if waiting > MEDIUM and len(np.unique(held[0][:, 1])) > MEDIUM:
+                large = int(held[0][0, 0])
+                yield emit(held[0], None)
+                held, waiting = [], 0
+        if waiting:
+            yield from settle(np.concatenate(held))
+
+    return rows.select(*_ROW).mapInArrow(run, ", ".join(f"{x} long" for x in [*_ROW, "other_doc", "other_line", "nth"]))
+
 
-    return rows.select(*_ROW).mapInArrow(run, ", ".join(f"{x} long" for x in [*_ROW, "other_doc", "other_line"]))
+def _reaches(x: str, y: str) -> F.Column:
+    """The same bounds for structs x and y with n, pos and parity."""
+    n, m, i, j = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.pos"), F.col(f"{y}.pos")
+    length = F.least(n, m) * OF >= F.greatest(n, m) * SIMILAR
+    differ = F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity"))) * (OF + SIMILAR) <= (n + m) * (OF - SIMILAR)
+    return length & (F.least(n - i, m - j) * (OF + SIMILAR) >= (n + m) * SIMILAR) & differ
 
 
 def _lines_of(wanted: DataFrame, texts: DataFrame) -> DataFrame:
@@ -243,23 +282,24 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     firsts = written(table.filter("NOT later").groupBy("set_key").agg(F.min(place).alias("first")))
     again = table.filter("NOT later").join(firsts, "set_key").filter(place != F.col("first")).select("doc_id", "line")
 
-    rows = table.filter("NOT later").select("set_key", "n", "doc_id", "line", F.posexplode("prefix").alias("pos", "word"))
+    rows = table.filter("NOT later").select("set_key", "n", "parity", "doc_id", "line", F.posexplode("prefix").alias("pos", "word"))
+    rows = rows.withColumn("pos", F.col("pos").cast("long")).select(*_ROW)
     found = written(bucket_pairs(rows.repartition("word").sortWithinPartitions("word")))
-    pairs = found.filter("word IS NULL").select(F.struct(F.col("other_doc").alias("doc_id"), F.col("other_line").alias("line")).alias("a"), place.alias("b"), "set_key")
+    pairs = found.filter("word IS NULL").select("nth", F.struct(F.col("other_doc").alias("doc_id"), F.col("other_line").alias("line")).alias("a"), place.alias("b"), "set_key")
 
-    large = found.filter("word IS NOT NULL").groupBy("word", "set_key").agg(F.min(F.struct("doc_id", "line", "n", "pos")).alias("x"))
+    large = found.filter("word IS NOT NULL").groupBy("word", "set_key").agg(F.min(F.struct("doc_id", "line", "n", "pos", "parity")).alias("x"))
     hubs = large.groupBy("word").agg(F.min(F.struct("x", "set_key")).alias("hub"))
     large = written(large.join(hubs, "word").filter(F.col("set_key") != F.col("hub.set_key")))
     spot = lambda x: F.struct(F.col(f"{x}.doc_id").alias("doc_id"), F.col(f"{x}.line").alias("line"))
-    near = lambda x, y: _reaches(F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.pos"), F.col(f"{y}.pos"))
-    star = large.filter(near("hub.x", "x")).select(spot("hub.x").alias("a"), spot("x").alias("b"), "set_key")
-    settled = _confirmed(pairs.unionAll(star).distinct(), texts)
+    star = large.filter(_reaches("hub.x", "x")).select(spot("hub.x").alias("a"), spot("x").alias("b"), "set_key")
+    settled = _confirmed(pairs.filter("nth = 0").drop("nth").unionAll(star).distinct(), texts)
 
-    # lines of large buckets that are still open, against all lines before them
+    # lines that are still open: their other possible partners, in large buckets all lines before them
     y = large.join(settled, "set_key", "left_anti").select("word", F.col("x").alias("y"), "set_key")
     x = large.select("word", "x", F.col("set_key").alias("other_key"))
-    before = (spot("x") < spot("y")) & (F.col("set_key") != F.col("other_key")) & near("x", "y")
-    more = _confirmed(y.join(x, "word").filter(before).select(spot("x").alias("a"), spot("y").alias("b"), "set_key").distinct(), texts)
+    before = (spot("x") < spot("y")) & (F.col("set_key") != F.col("other_key")) & _reaches("x", "y")
+    rest = pairs.filter("nth > 0").drop("nth").join(settled, "set_key", "left_anti").select("a", "b", "set_key")
+    more = _confirmed(y.join(x, "word").filter(before).select(spot("x").alias("a"), spot("y").alias("b"), "set_key").unionAll(rest).distinct(), texts)
     matched = firsts.join(settled.unionAll(more).distinct(), "set_key", "left_semi").select("first.doc_id", "first.line")
     gone = table.filter("later").select("doc_id", "line").unionAll(again).unionAll(matched)
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed"))

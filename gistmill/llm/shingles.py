@@ -45,3 +45,36 @@ def shingle_set(text: str | None, memory: WordHashes) -> np.ndarray:
         x = (x + words[k : k + n]) * _STEP
         x ^= x >> _DOWN
     return np.unique(mixed(x))
+
+
+_BYTE_STEP = 0x9E3779B97F4A7C15
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the step and of its inverse modulo 2**64, from 0 to n at least."""
+    if len(_POWERS.get("up", ())) <= n:
+        size = 1 << max(20, (n + 1).bit_length())
+        for name, step in (("up", _BYTE_STEP), ("down", pow(_BYTE_STEP, -1, 1 << 64))):
+            steps = np.full(size, step, dtype=np.uint64)
+            steps[0] = 1
+            _POWERS[name] = np.multiply.accumulate(steps)
+    return _POWERS["up"], _POWERS["down"]
+
+
+def hashed_words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a text, A-Z lower-cased, and the number of the line that each is in.
+
+    Without a step for each word: a word's hash is the difference of two prefix sums of a polynomial in its bytes.
+    """
+    raw = np.frombuffer(text, dtype=np.uint8)
+    space = np.concatenate(([True], _SPACE[raw], [True]))
+    turns = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = turns[::2], turns[1::2]
+    up, down = _powers(len(raw))
+    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * up[: len(raw)])))
+    feeds = np.flatnonzero(raw == 10)
+    return mixed((sums[ends] - sums[starts]) * down[starts]), np.searchsorted(feeds, starts)
