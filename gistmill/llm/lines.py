@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.lineage import written
-from gistmill.llm.shingles import WordHashes, hashed_words, mixed
+from gistmill.llm.shingles import hashed_words, mixed
 
 SIMILAR, OF = 80, 100
 LEAST_WORDS = 4
@@ -253,14 +253,15 @@ def _matching(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """set_key of the later lines of pairs (a, b: places; set_key: that of b) that match."""
 
     def run(batches):
-        memory = WordHashes()
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                one, other = (np.unique(np.fromiter(map(memory.__getitem__, (z or "").encode().lower().split()), dtype=np.uint64)) for z in (x, y))
-                both = len(np.intersect1d(one, other, assume_unique=True))
-                keep.append(OF * both >= SIMILAR * (len(one) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["set_key"]).filter(pa.array(keep, pa.bool_()))
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                keep = []
+                for x, y in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    one, other = (set((z or "").encode().lower().split()) for z in (x, y))
+                    both = len(one & other)
+                    keep.append(OF * both >= SIMILAR * (len(one) + len(other) - both))
+                yield pa.RecordBatch.from_arrays([part.column(0)], names=["set_key"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda x: lines.select(F.col("at").alias(x), F.col("words").alias(f"words_{x}"))
     full = pairs.join(side("b"), "b").join(side("a"), "a").select("set_key", "words_a", "words_b")

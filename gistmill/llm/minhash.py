@@ -40,6 +40,8 @@ WIDTH = POSITIONS // CHUNKS
 #: Signatures that differ in at most so many positions are all found: one error in each chunk, and one chunk with one more.
 DISTANCE = 2 * CHUNKS - 1
 SIMILAR, OF = 75, 100
+#: Texts that a task turns into shingles at a time.
+SLICE = 128
 
 
 def _multipliers() -> np.ndarray:
@@ -114,14 +116,16 @@ def _same(pairs: DataFrame) -> DataFrame:
         memory = WordHashes()
         last, known = None, None
         for batch in batches:
-            keep = []
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if a != last:
-                    last, known = a, shingle_set(x, memory)
-                other = shingle_set(y, memory)
-                both = len(np.intersect1d(known, other, assume_unique=True))
-                keep.append(OF * both >= SIMILAR * (len(known) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                keep = []
+                for a, x, y in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    if a != last:
+                        last, known = a, shingle_set(x, memory)
+                    other = shingle_set(y, memory)
+                    both = len(np.intersect1d(known, other, assume_unique=True))
+                    keep.append(OF * both >= SIMILAR * (len(known) + len(other) - both))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
@@ -145,16 +149,18 @@ def crossing(opened: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches):
         memory = WordHashes()
         for batch in batches:
-            for i, text in enumerate(batch.column(3).to_pylist()):
-                found = shingle_set(text, memory).view(np.int64)
-                same = [pa.array(np.full(len(found), batch.column(k)[i].as_py())) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(found)], names=["doc_id", "component", "n", "shingle"])
-
-    rows = opened.join(texts.dropDuplicates(["doc_id"]), "doc_id").select("doc_id", "component", "n_shingles", "text")
-    rows = rows.mapInArrow(run, "doc_id long, component long, n long, shingle long")
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                found = [shingle_set(text, memory).view(np.int64) for text in part.column(1).to_pylist()]
+                ids = np.repeat(part.column(0).to_numpy(), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(found))], names=["doc_id", "shingle"])
+
+    asked = opened.select("doc_id").join(texts, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text")
+    rows = written(asked.mapInArrow(run, "doc_id long, shingle long"))
     often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("often", "shingle")) - 1
     rows = rows.join(often, "shingle").withColumn("pos", place).filter("often > 1")
+    rows = rows.join(opened.select("doc_id", "component", F.col("n_shingles").alias("n")), "doc_id")
     n, pos = F.col("n"), F.col("pos")
     # of a pair, the longer shares a shingle within this prefix, the shorter within the next
     longer = written(rows.filter(pos <= n - F.ceil(n * SIMILAR / OF)).drop("often"))
