@@ -44,6 +44,8 @@ OFTEN = 8
 SMALL, MEDIUM = 64, 2048
 #: Documents whose asked lines are broadcast at most; beyond that they are joined by a shuffle.
 BROADCAST_DOCS = 200_000
+#: Sets of more words have a second word of parity bits.
+LONG = 72
 #: Bytes of text that are handled together.
 CHUNK = 1 << 20
 _SHIFT, _BITS = np.uint64(20), np.uint64(44)
@@ -86,11 +88,11 @@ def frequent_words(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def line_table(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, line, set_key, n, parity, later, prefix: all lines with enough words.
+    """doc_id, line, set_key, n, parity, parity_2, later, prefix: all lines with enough words.
 
     ``later`` marks lines whose set an earlier line of the same chunk has; the others carry their prefix.
-    ``parity`` has 64 bits, each telling whether an odd number of the set's words hash to it: two sets differ in at
-    least as many words as their bits differ.
+    ``parity`` and ``parity_2`` have 64 bits each, telling whether an odd number of the set's words hash to a bit: two sets
+    differ in at least as many words as their bits differ.  Sets of at most LONG words leave the second at 0.
     """
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
 
@@ -110,7 +112,9 @@ def line_table(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Dat
         at = np.cumsum(n) - n
         hashed = mixed(word)
         keys = np.add.reduceat(hashed, at).view(np.int64)
-        parity = np.bitwise_xor.reduceat(np.uint64(1) << (hashed >> np.uint64(58)), at).view(np.int64)
+        bit = np.uint64(1) << (hashed >> np.uint64(58))
+        second = (hashed & np.uint64(1 << 40) != 0) & np.repeat(n > LONG, n)
+        parity, parity_2 = (np.bitwise_xor.reduceat(np.where(mine, bit, np.uint64(0)), at).view(np.int64) for mine in (~second, second))
         order = np.lexsort((numbers, docs, keys))
         later = np.zeros(len(n), dtype=bool)
         later[order[1:]] = keys[order[1:]] == keys[order[:-1]]
@@ -123,18 +127,18 @@ def line_table(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Dat
         inside = np.arange(len(word)) - np.repeat(at, n) < np.repeat(np.where(later, 0, size), n)
         ends = np.concatenate(([0], np.cumsum(np.where(later, 0, size)))).astype(np.int32)
         prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(word[inside]))
-        columns = [pa.array(docs), pa.array(numbers), pa.array(keys), pa.array(n), pa.array(parity), pa.array(later), prefix]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "set_key", "n", "parity", "later", "prefix"])
+        columns = [pa.array(docs), pa.array(numbers), pa.array(keys), pa.array(n), pa.array(parity), pa.array(parity_2), pa.array(later), prefix]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "set_key", "n", "parity", "parity_2", "later", "prefix"])
 
     def run(batches):
         for batch in batches:
             for chunk in _chunks(batch):
                 yield from table(*chunk)
 
-    return texts.mapInArrow(run, "doc_id long, line long, set_key long, n long, parity long, later boolean, prefix array<long>")
+    return texts.mapInArrow(run, "doc_id long, line long, set_key long, n long, parity long, parity_2 long, later boolean, prefix array<long>")
 
 
-_ROW = ["word", "set_key", "n", "pos", "parity", "doc_id", "line"]
+_ROW = ["word", "set_key", "n", "pos", "parity", "parity_2", "doc_id", "line"]
 
 
 def _possible(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -143,7 +147,11 @@ def _possible(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     both = n + m
     length = np.minimum(n, m) * OF >= np.maximum(n, m) * SIMILAR
     reach = np.minimum(n - x[..., 3], m - y[..., 3]) * (OF + SIMILAR) >= both * SIMILAR
-    differ = np.bitwise_count((x[..., 4] ^ y[..., 4]).view(np.uint64)).astype(np.int64) * (OF + SIMILAR) <= both * (OF - SIMILAR)
+    # sets of which only one is long are told apart by all bits together
+    a, b, c, d = (z[..., k].view(np.uint64) for z in (x, y) for k in (4, 5))
+    split = (n > LONG) == (m > LONG)
+    bits = np.where(split, np.bitwise_count(a ^ c).astype(np.int64) + np.bitwise_count(b ^ d), np.bitwise_count(a ^ b ^ c ^ d))
+    differ = bits * (OF + SIMILAR) <= both * (OF - SIMILAR)
     return length & reach & differ & (x[..., 1] != y[..., 1])
 
 
@@ -155,11 +163,11 @@ def bucket_pairs(rows: DataFrame) -> DataFrame:
     """
 
     def emit(x: np.ndarray, y: np.ndarray | None, nth: np.ndarray | None = None):
-        columns = [pa.array(x[:, k]) for k in range(7)]
+        columns = [pa.array(x[:, k]) for k in range(8)]
         if y is None:
             other = [pa.nulls(len(x), pa.int64())] * 3
         else:
-            columns[0], other = pa.nulls(len(x), pa.int64()), [pa.array(y[:, 5]), pa.array(y[:, 6]), pa.array(nth)]
+            columns[0], other = pa.nulls(len(x), pa.int64()), [pa.array(y[:, 6]), pa.array(y[:, 7]), pa.array(nth)]
         return pa.RecordBatch.from_arrays([*columns, *other], names=[*_ROW, "other_doc", "other_line", "nth"])
 
     def small(x: np.ndarray):
@@ -183,9 +191,9 @@ def bucket_pairs(rows: DataFrame) -> DataFrame:
             yield emit(x[b[part]], x[a[part]], 1 - nth[part].astype(np.int64))
 
     def settle(x: np.ndarray):
-        x = x[np.lexsort((x[:, 6], x[:, 5], x[:, 1], x[:, 0]))]
+        x = x[np.lexsort((x[:, 7], x[:, 6], x[:, 1], x[:, 0]))]
         x = x[np.concatenate(([True], (x[1:, 0] != x[:-1, 0]) | (x[1:, 1] != x[:-1, 1])))]  # a set once, where it comes first
-        x = x[np.lexsort((x[:, 6], x[:, 5], x[:, 0]))]
+        x = x[np.lexsort((x[:, 7], x[:, 6], x[:, 0]))]
         _, at, size = np.unique(x[:, 0], return_index=True, return_counts=True)
         each = np.repeat(size, size)
         for i, n in zip(at[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
@@ -202,7 +210,7 @@ def bucket_pairs(rows: DataFrame) -> DataFrame:
         held, large = [], None
         waiting = 0
         for batch in batches:
-            x = np.stack([batch.column(k).to_numpy() for k in range(7)], axis=1)
+            x = np.stack([batch.column(k).to_numpy() for k in range(8)], axis=1)
             if large is not None:  # more of a bucket that is known to be large
                 more = x[:, 0] == large
                 if more.any():
@@ -235,7 +243,10 @@ def _reaches(x: str, y: str) -> F.Column:
     """The same bounds for structs x and y with n, pos and parity."""
     n, m, i, j = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.pos"), F.col(f"{y}.pos")
     length = F.least(n, m) * OF >= F.greatest(n, m) * SIMILAR
-    differ = F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity"))) * (OF + SIMILAR) <= (n + m) * (OF - SIMILAR)
+    first = F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity"))
+    second = F.col(f"{x}.parity_2").bitwiseXOR(F.col(f"{y}.parity_2"))
+    bits = F.when((n > LONG) == (m > LONG), F.bit_count(first) + F.bit_count(second)).otherwise(F.bit_count(first.bitwiseXOR(second)))
+    differ = bits * (OF + SIMILAR) <= (n + m) * (OF - SIMILAR)
     return length & (F.least(n - i, m - j) * (OF + SIMILAR) >= (n + m) * SIMILAR) & differ
 
 
@@ -283,23 +294,25 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     firsts = written(table.filter("NOT later").groupBy("set_key").agg(F.min(place).alias("first")))
     again = table.filter("NOT later").join(firsts, "set_key").filter(place != F.col("first")).select("doc_id", "line")
 
-    rows = table.filter("NOT later").select("set_key", "n", "parity", "doc_id", "line", F.posexplode("prefix").alias("pos", "word"))
+    rows = table.filter("NOT later").select("set_key", "n", "parity", "parity_2", "doc_id", "line", F.posexplode("prefix").alias("pos", "word"))
     rows = rows.withColumn("pos", F.col("pos").cast("long")).select(*_ROW)
     found = written(bucket_pairs(rows.repartition("word").sortWithinPartitions("word")))
     pairs = found.filter("word IS NULL").select("nth", F.struct(F.col("other_doc").alias("doc_id"), F.col("other_line").alias("line")).alias("a"), place.alias("b"), "set_key")
 
-    large = found.filter("word IS NOT NULL").groupBy("word", "set_key").agg(F.min(F.struct("doc_id", "line", "n", "pos", "parity")).alias("x"))
+    large = found.filter("word IS NOT NULL").groupBy("word", "set_key").agg(F.min(F.struct("doc_id", "line", "n", "pos", "parity", "parity_2")).alias("x"))
     hubs = large.groupBy("word").agg(F.min(F.struct("x", "set_key")).alias("hub"))
     large = written(large.join(hubs, "word").filter(F.col("set_key") != F.col("hub.set_key")))
     spot = lambda x: F.struct(F.col(f"{x}.doc_id").alias("doc_id"), F.col(f"{x}.line").alias("line"))
     star = large.filter(_reaches("hub.x", "x")).select(spot("hub.x").alias("a"), spot("x").alias("b"), "set_key")
-    settled = _confirmed(pairs.filter("nth = 0").drop("nth").unionAll(star).distinct(), texts)
+    # one comparison for each line: with the earliest of its possible partners
+    tried = pairs.filter("nth = 0").drop("nth").unionAll(star).groupBy("set_key").agg(F.min("a").alias("a"), F.min("b").alias("b"))
+    settled = _confirmed(tried, texts)
 
     # lines that are still open: their other possible partners, in large buckets all lines before them
     y = large.join(settled, "set_key", "left_anti").select("word", F.col("x").alias("y"), "set_key")
     x = large.select("word", "x", F.col("set_key").alias("other_key"))
     before = (spot("x") < spot("y")) & (F.col("set_key") != F.col("other_key")) & _reaches("x", "y")
-    rest = pairs.filter("nth > 0").drop("nth").join(settled, "set_key", "left_anti").select("a", "b", "set_key")
+    rest = pairs.drop("nth").unionAll(star.select("a", "b", "set_key")).join(settled, "set_key", "left_anti").select("a", "b", "set_key")
     more = _confirmed(y.join(x, "word").filter(before).select(spot("x").alias("a"), spot("y").alias("b"), "set_key").unionAll(rest).distinct(), texts)
     matched = firsts.join(settled.unionAll(more).distinct(), "set_key", "left_semi").select("first.doc_id", "first.line")
     gone = table.filter("later").select("doc_id", "line").unionAll(again).unionAll(matched)
