@@ -344,3 +344,40 @@ def duplicate_veto(spark, sf):
 @query("memory_summary", "SELECT id, kind, scope_id, round(CAST(importance AS DOUBLE), 3) AS importance, round(CAST(confidence AS DOUBLE), 4) AS confidence, strftime(updated_at, '%Y-%m-%dT%H:%M:%SZ') AS updated_at, length(text) AS size FROM memories")
 def memory_summary(spark, sf):
     return fx.memories(spark, sf).select("id", "kind", "scope_id", F.round(F.col("importance").cast("double"), 3).alias("importance"), F.round(F.col("confidence").cast("double"), 4).alias("confidence"), F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("updated_at"), F.length("text").cast("bigint").alias("size"))
+
+
+@query("profile_render", f"""WITH RECURSIVE m AS (SELECT *, {TOKENS} AS cost FROM memories WHERE {LIVE} AND source_role IN ('user', 'manual', 'tool')),
+ o AS (SELECT scope_id, 0 AS b, row_number() OVER (PARTITION BY scope_id ORDER BY {_DURABLE}) AS nth, id, cost FROM m WHERE kind = 'fact' OR is_static
+ UNION ALL SELECT scope_id, 1, row_number() OVER (PARTITION BY scope_id ORDER BY {_DURABLE}), id, cost FROM m WHERE kind = 'preference'
+ UNION ALL SELECT scope_id, 2, row_number() OVER (PARTITION BY scope_id ORDER BY greatest(document_date, updated_at) DESC, id), id, cost FROM m WHERE kind = 'episode'),
+ t AS (SELECT *, row_number() OVER (PARTITION BY scope_id ORDER BY b, nth) AS k FROM o WHERE nth <= 60),
+ f AS (SELECT DISTINCT scope_id, CAST(0 AS BIGINT) AS k, -1 AS b, CAST(0 AS BIGINT) AS spent, CAST(3000 AS BIGINT) AS lft, CAST([] AS VARCHAR[]) AS seen, false AS took, '' AS id, CAST(0 AS BIGINT) AS nth, CAST(0 AS BIGINT) AS cost FROM t
+ UNION ALL SELECT scope_id, k, b, CASE WHEN ok THEN sp + cost ELSE sp END, CASE WHEN ok THEN lft - cost ELSE lft END, CASE WHEN ok THEN list_append(seen, id) ELSE seen END, ok, id, nth, cost FROM (
+  SELECT t.scope_id, t.k, t.b, CASE WHEN f.b = t.b THEN f.spent ELSE 0 END AS sp, f.lft, f.seen, t.id, t.nth, t.cost,
+   NOT list_contains(f.seen, t.id) AND t.cost <= f.lft AND CASE WHEN f.b = t.b THEN f.spent ELSE 0 END + t.cost <= CASE t.b WHEN 0 THEN 600 WHEN 1 THEN 1050 ELSE CASE WHEN f.b = t.b THEN f.lft + f.spent ELSE f.lft END END AS ok
+  FROM f JOIN t ON t.scope_id = f.scope_id AND t.k = f.k + 1))
+ SELECT scope_id, CASE b WHEN 0 THEN 'about' WHEN 1 THEN 'style' ELSE 'recent' END AS block, nth, id, cost FROM f WHERE took""")
+def profile_render(spark, sf):
+    from gistmill.operators import profiles
+
+    m = fx.memories(spark, sf).filter(filters.live(fx.now()) & F.col("source_role").isin("user", "manual", "tool")).withColumn("cost", text.token_count(F.col("text")))
+    durable = [F.desc("is_static"), F.desc("importance"), F.desc("source_count"), F.desc("updated_at"), "id"]
+    recent = [F.desc(F.greatest("document_date", "updated_at")), "id"]
+    block = lambda name, rows, order: rows.select("scope_id", F.lit(name).alias("block"), F.row_number().over(Window.partitionBy("scope_id").orderBy(*order)).alias("nth"), "id", "cost")
+    offered = block("about", m.filter("kind = 'fact' OR is_static"), durable).unionAll(block("style", m.filter("kind = 'preference'"), durable)).unionAll(block("recent", m.filter("kind = 'episode'"), recent))
+    return profiles.rendered(offered, 3000, ["about", "style", "recent"], "scope_id")
+
+
+@query("round_robin", "SELECT session_id, id, place FROM (SELECT session_id, id, row_number() OVER (ORDER BY nth, session_id) AS place FROM (SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY length(content) DESC, id) AS nth FROM messages WHERE role = 'user') WHERE nth <= 8) WHERE place <= 60")
+def round_robin(spark, sf):
+    nth = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc(F.length("content")), "id"))
+    top = fx.messages(spark, sf).filter("role = 'user'").withColumn("nth", nth).filter("nth <= 8").orderBy("nth", "session_id").limit(60)
+    return top.select("session_id", "id", F.row_number().over(Window.orderBy("nth", "session_id")).alias("place"))
+
+
+@query("cluster_subsets", "WITH c AS (SELECT conv_id AS no, list_distinct(list(length(text) % 7)) AS members FROM conversations GROUP BY conv_id) SELECT no FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.no < a.no AND list_has_all(b.members, a.members))")
+def cluster_subsets(spark, sf):
+    from gistmill.operators import profiles
+
+    c = fx.table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("no")).agg(F.collect_set(F.length("text") % 7).alias("members"))
+    return profiles.without_subsets(c).select("no")
