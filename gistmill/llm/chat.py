@@ -95,7 +95,9 @@ def canonical_turns(records: DataFrame, record: Column | str, *keep: Column | st
     """
     record = F.col(record) if isinstance(record, str) else record
     kind = records.select(record.alias("x")).dtypes[0][1]
-    rows = records.select(*keep, (F.try_parse_json(record) if kind == "string" else record).alias("__record")).withColumn("__print", fingerprint(F.col("__record")))
+    rows = records.select(*keep, (F.try_parse_json(record) if kind == "string" else record).alias("__record"))
+    # a generator, so that the optimizer leaves the fingerprint to be computed once for each record
+    rows = rows.select("*", F.explode(F.array(fingerprint(F.col("__record")))).alias("__print"))
     layout, turns = F.lit(None).cast("string"), F.array().cast("array<struct<role:string,text:string>>")
     for name, x in LAYOUTS.items():
         same = F.col("__print") == _layout_fingerprint(name)
