@@ -138,46 +138,45 @@ def line_table(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Dat
     return texts.mapInArrow(run, "doc_id long, line long, set_key long, n long, parity long, parity_2 long, later boolean, prefix array<long>")
 
 
-_ROW = ["word", "set_key", "n", "pos", "parity", "parity_2", "doc_id", "line"]
+_ROW = ["word", "n", "pos", "parity", "parity_2", "doc_id", "line"]
 
 
-def _possible(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether rows that share a word may match, by their lengths, its positions, and the bits that tell words apart."""
-    n, m = x[..., 2], y[..., 2]
+def _possible(x: list[np.ndarray], i, j) -> np.ndarray:
+    """Whether rows i and j, which share a word, may match: by lengths, its positions, and the bits that tell words apart."""
+    n, m = x[1][i], x[1][j]
     both = n + m
-    length = np.minimum(n, m) * OF >= np.maximum(n, m) * SIMILAR
-    reach = np.minimum(n - x[..., 3], m - y[..., 3]) * (OF + SIMILAR) >= both * SIMILAR
+    first, second = x[3][i] ^ x[3][j], x[4][i] ^ x[4][j]
     # sets of which only one is long are told apart by all bits together
-    a, b, c, d = (z[..., k].view(np.uint64) for z in (x, y) for k in (4, 5))
     split = (n > LONG) == (m > LONG)
-    bits = np.where(split, np.bitwise_count(a ^ c).astype(np.int64) + np.bitwise_count(b ^ d), np.bitwise_count(a ^ b ^ c ^ d))
+    bits = np.where(split, np.bitwise_count(first.view(np.uint64)).astype(np.int64) + np.bitwise_count(second.view(np.uint64)), np.bitwise_count((first ^ second).view(np.uint64)))
     differ = bits * (OF + SIMILAR) <= both * (OF - SIMILAR)
-    return length & reach & differ & (x[..., 1] != y[..., 1])
+    length = np.minimum(n, m) * OF >= np.maximum(n, m) * SIMILAR
+    return differ & length & (np.minimum(n - x[2][i], m - x[2][j]) * (OF + SIMILAR) >= both * SIMILAR)
 
 
 def bucket_pairs(rows: DataFrame) -> DataFrame:
-    """Of rows that come by word: possible pairs of lines, and rows of buckets that may hold many.
+    """Of rows that come by word, doc_id and line: possible pairs of lines, and rows of buckets that may hold many.
 
     A pair has the later line's row, ``word`` null, and the earlier line as other_doc and other_line; ``nth`` is 0 for the
     earliest possible partner in a bucket.  A row of a large bucket stays as it is, if it has a possible partner there.
     """
 
-    def emit(x: np.ndarray, y: np.ndarray | None, nth: np.ndarray | None = None):
-        columns = [pa.array(x[:, k]) for k in range(8)]
-        if y is None:
-            other = [pa.nulls(len(x), pa.int64())] * 3
+    def emit(x: list[np.ndarray], at, other=None, nth=None):
+        columns = [pa.array(c[at]) for c in x]
+        if other is None:
+            more = [pa.nulls(len(columns[0]), pa.int64())] * 3
         else:
-            columns[0], other = pa.nulls(len(x), pa.int64()), [pa.array(y[:, 6]), pa.array(y[:, 7]), pa.array(nth)]
-        return pa.RecordBatch.from_arrays([*columns, *other], names=[*_ROW, "other_doc", "other_line", "nth"])
+            columns[0], more = pa.nulls(len(at), pa.int64()), [pa.array(x[5][other]), pa.array(x[6][other]), pa.array(nth)]
+        return pa.RecordBatch.from_arrays([*columns, *more], names=[*_ROW, "other_doc", "other_line", "nth"])
 
-    def small(x: np.ndarray):
-        """Pairs within buckets of at most SMALL rows, which come by word and age."""
+    def small(x: list[np.ndarray]):
+        """Pairs within buckets of at most SMALL rows."""
         later, earlier = [], []
-        for gap in range(1, min(SMALL, len(x))):
-            same = np.flatnonzero(x[gap:, 0] == x[:-gap, 0])
+        for gap in range(1, min(SMALL, len(x[0]))):
+            same = np.flatnonzero(x[0][gap:] == x[0][:-gap])
             if not len(same):
                 break
-            same = same[_possible(x[same], x[same + gap])]
+            same = same[_possible(x, same, same + gap)]
             earlier.append(same)
             later.append(same + gap)
         if not later:
@@ -185,56 +184,57 @@ def bucket_pairs(rows: DataFrame) -> DataFrame:
         a, b = np.concatenate(earlier), np.concatenate(later)
         order = np.lexsort((a, b))
         a, b = a[order], b[order]
-        nth = np.concatenate(([True], b[1:] != b[:-1])) if len(b) else np.array([], dtype=bool)
+        nth = np.concatenate(([0], (b[1:] == b[:-1]).astype(np.int64))) if len(b) else b
         for i in range(0, len(a), 1 << 16):
             part = slice(i, i + (1 << 16))
-            yield emit(x[b[part]], x[a[part]], 1 - nth[part].astype(np.int64))
+            yield emit(x, b[part], a[part], nth[part])
 
-    def settle(x: np.ndarray):
-        x = x[np.lexsort((x[:, 7], x[:, 6], x[:, 1], x[:, 0]))]
-        x = x[np.concatenate(([True], (x[1:, 0] != x[:-1, 0]) | (x[1:, 1] != x[:-1, 1])))]  # a set once, where it comes first
-        x = x[np.lexsort((x[:, 7], x[:, 6], x[:, 0]))]
-        _, at, size = np.unique(x[:, 0], return_index=True, return_counts=True)
-        each = np.repeat(size, size)
+    def settle(x: list[np.ndarray]):
+        at = np.flatnonzero(np.concatenate(([True], x[0][1:] != x[0][:-1])))
+        size = np.diff(np.concatenate((at, [len(x[0])])))
         for i, n in zip(at[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-            mine = x[i : i + n]
+            mine = np.arange(i, i + n)
             if n <= MEDIUM:
-                mine = mine[_possible(mine[:, None, :], mine[None, :, :]).any(axis=1)]
+                some = _possible(x, mine[:, None], mine[None, :])
+                np.fill_diagonal(some, False)
+                mine = mine[some.any(axis=1)]
             if len(mine):
-                yield emit(mine, None)
-        x = x[(each > 1) & (each <= SMALL)]
-        if len(x):
-            yield from small(x)
+                yield emit(x, mine)
+        each = np.repeat(size, size)
+        keep = (each > 1) & (each <= SMALL)
+        if keep.any():
+            yield from small([c[keep] for c in x])
 
     def run(batches):
         held, large = [], None
         waiting = 0
         for batch in batches:
-            x = np.stack([batch.column(k).to_numpy() for k in range(8)], axis=1)
+            x = [batch.column(k).to_numpy() for k in range(len(_ROW))]
             if large is not None:  # more of a bucket that is known to be large
-                more = x[:, 0] == large
+                more = x[0] == large
                 if more.any():
-                    yield emit(x[more], None)
-                    x = x[~more]
-                if len(x):
+                    yield emit(x, more)
+                    x = [c[~more] for c in x]
+                if len(x[0]):
                     large = None
-            if not len(x):
+            if not len(x[0]):
                 continue
             held.append(x)
-            waiting += len(x)
-            if waiting < 1 << 17:
+            waiting += len(x[0])
+            if waiting < 1 << 16:
                 continue
-            x = np.concatenate(held)
-            last = x[:, 0] == x[-1, 0]
+            x = [np.concatenate(c) for c in zip(*held, strict=True)]
+            last = x[0] == x[0][-1]
             if not last.all():
-                yield from settle(x[~last])
-            held, waiting = [x[last]], int(last.sum())
-            if waiting > MEDIUM and len(np.unique(held[0][:, 1])) > MEDIUM:
-                large = int(held[0][0, 0])
-                yield emit(held[0], None)
+                yield from settle([c[~last] for c in x])
+            x = [c[last] for c in x]
+            held, waiting = [x], len(x[0])
+            if waiting > MEDIUM:
+                large = int(x[0][0])
+                yield emit(x, slice(None))
                 held, waiting = [], 0
         if waiting:
-            yield from settle(np.concatenate(held))
+            yield from settle([np.concatenate(c) for c in zip(*held, strict=True)])
 
     return rows.select(*_ROW).mapInArrow(run, ", ".join(f"{x} long" for x in [*_ROW, "other_doc", "other_line", "nth"]))
 
@@ -261,26 +261,26 @@ def _lines_of(wanted: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _matching(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """set_key of the later lines of pairs (a, b: places; set_key: that of b) that match."""
+    """doc_id, line of the later lines of pairs (a, b) that match."""
 
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
                 keep = []
-                for x, y in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                     one, other = (set((z or "").encode().lower().split()) for z in (x, y))
                     both = len(one & other)
                     keep.append(OF * both >= SIMILAR * (len(one) + len(other) - both))
-                yield pa.RecordBatch.from_arrays([part.column(0)], names=["set_key"]).filter(pa.array(keep, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["doc_id", "line"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda x: lines.select(F.col("at").alias(x), F.col("words").alias(f"words_{x}"))
-    full = pairs.join(side("b"), "b").join(side("a"), "a").select("set_key", "words_a", "words_b")
-    return full.mapInArrow(run, "set_key long").distinct()
+    full = pairs.join(side("b"), "b").join(side("a"), "a").select("b.doc_id", "b.line", "words_a", "words_b")
+    return full.mapInArrow(run, "doc_id long, line long").distinct()
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """set_key of the later lines of distinct pairs (a, b, set_key) that match."""
+    """doc_id, line of the later lines of distinct pairs (a, b) that match."""
     pairs = written(pairs)
     ends = pairs.select("a.doc_id", "a.line").unionAll(pairs.select("b.doc_id", "b.line"))
     return written(_matching(pairs, written(_lines_of(ends, texts))))
@@ -292,30 +292,31 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     table = written(line_table(texts, frequent_words(texts)))
     place = F.struct("doc_id", "line")
     firsts = written(table.filter("NOT later").groupBy("set_key").agg(F.min(place).alias("first")))
-    again = table.filter("NOT later").join(firsts, "set_key").filter(place != F.col("first")).select("doc_id", "line")
-
-    rows = table.filter("NOT later").select("set_key", "n", "parity", "parity_2", "doc_id", "line", F.posexplode("prefix").alias("pos", "word"))
-    rows = rows.withColumn("pos", F.col("pos").cast("long")).select(*_ROW)
-    found = written(bucket_pairs(rows.repartition("word").sortWithinPartitions("word")))
-    pairs = found.filter("word IS NULL").select("nth", F.struct(F.col("other_doc").alias("doc_id"), F.col("other_line").alias("line")).alias("a"), place.alias("b"), "set_key")
-
-    large = found.filter("word IS NOT NULL").groupBy("word", "set_key").agg(F.min(F.struct("doc_id", "line", "n", "pos", "parity", "parity_2")).alias("x"))
-    hubs = large.groupBy("word").agg(F.min(F.struct("x", "set_key")).alias("hub"))
-    large = written(large.join(hubs, "word").filter(F.col("set_key") != F.col("hub.set_key")))
+    again = table.filter("NOT later").select("set_key", "doc_id", "line").join(firsts, "set_key").filter(place != F.col("first")).select("doc_id", "line")
+
+    # each set once, where it comes first
+    heads = table.filter("NOT later").join(firsts.select("first.doc_id", "first.line"), ["doc_id", "line"], "left_semi")
+    rows = heads.select("n", "parity", "parity_2", "doc_id", "line", F.posexplode("prefix").alias("pos", "word"))
+    rows = rows.withColumn("pos", F.col("pos").cast("long")).select(*_ROW).repartition("word").sortWithinPartitions("word", "doc_id", "line")
+    found = written(bucket_pairs(rows))
+    pairs = found.filter("word IS NULL").select("nth", F.struct(F.col("other_doc").alias("doc_id"), F.col("other_line").alias("line")).alias("a"), place.alias("b"))
+
+    large = found.filter("word IS NOT NULL").select("word", F.struct("doc_id", "line", "n", "pos", "parity", "parity_2").alias("x"))
+    hubs = large.groupBy("word").agg(F.min("x").alias("hub"))
+    large = written(large.join(hubs, "word").filter("x != hub"))
     spot = lambda x: F.struct(F.col(f"{x}.doc_id").alias("doc_id"), F.col(f"{x}.line").alias("line"))
-    star = large.filter(_reaches("hub.x", "x")).select(spot("hub.x").alias("a"), spot("x").alias("b"), "set_key")
+    star = large.filter(_reaches("hub", "x")).select(spot("hub").alias("a"), spot("x").alias("b"))
     # one comparison for each line: with the earliest of its possible partners
-    tried = pairs.filter("nth = 0").drop("nth").unionAll(star).groupBy("set_key").agg(F.min("a").alias("a"), F.min("b").alias("b"))
-    settled = _confirmed(tried, texts)
+    settled = _confirmed(pairs.filter("nth = 0").drop("nth").unionAll(star).groupBy("b").agg(F.min("a").alias("a")), texts)
 
     # lines that are still open: their other possible partners, in large buckets all lines before them
-    y = large.join(settled, "set_key", "left_anti").select("word", F.col("x").alias("y"), "set_key")
-    x = large.select("word", "x", F.col("set_key").alias("other_key"))
-    before = (spot("x") < spot("y")) & (F.col("set_key") != F.col("other_key")) & _reaches("x", "y")
-    rest = pairs.drop("nth").unionAll(star.select("a", "b", "set_key")).join(settled, "set_key", "left_anti").select("a", "b", "set_key")
-    more = _confirmed(y.join(x, "word").filter(before).select(spot("x").alias("a"), spot("y").alias("b"), "set_key").unionAll(rest).distinct(), texts)
-    matched = firsts.join(settled.unionAll(more).distinct(), "set_key", "left_semi").select("first.doc_id", "first.line")
-    gone = table.filter("later").select("doc_id", "line").unionAll(again).unionAll(matched)
+    done = settled.select(place.alias("b"))
+    y = large.select("word", spot("x").alias("b"), F.col("x").alias("y")).join(done, "b", "left_anti")
+    before = (spot("x") < F.col("b")) & _reaches("x", "y")
+    among = y.join(large.select("word", "x"), "word").filter(before).select(spot("x").alias("a"), "b")
+    rest = pairs.select("a", "b").unionAll(star).join(done, "b", "left_anti").select("a", "b")
+    more = _confirmed(among.unionAll(rest).distinct(), texts)
+    gone = table.filter("later").select("doc_id", "line").unionAll(again).unionAll(settled).unionAll(more)
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
 
