@@ -87,6 +87,27 @@ def frequent_words(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return words[order], (len(top) - np.arange(len(top)))[order].astype(np.uint64)
 
 
+class Ranks:
+    """Ranks of the frequent words: those that share leading bits lie side by side, and are few."""
+
+    def __init__(self, words: np.ndarray, rank_of: np.ndarray, bits: int = 20):
+        self.words, self.rank_of, self.down = np.append(words, _HASH), np.append(rank_of, np.uint64(0)), _BITS - np.uint64(bits)
+        self.first = np.searchsorted(words, np.arange((1 << bits) + 1, dtype=np.uint64) << self.down).astype(np.int32)
+
+    def __getitem__(self, word: np.ndarray) -> np.ndarray:
+        """The rank of each word; 0 for others."""
+        slot = (word >> self.down).astype(np.int64)
+        place = self.first[slot]
+        found = np.where(self.words[place] == word, self.rank_of[place], np.uint64(0))
+        left = np.flatnonzero((found == 0) & (place + 1 < self.first[slot + 1]))
+        while len(left):
+            place[left] += 1
+            at = place[left]
+            found[left] = np.where(self.words[at] == word[left], self.rank_of[at], np.uint64(0))
+            left = left[(found[left] == 0) & (at + 1 < self.first[slot[left] + 1])]
+        return found
+
+
 def line_table(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, line, set_key, n, parity, parity_2, later, prefix: all lines with enough words.
 
@@ -96,8 +117,7 @@ def line_table(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Dat
     """
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
 
-    def table(raw: bytes, docs: np.ndarray, numbers: np.ndarray):
-        known, rank_of = shared.value
+    def table(ranks: Ranks, raw: bytes, docs: np.ndarray, numbers: np.ndarray):
         word, line = hashed_words(raw)
         packed = np.sort((line.astype(np.uint64) << _BITS) | (word >> _SHIFT))
         packed = packed[np.concatenate(([True], packed[1:] != packed[:-1]))] if len(packed) else packed
@@ -118,9 +138,7 @@ def line_table(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Dat
         order = np.lexsort((numbers, docs, keys))
         later = np.zeros(len(n), dtype=bool)
         later[order[1:]] = keys[order[1:]] == keys[order[:-1]]
-        place = np.searchsorted(known, word)
-        place[place == len(known)] = 0
-        rank = np.where(known[place] == word, rank_of[place], 0) if len(known) else np.zeros(len(word), dtype=np.uint64)
+        rank = ranks[word]
         # by line, rank and hash: words come in by hash, so the leading bits suffice for a stable sort
         word = word[np.argsort((line.astype(np.uint64) << np.uint64(40)) | (rank << np.uint64(20)) | (word >> np.uint64(24)), kind="stable")].view(np.int64)
         size = n - (n * SIMILAR + OF - 1) // OF + 1
@@ -131,9 +149,10 @@ def line_table(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Dat
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "set_key", "n", "parity", "parity_2", "later", "prefix"])
 
     def run(batches):
+        ranks = Ranks(*shared.value)
         for batch in batches:
             for chunk in _chunks(batch):
-                yield from table(*chunk)
+                yield from table(ranks, *chunk)
 
     return texts.mapInArrow(run, "doc_id long, line long, set_key long, n long, parity long, parity_2 long, later boolean, prefix array<long>")
 

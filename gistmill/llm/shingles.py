@@ -48,8 +48,9 @@ def shingle_set(text: str | None, memory: WordHashes) -> np.ndarray:
 
 
 _BYTE_STEP = 0x9E3779B97F4A7C15
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+#: What a byte adds to a sum: its value plus one, with A-Z lower-cased.
+_VALUES = np.arange(1, 257, dtype=np.uint64)
+_VALUES[65:91] += np.uint64(32)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -71,10 +72,15 @@ def hashed_words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     Without a step for each word: a word's hash is the difference of two prefix sums of a polynomial in its bytes.
     """
     raw = np.frombuffer(text, dtype=np.uint8)
-    space = np.concatenate(([True], _SPACE[raw], [True]))
+    space = np.ones(len(raw) + 2, dtype=bool)
+    np.take(_SPACE, raw, out=space[1:-1], mode="clip")
     turns = np.flatnonzero(space[1:] != space[:-1])
     starts, ends = turns[::2], turns[1::2]
     up, down = _powers(len(raw))
-    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * up[: len(raw)])))
-    feeds = np.flatnonzero(raw == 10)
-    return mixed((sums[ends] - sums[starts]) * down[starts]), np.searchsorted(feeds, starts)
+    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+    values = _VALUES[raw]
+    values *= up[: len(raw)]
+    np.cumsum(values, out=sums[1:])
+    # the words before each line feed, which are fewer searches than the feeds before each word
+    before = np.concatenate(([0], np.searchsorted(starts, np.flatnonzero(raw == 10)), [len(starts)]))
+    return mixed((sums[ends] - sums[starts]) * down[starts]), np.repeat(np.arange(len(before) - 1), np.diff(before))

@@ -210,6 +210,16 @@ def test_word_hashes_follow_words():
     assert hashed_words(b"")[0].tolist() == [] and hashed_words(b"zz ab")[0][1] == words[0]
 
 
+def test_ranks_of_words_that_share_leading_bits():
+    rng = np.random.default_rng(3)
+    words = np.unique(np.concatenate((rng.integers(0, 1 << 44, 900), rng.integers(0, 1 << 20, 300), [0, (1 << 44) - 1])).astype(np.uint64))
+    rank_of = rng.permutation(len(words)).astype(np.uint64) + np.uint64(1)
+    asked = np.concatenate((words, words + np.uint64(1), words[:0])) & lines._HASH
+    known = dict(zip(words.tolist(), rank_of.tolist(), strict=True))
+    assert lines.Ranks(words, rank_of, 8)[asked].tolist() == [known.get(w, 0) for w in asked.tolist()]
+    assert lines.Ranks(words[:0], rank_of[:0])[asked].tolist() == [0] * len(asked)
+
+
 # --- 6: exact copies
 
 
