@@ -16,10 +16,13 @@ a prefix word is first held against its earliest line, which settles families of
 near copies with one comparison each; only lines that this leaves open are compared
 with the others before them.  Small buckets give their possible pairs at once.
 
+Sets of fewer than ``LEAST_JOINED`` words match only equal sets: they have no prefix, and the groups of
+equal sets settle them.
+
 Sets are told apart by the sum of 64-bit hashes of their words, of which 44 bits are used.
 
 Defined results: lines are parts between line feeds; words are runs without ASCII white
-space, A-Z lower-cased; lines with fewer than ``LEAST_WORDS`` distinct words stay; order is
+space, A-Z lower-cased; every line with a word takes part, lines without words stay; order is
 by doc_id, then line number; null texts have no lines; an empty text has one
 empty line; doc_id names a document; rows without doc_id keep their lines; an empty table gives no
 rows; further columns play no part.
@@ -36,7 +39,10 @@ from gistmill.lineage import written
 from gistmill.llm.shingles import hashed_words, mixed
 
 SIMILAR, OF = 80, 100
-LEAST_WORDS = 4
+#: Lines with a word take part.
+LEAST_WORDS = 1
+#: The fewest words of a set that a larger one can match: n of n + 1 words reach the similarity.
+LEAST_JOINED = -(-SIMILAR // (OF - SIMILAR))
 FREQUENT = 100_000
 #: A batch of documents names its words that occur so often in it.
 OFTEN = 8
@@ -109,9 +115,10 @@ class Ranks:
 
 
 def line_table(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, line, set_key, n, parity, parity_2, later, prefix: all lines with enough words.
+    """doc_id, line, set_key, n, parity, parity_2, later, prefix: all lines with words.
 
-    ``later`` marks lines whose set an earlier line of the same chunk has; the others carry their prefix.
+    ``later`` marks lines whose set an earlier line of the same chunk has; the others carry their prefix, which is empty for
+    sets that match only equal ones.
     ``parity`` and ``parity_2`` have 64 bits each, telling whether an odd number of the set's words hash to a bit: two sets
     differ in at least as many words as their bits differ.  Sets of at most LONG words leave the second at 0.
     """
@@ -141,9 +148,9 @@ def line_table(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Dat
         rank = ranks[word]
         # by line, rank and hash: words come in by hash, so the leading bits suffice for a stable sort
         word = word[np.argsort((line.astype(np.uint64) << np.uint64(40)) | (rank << np.uint64(20)) | (word >> np.uint64(24)), kind="stable")].view(np.int64)
-        size = n - (n * SIMILAR + OF - 1) // OF + 1
-        inside = np.arange(len(word)) - np.repeat(at, n) < np.repeat(np.where(later, 0, size), n)
-        ends = np.concatenate(([0], np.cumsum(np.where(later, 0, size)))).astype(np.int32)
+        size = np.where(later | (n < LEAST_JOINED), 0, n - (n * SIMILAR + OF - 1) // OF + 1)
+        inside = np.arange(len(word)) - np.repeat(at, n) < np.repeat(size, n)
+        ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
         prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(word[inside]))
         columns = [pa.array(docs), pa.array(numbers), pa.array(keys), pa.array(n), pa.array(parity), pa.array(parity_2), pa.array(later), prefix]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "set_key", "n", "parity", "parity_2", "later", "prefix"])
@@ -313,8 +320,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     firsts = written(table.filter("NOT later").groupBy("set_key").agg(F.min(place).alias("first")))
     again = table.filter("NOT later").select("set_key", "doc_id", "line").join(firsts, "set_key").filter(place != F.col("first")).select("doc_id", "line")
 
-    # each set once, where it comes first
-    heads = table.filter("NOT later").join(firsts.select("first.doc_id", "first.line"), ["doc_id", "line"], "left_semi")
+    # each set that others may resemble once, where it comes first
+    heads = table.filter(f"NOT later AND n >= {LEAST_JOINED}").join(firsts.select("first.doc_id", "first.line"), ["doc_id", "line"], "left_semi")
     rows = heads.select("n", "parity", "parity_2", "doc_id", "line", F.posexplode("prefix").alias("pos", "word"))
     rows = rows.withColumn("pos", F.col("pos").cast("long")).select(*_ROW).repartition("word").sortWithinPartitions("word", "doc_id", "line")
     found = written(bucket_pairs(rows))

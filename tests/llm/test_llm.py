@@ -202,6 +202,21 @@ def test_line_dedup(spark, docs, small, medium, monkeypatch):
     assert lines.line_dedup(empty(spark)).count() == 0
 
 
+def test_short_lines_match_equal_ones(spark):
+    repeated = ["Read more", "Share", "All rights reserved", "buy now " * 40, "a b c d", "a b c d e"]
+    other = ["read", "All rights", "rights reserved all THE", "buy now x", "", "  "]
+    rows = [(i, "\n".join([*repeated, *other[i : i + 1], f"own{i}", "", "more READ"])) for i in range(6)]
+    got = {r.doc_id: r.removed for r in lines.line_dedup(frame(spark, rows)).collect()}
+    want, before = {}, []
+    for i, t in rows:
+        want[i] = []
+        for k, s in enumerate(set(x.encode().lower().split()) for x in t.split("\n")):
+            if s and any(100 * len(s & o) >= 80 * len(s | o) for o in before):
+                want[i].append(k)
+            before.append(s)
+    assert got == want and want[0] == [5, 9] and all(want[i][:6] == [0, 1, 2, 3, 4, 5] for i in range(1, 6))
+
+
 def test_word_hashes_follow_words():
     text = "Ab  c\tab\n\n Ä c\r\nC".encode()
     words, at = hashed_words(text)
