@@ -33,9 +33,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of near copies."""
-    kept = minhash.near_dedup(docs).filter("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    """One document, that with the smallest doc_id, of each group of near copies; rows without doc_id stay."""
+    gone = minhash.near_dedup(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).filter("NOT kept").select("doc_id")
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
 
 
 def drop_repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,8 +21,8 @@ dealt into buckets, and one bucket after another is sorted.
 
 Defined results: null text counts as empty; texts under 100 bytes lose nothing; matches
 never cross documents; strings are judged on the input; doc_id names a document, so
-rows that repeat one are judged as the same document; ids that are null are judged as one more
-document before all others; an empty table gives no rows; further columns play no part.
+rows that repeat one are judged as the same document; a row without doc_id is judged on its own text alone, and
+other rows are not held against it; an empty table gives no rows; further columns play no part.
 """
 
 from __future__ import annotations
@@ -293,15 +293,28 @@ def without(raw: bytes, spans: list | None) -> tuple[bytes, int]:
     return b"".join([*kept, raw[at:]]), count
 
 
-_NO_ID = -(1 << 63)
+def own_spans(raw: bytes) -> list[dict]:
+    """Spans of windows that equal an earlier one of the same text."""
+    if len(raw) < LENGTH:
+        return []
+    anchors, starts, counts, _ = runs(raw)
+    _, group, often = np.unique(anchors, return_inverse=True, return_counts=True)
+    again = often[group.reshape(-1)] > 1
+    n = counts[again]
+    at = np.repeat(starts[again] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    if not len(at):
+        return []
+    start = at[first_equal(np.frombuffer(raw, dtype=np.uint8), at) != np.arange(len(at))]
+    _, start, end = _spans_of(np.zeros_like(start), start, start + LENGTH)
+    return [{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist(), strict=True)]
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
 def _spans_by_document(texts: DataFrame, hot_rows: int) -> DataFrame:
-    return repeated_spans(texts, hot_rows).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return repeated_spans(texts.filter("doc_id IS NOT NULL"), hot_rows).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -311,13 +324,16 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches):
         for batch in batches:
-            pairs = zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)
-            texts = [text if text is None or not spans else without(text.encode(), spans)[0].decode(errors="ignore") for text, spans in pairs]
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            texts = []
+            for text, spans, alone in zip(*(batch.column(i).to_pylist() for i in (at, batch.num_columns - 2, batch.num_columns - 1)), strict=True):
+                spans = own_spans(text.encode()) if alone and text is not None else spans
+                texts.append(text if text is None or not spans else without(text.encode(), spans)[0].decode(errors="ignore"))
+            columns = [batch.column(i) for i in range(batch.num_columns - 2)]
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-2])
 
-    joined = docs.join(spans, F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)) == F.col("__doc"), "left").drop("__doc")
+    own = docs[id_col].cast("long")
+    joined = docs.join(spans, own == F.col("__doc"), "left").withColumn("__alone", own.isNull()).drop("__doc")
     return joined.mapInArrow(run, docs.schema)
 
 
@@ -332,9 +348,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def run(batches):
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for text, spans_of in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for doc_id, text, spans_of in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 raw = (text or "").encode()
-                left, count = without(raw, spans_of)
+                left, count = without(raw, own_spans(raw) if doc_id is None else spans_of)
                 for column, x in zip(out, (len(raw), len(raw) - len(left), count, hashlib.sha256(left).hexdigest(), left.decode(errors="ignore")), strict=True):
                     column.append(x)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -343,5 +359,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             )
 
     judged = texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
-    cut = judged.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
-    return cut.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(_NO_ID)))
+    return judged.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")

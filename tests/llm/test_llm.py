@@ -277,6 +277,18 @@ def test_substring_dedup(spark, docs, hot):
     assert cut[9000] is None and all(len(cut[i].encode()) <= got[i][0] - got[i][1] for i, t in rows if t is not None)
 
 
+def test_rows_without_id_lose_only_their_own_repeats(spark, docs):
+    own = random.Random(8).sample(range(10**6), 60)
+    alone = [" ".join(map(str, own)) * 2 + "é", " ".join(map(str, own)), "ab" * 400, docs[0][1], docs[0][1], "", None]
+    rows = [*docs, *((None, t) for t in alone)]
+    plain = lambda found: sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found)
+    got = plain(suffix.substring_dedup(frame(spark, rows)).collect())
+    want = [(i, *v) for i, v in bytes_brute(docs).items()] + [(-1, *bytes_brute([(0, t)])[0]) for t in alone]
+    assert got == sorted(want)
+    cut = Counter(r.text for r in suffix.without_repeats(frame(spark, rows)).collect() if r.doc_id is None)
+    assert cut == Counter([alone[1] + "é", alone[1], "ab", docs[0][1], docs[0][1], "", None])
+
+
 def test_difference_cover_finds_first_equal():
     rng = np.random.default_rng(1)
     text = rng.integers(97, 99, 3000).astype(np.uint8)
@@ -417,3 +429,14 @@ def test_pipeline_stages(spark):
     brute = bytes_brute(list(texts.items()))
     assert cut.columns == corpus_pipeline.COLUMNS and sum(r.n_chars for r in cut.collect()) <= sum(v[0] - v[1] for v in brute.values())
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_pipeline_keeps_rows_without_id(spark):
+    import corpus_pipeline
+
+    rows = [(1, "one two three four five six seven"), (2, "one two three four five six seven"), (None, "one two three four five six seven"), (None, "x " * 80 + "end"), (None, None), (3, "other words that stand alone here")]
+    table = spark.createDataFrame([(i, t, "en", "x", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, table, SF).collect())
+    assert got == Counter(r for r in rows if r[0] != 2)
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_lines, corpus_pipeline.drop_repeated_bytes):
+        assert stage(spark, table, SF).filter("doc_id IS NULL").count() == 3
