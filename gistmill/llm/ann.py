@@ -2,8 +2,8 @@
 
 Vectors are dealt into lists by their nearest centroid.  Centroids are fitted on at most
 ``SAMPLE`` vectors, chosen by a hash of the id; every vector is indexed.  How many lists a
-query probes is calibrated on the sample: the fewest that hold ``AIM`` of the true neighbours of sampled
-vectors.
+query probes at least is calibrated on the sample: the fewest that hold ``AIM`` of the true neighbours of sampled
+vectors.  A query whose lists hold fewer than k candidates probes further ones until they do.
 
 Vectors are rotated at random once.  Within a probed list a candidate is scanned in blocks of
 ``COLUMNS`` rotated columns.  As the partial distance over d of D columns, times D / d, estimates
@@ -49,7 +49,7 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Centroids, the rotation and the number of lists to probe."""
+    """Centroids, the rotation and the number of lists to probe at least."""
 
     def __init__(self, sample: np.ndarray, rows: int, k: int, seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -79,8 +79,16 @@ class Index:
         needed = np.sort(np.take_along_axis(rank, home, axis=1).ravel())
         return min(lists, int(needed[min(len(needed) - 1, int(np.ceil(AIM * len(needed))))]) + 1)
 
-    def probed(self, x: np.ndarray) -> np.ndarray:
-        return _squares(x, self.centroids).argsort(1)[:, : self.probes]
+    def probed(self, x: np.ndarray, sizes: np.ndarray, own: list[dict], k: int) -> list[list[int]]:
+        """Lists to probe for each query, by the lists' sizes and the number of rows in them that have the query's own id."""
+        out = []
+        for order, mine in zip(_squares(x, self.centroids).argsort(1), own, strict=True):
+            left = sizes.copy()
+            for at, n in mine.items():
+                left[at] -= n
+            enough = int(np.searchsorted(np.cumsum(left[order]), k)) + 1
+            out.append(order[: max(self.probes, enough)].tolist())
+        return out
 
 
 def scan(index: Index, ids: np.ndarray, vectors: np.ndarray, rotated: np.ndarray, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,23 +129,33 @@ def search(table: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id
         for batch in batches:
             x = np.array(batch.column(1).to_pylist(), dtype=float).reshape(batch.num_rows, -1)
             home = index.value.nearest(x)
-            asks = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            probes = np.empty(len(x), dtype=object)
-            if asks.any():
-                for i, p in zip(np.flatnonzero(asks), index.value.probed(x[asks]), strict=True):
-                    probes[i] = p.tolist()
-            columns = [pa.array(home, pa.int32()), batch.column(0), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(probes.tolist(), pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["list", "vec_id", "v", "probes"])
-
-    indexed = written(rows.mapInArrow(assign, "list int, vec_id long, v binary, probes array<int>"))
-    asked = indexed.filter("probes IS NOT NULL").select(F.explode("probes").alias("list"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+            columns = [pa.array(home, pa.int32()), batch.column(0), pa.array([v.tobytes() for v in x], pa.binary()), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(columns, names=["list", "vec_id", "v", "asks"])
+
+    indexed = written(rows.mapInArrow(assign, "list int, vec_id long, v binary, asks boolean"))
+    sizes = np.zeros(len(index.value.centroids), dtype=np.int64)
+    for r in indexed.groupBy("list").count().collect():  # a row for each list
+        sizes[r["list"]] = r["count"]
+
+    def probe(batches):
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(-1, index.value.size)
+            own = [{n["list"]: n["count"] for n in at} for at in batch.column(2).to_pylist()]
+            probes = index.value.probed(x, sizes, own, k)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(probes, pa.list_(pa.int32()))], names=["query_id", "q", "probes"])
+
+    asking = indexed.filter("asks").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    own = indexed.select("vec_id", "list").join(asking.select(F.col("query_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    own = own.groupBy("vec_id", "list").count().groupBy(F.col("vec_id").alias("query_id")).agg(F.collect_list(F.struct("list", "count")).alias("own"))
+    asked = written(asking.join(own, "query_id").select("query_id", "q", "own").mapInArrow(probe, "query_id long, q binary, probes array<int>"))
+    asked = asked.select(F.explode("probes").alias("list"), "query_id", "q")
     # a row for each list, of which there are MOST_LISTS at most
     pieces = indexed.groupBy("list").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces")).join(
         asked.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("rounds")), "list"
     )
     pieces = F.broadcast(written(pieces))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = indexed.join(pieces, "list").select("list", F.pmod(F.xxhash64("vec_id"), "pieces").cast("int").alias("piece"), every("rounds").alias("round"), "vec_id", "v")
+    left = indexed.drop("asks").join(pieces, "list").select("list", F.pmod(F.xxhash64("vec_id"), "pieces").cast("int").alias("piece"), every("rounds").alias("round"), "vec_id", "v")
     right = asked.join(pieces, "list").select("list", every("pieces").alias("piece"), F.pmod(F.xxhash64("query_id"), "rounds").cast("int").alias("round"), "query_id", "q")
 
     def nearest(candidates: pa.Table, wanted: pa.Table) -> pa.Table:

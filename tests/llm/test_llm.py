@@ -139,6 +139,15 @@ def test_search_is_near_brute_force(spark):
     assert [i for i, _ in got[100]] == list(range(101, 111))
 
 
+def test_outliers_beside_a_hot_cluster_get_all_rows(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate((np.ones((2500, 8)) + rng.normal(size=(2500, 8)) * 1e-3, rng.normal(size=(60, 8)) * 1000))
+    rows = [(i, [float(v) for v in x[i]]) for i in range(len(x))] + [(2555, [float(v) for v in x[2555]])] * 12
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") >= 2490)
+    got = {r.query_id: r for r in found.groupBy("query_id").agg(F.count("*").alias("n"), F.max((F.col("query_id") == F.col("vec_id")).cast("int")).alias("own")).collect()}
+    assert {i: r.n for i, r in got.items()} == {i: 10 for i in range(2490, 2560)} and not any(r.own for r in got.values())
+
+
 def test_search_of_small_tables(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")
     assert [(r["rank"], r.vec_id) for r in ann.search(few, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 2), (2, 1)]
