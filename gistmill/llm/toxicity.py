@@ -16,8 +16,9 @@ the whole text (with ``PRIOR_LENGTH`` neutral expressions added) and over the wi
 ``WINDOW`` expressions where the toxic model gains most.  A logistic function of
 the two, fitted on labelled rows that trained no counts, is the score.
 
-Bounds: counts come from ``SAMPLE`` labelled documents of each class at most, chosen by a hash of
-doc_id; the model that goes to the workers has ``NODES`` entries at most.
+Counts come from all labelled documents that are neither held out nor kept for the logistic function; only that function
+is fitted on ``SAMPLE`` documents of each class at most, chosen by a hash of doc_id.  A model of at most ``NODES`` nodes goes
+to the workers; a larger one stays a table, which the documents' expressions are joined to.
 
 Defined results: null and empty texts get the score of a text without expressions;
 rows whose label is null or neither 0 nor 1 train nothing; doc_ids labelled both ways train nothing;
@@ -41,6 +42,8 @@ from gistmill.lineage import written
 FOLDS = 5
 SAMPLE = 12_000
 NODES = 60_000
+#: Labels that are broadcast at most; beyond that they are joined by a shuffle.
+BROADCAST_LABELS = 1_000_000
 LEVELS = (6, 5, 4)
 MARGIN = 3.0
 WINDOW, PRIOR_LENGTH = 32, 20
@@ -67,8 +70,8 @@ def chain(word: str) -> list[str]:
 class Model:
     """What scoring needs: counts of nodes at or below a node with a toxic excess, and a few numbers for each level."""
 
-    def __init__(self, levels: list[dict], weights: list[float] | None = None):
-        self.levels, self.weights = levels, weights
+    def __init__(self, levels: list[dict], weights: list[float] | None = None, nodes: list[DataFrame] | None = None):
+        self.levels, self.weights, self.nodes = levels, weights, nodes
         self.plain = max(LEAST, math.log(levels[0]["gamma"])) if levels else 0.0
 
     def log_ratio(self, word: str) -> float:
@@ -88,7 +91,10 @@ class Model:
         return min(MOST, max(LEAST, math.log(toxic / ordinary)))
 
     def features(self, text: str | None, memory: dict) -> tuple[float, float]:
-        x = np.fromiter(map(memory.__getitem__, (text or "").encode().split()), dtype=float)
+        return self.summed(np.fromiter(map(memory.__getitem__, (text or "").encode().split()), dtype=float))
+
+    def summed(self, x: np.ndarray) -> tuple[float, float]:
+        """The features of a text with these log-ratios."""
         if not len(x):
             return 0.0, 0.0
         sums = np.concatenate(([0.0], np.cumsum(x)))
@@ -118,6 +124,8 @@ class _Memory(dict):
 
 def _features(docs: DataFrame, model: Model, extra: str) -> DataFrame:
     """doc_id, the two features, and the column named ``extra``."""
+    if model.nodes:
+        return _joined_features(docs.select("doc_id", "text", extra), model, "text").select("doc_id", "best", "whole", extra)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -129,6 +137,59 @@ def _features(docs: DataFrame, model: Model, extra: str) -> DataFrame:
     return docs.select("doc_id", "text", extra).mapInArrow(run, f"doc_id long, best double, whole double, {extra} int")
 
 
+def _joined_features(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
+    """The rows of ``docs`` with best and whole, where the model's nodes are tables: by joins with the documents' expressions."""
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()))
+    slim = Model(model.levels, model.weights)
+
+    def expressions(batches):
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                places: dict[str, list[int]] = {}
+                for k, x in enumerate((text or "").encode().split()):
+                    places.setdefault(expression(x), []).append(k)
+                for column, x in zip(out, ([row] * len(places), places.keys(), places.values()), strict=True):
+                    column.extend(x)
+            types = [pa.int64(), pa.string(), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["__row", "word", "places"])
+
+    found = written(rows.select("__row", text_col).mapInArrow(expressions, "__row long, word string, places array<int>"))
+    words = found.select("word").distinct()
+    for k, nodes in enumerate(model.nodes):
+        whole = F.concat("word", F.lit("$"))
+        key = F.substring(whole, 1, LEVELS[k - 1]) if k else whole
+        words = words.withColumn("node", key).join(nodes.select("node", F.struct("ordinary", "children", "excess").alias(f"at{k}")), "node", "left").drop("node")
+
+    def ratios(batches):
+        for batch in batches:
+            out = []
+            for word, *at in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
+                own = [
+                    numbers | {name: {node: x[name]} if x and x[name] else {} for name in ("ordinary", "children", "excess")}
+                    for numbers, node, x in zip(slim.levels, chain(word), at, strict=True)
+                ]
+                out.append(Model(own).log_ratio(word) if word else 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["word", "ratio"])
+
+    ratio = words.mapInArrow(ratios, "word string, ratio double")
+    scored = found.join(ratio, "word").groupBy("__row").agg(F.collect_list(F.struct("places", "ratio")).alias("parts"))
+
+    def features(batches):
+        for batch in batches:
+            out = []
+            for parts in batch.column(1).to_pylist():
+                x = np.zeros(sum(len(part["places"]) for part in parts))
+                for part in parts:
+                    x[part["places"]] = part["ratio"]
+                out.append(slim.summed(x))
+            both = np.array(out).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["__row", "best", "whole"])
+
+    known = scored.mapInArrow(features, "__row long, best double, whole double")
+    return rows.join(known, "__row", "left").drop("__row").fillna(0.0, ["best", "whole"])
+
+
 def _counts(docs: DataFrame) -> DataFrame:
     """word, toxic, n: how many documents' worth of each expression a class holds."""
 
@@ -155,11 +216,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .filter("toxic = most")
         .drop("most")
     )
-    both = known.filter("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).unionAll(known.filter("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE))
+    known = written(known.withColumn("part", fold(F.col("doc_id")).cast("int")))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    # ``both`` has 2 * SAMPLE rows at most
-    rows = written(texts.join(F.broadcast(both), "doc_id").withColumn("part", fold(F.col("doc_id")).cast("int")))
-    words = _counts(rows.filter(F.col("part") != FOLDS - 1)).groupBy("word").agg(
+    counting = known.filter(F.col("part") != FOLDS - 1)
+    words = _counts(texts.join(F.broadcast(counting) if known.count() <= BROADCAST_LABELS else counting, "doc_id")).groupBy("word").agg(
         F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("ordinary"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("toxic")
     )
     levels = []
@@ -174,19 +234,30 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         if levels[-1] is None:
             return Model([])
     # ordinary counts of nodes below an excess: the other nodes' ratios do not depend on them
-    stems = [x for at in levels[1:] for x in at["excess"]]
+    stems = None
+    for at in levels[1:]:
+        stems = at["over"].select("node") if stems is None else stems.unionAll(at["over"].select("node"))
+    stems = written(stems.distinct())
+    nodes = []
     for at in levels:
-        near = F.lit(False)
+        found = at.pop("table").join(at.pop("over"), "node", "left")
+        near = F.col("excess").isNotNull()
         for n in LEVELS:
-            mine = [x for x in stems if len(x) == n]
-            if mine:
-                near = near | F.substring("node", 1, n).isin(mine)
-        own = [x for x in at["excess"]]
-        found = at.pop("table").filter(near | (F.col("node").isin(own) if own else F.lit(False))).orderBy(F.desc("children"), "node").limit(NODES).collect()
-        at["ordinary"] = {r.node: r.ordinary for r in found if r.ordinary}
-        at["children"] = {r.node: r.children for r in found}
-    model = Model(levels)
-    held = _features(rows.filter(F.col("part") == FOLDS - 1), model, "toxic").collect()  # at most 2 * SAMPLE rows
+            found = found.join(stems.filter(F.length("node") == n).select(F.col("node").alias(f"stem{n}")), F.substring("node", 1, n) == F.col(f"stem{n}"), "left")
+            near = near | F.col(f"stem{n}").isNotNull()
+        nodes.append(written(found.filter(near).select("node", "ordinary", "children", "excess")))
+    if sum(x.count() for x in nodes) > NODES:
+        model = Model(levels, nodes=nodes)
+    else:
+        for at, x in zip(levels, nodes, strict=True):
+            found = x.collect()
+            at["ordinary"] = {r.node: r.ordinary for r in found if r.ordinary}
+            at["children"] = {r.node: r.children for r in found}
+            at["excess"] = {r.node: r.excess for r in found if r.excess is not None}
+        model = Model(levels)
+    fitting = known.filter(F.col("part") == FOLDS - 1).orderBy(F.xxhash64("doc_id"), "doc_id")
+    both = fitting.filter("toxic = 1").limit(SAMPLE).unionAll(fitting.filter("toxic = 0").limit(SAMPLE))
+    held = _features(texts.join(F.broadcast(both), "doc_id"), model, "toxic").collect()  # rows of 2 * SAMPLE documents at most
     y = np.array([r.toxic for r in held])
     model.weights = _logistic(np.array([[r.best, r.whole] for r in held]), y) if 0 < y.sum() < len(y) else [25.0, 25.0, -6.0]
     return model
@@ -207,7 +278,6 @@ def _level(table: DataFrame) -> dict | None:
     expected = F.col("ordinary") * (x.t / x.o)
     over = table.select("node", (F.col("toxic") - discount - expected - MARGIN * F.sqrt(expected + 0.3)).alias("excess")).filter("excess > 0")
     all_excess = over.agg(F.sum("excess")).first()[0] or 0.0
-    found = over.orderBy(F.desc("excess"), "node").limit(NODES // (len(LEVELS) + 1)).collect()
     return {
         "table": table,
         "ordinary_total": float(x.o),
@@ -215,7 +285,7 @@ def _level(table: DataFrame) -> dict | None:
         "discount": discount,
         "backoff": discount * x.types / (x.o + x.t),
         "gamma": max(1 - all_excess / x.t, 1e-3),
-        "excess": {r.node: r.excess for r in found},
+        "over": over,
     }
 
 
@@ -230,8 +300,10 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's columns with ``toxicity`` (0 to 1) added in place of any column of that name."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.drop("toxicity")
+    if model.nodes:
+        return _scored(rows, model, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     at = rows.columns.index(text_col)
     out = T.StructType([*rows.schema.fields, T.StructField("toxicity", T.DoubleType())])
 
@@ -242,3 +314,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(found))], names=[*batch.schema.names, "toxicity"])
 
     return rows.mapInArrow(run, out)
+
+
+def _scored(rows: DataFrame, model: Model, text_col: str) -> DataFrame:
+    found = _joined_features(rows, model, text_col)
+    if not model.weights:
+        return found.withColumn("toxicity", F.lit(0.0)).select(*rows.columns, "toxicity")
+    a, b, c = model.weights
+    x = F.greatest(F.lit(-40.0), F.least(F.lit(40.0), F.col("best") * a + F.col("whole") * b + c))
+    return found.withColumn("toxicity", 1 / (1 + F.exp(-x))).select(*rows.columns, "toxicity")

@@ -179,6 +179,21 @@ def test_toxicity_learns_rare_expressions(spark):
     assert {r.toxicity for r in toxicity.score(table, none).collect()} == {0.0}
 
 
+def test_toxicity_counts_all_rows_and_keeps_all_nodes(spark, monkeypatch):
+    rows = [(i, f"plain{i % 90} common{i % 7} " + (f"vile{i % 50} vile{i % 50} foul" if i % 3 == 0 else f"vilest{i} word") * 2) for i in range(600)]
+    known = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    table = frame(spark, [*rows, *ODD])
+    model = toxicity.train(table, known)
+    monkeypatch.setattr(toxicity, "SAMPLE", 20)
+    few = toxicity.train(table, known)
+    assert [x["ordinary_total"] for x in few.levels] == [x["ordinary_total"] for x in model.levels]
+    monkeypatch.setattr(toxicity, "NODES", 5)
+    joined = toxicity.train(table, known)
+    assert joined.nodes and np.allclose(joined.weights, few.weights, rtol=1e-6)
+    plain, wide = ({r.doc_id: r.toxicity for r in toxicity.score(table, m).collect()} for m in (few, joined))
+    assert plain.keys() == wide.keys() and all(abs(plain[i] - wide[i]) < 1e-6 for i in plain)
+
+
 # --- 5: lines
 
 
