@@ -9,16 +9,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a fresh temporary one only where none is set, as in tests."""
+    """The session's checkpoint folder.
+
+    A local session without one, as in tests, gets a fresh temporary folder; on a cluster its absence is an error, since a
+    temporary folder is one machine's.
+    """
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="gistmill-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/gistmill-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows read back from a Parquet table in the shared folder, so that lost executors cost no more than this table's reading."""
-    path = f"{shared_dir(df.sparkSession)}/gistmill-{uuid.uuid4().hex}"
+    path = f"{_own_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes what this application has written; results that were read from it and not yet stored are gone with it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
