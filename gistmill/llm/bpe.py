@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from concurrent.futures import ThreadPoolExecutor
 from itertools import chain
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 #: Pieces up to this many byte characters are encoded whole.
 LEAF = 1024
 #: Pieces, and runs without white space, remembered by a worker; the common ones come first, so later ones are encoded anew.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 
 _LATIN = "À-ÖØ-öø-ÿ"
 #: Texts of these characters are in NFC and split alike in every Unicode version.
@@ -57,6 +58,14 @@ def _byte_alphabet() -> list[str]:
     return table
 
 
+def packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
+def unpacked(ids: bytes) -> np.ndarray:
+    return np.frombuffer(ids, dtype=np.uint32)
+
+
 class Encoder:
     """One vocabulary, with the pieces that this process has met."""
 
@@ -77,10 +86,10 @@ class Encoder:
     def _tokens(self, symbols: str) -> list[int]:
         return [t.id for t in self.model.tokenize(symbols)]
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
+    def _piece(self, piece: str) -> bytes:
         """The ids of one piece that the split pattern leaves whole."""
         symbols = piece if piece.isascii() else "".join(map(self.alphabet.__getitem__, piece.encode()))
-        return tuple(self._tokens(symbols) if len(symbols) <= LEAF else self.tree(symbols))
+        return packed(self._tokens(symbols) if len(symbols) <= LEAF else self.tree(symbols))
 
     def tree(self, symbols: str, leaf: int = LEAF) -> list[int]:
         """Encode one long piece: leaves in parallel, then pairwise concatenation."""
@@ -116,13 +125,15 @@ class Encoder:
                     return a + b, x[:i] + middle[: agreed[0]] + y[agreed[1] :]
             width *= 2
 
-    def _chunk(self, raw: bytes) -> tuple[int, ...]:
+    def _chunk(self, raw: bytes) -> bytes:
         """The ids of one run without ASCII white space; no token of the vocabulary spans such white space."""
+        if raw.isalpha():  # of bytes: A-Z and a-z only, which the split pattern leaves whole
+            return self._piece(raw.lower().decode())
         chunk = raw.decode()
-        if _PLAIN.fullmatch(chunk) and not _CONTROL.search(chunk):
-            return tuple(chain.from_iterable(map(self.pieces.__getitem__, _PIECES.findall(chunk.lower()))))
+        if _PLAIN.fullmatch(chunk) and not ("<|" in chunk and _CONTROL.search(chunk)):
+            return b"".join(map(self.pieces.__getitem__, _PIECES.findall(chunk.lower())))
         if len(chunk) <= LEAF:
-            return tuple(self.library.encode(chunk, add_special_tokens=False).ids)
+            return packed(self.library.encode(chunk, add_special_tokens=False).ids)
         ids: list[int] = []
         at = 0
         for m in chain(_CONTROL.finditer(chunk), [None]):
@@ -132,10 +143,14 @@ class Encoder:
             if m:
                 ids.append(self.library.token_to_id(m[0]))
                 at = m.end()
-        return tuple(ids)
+        return packed(ids)
+
+    def encoded(self, text: str | None) -> bytes:
+        """The ids of a text, four bytes each."""
+        return b"".join(map(self.chunks.__getitem__, (text or "").encode().split()))
 
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(map(self.chunks.__getitem__, (text or "").encode().split())))
+        return unpacked(self.encoded(text)).tolist()
 
     def decode(self, ids) -> str:
         """As the library's decode without a decoder: token strings with one space between."""

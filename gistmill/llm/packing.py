@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gistmill.llm.bpe import encoder, vocabulary_path
+from gistmill.llm.bpe import encoder, packed, unpacked, vocabulary_path
 
 WINDOW = 2048
 END_ID = 1
@@ -69,15 +69,16 @@ def cuts(positions, penalties, window: int) -> list[int]:
 
 def boundaries(ids: np.ndarray, ends: np.ndarray, sentence_end: np.ndarray, window: int) -> tuple[list[int], list[int]]:
     """Positions and penalties of the places where a stream may be cut; ``ends`` are the documents' ends."""
-    after = np.flatnonzero(sentence_end[ids]) + 1
-    places = np.union1d(np.concatenate(([0], after)), ends)
+    penalty = np.zeros(len(ids) + 1, dtype=np.int64)  # of each place, plus one; 0 where no boundary lies
+    penalty[1:][sentence_end[ids]] = SENTENCE_PENALTY + 1
+    penalty[ends] = penalty[0] = 1
+    places = np.flatnonzero(penalty)
     wide = np.flatnonzero(np.diff(places) > window)
     if len(wide):
-        places = np.union1d(places, np.concatenate([np.arange(places[k], places[k + 1], window // 4) for k in wide]))
-    penalties = np.full(len(places), INNER_PENALTY)
-    penalties[np.isin(places, after)] = SENTENCE_PENALTY
-    penalties[np.isin(places, ends)] = 0
-    return places.tolist(), penalties.tolist()
+        inner = np.concatenate([np.arange(places[k] + window // 4, places[k + 1], window // 4) for k in wide])
+        penalty[inner] = INNER_PENALTY + 1
+        places = np.flatnonzero(penalty)
+    return places.tolist(), (penalty[places] - 1).tolist()
 
 
 def tail(length: int) -> list[int]:
@@ -96,7 +97,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     path = path or vocabulary_path()
 
     def run(batches):
-        own, stops = encoder(path), sentence_ends(path)
+        own, stops, end = encoder(path), sentence_ends(path), packed([end_id])
         number = TaskContext.get().partitionId() << 40
         held: list[tuple] = []  # (doc_id, start, ids, doc_tokens) not yet in a closed window
         size = 0
@@ -131,7 +132,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.array([*own.encode(text), end_id], dtype=np.uint32)
+                ids = unpacked(own.encoded(text) + end)
                 held.append((doc_id, 0, ids, len(ids)))
                 size += len(ids)
                 if size >= flush:
