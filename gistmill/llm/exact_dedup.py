@@ -4,7 +4,7 @@ A Misra-Gries sketch (Spark's ``approx_top_k``, which keeps a fixed number of
 counters) names the digests that may be frequent.  Their exact counts and keepers are
 then verified over all rows, and this table of at most ``counters`` rows is broadcast,
 so that the rows of hot groups are decided where they are read.  The digests that
-remain have small groups and are shuffled.
+remain are aggregated with partial sums and joined back.
 
 Defined results: null text counts as empty; texts are equal after each run of ASCII
 white space becomes one space; of equal texts the smallest doc_id stays (rows that
@@ -14,7 +14,7 @@ an empty table gives no rows; further columns play no part.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.lineage import written
@@ -48,9 +48,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         rows.join(F.broadcast(heavy), "text_sha256", "left_semi").groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     )
     hot = rows.join(F.broadcast(winners), "text_sha256")
-    group = Window.partitionBy("text_sha256")
-    rest = rows.join(F.broadcast(winners), "text_sha256", "left_anti").withColumns(
-        {"keep_id": F.min("doc_id").over(group), "group_size": F.count("*").over(group)}
-    )
+    # beyond HEAVY large groups: partial sums before the shuffle, and a join back that AQE splits where a digest is skewed
+    rest = rows.join(F.broadcast(winners), "text_sha256", "left_anti")
+    rest = rest.join(rest.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "text_sha256")
     columns = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"]
     return hot.select(*columns).unionAll(rest.select(*columns))

@@ -109,6 +109,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
         # a link's end may lie outside the pages; rules decide it all the same
         judged = member.withColumn("own", deciding_rule(host(F.col("node")), path(F.col("node")), rules))
         blocked = judged.filter("own.verdict = 'block'").select("component").distinct()
-        rows = rows.join(member.join(blocked, "component", "left_semi").select("node", F.lit("block").alias("carried")), "node", "left")
+        named = rows.filter("node IS NOT NULL").join(member.join(blocked, "component", "left_semi").select("node", F.lit("block").alias("carried")), "node", "left")
+        # pages without a host have no aliases: they stay out of the join, where they would share one key
+        rows = named.unionByName(rows.filter("node IS NULL").withColumn("carried", F.lit(None).cast("string")))
         carried = F.coalesce("carried", F.lit("allow"))
     return rows.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", carried).alias("verdict"))
