@@ -15,14 +15,14 @@ dealt into buckets, and one bucket after another is sorted.
    starts within 13 bytes before a cover position for each residue that its pair may have, so two
    windows are equal if and only if their first 13 bytes, their last 13 bytes and the ranks at
    their common cover position are.  Long ties cost a comparison of ranks, never one of suffixes.
-   Buckets with over ``HOT_ROWS`` rows are not gathered: their windows are aggregated by
-   128-bit hashes, with partial sums before the shuffle.
+   A bucket with over ``HOT_ROWS`` rows is split first: rows with the same bytes are grouped, with partial sums before the
+   shuffle, and the windows of one row of each group are dealt into smaller buckets by their first and last bytes.
 3. Spans.  The windows found are merged for each document and cut out.
 
 Defined results: null text counts as empty; texts under 100 bytes lose nothing; matches
-never cross documents; strings are judged on the input; doc_id names a document, so
-rows that repeat one are judged as the same document; a row without doc_id is judged on its own text alone, and
-other rows are not held against it; an empty table gives no rows; further columns play no part.
+never cross documents; strings are judged on the input; rows that repeat a doc_id are documents of their own, in the
+order of a hash of their text; a row without doc_id is judged on its own text alone, and other rows are not held against
+it; a text may have any length; an empty table gives no rows; further columns play no part.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gistmill.lineage import written
+from gistmill.llm.rows import KEY, keyed
 
 LENGTH = 100
 ANCHOR = 24
@@ -47,6 +48,9 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 #: Bytes of window text in a block, and rows of a bucket that one task gathers at most.
 BLOCK_BYTES, HOT_ROWS = 16 << 20, 50_000
 
+#: Parts into which the rows of large buckets are dealt, and bytes at both ends of a window that deal it to a smaller bucket.
+SALTS, _ENDS = 32, 18
+
 _LOW = np.uint64((1 << 32) - 1)
 _DOWN = np.uint64(32)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -248,21 +252,29 @@ def block_spans(rows: DataFrame) -> DataFrame:
 
 
 def hot_spans(rows: DataFrame) -> DataFrame:
-    """The same for buckets too large for a task: windows aggregated by 128-bit hashes."""
+    """The same for buckets too large for a task: equal rows by their bytes, then the others' windows in smaller buckets."""
 
-    def run(batches):
+    def windows(batches):
         for batch in batches:
-            out: list[list] = [[], [], []]
-            for doc_id, start, n, text in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
-                out[0] += [xxhash.xxh3_128_digest(text[k : k + LENGTH]) for k in range(n)]
-                out[1] += [doc_id] * n
-                out[2] += range(start, start + n)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["hash", "doc_id", "start"])
+            out: list[list] = [[], [], [], [], []]
+            for bucket, doc_id, start, n, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                for k in range(n):
+                    window = text[k : k + LENGTH]
+                    near = xxhash.xxh3_64_intdigest(window[:_ENDS] + window[-_ENDS:], seed=bucket & 0xFFFFFFFF) - (1 << 63)
+                    for column, x in zip(out, (near, doc_id, start + k, 1, window), strict=True):
+                        column.append(x)
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            for i in range(0, len(out[0]), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 20_000], t) for x, t in zip(out, types, strict=True)], names=["bucket", "doc_id", "start", "n", "text"])
 
-    windows = rows.mapInArrow(run, "hash binary, doc_id long, start long")
-    first = windows.groupBy("hash").agg(F.min(F.struct("doc_id", "start")).alias("first"))
-    later = windows.join(first, "hash").filter(F.struct("doc_id", "start") != F.col("first"))
-    return later.select("doc_id", "start", (F.col("start") + LENGTH).alias("end"))
+    place = F.struct("doc_id", "start")
+    first = written(rows.groupBy("bucket", "text").agg(F.min(place).alias("first"), F.first("n").alias("n")))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salt = F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int").alias("salt")
+    later = rows.select("*", salt).join(first.select("bucket", "text", "first", salts), ["bucket", "text", "salt"]).filter(place != F.col("first"))
+    copies = later.select("doc_id", "start", (F.col("start") + F.col("n") + (LENGTH - 1)).alias("end"))
+    dealt = first.select("bucket", "first.doc_id", "first.start", "n", "text").mapInArrow(windows, "bucket long, doc_id long, start long, n long, text binary")
+    return copies.unionAll(block_spans(dealt.repartition("bucket").sortWithinPartitions("bucket")))
 
 
 def repeated_spans(texts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -309,8 +321,8 @@ def own_spans(raw: bytes) -> list[dict]:
     return [{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist(), strict=True)]
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _texts(rows: DataFrame, text_col: str) -> DataFrame:
+    return rows.select(F.col(KEY).alias("doc_id"), F.col(text_col).alias("text"))
 
 
 def _spans_by_document(texts: DataFrame, hot_rows: int) -> DataFrame:
@@ -319,7 +331,8 @@ def _spans_by_document(texts: DataFrame, hot_rows: int) -> DataFrame:
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
     """The input's rows and columns, with repeated bytes gone from the texts; a null text stays null."""
-    spans = _spans_by_document(_texts(docs, id_col, text_col), hot_rows).select(F.col("doc_id").alias("__doc"), F.col("spans").alias("__spans"))
+    rows = keyed(docs, id_col, text_col)
+    spans = _spans_by_document(_texts(rows, text_col), hot_rows).select(F.col("doc_id").alias(KEY), F.col("spans").alias("__spans"))
     at = docs.columns.index(text_col)
 
     def run(batches):
@@ -332,8 +345,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-2])
 
-    own = docs[id_col].cast("long")
-    joined = docs.join(spans, own == F.col("__doc"), "left").withColumn("__alone", own.isNull()).drop("__doc")
+    joined = rows.join(spans, KEY, "left").select(*docs.columns, "__spans", F.col(KEY).isNull().alias("__alone"))
     return joined.mapInArrow(run, docs.schema)
 
 
@@ -342,8 +354,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``kept_text`` leaves out what a cut within a letter leaves of it.
     """
-    texts = _texts(docs, id_col, text_col)
-    spans = _spans_by_document(texts, hot_rows)
+    rows = keyed(docs, id_col, text_col)
+    spans = _spans_by_document(_texts(rows, text_col), hot_rows).select(F.col("doc_id").alias(KEY), "spans")
+    own = F.col(id_col).cast("long").alias("doc_id")
 
     def run(batches):
         for batch in batches:
@@ -358,5 +371,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 [batch.column(0), *(pa.array(x, t) for x, t in zip(out, types, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
             )
 
-    judged = texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+    judged = rows.select(KEY, own, F.col(text_col).alias("text")).join(spans, KEY, "left").select("doc_id", "text", "spans")
     return judged.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
