@@ -15,9 +15,11 @@ A list is cut into pieces of at most about ``PIECE`` vectors and ``QUERIES`` que
 with a third of all vectors, or queries, is many tasks' work; each piece gives its k best.
 
 Defined results: null vectors, vectors of zeros, and vectors that hold null or non-finite
-components or have another length than most take no part, as queries or candidates; a query's own row is no candidate; equal
-distances are ordered by id; fewer candidates than k give fewer rows; an empty table
-gives none; further columns play no part.
+components or have another length than most take no part, as queries or candidates; rows with the query's id are no
+candidates; where rows repeat an id, each is a candidate, and a query id that repeats is answered once, by the least
+distances from any of its rows; equal distances are ordered by id; vectors of any finite size are measured, as differences
+are scaled by their largest component; fewer candidates than k give fewer rows; an empty table gives none; further columns
+play no part.
 """
 
 from __future__ import annotations
@@ -41,7 +43,18 @@ def usable(vector: Column) -> Column:
 
 
 def _distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    return np.sqrt(((x - q) ** 2).sum(axis=1))
+    """Euclidean distances; where squares would overflow or vanish, of differences divided by a power of two."""
+    d = x - q
+    size = np.abs(d).max(axis=1, initial=0.0)
+    odd = (size > 1e150) | ((size < 1e-150) & (size > 0))
+    out = np.sqrt((d**2).sum(axis=1)) if not odd.any() else np.sqrt((np.where(odd[:, None], 0.0, d) ** 2).sum(axis=1))
+    if odd.any():
+        power = np.exp2(np.ceil(np.log2(np.abs(np.c_[x[odd], np.broadcast_to(q, x[odd].shape)]).max(axis=1))))[:, None]
+        half = x[odd] / power - q / power
+        at = np.abs(half).max(axis=1)[:, None]
+        at[at == 0] = 1.0
+        out[odd] = np.sqrt(((half / at) ** 2).sum(axis=1)) * at[:, 0] * power[:, 0]
+    return out
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -54,6 +67,9 @@ class Index:
     def __init__(self, sample: np.ndarray, rows: int, k: int, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.size = sample.shape[1]
+        # a power of two, so that centroids are found among numbers whose squares are finite
+        self.scale = float(np.exp2(-np.floor(np.log2(np.abs(sample).max()))))
+        sample = self.scaled(sample)
         self.rotation = np.linalg.qr(rng.normal(size=(self.size, self.size)))[0]
         lists = int(min(MOST_LISTS, max(1, rows**0.5 / 2))) if rows > 1000 else 1
         self.centroids = sample[rng.choice(len(sample), min(lists, len(sample)), replace=False)]
@@ -64,7 +80,12 @@ class Index:
             self.centroids = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], self.centroids)
         self.probes = self._calibrated(sample, k, rng)
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return np.clip(x * self.scale, -1e120, 1e120)
+
     def nearest(self, x: np.ndarray) -> np.ndarray:
+        """The list of each scaled vector."""
         return np.concatenate([_squares(x[i : i + 4096], self.centroids).argmin(1) for i in range(0, len(x), 4096)]) if len(x) else np.array([], dtype=np.int64)
 
     def _calibrated(self, sample: np.ndarray, k: int, rng) -> int:
@@ -82,7 +103,7 @@ class Index:
     def probed(self, x: np.ndarray, sizes: np.ndarray, own: list[dict], k: int) -> list[list[int]]:
         """Lists to probe for each query, by the lists' sizes and the number of rows in them that have the query's own id."""
         out = []
-        for order, mine in zip(_squares(x, self.centroids).argsort(1), own, strict=True):
+        for order, mine in zip(_squares(self.scaled(x), self.centroids).argsort(1), own, strict=True):
             left = sizes.copy()
             for at, n in mine.items():
                 left[at] -= n
@@ -92,26 +113,28 @@ class Index:
 
 
 def scan(index: Index, ids: np.ndarray, vectors: np.ndarray, rotated: np.ndarray, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and distances of the k nearest of some vectors, nearest first, by the adaptive scan."""
+    """Places and distances of the k nearest of some vectors, nearest first, by the adaptive scan."""
     turned = query @ index.rotation
-    best_ids, best = np.array([], dtype=np.int64), np.array([])
-    limit = np.inf
+    found, best = np.array([], dtype=np.int64), np.array([])
+    limit = float("inf")
     for i in range(0, len(ids), 2048):
         alive = np.arange(i, min(i + 2048, len(ids)))
         alive = alive[ids[alive] != query_id]
         if np.isfinite(limit):
+            bound = limit * limit  # infinite where it overflows: then all are measured
             partial = np.zeros(len(alive))
             for d in range(0, index.size, COLUMNS):
                 to = min(d + COLUMNS, index.size)
-                partial += ((rotated[alive, d:to] - turned[d:to]) ** 2).sum(axis=1)
+                with np.errstate(over="ignore"):
+                    partial += ((rotated[alive, d:to] - turned[d:to]) ** 2).sum(axis=1)
                 slack = (1 + EPSILON / to**0.5) ** 2 if to < index.size else 1 + 1e-9
-                keep = partial * (index.size / to) <= limit**2 * slack
+                keep = ~(partial * (index.size / to) > bound * slack) | (bound < 1e-300)
                 alive, partial = alive[keep], partial[keep]
-        best_ids, best = np.concatenate((best_ids, ids[alive])), np.concatenate((best, _distances(vectors[alive], query)))
-        order = np.lexsort((best_ids, best))[:k]
-        best_ids, best = best_ids[order], best[order]
-        limit = best[-1] if len(best) == k else np.inf
-    return best_ids, best
+        found, best = np.concatenate((found, alive)), np.concatenate((best, _distances(vectors[alive], query)))
+        order = np.lexsort((ids[found], best))[:k]
+        found, best = found[order], best[order]
+        limit = float(best[-1]) if len(best) == k else float("inf")
+    return found, best
 
 
 def search(table: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -128,11 +151,11 @@ def search(table: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id
     def assign(batches):
         for batch in batches:
             x = np.array(batch.column(1).to_pylist(), dtype=float).reshape(batch.num_rows, -1)
-            home = index.value.nearest(x)
+            home = index.value.nearest(index.value.scaled(x))
             columns = [pa.array(home, pa.int32()), batch.column(0), pa.array([v.tobytes() for v in x], pa.binary()), batch.column(2)]
             yield pa.RecordBatch.from_arrays(columns, names=["list", "vec_id", "v", "asks"])
 
-    indexed = written(rows.mapInArrow(assign, "list int, vec_id long, v binary, asks boolean"))
+    indexed = written(rows.mapInArrow(assign, "list int, vec_id long, v binary, asks boolean").withColumn("row", F.monotonically_increasing_id()))
     sizes = np.zeros(len(index.value.centroids), dtype=np.int64)
     for r in indexed.groupBy("list").count().collect():  # a row for each list
         sizes[r["list"]] = r["count"]
@@ -155,23 +178,27 @@ def search(table: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id
     )
     pieces = F.broadcast(written(pieces))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = indexed.drop("asks").join(pieces, "list").select("list", F.pmod(F.xxhash64("vec_id"), "pieces").cast("int").alias("piece"), every("rounds").alias("round"), "vec_id", "v")
+    left = indexed.drop("asks").join(pieces, "list").select("list", F.pmod(F.xxhash64("vec_id"), "pieces").cast("int").alias("piece"), every("rounds").alias("round"), "vec_id", "row", "v")
     right = asked.join(pieces, "list").select("list", every("pieces").alias("piece"), F.pmod(F.xxhash64("query_id"), "rounds").cast("int").alias("round"), "query_id", "q")
 
     def nearest(candidates: pa.Table, wanted: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], [], [], []]
         if candidates.num_rows and wanted.num_rows:
-            ids = candidates.column("vec_id").to_numpy()
+            ids, row = candidates.column("vec_id").to_numpy(), candidates.column("row").to_numpy()
             vectors = np.frombuffer(b"".join(candidates.column("v").to_pylist())).reshape(len(ids), -1)
             rotated = vectors @ index.value.rotation
             for query_id, q in zip(wanted.column("query_id").to_pylist(), wanted.column("q").to_pylist(), strict=True):
                 found, score = scan(index.value, ids, vectors, rotated, query_id, np.frombuffer(q), k)
                 out[0] += [query_id] * len(found)
-                out[1] += found.tolist()
+                out[1] += ids[found].tolist()
                 out[2] += score.tolist()
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+                out[3] += row[found].tolist()
+        names, types = ["query_id", "vec_id", "score", "row"], [pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+        return pa.table({name: pa.array(x, t) for name, x, t in zip(names, out, types, strict=True)})
 
     parts = ["list", "piece", "round"]
-    found = left.groupBy(*parts).cogroup(right.groupBy(*parts)).applyInArrow(nearest, "query_id long, vec_id long, score double")
+    found = left.groupBy(*parts).cogroup(right.groupBy(*parts)).applyInArrow(nearest, "query_id long, vec_id long, score double, row long")
+    # a query id that repeats finds a row from each of its own
+    found = found.groupBy("query_id", "vec_id", "row").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

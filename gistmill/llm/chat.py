@@ -2,8 +2,9 @@
 
 A record may be a row of role and text, a list of messages, a prompt with its
 completion, an instruction with its input and output, and so on.  The nested field
-paths that a record has are hashed to a fingerprint; the fingerprint selects one of the
-declared mappings; and the mapping turns the record into canonical turns.  The turns
+paths that a record has, in all elements of its lists and ``DEPTH`` names deep, are hashed to a fingerprint; the
+fingerprint of a declared layout selects its mapping, and any other one that of the layout with the most paths among those
+whose paths the record all has; the mapping turns the record into canonical turns.  The turns
 of a conversation are put in order and marked by a template:
 
     <|im_start|>role NEWLINE text <|im_end|> NEWLINE
@@ -17,8 +18,9 @@ conversation, so only finished blocks of text meet in one row.
 
 Defined results: null text and null role count as empty; turns with equal numbers are
 ordered by role, then text; a null turn number comes first; records with an unknown
-layout have no turns, ``layout`` null, and stay in ``canonical_turns``; an empty table
-gives no rows; further columns play no part.
+layout, or that are no objects, have no turns and ``layout`` null, and stay in ``canonical_turns`` and ``format_records``;
+a field or list element that a layout names and a record lacks counts as empty; rows that repeat a turn are turns of their
+own; conversations may have any number of turns; an empty table gives no rows; further columns play no part.
 """
 
 from __future__ import annotations
@@ -47,22 +49,49 @@ LAYOUTS: dict[str, dict] = {
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
-def _known_paths() -> list[str]:
-    return sorted({p for x in LAYOUTS.values() for p in x["paths"]})
+#: Names in a row that a fingerprint follows.
+DEPTH = 3
 
 
 def _at(record: Column, path: str, kind: str) -> Column:
-    return F.try_variant_get(record, "$." + path.replace("[]", "[0]"), kind)
+    return F.try_variant_get(record, f"$.{path}", kind)
 
 
-def fingerprint(record: Column) -> Column:
-    """Hash of the known nested field paths that a variant has; fields holding null count as there."""
-    there = F.array(*[F.when(_at(record, p, "variant").isNotNull(), F.lit(p)) for p in _known_paths()])
-    return F.xxhash64(F.array_join(F.array_compact(there), "|"))
+def _names(value: Column, path: Column, depth: int) -> Column:
+    """Paths of the fields of an object, and of what they hold."""
+    held = lambda e: F.concat(path, e["key"])
+    each = lambda e: F.concat(F.array(held(e)), _under(e["value"], held(e), depth - 1)) if depth > 1 else F.array(held(e))
+    return F.flatten(F.transform(F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")), each))
 
 
-def _layout_fingerprint(name: str) -> Column:
-    return F.xxhash64(F.lit("|".join(sorted(LAYOUTS[name]["paths"]))))
+def _under(value: Column, path: Column, depth: int) -> Column:
+    """Paths below a value: of its fields if it is an object, of its elements' fields if it is a list."""
+    none = F.array().cast("array<string>")
+    items = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x: F.coalesce(_names(x, F.concat(path, F.lit("[].")), depth), none))
+    return F.concat(F.coalesce(_names(value, F.concat(path, F.lit(".")), depth), none), F.coalesce(F.flatten(items), none))
+
+
+def field_paths(record: Column) -> Column:
+    """The nested field paths that a variant has, sorted; fields holding null count as there."""
+    return F.array_sort(F.array_distinct(F.coalesce(_names(record, F.lit(""), DEPTH), F.array().cast("array<string>"))))
+
+
+def fingerprint(paths: Column) -> Column:
+    return F.xxhash64(F.array_join(paths, "|"))
+
+
+def layout_of(paths: Column) -> Column:
+    """The name of the layout for a record with these field paths; null where none fits."""
+    marks = [(F.lit(name), F.xxhash64(F.lit("|".join(_declared(x))))) for name, x in LAYOUTS.items()]
+    exact = F.element_at(F.create_map(*[x for name, mark in marks for x in (mark, name)]), fingerprint(paths))
+    fits = lambda x: F.size(F.array_except(F.array(*map(F.lit, x["paths"])), paths)) == 0
+    most = sorted(LAYOUTS, key=lambda name: -len(LAYOUTS[name]["paths"]))
+    return F.coalesce(exact, *[F.when(fits(LAYOUTS[name]), F.lit(name)) for name in most])
+
+
+def _declared(layout: dict) -> list[str]:
+    """A layout's paths and those of the lists they lie in."""
+    return sorted({*layout["paths"], *(p.split("[]")[0] for p in layout["paths"])})
 
 
 def _role(role: Column) -> Column:
@@ -77,8 +106,8 @@ def _turn(role: Column, text: Column) -> Column:
 def _turns(record: Column, layout: dict) -> Column:
     if "list" in layout:
         name, role, text = layout["list"]
-        items = F.try_variant_get(record, f"$.{name}", f"array<struct<`{role}`:string,`{text}`:string>>")
-        return F.transform(items, lambda x: _turn(_role(x[role]), x[text]))
+        items = F.coalesce(F.try_variant_get(record, f"$.{name}", "array<variant>"), F.array().cast("array<variant>"))
+        return F.transform(items, lambda x: _turn(_role(_at(x, role, "string")), _at(x, text, "string")))
 
     def text_of(path: str) -> Column:
         first, *more = path.split("+")
@@ -89,21 +118,21 @@ def _turns(record: Column, layout: dict) -> Column:
 
 
 def canonical_turns(records: DataFrame, record: Column | str, *keep: Column | str) -> DataFrame:
-    """The ``keep`` columns, ``layout`` and ``turns`` (array of role, text) of each record.
+    """The ``keep`` columns, ``fingerprint``, ``layout`` and ``turns`` (array of role, text) of each record.
 
     ``record`` is a variant, or a string of JSON.
     """
     record = F.col(record) if isinstance(record, str) else record
     kind = records.select(record.alias("x")).dtypes[0][1]
     rows = records.select(*keep, (F.try_parse_json(record) if kind == "string" else record).alias("__record"))
-    # a generator, so that the optimizer leaves the fingerprint to be computed once for each record
-    rows = rows.select("*", F.explode(F.array(fingerprint(F.col("__record")))).alias("__print"))
-    layout, turns = F.lit(None).cast("string"), F.array().cast("array<struct<role:string,text:string>>")
+    # generators, so that the optimizer leaves paths and layouts to be computed once for each record
+    rows = rows.select("*", F.explode(F.array(field_paths(F.col("__record")))).alias("__paths"))
+    rows = rows.select("*", F.explode(F.array(layout_of(F.col("__paths")))).alias("__layout"))
+    turns = F.array().cast("array<struct<role:string,text:string>>")
     for name, x in LAYOUTS.items():
-        same = F.col("__print") == _layout_fingerprint(name)
-        layout = F.when(same, F.lit(name)).otherwise(layout)
-        turns = F.when(same, _turns(F.col("__record"), x)).otherwise(turns)
-    return rows.select(*[x if isinstance(x, str) else F.col(rows.columns[i]) for i, x in enumerate(keep)], layout.alias("layout"), turns.alias("turns"))
+        turns = F.when(F.col("__layout") == name, _turns(F.col("__record"), x)).otherwise(turns)
+    kept = [x if isinstance(x, str) else F.col(rows.columns[i]) for i, x in enumerate(keep)]
+    return rows.select(*kept, fingerprint(F.col("__paths")).alias("fingerprint"), F.col("__layout").alias("layout"), turns.alias("turns"))
 
 
 def escape(text: Column) -> Column:
@@ -123,33 +152,46 @@ def unescape_role(role: Column) -> Column:
 
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per conversation: conv_id, n_turns, formatted, loss_spans (array of start, length in code points).
-
-    The loss mask covers the texts of assistant turns, and no marks.
-    """
+    """One row per conversation of rows of turns: conv_id, n_turns, formatted, loss_spans; see ``format_records``."""
     row = turns.select(
         F.col(conv_col).alias("conv_id"),
         F.col(turn_col).alias("turn"),
         F.to_variant_object(F.struct(F.col(role_col).alias("role"), F.col(text_col).alias("text"))).alias("record"),
     )
-    flat = canonical_turns(row, "record", "conv_id", "turn").select("conv_id", "turn", F.explode("turns").alias("x"))
+    return format_records(row, "record", "conv_id", "turn").drop("n_unknown")
+
+
+def format_records(records: DataFrame, record: Column | str = "record", conv_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
+    """One row per conversation: conv_id, n_turns, formatted, loss_spans (array of start, length, nth turn), n_unknown.
+
+    A conversation may lie in several records, in the order of ``turn_col``, each with one turn or more.
+    The loss mask covers the texts of assistant turns, and no marks; starts and lengths are code points.
+    ``n_unknown`` counts records without turns; a conversation of such records alone is the empty string.
+    """
+    flat = canonical_turns(records, record, F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"))
+    flat = flat.select("conv_id", "turn", F.posexplode_outer("turns").alias("nth", "x"))
     head = F.concat(F.lit(START), escape_role(F.col("x.role")), F.lit("\n"))
     body = escape(F.col("x.text"))
     piece = F.struct(
         F.col("turn"),
+        F.col("nth"),
         F.col("x.role").alias("role"),
         F.col("x.text").alias("raw"),
         F.concat(head, body, F.lit(END + "\n")).alias("piece"),
         F.length(head).alias("head"),
         F.length(body).alias("body"),
     )
-    blocks = flat.groupBy("conv_id", F.floor(F.col("turn") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(piece), _in_turn).alias("p"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
+    known = F.when(F.col("x").isNotNull(), piece)  # lists leave nulls out
+    blocks = flat.groupBy("conv_id", F.floor(F.col("turn") / BLOCK).alias("block")).agg(
+        F.array_sort(F.collect_list(known), _in_turn).alias("p"), F.count_if(F.col("x").isNull()).alias("unknown")
+    )
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("nth"), F.array().cast("array<struct<start:bigint,length:bigint,nth:bigint>>").alias("spans"))
 
     def step(done: Column, x: Column) -> Column:
-        span = F.struct((done["at"] + x["head"]).alias("start"), x["body"].cast("long").alias("length"))
+        span = F.struct((done["at"] + x["head"]).alias("start"), x["body"].cast("long").alias("length"), done["nth"].alias("nth"))
         return F.struct(
             (done["at"] + F.length(x["piece"])).alias("at"),
+            (done["nth"] + 1).alias("nth"),
             F.when(x["role"] == "assistant", F.concat(done["spans"], F.array(span))).otherwise(done["spans"]).alias("spans"),
         )
 
@@ -157,17 +199,23 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         "conv_id",
         "block",
         F.size("p").alias("n"),
+        "unknown",
         F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("formatted"),
         F.aggregate("p", start, step, lambda x: x["spans"]).alias("spans"),
     )
     before = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("block")).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("at", F.coalesce(F.sum(F.length("formatted")).over(before), F.lit(0)))
+    sums = {"at": F.sum(F.length("formatted")), "nth": F.sum("n")}
+    blocks = blocks.withColumns({name: F.coalesce(x.over(before), F.lit(0)) for name, x in sums.items()})
     whole = blocks.groupBy("conv_id").agg(
         F.sum("n").alias("n_turns"),
+        F.sum("unknown").alias("n_unknown"),
         F.array_sort(
             F.collect_list(
                 F.struct(
-                    "at", "formatted", F.transform("spans", lambda s: F.struct((s["start"] + F.col("at")).alias("start"), s["length"].alias("length"))).alias("spans")
+                    "at",
+                    "nth",
+                    "formatted",
+                    F.transform("spans", lambda s: F.struct((s["start"] + F.col("at")).alias("start"), s["length"].alias("length"), (s["nth"] + F.col("nth")).alias("nth"))).alias("spans"),
                 )
             )
         ).alias("b"),
@@ -177,21 +225,25 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         "n_turns",
         F.array_join(F.transform("b", lambda x: x["formatted"]), "").alias("formatted"),
         F.flatten(F.transform("b", lambda x: x["spans"])).alias("loss_spans"),
+        "n_unknown",
     )
 
 
 def _in_turn(a: Column, b: Column) -> Column:
-    """Order by turn (nulls first), role, text."""
+    """Order by turn (nulls first), place in the record, role, text."""
     out = F.lit(0)
-    for name in ("raw", "role"):
+    for name in ("raw", "role", "nth"):
         out = F.when(a[name] < b[name], -1).when(a[name] > b[name], 1).otherwise(out)
     same = a["turn"].eqNullSafe(b["turn"])
     return F.when(same, out).when(a["turn"].isNull(), -1).when(b["turn"].isNull(), 1).when(a["turn"] < b["turn"], -1).otherwise(1)
 
 
+def _pieces(formatted: Column) -> Column:
+    return F.filter(F.split(formatted, r"<\|im_end\|>\n"), lambda x: x != "")
+
+
 def parse(formatted: Column) -> Column:
     """Turns (array of role, text) read back from a formatted conversation."""
-    pieces = F.filter(F.split(formatted, r"<\|im_end\|>\n"), lambda x: x != "")
 
     def turn(piece: Column) -> Column:
         line = F.substring_index(piece, "\n", 1)
@@ -200,9 +252,18 @@ def parse(formatted: Column) -> Column:
             unescape(F.substr(piece, F.length(line) + 2)).alias("text"),
         )
 
-    return F.transform(pieces, turn)
+    return F.transform(_pieces(formatted), turn)
+
+
+def masked(chats: DataFrame, *keep: str) -> DataFrame:
+    """The ``keep`` columns and ``loss``: all text under the loss mask of ``formatted`` and ``loss_spans``, unescaped, with nothing between.
+
+    A span is read from the end of its own turn, so a conversation of any length is gone through once.
+    """
+    rows = chats.select("*", F.explode(F.array(_pieces(F.col("formatted")))).alias("__pieces"))  # a generator, so that it is split once
 
+    def under(s: Column) -> Column:
+        piece = F.get("__pieces", s["nth"].cast("int"))
+        return unescape(F.substr(piece, (F.length(piece) - s["length"] + 1).cast("int"), s["length"].cast("int")))
 
-def masked(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, with nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    return rows.select(*keep, F.array_join(F.transform("loss_spans", under), "").alias("loss"))

@@ -3,13 +3,19 @@
 An expression is a run without ASCII white space, lower-cased, without punctuation at
 its ends.  Each class has a model of expressions that backs off from the whole
 expression to its first 6, 5 and 4 letters, with Kneser-Ney continuation counts (how
-many different longer forms a shorter one has) below the top.  The backoff weights and
-the base distribution are shared: they come from the counts of both classes together,
-so that an expression that training has hardly seen is as likely in either class.
+many different longer forms a shorter one has) below the top:
 
-Toxic documents consist mostly of ordinary expressions.  The toxic model therefore
-discounts each count by what ordinary text of the same length would hold, plus
-``MARGIN`` standard deviations, and gives the rest of its mass to the ordinary model.
+    P(node | class) = discounted count / class total + what the discounts free * backoff(node)
+
+The backoff is the class's probability of the shorter form, divided evenly among its
+forms (those seen in either class, and one unseen), and at the shortest forms the Kneser-Ney
+distribution of both classes' counts together.  So rare expressions are smoothed through
+counts that the classes share, and each model sums to one.
+
+Toxic documents consist mostly of ordinary expressions.  A class keeps counts of its own
+therefore only for nodes that toxic text holds in excess: the toxic count is discounted by what ordinary
+text of the same length would hold, plus ``MARGIN`` standard deviations, the ordinary one by the
+usual absolute discount.  All other nodes back off in both classes.
 
 A document is compared by its length-normalised log-likelihoods under both models: over
 the whole text (with ``PRIOR_LENGTH`` neutral expressions added) and over the window of
@@ -41,10 +47,12 @@ from gistmill.lineage import written
 
 FOLDS = 5
 SAMPLE = 12_000
-NODES = 60_000
+NODES = 100_000
 #: Labels that are broadcast at most; beyond that they are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
 LEVELS = (6, 5, 4)
+#: What a node is known by.
+COUNTS = ("ordinary", "children", "pooled", "excess")
 MARGIN = 3.0
 WINDOW, PRIOR_LENGTH = 32, 20
 #: Log-ratios of single expressions are held within these.
@@ -67,28 +75,41 @@ def chain(word: str) -> list[str]:
     return [whole, *(whole[:n] for n in LEVELS)]
 
 
+def _held(ratio: float) -> float:
+    return min(MOST, max(LEAST, ratio))
+
+
 class Model:
-    """What scoring needs: counts of nodes at or below a node with a toxic excess, and a few numbers for each level."""
+    """What scoring needs: counts of nodes with a toxic excess and of their shorter forms, and a few numbers for each level."""
 
     def __init__(self, levels: list[dict], weights: list[float] | None = None, nodes: list[DataFrame] | None = None):
         self.levels, self.weights, self.nodes = levels, weights, nodes
-        self.plain = max(LEAST, math.log(levels[0]["gamma"])) if levels else 0.0
+        self.plain = _held(sum(math.log(at["toxic_rest"] / at["ordinary_rest"]) for at in levels))
+
+    def probabilities(self, nodes: list[str]) -> tuple[float, float]:
+        """Ordinary and toxic probability of an expression, given from whole to shortest form, or of a shorter form."""
+        k = len(self.levels)
+        ordinary = toxic = 0.0
+        for at, node in zip(self.levels[::-1], nodes[::-1], strict=False):
+            k -= 1
+            if k + 1 == len(self.levels):
+                ordinary = toxic = max(at["pooled"].get(node, 0) - at["discount"], 0) / at["pooled_total"] + at["pooled_rest"] / (at["types"] + 1)
+            else:
+                forms = self.levels[k + 1]["children"].get(nodes[k + 1 - len(self.levels)], 0) + 1
+                ordinary, toxic = ordinary / forms, toxic / forms
+            excess = at["excess"].get(node)
+            own = max(at["ordinary"].get(node, 0) - at["discount"], 0) if excess else 0
+            toxic = (excess or 0) / at["toxic_total"] + at["toxic_rest"] * toxic
+            ordinary = own / at["ordinary_total"] + at["ordinary_rest"] * ordinary
+        return ordinary, toxic
 
     def log_ratio(self, word: str) -> float:
         """Log of the toxic over the ordinary probability of an expression."""
         nodes = chain(word)
-        if not self.levels or not any(at["excess"].get(node) for at, node in zip(self.levels, nodes, strict=True)):
-            return self.plain
-        ordinary = toxic = 1e-4
-        for k in range(len(nodes) - 1, -1, -1):
-            at, node = self.levels[k], nodes[k]
-            if k + 1 < len(nodes):
-                children = self.levels[k + 1]["children"].get(nodes[k + 1], 1) + 1
-                ordinary, toxic = ordinary / children, toxic / children
-            own = max(at["ordinary"].get(node, 0) - at["discount"], 0) / at["ordinary_total"]
-            toxic = at["excess"].get(node, 0) / at["toxic_total"] + at["gamma"] * own + at["backoff"] * toxic
-            ordinary = own + at["backoff"] * ordinary
-        return min(MOST, max(LEAST, math.log(toxic / ordinary)))
+        if not any(node in at["excess"] for at, node in zip(self.levels, nodes, strict=False)):
+            return self.plain  # what is shared cancels
+        ordinary, toxic = self.probabilities(nodes)
+        return _held(math.log(toxic / ordinary))
 
     def features(self, text: str | None, memory: dict) -> tuple[float, float]:
         return self.summed(np.fromiter(map(memory.__getitem__, (text or "").encode().split()), dtype=float))
@@ -159,14 +180,14 @@ def _joined_features(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
     for k, nodes in enumerate(model.nodes):
         whole = F.concat("word", F.lit("$"))
         key = F.substring(whole, 1, LEVELS[k - 1]) if k else whole
-        words = words.withColumn("node", key).join(nodes.select("node", F.struct("ordinary", "children", "excess").alias(f"at{k}")), "node", "left").drop("node")
+        words = words.withColumn("node", key).join(nodes.select("node", F.struct(*COUNTS).alias(f"at{k}")), "node", "left").drop("node")
 
     def ratios(batches):
         for batch in batches:
             out = []
             for word, *at in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
                 own = [
-                    numbers | {name: {node: x[name]} if x and x[name] else {} for name in ("ordinary", "children", "excess")}
+                    numbers | {name: {node: x[name]} if x and x[name] else {} for name in COUNTS}
                     for numbers, node, x in zip(slim.levels, chain(word), at, strict=True)
                 ]
                 out.append(Model(own).log_ratio(word) if word else 0.0)
@@ -233,27 +254,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         levels.append(_level(table))
         if levels[-1] is None:
             return Model([])
-    # ordinary counts of nodes below an excess: the other nodes' ratios do not depend on them
-    stems = None
-    for at in levels[1:]:
-        stems = at["over"].select("node") if stems is None else stems.unionAll(at["over"].select("node"))
-    stems = written(stems.distinct())
+    # nodes with an excess and their shorter forms: the counts of others cancel
     nodes = []
+    for k, at in enumerate(levels):
+        wanted = at["over"]
+        for shorter in levels[:k]:
+            wanted = wanted.unionAll(shorter["over"].select(F.substring("node", 1, LEVELS[k - 1]).alias("node"), F.lit(None).cast("double").alias("excess")))
+        found = at["table"].join(wanted.groupBy("node").agg(F.max("excess").alias("excess")), "node")
+        nodes.append(written(found.select("node", "ordinary", "children", (F.col("ordinary") + F.col("toxic")).alias("pooled"), "excess")))
     for at in levels:
-        found = at.pop("table").join(at.pop("over"), "node", "left")
-        near = F.col("excess").isNotNull()
-        for n in LEVELS:
-            found = found.join(stems.filter(F.length("node") == n).select(F.col("node").alias(f"stem{n}")), F.substring("node", 1, n) == F.col(f"stem{n}"), "left")
-            near = near | F.col(f"stem{n}").isNotNull()
-        nodes.append(written(found.filter(near).select("node", "ordinary", "children", "excess")))
+        del at["table"], at["over"]
     if sum(x.count() for x in nodes) > NODES:
         model = Model(levels, nodes=nodes)
     else:
         for at, x in zip(levels, nodes, strict=True):
             found = x.collect()
-            at["ordinary"] = {r.node: r.ordinary for r in found if r.ordinary}
-            at["children"] = {r.node: r.children for r in found}
-            at["excess"] = {r.node: r.excess for r in found if r.excess is not None}
+            for name in COUNTS:
+                at[name] = {r.node: r[name] for r in found if r[name]}
         model = Model(levels)
     fitting = known.filter(F.col("part") == FOLDS - 1).orderBy(F.xxhash64("doc_id"), "doc_id")
     both = fitting.filter("toxic = 1").limit(SAMPLE).unionAll(fitting.filter("toxic = 0").limit(SAMPLE))
@@ -264,28 +281,32 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _level(table: DataFrame) -> dict | None:
-    """Totals, the shared discount and backoff weight of a level, and its nodes with a toxic excess."""
+    """Totals, the shared discount and what it frees in each class, of a level, and its nodes with a toxic excess."""
     x = table.agg(
         F.sum("ordinary").alias("o"),
         F.sum("toxic").alias("t"),
-        F.sum((F.col("ordinary") == 1).cast("long") + (F.col("toxic") == 1).cast("long")).alias("once"),
-        F.sum((F.col("ordinary") == 2).cast("long") + (F.col("toxic") == 2).cast("long")).alias("twice"),
-        F.sum((F.col("ordinary") > 0).cast("long") + (F.col("toxic") > 0).cast("long")).alias("types"),
+        F.count_if(F.col("ordinary") + F.col("toxic") == 1).alias("once"),
+        F.count_if(F.col("ordinary") + F.col("toxic") == 2).alias("twice"),
+        F.count("*").alias("nodes"),
     ).first()
     if not x.o or not x.t:
         return None
     discount = max(x.once, 1) / (max(x.once, 1) + 2 * x.twice) if x.twice else 0.75
     expected = F.col("ordinary") * (x.t / x.o)
     over = table.select("node", (F.col("toxic") - discount - expected - MARGIN * F.sqrt(expected + 0.3)).alias("excess")).filter("excess > 0")
-    all_excess = over.agg(F.sum("excess")).first()[0] or 0.0
+    over = written(over)
+    own = table.join(over, "node").agg(F.sum("excess").alias("t"), F.sum(F.greatest(F.col("ordinary") - discount, F.lit(0.0))).alias("o")).first()
     return {
         "table": table,
+        "over": over,
+        "types": x.nodes,
         "ordinary_total": float(x.o),
         "toxic_total": float(x.t),
+        "pooled_total": float(x.o + x.t),
         "discount": discount,
-        "backoff": discount * x.types / (x.o + x.t),
-        "gamma": max(1 - all_excess / x.t, 1e-3),
-        "over": over,
+        "ordinary_rest": 1 - (own.o or 0) / x.o,
+        "toxic_rest": 1 - (own.t or 0) / x.t,
+        "pooled_rest": discount * x.nodes / (x.o + x.t),
     }
 
 

@@ -154,9 +154,55 @@ def test_search_of_small_tables(spark):
     assert ann.search(few.filter("vec_id > 9"), F.col("vec_id") == 0).count() == 0
 
 
+def test_search_with_repeated_ids_and_vectors_of_any_size(spark):
+    schema = "vec_id long, embedding array<double>, list string, score string, row string"
+    table = lambda rows: spark.createDataFrame([(i, v, "x", "y", "z") for i, v in rows], schema)
+    twice = table([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0])])
+    ranked = lambda found: [(r.query_id, r["rank"], r.vec_id) for r in found.orderBy("query_id", "rank").collect()]
+    assert ranked(ann.search(twice, F.col("vec_id") == 0, k=2)) == [(0, 1, 2), (0, 2, 1)]
+    apart = table([(0, [1.0, 0.0]), (0, [0.0, 5.0]), (1, [0.0, 4.0]), (2, [1.5, 0.0]), (2, [1.5, 0.0])])
+    assert ranked(ann.search(apart, F.col("vec_id") == 0)) == [(0, 1, 2), (0, 2, 2), (0, 3, 1)]
+    big = table([(0, [1e200, 0.0]), (1, [2e200, 0.0]), (2, [1e200, 3e200]), (3, [1e-200, 0.0]), (4, [3e-200, 0.0]), (5, [1.7e308, -1.7e308])])
+    got = [(r.vec_id, r.score) for r in ann.search(big, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert [i for i, _ in got] == [1, 3, 4, 2, 5] and np.allclose([x for _, x in got[:4]], [1e200, 1e200, 1e200, 3e200])
+    small = [(r.vec_id, r.score) for r in ann.search(big, F.col("vec_id") == 3).orderBy("rank").collect()]
+    assert small[0][0] == 4 and np.isclose(small[0][1], 2e-200, rtol=1e-12, atol=0)
+
+
 # --- 4: toxicity
 
 
+def test_class_models_sum_to_one(spark):
+    rows = [(i, f"plain{i % 90} common{i % 7} " + (f"vile{i % 50} vile{i % 50} foul" if i % 3 == 0 else f"vilest{i} word") * 2) for i in range(600)]
+    known = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.train(frame(spark, rows), known)
+    counts = [defaultdict(lambda: [0, 0]) for _ in range(4)]
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 5 not in (0, 4):
+            for x in t.encode().split():
+                counts[0][toxicity.expression(x) + "$"][i % 3 == 0] += 1
+    for k, n in enumerate(toxicity.LEVELS):
+        for node, c in counts[k].items():
+            for side in (0, 1):
+                counts[k + 1][node[:n]][side] += c[side] > 0
+    for k, at in enumerate(model.levels):  # the nodes that scoring does not need
+        assert at["excess"] and all(sum(counts[k][n]) == v for n, v in at["pooled"].items())
+        at["pooled"] = {n: sum(c) for n, c in counts[k].items()}
+        at["children"] = dict(Counter(n[: toxicity.LEVELS[k - 1]] for n in counts[k - 1])) if k else {}
+    chains = {n: toxicity.chain(n[:-1]) for n in counts[0]}
+    for side, rest in ((0, "ordinary_rest"), (1, "toxic_rest")):
+        unseen = 0.0
+        for k in (3, 2, 1, 0):
+            nodes = {c[k]: c[k:] for c in chains.values()}
+            at = model.levels[k]
+            if k == 3:
+                unseen = at[rest] * at["pooled_rest"] / (at["types"] + 1)
+            else:
+                above = {c[k + 1]: c[k + 1 :] for c in chains.values()}
+                unseen = at[rest] * (unseen + sum(model.probabilities(c)[side] / (model.levels[k + 1]["children"][n] + 1) for n, c in above.items()))
+            assert abs(sum(model.probabilities(c)[side] for c in nodes.values()) + unseen - 1) < 1e-9
+
+
 def test_toxicity_learns_rare_expressions(spark):
     rng = random.Random(2)
     rows, labels = [], []
@@ -241,6 +287,24 @@ def test_short_lines_match_equal_ones(spark):
     assert got == want and want[0] == [5, 9] and all(want[i][:6] == [0, 1, 2, 3, 4, 5] for i in range(1, 6))
 
 
+def test_lines_of_a_very_long_text(spark):
+    long = ["a b c d e f g h"] + [""] * (1 << 20) + ["q r s t u v w x", "own line of it"]
+    rows = [(1, "\n".join(long)), (2, "first\na b c d e f g h\nkept one\nx w v u t s r q"), (3, "\n".join([*long[:-1], "third"]))]
+    got = {r.doc_id: r for r in lines.line_dedup(frame(spark, rows)).collect()}
+    assert got[1].removed == [] and got[2].removed == [1, 3] and got[3].removed == [0, (1 << 20) + 1] and got[1].n_lines == (1 << 20) + 3
+    cut = {r.doc_id: r.text for r in lines.without_lines(frame(spark, rows)).collect()}
+    assert cut[1] == rows[0][1] and cut[2] == "first\nkept one" and cut[3] == "\n" * ((1 << 20) - 1) + "\nthird"
+
+
+def test_rows_with_one_id_lose_their_own_lines(spark):
+    rows = [(5, "one two three four\nfive six seven"), (5, "other words stand here\none two three four"), (5, "same text\nhere twice"), (5, "same text\nhere twice"), (4, "five six seven\nnew"), (None, "same text")]
+    got = Counter(r.text for r in lines.without_lines(frame(spark, rows)).collect())
+    fixed = Counter(["five six seven\nnew", "same text", "same text\nhere twice", ""])
+    # of the two that share a line, the one whose text's hash comes first keeps it
+    assert got - fixed in (Counter(["one two three four", "other words stand here"]), Counter(["", "other words stand here\none two three four"]))
+    assert sum(r.n_removed for r in lines.line_dedup(frame(spark, rows)).collect()) == 4
+
+
 def test_word_hashes_follow_words():
     text = "Ab  c\tab\n\n Ä c\r\nC".encode()
     words, at = hashed_words(text)
@@ -364,7 +428,11 @@ def test_chats_round_trip(spark):
     rows = [(c, t, role, x) for c in range(3) for t, (role, x) in enumerate(zip(["user", "assistant", None, "a\nb&n", "assistant", "tool", "<|x", "assistant"], hostile, strict=True))]
     rows += [(7, None, "user", "first"), (7, 100, "assistant", "z"), (7, 100, "assistant", "a"), (None, 0, "assistant", "alone")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, piece string")
-    out = chat.format_chats(df).select("conv_id", "n_turns", chat.parse(F.col("formatted")).alias("t"), chat.masked(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()
+    chats = chat.format_chats(df)
+    out = chat.masked(chats.select("*", chat.parse(F.col("formatted")).alias("t")), "conv_id", "n_turns", "t").collect()
+    for r in chats.collect():
+        spans = [r.formatted[s.start : s.start + s.length] for s in r.loss_spans]
+        assert [re.sub(r"<\\(\\*)\|", r"<\1|", x) for x in spans] == [x or "" for c, _, role, x in sorted(rows, key=lambda y: (y[0] or 0, -1 if y[1] is None else y[1], y[2] or "", y[3] or "")) if c == r.conv_id and role == "assistant"]
     turns = defaultdict(list)
     for c, t, role, x in rows:
         turns[c].append((-1 if t is None else t, role or "", x or ""))
@@ -383,11 +451,20 @@ def test_layouts(spark):
         '{"instruction":"do","output":null}': ("instruction", ["user:do", "assistant:"]),
         '{"prompt":"p","completion":"c"}': ("prompt_completion", ["user:p", "assistant:c"]),
         '{"question":"p","answer":"c"}': ("question_answer", ["user:p", "assistant:c"]),
+        '{"messages":[{"role":"system"},{"role":"user","content":"q"}],"prompt":"p"}': ("messages", ["system:", "user:q"]),
+        '{"messages":[{"role":"user","content":["a",1]},{"content":"x","name":"n"}]}': ("messages", ['user:["a",1]', ":x"]),
+        '{"odd":{"messages":[{"role":"user","content":"q"}]}}': (None, []), '{"messages":[]}': (None, []), "[1]": (None, []),
         '{"role":"human","text":"x"}': ("turn_row", ["user:x"]), '{"odd":1}': (None, []), "no json": (None, []),
     }
     df = spark.createDataFrame([(k,) for k in records], "record string")
     got = {r.record: (r.layout, [f"{t.role}:{t.text}" for t in r.turns]) for r in chat.canonical_turns(df, "record", "record").collect()}
     assert got == records
+    prints = chat.canonical_turns(df, "record", "record").select("fingerprint").distinct().count()
+    assert prints >= len(records) - 3  # lists, scalars and text that is no JSON have no paths
+    both = chat.format_records(df.select(F.lit(1).alias("conv_id"), F.col("record"), F.lit(None).cast("int").alias("turn")).filter("record LIKE '%odd%' OR record LIKE '%human%'"))
+    assert [(r.n_turns, r.n_unknown, r.formatted.count("<|im_start|>")) for r in both.collect()] == [(3, 2, 3)]
+    lost = chat.format_records(spark.createDataFrame([(3, 0, "{}")], "conv_id long, turn int, record string")).collect()
+    assert [(r.conv_id, r.n_turns, r.n_unknown, r.formatted) for r in lost] == [(3, 0, 1, "")]
 
 
 # --- 10: packing
