@@ -1,4 +1,7 @@
-"""Time windows and order that a question names, in English or Russian; a question is one string, so this is plain Python."""
+"""Time windows and order that a question names, in English or Russian.
+
+A question is one short string: the rules are plain Python, and ``question_time`` applies them to a column in Arrow batches.
+"""
 
 from __future__ import annotations
 
@@ -7,12 +10,48 @@ import datetime as dt
 import re
 from dataclasses import dataclass
 
-# Names of months by their first letters, of units of time, and words of order.
-MONTHS = {"jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12}
-MONTHS_RU = {"январ": 1, "феврал": 2, "март": 3, "апрел": 4, "мая": 5, "май": 5, "мае": 5, "июн": 6, "июл": 7, "август": 8, "сентябр": 9, "октябр": 10, "ноябр": 11, "декабр": 12}
-UNITS = {"day": "day", "week": "week", "month": "month", "year": "year", "дн": "day", "ден": "day", "недел": "week", "месяц": "month", "год": "year", "лет": "year"}
-EARLIEST = r"\b(earliest|first time|originally|at first|initially|впервые|изначально|сначала|самый первый)\b"
-LATEST = r"\b(latest|last time|most recent|most recently|newest|currently|последний раз|недавно|самый новый|сейчас)\b"
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Phrases that name a window relative to today, in the order in which they are tried.
+DAY_BEFORE_YESTERDAY = r"\b(the day before yesterday|позавчера)\b"
+YESTERDAY = r"\b(yesterday|вчера)\b"
+TODAY = r"\b(today|tonight|this morning|сегодня)\b"
+LAST_WEEK = r"\b(last|past|previous) week\b|прошлой неделе"
+THIS_WEEK = r"\bthis week\b|этой неделе"
+LAST_MONTH = r"\b(last|past|previous) month\b|прошлом месяце"
+THIS_MONTH = r"\bthis month\b|этом месяце"
+LAST_YEAR = r"\b(last|past|previous) year\b|прошлом году"
+THIS_YEAR = r"\bthis year\b|этом году"
+RECENTLY = r"\b(recently|lately)\b|недавно"
+# How long ago.
+AGO = r"\b(\d+|a|an|one|two|three|four|five|six|seven|eight|nine|ten)\s+(day|days|week|weeks|month|months|year|years)\s+ago\b"
+AGO_RU = r"\b(\d+)\s+(день|дня|дней|недел[юиь]|месяц|месяца|месяцев|год|года|лет)\s+назад\b"
+NUMBERS = {"a": 1, "an": 1, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10}
+UNITS_RU = {"д": "day", "н": "week", "м": "month", "г": "year", "л": "year"}
+MOST_AGO = 1000
+# Dates, months by name, years.
+ISO_DAY = r"\b(\d{4})-(\d{2})-(\d{2})\b"
+ISO_MONTH = r"\b(\d{4})-(\d{2})\b(?!-)"
+MONTH = (
+    r"\b(january|february|march|april|may|june|july|august|september|october|november|december|"
+    r"jan|feb|mar|apr|jun|jul|aug|sep|sept|oct|nov|dec)\b\.?(?:,?\s+(\d{4}))?"
+)
+MONTH_RU = r"\b(январ[ьяе]|феврал[ьяе]|март[ае]?|апрел[ьяе]|ма[йяе]|июн[ьяе]|июл[ьяе]|август[ае]?|сентябр[ьяе]|октябр[ьяе]|ноябр[ьяе]|декабр[ьяе])\b(?:\s+(\d{4}))?"
+STEMS_RU = {"янв": 1, "фев": 2, "мар": 3, "апр": 4, "ма": 5, "июн": 6, "июл": 7, "авг": 8, "сен": 9, "окт": 10, "ноя": 11, "дек": 12}
+#: These are also ordinary words: months only with a year, or after a cue.
+AMBIGUOUS = ("may", "march")
+CUE = r"\b(in|during|since|until|by|before|after|of|early|late|mid|last|this|next)$"
+YEAR = r"\b(?:in|during|since|в|во|за)\s+(\d{4})(?:\s*(?:году|г\.?))?\b"
+FIRST_YEAR, LAST_YEAR_KNOWN = 1900, 2200
+# Words that ask for an order, or for a time.
+EARLIEST = r"\b(first(?!\s+name)|earliest|initially|originally|at first|впервые|сначала|перв\w*|изначально)\b"
+LATEST = r"\b(latest|most recent(?:ly)?|last time|currently|current|now|these days|сейчас|теперь|последн\w*|в последний раз|текущ\w*)\b"
+ASKS_TIME = (
+    r"\b(when|what date|which day|how long|how many (?:days|weeks|months|years)|before|after|since|until|ago|"
+    r"когда|какого числа|сколько (?:дней|недель|месяцев|лет)|до того|после того|давно)\b"
+)
 
 
 @dataclass(frozen=True)
@@ -25,78 +64,110 @@ class Window:
         return first is not None and self.first <= last and self.last >= first
 
 
+def _days(today: dt.date, first: int, last: int | None = None) -> Window:
+    """Days from and to so many days after today."""
+    return Window(today + dt.timedelta(first), today + dt.timedelta(first if last is None else last))
+
+
 def _month(year: int, month: int) -> Window:
     return Window(dt.date(year, month, 1), dt.date(year, month, calendar.monthrange(year, month)[1]))
 
 
-def _shifted(today: dt.date, months: int) -> Window:
-    n = today.year * 12 + today.month - 1 + months
-    return _month(n // 12, n % 12 + 1)
+def _year(year: int) -> Window | None:
+    return Window(dt.date(year, 1, 1), dt.date(year, 12, 31)) if FIRST_YEAR <= year <= LAST_YEAR_KNOWN else None
 
 
-def _year(year: int) -> Window:
-    return Window(dt.date(year, 1, 1), dt.date(year, 12, 31))
+def _months_back(today: dt.date, n: int) -> Window:
+    year, month = divmod(today.year * 12 + today.month - 1 - n, 12)
+    return _month(year, month + 1)
 
 
-def _week(today: dt.date, weeks: int) -> Window:
-    monday = today - dt.timedelta(days=today.weekday()) + dt.timedelta(weeks=weeks)
-    return Window(monday, monday + dt.timedelta(days=6))
+_RELATIVE = [
+    (DAY_BEFORE_YESTERDAY, lambda t: _days(t, -2)),
+    (YESTERDAY, lambda t: _days(t, -1)),
+    (TODAY, lambda t: _days(t, 0)),
+    (LAST_WEEK, lambda t: _days(t, -t.weekday() - 7, -t.weekday() - 1)),
+    (THIS_WEEK, lambda t: _days(t, -t.weekday(), 0)),
+    (LAST_MONTH, lambda t: _months_back(t, 1)),
+    (THIS_MONTH, lambda t: _days(t, 1 - t.day, 0)),
+    (LAST_YEAR, lambda t: _year(t.year - 1)),
+    (THIS_YEAR, lambda t: Window(dt.date(t.year, 1, 1), t)),
+    (RECENTLY, lambda t: _days(t, -30, 0)),
+]
 
 
-def _relative(q: str, today: dt.date) -> Window | None:
-    day = lambda n: Window(today + dt.timedelta(days=n), today + dt.timedelta(days=n))
-    rules = [
-        (r"\bday before yesterday\b|\bпозавчера\b", lambda: day(-2)), (r"\byesterday\b|\bвчера\b", lambda: day(-1)), (r"\btoday\b|\bсегодня\b", lambda: day(0)), (r"\btomorrow\b|\bзавтра\b", lambda: day(1)),
-        (r"\blast week\b|\bна прошлой неделе\b|\bпрошлая неделя\b", lambda: _week(today, -1)), (r"\bthis week\b|\bна этой неделе\b", lambda: _week(today, 0)), (r"\bnext week\b|\bна следующей неделе\b", lambda: _week(today, 1)),
-        (r"\blast month\b|\bв прошлом месяце\b", lambda: _shifted(today, -1)), (r"\bthis month\b|\bв этом месяце\b", lambda: _shifted(today, 0)), (r"\blast year\b|\bв прошлом году\b", lambda: _year(today.year - 1)), (r"\bthis year\b|\bв этом году\b", lambda: _year(today.year)),
-    ]
-    return next((make() for pattern, make in rules if re.search(pattern, q)), None)
+def _ago(question: str, today: dt.date) -> Window | None:
+    if m := re.search(AGO, question):
+        n, unit = NUMBERS.get(m[1]) or int(m[1]), m[2].removesuffix("s")
+    elif m := re.search(AGO_RU, question):
+        n, unit = int(m[1]), UNITS_RU[m[2][0]]
+    else:
+        return None
+    if not 0 < n <= MOST_AGO:
+        return None
+    if unit == "day":
+        return _days(today, -n)
+    if unit == "week":  # about then
+        return _days(today, -7 * n - 3, -7 * n + 3)
+    return _months_back(today, n) if unit == "month" else _year(today.year - n)
+
+
+def _named_month(question: str, today: dt.date) -> Window | None:
+    for pattern in (MONTH, MONTH_RU):
+        m = re.search(pattern, question)
+        if not m:
+            continue
+        name, year = m[1], m[2]
+        if name in AMBIGUOUS and not year and not re.search(CUE, question[: m.start()].rstrip()):
+            continue
+        month = STEMS_RU.get(name[:3]) or STEMS_RU.get(name[:2]) or [x.lower() for x in calendar.month_abbr].index(name[:3])
+        if year and _year(int(year)) is None:
+            continue
+        # without a year, the last such month that has begun
+        return _month(int(year) if year else today.year - (month > today.month), month)
+    return None
 
 
-def _ago(q: str, today: dt.date) -> Window | None:
-    m = re.search(r"\b(\d{1,4}|a|an|one|two|three|один|одну|два|две|три)?\s*(day|week|month|year|дн|ден|недел|месяц|год|лет)\w*\s+(?:ago|назад)\b", q)
-    if not m:
-        return None
-    n = {"a": 1, "an": 1, "one": 1, "two": 2, "three": 3, "один": 1, "одну": 1, "два": 2, "две": 2, "три": 3, None: 1}.get(m[1]) or min(int(m[1]), 1000)
-    unit = UNITS[m[2]]
-    if unit == "month":
-        return _shifted(today, -n)
-    if unit == "year":
-        return _year(today.year - n) if today.year > n else None
-    mid, slack = today - dt.timedelta(days=n * (7 if unit == "week" else 1)), dt.timedelta(days=3 if unit == "week" else 0)
-    return Window(mid - slack, mid + slack)
-
-
-def _absolute(q: str, today: dt.date) -> Window | None:
-    if m := re.search(r"\b(\d{4})-(\d{2})-(\d{2})\b", q):
+def _absolute(question: str, today: dt.date) -> Window | None:
+    if (m := re.search(ISO_DAY, question)) and _year(int(m[1])):
         try:
-            return Window(*[dt.date(int(m[1]), int(m[2]), int(m[3]))] * 2)
+            return _days(dt.date(int(m[1]), int(m[2]), int(m[3])), 0)
         except ValueError:
             return None
-    if (m := re.search(r"\b(\d{4})-(\d{2})\b", q)) and 1 <= int(m[2]) <= 12:
+    if (m := re.search(ISO_MONTH, question)) and _year(int(m[1])) and 1 <= int(m[2]) <= 12:
         return _month(int(m[1]), int(m[2]))
-    m = re.search(r"\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)(?:uary|ruary|ch|il|e|y|ust|tember|ober|ember|\.)?\b(?:\s+(\d{4}))?", q)
-    # "may" and "march" are verbs, too: a month only with a year or a word like "in" before it
-    if m and (m[2] or m[1] not in ("may", "mar") or re.search(r"\b(in|since|until|during|of|last|by)\s+$", q[: m.start()])):
-        return _named(MONTHS[m[1]], m[2], today)
-    if m := re.search(r"\b(январ|феврал|март|апрел|мая|май|мае|июн|июл|август|сентябр|октябр|ноябр|декабр)\w*(?:\s+(\d{4}))?", q):
-        return _named(MONTHS_RU[m[1]], m[2], today)
-    if m := re.search(r"\b(?:in|since|during|в)\s+((?:19|20|21)\d{2})\b", q):
-        return _year(int(m[1]))
-    return None
-
-
-def _named(month: int, year: str | None, today: dt.date) -> Window:
-    """A month without a year is the last one that has begun."""
-    return _month(int(year) if year else today.year - (month > today.month), month)
+    if found := _named_month(question, today):
+        return found
+    return _year(int(m[1])) if (m := re.search(YEAR, question)) else None
 
 
 def window(question: str, today: dt.date) -> Window | None:
-    q = question.lower()
-    return _relative(q, today) or _ago(q, today) or _absolute(q, today)
+    """The days that a question names, relative ones first."""
+    q = question.casefold()
+    near = next((make(today) for pattern, make in _RELATIVE if re.search(pattern, q)), None)
+    return near or _ago(q, today) or _absolute(q, today)
 
 
 def order(question: str) -> str | None:
     """``earliest`` or ``latest``; the former where both are named."""
-    q = question.lower()
+    q = question.casefold()
     return "earliest" if re.search(EARLIEST, q) else "latest" if re.search(LATEST, q) else None
+
+
+def asks_time(question: str, today: dt.date) -> bool:
+    """Whether dates belong to the answer."""
+    return bool(re.search(ASKS_TIME, question.casefold())) or window(question, today) is not None
+
+
+def question_time(question: Column, today: dt.date) -> Column:
+    """Struct of first and last day (null without a window), order, and asks_time of each question."""
+
+    @F.pandas_udf("first date, last date, order string, asks_time boolean")
+    def parsed(questions: pd.Series) -> pd.DataFrame:
+        rows = []
+        for q in questions.fillna(""):
+            found = window(q, today)
+            rows.append((found and found.first, found and found.last, order(q), asks_time(q, today)))
+        return pd.DataFrame(rows, columns=["first", "last", "order", "asks_time"])
+
+    return parsed(question)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Patterns of secrets and what replaces them, applied in this order.
 SECRETS: list[tuple[str, str]] = [
@@ -23,19 +28,24 @@ CYRILLIC_ONE = ("абвгдеёзийклмнопрстуфыэўқғҳ", "abvgd
 CYRILLIC_MORE = {"ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ю": "yu", "я": "ya", "ъ": "", "ь": ""}
 
 
+#: Whether a text may hold any secret: one pass, so that the others cost no more.
+ANY_SECRET = "|".join(f"(?:{pattern})" for pattern, _ in SECRETS)
+
+
 def redact(text: Column) -> Column:
+    out = text
     for pattern, by in SECRETS:
-        text = F.regexp_replace(text, pattern, by)
-    return text
+        out = F.regexp_replace(out, pattern, by)
+    return F.when(text.rlike(ANY_SECRET), out).otherwise(text)
 
 
 def redactions(text: Column) -> Column:
     """How many secrets ``redact`` replaces; each step counts in what the steps before have left."""
-    n = F.lit(0)
+    n, left = F.lit(0), text
     for pattern, by in SECRETS:
-        n = n + F.regexp_count(text, F.lit(pattern))
-        text = F.regexp_replace(text, pattern, by)
-    return n
+        n = n + F.regexp_count(left, F.lit(pattern))
+        left = F.regexp_replace(left, pattern, by)
+    return F.when(text.rlike(ANY_SECRET), n).otherwise(F.when(text.isNotNull(), 0))
 
 
 def redact_map(values: Column) -> Column:
@@ -43,16 +53,84 @@ def redact_map(values: Column) -> Column:
     return F.transform_values(values, lambda k, v: F.when(k.rlike(SENSITIVE_KEY), F.lit("[REDACTED]")).otherwise(redact(v)))
 
 
+#: Code points that count as white space, as ranges.
+WHITE = [(0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
+_WHITE = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in WHITE) + "]+"
+#: Lower-case letters whose folding is another one or more; by Python's rule for all letters.
+FOLDED = {c: c.casefold() for c in map(chr, range(0x20000)) if c.lower() == c != c.casefold()}
+_ONE = {c: f for c, f in FOLDED.items() if len(f) == 1}
+_MORE = {c: f for c, f in FOLDED.items() if len(f) > 1}
+
+
+def casefolded(text: Column) -> Column:
+    """Unicode's full case folding; the few letters that fold to several cost a pass each, in texts that hold any."""
+    x = F.translate(F.lower(text), "".join(_ONE), "".join(_ONE.values()))
+    more = x
+    for letter, by in _MORE.items():
+        more = F.replace(more, F.lit(letter), F.lit(by))
+    return F.when(x.rlike(f"[{''.join(_MORE)}]"), more).otherwise(x)
+
+
 def normalised(text: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+    """Case-folded, with each run of white space as one space, and none at the ends."""
+    return casefolded(F.trim(F.regexp_replace(text, _WHITE, " ")))
+
+
+def casefolded_sql(x: str) -> str:
+    """The same for DuckDB."""
+    out = f"translate(lower({x}), '{''.join(_ONE)}', '{''.join(_ONE.values())}')"
+    for letter, by in _MORE.items():
+        out = f"replace({out}, '{letter}', '{by}')"
+    return out
+
+
+def normalised_sql(x: str) -> str:
+    return casefolded_sql(f"trim(regexp_replace({x}, '{_WHITE}', ' ', 'g'))")
+
+
+def redacted_sql(x: str) -> tuple[str, str]:
+    """Redacted text and number of redactions for DuckDB, each step on what the steps before have left."""
+    counts = []
+    for pattern, by in SECRETS:
+        counts.append(f"len(regexp_extract_all({x}, '{pattern}'))")
+        by = by.replace("$1", "\\1")
+        x = f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+    return x, " + ".join(counts)
 
 
 def content_hash(text: Column) -> Column:
     return F.sha2(normalised(text).cast("binary"), 256)
 
 
+def _scrubbed(value, patterns: list, sensitive):
+    """A JSON value without secrets, at any depth."""
+    if isinstance(value, dict):
+        return {k: "[REDACTED]" if sensitive.search(k) else _scrubbed(v, patterns, sensitive) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_scrubbed(v, patterns, sensitive) for v in value]
+    if isinstance(value, str):
+        for pattern, by in patterns:
+            value = pattern.sub(by, value)
+    return value
+
+
+@F.pandas_udf(T.StringType())
+def redact_json(texts: pd.Series) -> pd.Series:
+    """A JSON text without secrets in strings and without the values of sensitive keys, at any depth; null for what is no JSON."""
+    patterns = [(re.compile(p), by.replace("$1", r"\1")) for p, by in SECRETS]
+    sensitive = re.compile(SENSITIVE_KEY)
+
+    def scrub(text):
+        try:
+            return None if text is None else json.dumps(_scrubbed(json.loads(text), patterns, sensitive), ensure_ascii=False)
+        except ValueError:
+            return None
+
+    return texts.map(scrub)
+
+
 def slug(text: Column, fallback: str = "entity", size: int = 63) -> Column:
-    x = F.lower(F.trim(text))
+    x = casefolded(F.trim(text))
     for letter, by in CYRILLIC_MORE.items():
         x = F.replace(x, F.lit(letter), F.lit(by))
     x = F.translate(x, *CYRILLIC_ONE)
@@ -61,8 +139,8 @@ def slug(text: Column, fallback: str = "entity", size: int = 63) -> Column:
 
 
 def terms(text: Column, most: int = 32) -> Column:
-    """Distinct lower-cased search terms, in order of first sight."""
-    return F.slice(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?U)([\w./:@#-]+)"), 1), F.lower)), 1, most)
+    """Distinct case-folded search terms, in order of first sight."""
+    return F.slice(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?U)([\w./:@#-]+)"), 1), casefolded)), 1, most)
 
 
 def is_identifier(term: Column) -> Column:

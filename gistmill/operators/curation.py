@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gistmill.functions import text
+from gistmill.functions.scores import dot
+from gistmill.operators.graph import similar_pairs
 
 # Source roles from the strongest to the weakest evidence, and the order in which a merge takes the least trusted.
 AUTHORITY = ["user", "tool", "assistant", "agent", "inference"]
 WEAKEST_FIRST = ["agent", "assistant", "inference", "manual", "tool", "user"]
+TRUSTED = ("user", "manual", "tool")
 
 
 def first_of(roles: Column, order: list[str], default: str = "manual") -> Column:
@@ -59,9 +62,66 @@ def merged_fields(rows: DataFrame, *identity: str) -> DataFrame:
     return rows.groupBy(*identity).agg(
         F.max_by("id", F.struct("updated_at", "id")).alias("id"), F.min("confidence").alias("confidence"), F.min("document_date").alias("document_date"),
         F.bool_or("is_static").alias("is_static"), first_of(F.collect_set("source_role"), WEAKEST_FIRST).alias("source_role"), F.max("source_count").alias("source_count"),
+        *([F.array_sort(F.array_distinct(F.flatten(F.collect_set("event_dates")))).alias("event_dates")] if "event_dates" in rows.columns else []),
     )
 
 
+def identity() -> Column:
+    """What two claims must agree in before they can be one: scope, subject, kind, context in order of its keys, validity, role."""
+    context = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("context"))))
+    until = F.coalesce(F.date_format("valid_until", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(""))
+    return F.concat_ws("|", "scope_id", F.coalesce(F.col("subject_id").cast("string"), F.lit("")), "kind", context, until, "source_role")
+
+
+def restated(rows: DataFrame) -> DataFrame:
+    """id, first: claims that an older one of the same identity and wording makes already."""
+    keyed = rows.select("id", "created_at", identity().alias("__identity"), text.content_hash(F.col("text")).alias("__hash"))
+    first = keyed.groupBy("__identity", "__hash").agg(F.min(F.struct("created_at", "id")).alias("x"))
+    return keyed.join(first, ["__identity", "__hash"]).filter("id != x.id").select("id", F.col("x.id").alias("first"))
+
+
+def stated_before(rows: DataFrame, cosine: float = 0.9) -> DataFrame:
+    """id: claims (id, no, scope_id, status, h, v) whose wording, or nearly whose vector, an older active claim of the scope has."""
+    first = rows.filter("status = 'active'").groupBy("scope_id", "h").agg(F.min("no").alias("first"))
+    said = rows.join(first, ["scope_id", "h"]).filter("first < no").select("id")
+    pairs = similar_pairs(rows.select("id", "scope_id", "v"), cosine, "scope_id")
+    side = rows.select("id", "no", "status")
+    both = pairs.join(side.select(F.col("id").alias("a"), F.struct("no", "status").alias("x")), "a").join(side.select(F.col("id").alias("b"), F.struct("no", "status").alias("y")), "b")
+    forward = both.select(F.col("b").alias("id"), F.col("x.no").alias("old"), F.col("x.status").alias("status"), F.col("y.no").alias("new"))
+    back = both.select(F.col("a").alias("id"), F.col("y.no").alias("old"), F.col("y.status").alias("status"), F.col("x.no").alias("new"))
+    return said.unionAll(forward.unionAll(back).filter("status = 'active' AND old < new").select("id")).distinct()
+
+
+def last_good(revisions: DataFrame, current: DataFrame) -> DataFrame:
+    """memory_id, revision, valid_until: the last revision before the current one (memory_id, current) that was not superseded."""
+    past = revisions.filter("status != 'superseded'").join(current, "memory_id").filter("revision < current")
+    x = past.groupBy("memory_id").agg(F.max(F.struct("revision", "valid_until")).alias("x"))
+    return x.select("memory_id", "x.revision", "x.valid_until")
+
+
+def candidates(sessions: DataFrame, rows: DataFrame, key: str, recent: int = 6, most: int = 10) -> DataFrame:
+    """key, id, nth, arm: for each session the newest rows of its scope and language, then those nearest to its vector q in its scope, ``most`` in all.
+
+    The recent arm ranks a scope's rows once, and sessions take the first ones; the dense arm keeps the ``most`` best of each task before the shuffle.
+    """
+    newest = Window.partitionBy("scope_id", "lang").orderBy(F.desc("updated_at"), "id")
+    top = rows.withColumn("nth", F.row_number().over(newest)).filter(F.col("nth") <= recent).select("scope_id", "lang", "id", "nth")
+    first = sessions.join(top, ["scope_id", "lang"]).select(key, "id", "nth", F.lit("recent").alias("arm"))
+    held = first.groupBy(key).agg(F.count("*").alias("held"), F.collect_set("id").alias("own"))  # at most ``recent`` of each
+    asking = sessions.filter("q IS NOT NULL").join(held, key, "left")
+    near = asking.join(rows.filter("v IS NOT NULL").select("scope_id", "id", "v"), "scope_id")
+    near = near.filter(~F.coalesce(F.array_contains("own", F.col("id")), F.lit(False))).select(key, "id", "held", dot(F.col("v"), F.col("q")).alias("c"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("c"), "id")) + F.coalesce("held", F.lit(0))
+    return first.unionAll(near.withColumn("nth", place.cast("int")).filter(F.col("nth") <= most).select(key, "id", "nth", F.lit("dense")))
+
+
+def numbered_entities(offered: DataFrame, most: int) -> DataFrame:
+    """user_id, id, label, nth: of the entities offered to each speaker (user_id, id, place, label) each once, at its first place."""
+    once = offered.groupBy("user_id", "id").agg(F.min(F.struct("place", "label")).alias("x"))
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("x.place", "id"))
+    return once.withColumn("nth", nth).filter(F.col("nth") <= most).select("user_id", "id", F.col("x.label").alias("label"), "nth")
+
+
 def expired(rows: DataFrame, now: Column) -> DataFrame:
     return rows.filter((F.col("status") == "active") & (F.col("valid_until") <= now))
 
@@ -101,12 +161,17 @@ def outcomes(ops: DataFrame) -> DataFrame:
     return ops.withColumn("reason", reason)
 
 
-def new_version(rows: DataFrame, changes: DataFrame, *columns: str) -> DataFrame:
-    """Rows with the changed columns and the next revision, where a change names the current one; others as they were, marked as conflict."""
+def new_version(rows: DataFrame, changes: DataFrame, *columns: str, sticky: list[str] | None = None) -> DataFrame:
+    """Rows with the changed columns and the next revision, where a change names the current one; others as they were, marked as conflict.
+
+    A change that is null in a ``sticky`` column says nothing on it: the row keeps its value.
+    """
+    sticky = sticky or []
+    columns = (*columns, *sticky)
     c = changes.select("id", "expected_revision", *[F.col(x).alias(f"new_{x}") for x in columns])
     j = rows.join(c, "id", "left")
     hit = F.col("expected_revision") == F.col("revision")
-    out = [F.when(hit, F.col(f"new_{x}")).otherwise(F.col(x)).alias(x) for x in columns]
+    out = [F.when(hit, F.coalesce(f"new_{x}", x) if x in sticky else F.col(f"new_{x}")).otherwise(F.col(x)).alias(x) for x in columns]
     rest = [x for x in rows.columns if x not in columns and x != "revision"]
     return j.select(*rest, *out, F.when(hit, F.col("revision") + 1).otherwise(F.col("revision")).alias("revision"), (F.col("expected_revision").isNotNull() & ~hit).alias("conflict"))
 

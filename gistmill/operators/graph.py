@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gistmill.operators.components import components
@@ -35,16 +37,79 @@ def neighbours(edges: DataFrame, most: int = 3) -> DataFrame:
     return out.unionAll(back).distinct().withColumn("nth", nth).filter(F.col("nth") <= most)
 
 
-def similar_pairs(rows: DataFrame, threshold: float, *same: str, dot: Column | None = None) -> DataFrame:
-    """a, b, cosine of rows that agree in the columns ``same`` and whose vectors are similar."""
-    from gistmill.functions.scores import dot as product
+#: Vectors in a block; a task holds two blocks and the products between them.
+BLOCK = 1024
 
-    left = rows.select(*same, F.col("id").alias("a"), F.col("v").alias("va"))
-    right = rows.select(*same, F.col("id").alias("b"), F.col("v").alias("vb"))
-    pairs = left.join(right, list(same)).filter("a < b").withColumn("cosine", product(F.col("va"), F.col("vb")))
-    return pairs.filter(F.col("cosine") >= threshold).select("a", "b", "cosine")
+
+def block_products(rows: DataFrame, same: list[str], keep, schema: str) -> DataFrame:
+    """What ``keep`` makes of each pair of blocks of rows that agree in the columns ``same``.
+
+    A group, however large, is cut into blocks by hashes of ids, and each pair of blocks is one task's matrix product, so all pairs are
+    seen and none is a row.  ``keep`` takes ids and the products of two blocks (in equal blocks those of a block with itself) and gives a table.
+    Rows with a null vector take no part; nulls in ``same`` form a group of their own.
+    """
+    rows = rows.filter("v IS NOT NULL").select(F.struct(*same).alias("g"), "id", "v")
+    blocks = rows.groupBy(F.col("g").alias("h")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(blocks, F.col("g").eqNullSafe(F.col("h"))).select("g", "id", "v", "blocks").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    # a block meets itself and each other block once
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = rows.select("g", "id", "v", "own", each).select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "v")
+
+    def products(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        own, ids = table.column("own").to_numpy(), np.array(table.column("id").to_pylist(), dtype=object)
+        x = np.array(table.column("v").to_pylist(), dtype=float)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        return keep(ids[left], ids[right], x[left] @ x[right].T if len(left) and len(right) else np.zeros((len(left), len(right))), i == j)
+
+    return dealt.groupBy("g", "i", "j").applyInArrow(products, schema)
+
+
+def similar_pairs(rows: DataFrame, threshold: float, *same: str) -> DataFrame:
+    """a, b, cosine of rows (id, v) that agree in the columns ``same`` and whose vectors are similar; a comes before b."""
+
+    def keep(left, right, products, within: bool) -> pa.Table:
+        x, y = np.nonzero(products >= threshold)
+        a, b = left[x], right[y]
+        once = a < b if within else np.ones(len(a), dtype=bool)
+        a, b, c = a[once], b[once], products[x, y][once]
+        low, high = np.where(a < b, a, b), np.where(a < b, b, a)
+        return pa.table({"a": pa.array(low, pa.string()), "b": pa.array(high, pa.string()), "cosine": pa.array(c, pa.float64())})
+
+    return block_products(rows, list(same), keep, "a string, b string, cosine double")
+
+
+def nearest(rows: DataFrame, k: int, floor: float, *same: str) -> DataFrame:
+    """id, other, cosine, nth: for each row its k most similar others at or above a floor, within the groups of ``same``."""
+
+    def keep(left, right, products, within: bool) -> pa.Table:
+        out: list[list] = [[], [], []]
+        for ids, others, p in ((left, right, products), (right, left, products.T))[: 1 if within else 2]:
+            for n, name in enumerate(ids):
+                at = np.flatnonzero((p[n] >= floor) & (others != name))
+                at = at[np.lexsort((others[at].astype(str), -p[n][at]))][:k]
+                out[0] += [name] * len(at)
+                out[1] += others[at].tolist()
+                out[2] += p[n][at].tolist()
+        return pa.table({"id": pa.array(out[0], pa.string()), "other": pa.array(out[1], pa.string()), "cosine": pa.array(out[2], pa.float64())})
+
+    found = block_products(rows, list(same), keep, "id string, other string, cosine double")
+    nth = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))
+    return found.withColumn("nth", nth).filter(F.col("nth") <= k)
 
 
 def clusters(pairs: DataFrame) -> DataFrame:
     """node, cluster: each member of a pair with the smallest member that it reaches."""
     return components(pairs).select("node", F.col("component").alias("cluster"))
+
+
+def semantic_groups(pairs: DataFrame, wording: DataFrame, most: int = 6) -> DataFrame:
+    """node, cluster, size, oversized: clusters of similar rows, without those whose members all have one wording (columns id, wording).
+
+    Clusters of more than ``most`` members are named, but too large to be merged.
+    """
+    found = clusters(pairs)
+    told = found.join(wording.select(F.col("id").alias("node"), "wording"), "node", "left")
+    size = told.groupBy("cluster").agg(F.count("*").alias("size"), F.count_distinct("wording").alias("wordings"), F.count_if(F.col("wording").isNull()).alias("unknown"))
+    kept = size.filter((F.col("wordings") + F.col("unknown")) > 1).select("cluster", "size", (F.col("size") > most).alias("oversized"))
+    return found.join(kept, "cluster").select("node", "cluster", "size", "oversized")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gistmill.operators.curation import TRUSTED
+
 # The blocks in order, and the share of the budget that each may spend; the last one may spend what is left.
 SHARES = {"about": 0.20, "style": 0.35, "team": 0.20, "project": 0.20, "recent": 0.05}
 #: Rows that a block may offer.
@@ -54,3 +56,8 @@ def unrepeated(ranked: DataFrame, redundant: DataFrame, *by: str) -> DataFrame:
     start = F.array().cast("array<string>")
     kept = ranked.join(told, "id", "left").groupBy(*by).agg(F.aggregate(items, start, lambda s, x: F.when(F.arrays_overlap(s, x["of"]), s).otherwise(F.array_append(s, x["id"]))).alias("ids"))
     return kept.select(*by, F.posexplode("ids").alias("place", "id"))
+
+
+def shown() -> Column:
+    """Whether a profile shows a claim: of a trusted role, or an inference that someone has confirmed."""
+    return F.col("source_role").isin(*TRUSTED) | ((F.col("source_role") == "inference") & (F.col("review_status") == "confirmed"))

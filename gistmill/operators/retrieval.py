@@ -5,48 +5,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gistmill.functions import scores, text
+from gistmill.functions import fulltext, scores, text
 from gistmill.functions.scores import Policy
+from gistmill.lineage import written
 from gistmill.operators import filters
 
 
-def dense_arm(rows: DataFrame, vector: Column, limit: int) -> DataFrame:
-    """id, dense: the rows nearest to a vector; rows without a vector take no part."""
-    near = rows.filter(F.col("v").isNotNull()).select("id", scores.dot(F.col("v"), vector).alias("s"))
-    return near.orderBy(F.desc("s"), "id").limit(limit).select("id", F.greatest("s", F.lit(0.0)).alias("dense"))
+def measured(rows: DataFrame, query: str, vector: Column) -> DataFrame:
+    """The rows with what the three arms rank by: ``near`` (null without a vector), ``hits`` of the query's stems, ``named``.
+
+    ``named`` tells whether a row holds an identifier of the query literally.  Rows that carry ``stems`` are not stemmed again.
+    """
+    stems = F.col("stems") if "stems" in rows.columns else fulltext.stems(F.col("text"))
+    names = F.transform(text.identifiers(F.lit(query)), F.lower)
+    out = rows.withColumn("stems", stems)
+    return out.withColumns(
+        {
+            "near": F.when(F.col("v").isNotNull(), scores.dot(F.col("v"), vector)),
+            "hits": fulltext.hits(F.col("stems"), fulltext.asked(query)),
+            "named": F.exists(names, lambda x: F.contains(F.lower("text"), x)),
+            "cost": text.token_count(F.col("text")),
+        }
+    )
 
 
-def lexical_arm(rows: DataFrame, query: str, limit: int) -> DataFrame:
-    """id, lexical: rows that hold any term of the query, by how often, over the best."""
-    known = text.terms(F.lit(query))
-    said = F.transform(F.regexp_extract_all("text", F.lit(r"(?U)([\w./:@#-]+)"), 1), F.lower)
-    hits = F.size(F.filter(said, lambda x: F.array_contains(known, x)))
-    top = rows.select("id", hits.alias("hits")).filter("hits > 0").orderBy(F.desc("hits"), "id").limit(limit)
+def dense_arm(rows: DataFrame, limit: int) -> DataFrame:
+    """id, dense: the rows nearest to the vector; rows without a vector take no part."""
+    return rows.filter("near IS NOT NULL").orderBy(F.desc("near"), "id").limit(limit).select("id", F.greatest("near", F.lit(0.0)).alias("dense"))
+
+
+def lexical_arm(rows: DataFrame, limit: int) -> DataFrame:
+    """id, lexical: rows that hold words of the query, whatever their forms, by how often, over the best."""
+    top = rows.filter("hits > 0").orderBy(F.desc("hits"), "id").limit(limit)
     return top.select("id", (F.col("hits") / F.max("hits").over(Window.partitionBy())).alias("lexical"))
 
 
-def entity_arm(rows: DataFrame, query: str, limit: int) -> DataFrame:
+def entity_arm(rows: DataFrame, limit: int) -> DataFrame:
     """id, entity: rows that hold an identifier of the query literally."""
-    names = F.transform(text.identifiers(F.lit(query)), F.lower)
-    holds = F.exists(names, lambda x: F.contains(F.lower("text"), x))
-    return rows.filter(holds).orderBy(F.desc("updated_at"), "id").limit(limit).select("id", F.lit(1.0).alias("entity"))
+    return rows.filter("named").orderBy(F.desc("updated_at"), "id").limit(limit).select("id", F.lit(1.0).alias("entity"))
 
 
-def search(rows: DataFrame, query: str, vector: Column, policy: Policy, now: Column, scopes: list[str], limit: int = 30, expression: dict | None = None, order: str | None = None, window: tuple[Column, Column] | None = None) -> DataFrame:
+#: What scoring reads of a memory; texts and vectors stay where they are.
+_SCORED = ["id", "scope_id", "kind", "importance", "updated_at", "event_start", "event_end", "document_date", "valid_until", "status", "source_role", "review_status", "source_count"]
+
+
+def search(rows: DataFrame, query: str, vector: Column, policy: Policy, now: Column, scopes: list[str], limit: int = 30, expression: dict | None = None, order: str | None = None, window: tuple[Column, Column] | None = None, reranker=None) -> DataFrame:
     """id, rank, score and its parts.  ``rows`` holds memories with their vectors ``v``.
 
+    Texts and vectors are read once; what the arms rank by and scoring needs is written without them, and all that follows reads this.
     Guards come before the floor, and the floor before importance, recency and the other boosts, so that
-    a search without relevant rows stays empty.
+    a search without relevant rows stays empty.  ``reranker`` is any function from such rows to rows with other ranks and scores.
     """
     readable = filters.matching(rows.filter(F.col("scope_id").isin(scopes) & (F.col("status") == "active")), expression)
+    slim = written(measured(readable, query, vector).select(*_SCORED, "near", "hits", "named", "cost"))
     most = max(50, 3 * limit)
-    arms = [dense_arm(readable, vector, most), lexical_arm(readable, query, most), entity_arm(readable, query, most)]
+    arms = [dense_arm(slim, most), lexical_arm(slim, most), entity_arm(slim, most)]
     merged = arms[0]
     for arm in arms[1:]:
         merged = merged.unionByName(arm, allowMissingColumns=True)
     merged = merged.groupBy("id").agg(*[F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in ("dense", "lexical", "entity")])
     # the arms give 3 * max(50, 3 * limit) candidates at most
-    kept = readable.join(F.broadcast(merged), "id").filter(filters.live(now) & F.col("source_role").isin(*policy.trusted))
+    kept = slim.join(F.broadcast(merged), "id").filter(filters.live(now) & F.col("source_role").isin(*policy.trusted))
     kept = kept.withColumn("relevance", scores.relevance(policy, F.col("dense"), F.col("lexical"), F.col("entity"))).filter(F.col("relevance") >= policy.floor)
     recent = scores.recency(policy, now, F.col("kind"), F.col("importance"), F.col("updated_at"), F.col("event_start"), F.col("event_end"), F.col("document_date"))
     boost = F.when(filters.in_range(*window), policy.temporal).otherwise(0.0) if window else F.lit(0.0)
@@ -60,7 +79,19 @@ def search(rows: DataFrame, query: str, vector: Column, policy: Policy, now: Col
         kept = kept.withColumn("score", F.col("score") + policy.order * order_bonus(order))
     rank = F.row_number().over(Window.orderBy(F.desc("score"), "id"))
     top = kept.orderBy(F.desc("score"), "id").limit(most)
-    return top.select("id", rank.alias("rank"), "score", "relevance", "dense", "lexical", "entity", text.token_count(F.col("text")).alias("cost"), "scope_id", "kind", "text")
+    out = top.select("id", rank.alias("rank"), "score", "relevance", "dense", "lexical", "entity", "cost", "scope_id", "kind")
+    return reranker(out) if reranker else out
+
+
+def raw_search(turns: DataFrame, vector: Column, scopes: list[str], limit: int = 30, expression: dict | None = None) -> DataFrame:
+    """message_id, session_id, scope_id, text, created_at, similarity: user turns nearest to a vector, in scopes that may be read.
+
+    ``turns`` has id, session_id, scope_id, role, content, created_at and v; each counts as kind ``evidence``, without tags or subject.
+    """
+    rows = turns.withColumns({"kind": F.lit("evidence"), "tags": F.array().cast("array<string>"), "subject_id": F.lit(None).cast("string")})
+    rows = filters.matching(rows.filter(F.col("scope_id").isin(scopes) & (F.col("role") == "user") & F.col("v").isNotNull()), expression)
+    near = rows.withColumn("s", scores.dot(F.col("v"), vector)).orderBy(F.desc("s"), "id").limit(limit)
+    return near.select(F.col("id").alias("message_id"), "session_id", "scope_id", F.col("content").alias("text"), "created_at", F.round("s", 4).alias("similarity"))
 
 
 def order_bonus(order: str) -> Column:

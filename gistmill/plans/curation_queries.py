@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gistmill.functions import text
-from gistmill.operators import curation, filters, retrieval
+from gistmill.functions import scores, text
+from gistmill.operators import curation, filters, graph, profiles, retrieval
 from gistmill.plans.registry import query
 from gistmill.sources import fixtures as fx
 
@@ -15,7 +15,7 @@ LIVE = f"status = 'active' AND (valid_until IS NULL OR valid_until > {NOW})"
 TOKENS = r"greatest(1, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')))"
 
 
-@query("memory_scopes", "SELECT m.id, e.kind AS scope_kind, c_name AS subject, a.c_custkey AS author FROM memories m JOIN entities e ON e.id = m.scope_id LEFT JOIN customer s ON s.c_custkey = m.subject_id LEFT JOIN (SELECT c_custkey FROM customer) a ON a.c_custkey = m.author_id".replace("c_name AS", "s.c_name AS"))
+@query("memory_scopes", "SELECT m.id, e.kind AS scope_kind, s.c_name AS subject, a.c_custkey AS author FROM memories m JOIN entities e ON e.id = m.scope_id LEFT JOIN customer s ON s.c_custkey = m.subject_id LEFT JOIN (SELECT c_custkey FROM customer) a ON a.c_custkey = m.author_id")
 def memory_scopes(spark, sf):
     c = fx.table(spark, sf, "customer").select("c_custkey", "c_name")
     m = fx.memories(spark, sf).select("id", "scope_id", "subject_id", "author_id")
@@ -24,10 +24,10 @@ def memory_scopes(spark, sf):
     return out.join(c.select(F.col("c_custkey").alias("author_id"), F.col("c_custkey").alias("author")), "author_id", "left").select("id", "scope_kind", "subject", "author")
 
 
-@query("visible_scopes", "SELECT user_id, entity_id FROM (SELECT DISTINCT c_custkey AS user_id, e.id AS entity_id FROM customer CROSS JOIN (SELECT * FROM entities) e LEFT JOIN memberships m ON m.entity_id = e.id WHERE c_custkey <= 50 AND NOT e.archived AND e.kind <> 'user' AND (e.visibility = 'team' OR m.user_id = c_custkey))")
+@query("visible_scopes", "SELECT user_id, entity_id FROM (SELECT DISTINCT c_custkey AS user_id, e.id AS entity_id FROM customer CROSS JOIN (SELECT * FROM entities) e LEFT JOIN memberships m ON m.entity_id = e.id WHERE NOT e.archived AND e.kind <> 'user' AND (e.visibility = 'team' OR m.user_id = c_custkey))")
 def visible_scopes(spark, sf):
     """Own memberships, and what the team may see: two equi joins instead of one condition with OR."""
-    users = fx.table(spark, sf, "customer").filter("c_custkey <= 50").select(F.col("c_custkey").alias("user_id"))
+    users = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
     e = fx.entities(spark, sf).filter("NOT archived AND kind != 'user'").select(F.col("id").alias("entity_id"), "visibility")
     own = fx.memberships(spark, sf).join(users, "user_id").join(e, "entity_id").select("user_id", "entity_id")
     shared = users.crossJoin(F.broadcast(e.filter("visibility = 'team'").select("entity_id")))  # one row for each team scope
@@ -46,7 +46,7 @@ def teammates(spark, sf):
     return o.join(o.withColumnRenamed("user_id", "mate"), "entity_id").filter("user_id != mate").select("user_id", "mate").distinct()
 
 
-@query("alias_owner", "SELECT alias_norm, min(c_custkey) AS owner FROM (SELECT c_custkey, lower(trim(c_mktsegment)) AS alias_norm FROM customer) GROUP BY alias_norm")
+@query("alias_owner", f"SELECT alias_norm, min(c_custkey) AS owner FROM (SELECT c_custkey, {text.normalised_sql('c_mktsegment')} AS alias_norm FROM customer) GROUP BY alias_norm")
 def alias_owner(spark, sf):
     a = fx.table(spark, sf, "customer").select("c_custkey", text.normalised(F.col("c_mktsegment")).alias("alias_norm"))
     return curation.first_seen(a, "alias_norm", by="c_custkey").select("alias_norm", F.col("c_custkey").alias("owner"))
@@ -58,7 +58,7 @@ def workspace_scope(spark, sf):
     return fx.memories(spark, sf).select("id", "author_id", "scope_id").join(w, ["author_id", "scope_id"], "left").select("id", F.coalesce("found", F.lit("private")).alias("scope"))
 
 
-@query("message_sessions", "SELECT session_id, count(*) AS n, min(created_at) AS started, max(created_at) AS ended, count(DISTINCT memory_id) AS memories FROM messages g LEFT JOIN evidence e ON e.message_id = g.id GROUP BY session_id".replace("count(*) AS n", "count(DISTINCT g.id) AS n"))
+@query("message_sessions", "SELECT session_id, count(DISTINCT g.id) AS n, min(created_at) AS started, max(created_at) AS ended, count(DISTINCT memory_id) AS memories FROM messages g LEFT JOIN evidence e ON e.message_id = g.id GROUP BY session_id")
 def message_sessions(spark, sf):
     g = fx.messages(spark, sf)
     said = g.groupBy("session_id").agg(F.count("*").alias("n"), F.min("created_at").alias("started"), F.max("created_at").alias("ended"))
@@ -82,9 +82,10 @@ def prev_revision(spark, sf):
     return fx.revisions(spark, sf).select("memory_id", "revision", (F.length("text") - before).cast("bigint").alias("grown"))
 
 
-@query("last_good_revision", "SELECT memory_id, max(revision) AS revision FROM revisions WHERE status <> 'superseded' GROUP BY memory_id")
+@query("last_good_revision", "SELECT r.memory_id, max(r.revision) AS revision, arg_max(r.valid_until, r.revision) AS valid_until FROM revisions r JOIN memories m ON m.id = r.memory_id WHERE r.status <> 'superseded' AND r.revision < m.revision GROUP BY r.memory_id")
 def last_good_revision(spark, sf):
-    return fx.revisions(spark, sf).filter("status != 'superseded'").groupBy("memory_id").agg(F.max("revision").alias("revision"))
+    """The last revision before the current one that was not superseded, with its validity."""
+    return curation.last_good(fx.revisions(spark, sf), fx.memories(spark, sf).select(F.col("id").alias("memory_id"), F.col("revision").alias("current")))
 
 
 @query("top_excerpts", "SELECT memory_id, message_id, nth FROM (SELECT e.memory_id, e.message_id, row_number() OVER (PARTITION BY e.memory_id ORDER BY e.message_id DESC, start_char) AS nth FROM evidence e JOIN messages g ON g.id = e.message_id WHERE sha256(substr(content, start_char + 1, end_char - start_char)) = sha) WHERE nth <= 3")
@@ -104,9 +105,10 @@ def extraction_gate(spark, sf):
     return curation.gate(fx.messages(spark, sf), 6)
 
 
-@query("dedup_ingest", "SELECT user_id, min(id) AS id FROM (SELECT id, user_id, lower(substr(content, 1, 12)) AS ext FROM messages) GROUP BY user_id, ext")
+@query("dedup_ingest", "SELECT user_id, min(id) AS id FROM (SELECT id, user_id, sha256(content) AS ext FROM messages) GROUP BY user_id, ext")
 def dedup_ingest(spark, sf):
-    rows = fx.messages(spark, sf).select("id", "user_id", F.lower(F.substring("content", 1, 12)).alias("ext"))
+    """One message of each user and delivery; the delivery's name is the digest of all that it says."""
+    rows = fx.messages(spark, sf).select("id", "user_id", F.sha2(F.col("content").cast("binary"), 256).alias("ext"))
     return curation.first_seen(rows, "user_id", "ext", by="id").select("user_id", "id")
 
 
@@ -136,7 +138,8 @@ def reinforce(spark, sf):
     return new.join(cited, ["memory_id", "session_id"], "left_anti").groupBy("memory_id").agg(F.count_distinct("session_id").alias("fresh"))
 
 
-_DUP = rf"SELECT lang, sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS group_hash, arg_max(id, (updated_at, id)) AS survivor, count(*) AS members FROM memories WHERE {LIVE} GROUP BY ALL HAVING count(*) > 1"
+_NORM = text.normalised_sql("text")
+_DUP = f"SELECT lang, sha256({_NORM}) AS group_hash, arg_max(id, (updated_at, id)) AS survivor, count(*) AS members FROM memories WHERE {LIVE} GROUP BY ALL HAVING count(*) > 1"
 
 
 @query("exact_duplicates", _DUP)
@@ -144,16 +147,26 @@ def exact_duplicates(spark, sf):
     return curation.exact_groups(fx.memories(spark, sf).filter(filters.live(fx.now())), "lang")
 
 
-@query("find_duplicate", rf"SELECT id, min(first) AS first FROM (SELECT id, min(id) OVER (PARTITION BY lang, sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))))) AS first FROM memories WHERE {LIVE}) WHERE id <> first GROUP BY id")
+_IDENTITY = "scope_id, subject_id, kind, lang, valid_until, source_role"
+
+
+@query("find_duplicate", f"SELECT id, first FROM (SELECT id, arg_min(id, (created_at, id)) OVER (PARTITION BY {_IDENTITY}, sha256({_NORM})) AS first FROM memories WHERE {LIVE}) WHERE id <> first")
 def find_duplicate(spark, sf):
-    rows = fx.memories(spark, sf).filter(filters.live(fx.now())).select("id", "lang", text.content_hash(F.col("text")).alias("h"))
-    first = rows.groupBy("lang", "h").agg(F.min("id").alias("first"))
-    return rows.join(first, ["lang", "h"]).filter("id != first").select("id", "first")
+    """Live claims that say exactly what an older one of the same identity says."""
+    rows = fx.memories(spark, sf).filter(filters.live(fx.now())).withColumn("context", F.create_map(F.lit("lang"), "lang"))
+    return curation.restated(rows)
+
+
+@query("identity", f"SELECT id, scope_id || '|' || coalesce(CAST(subject_id AS VARCHAR), '') || '|' || kind || '|{{\"lang\":\"' || lang || '\"}}|' || coalesce(strftime(valid_until, '%Y-%m-%dT%H:%M:%SZ'), '') || '|' || source_role AS identity FROM memories")
+def identity(spark, sf):
+    rows = fx.memories(spark, sf).withColumn("context", F.create_map(F.lit("lang"), "lang"))
+    return rows.select("id", curation.identity().alias("identity"))
 
 
-@query("merge_survivor", "SELECT lang, kind, arg_max(id, (updated_at, id)) AS id, min(confidence) AS confidence, min(document_date) AS document_date, bool_or(is_static) AS is_static, CASE WHEN bool_or(source_role = 'assistant') THEN 'assistant' WHEN bool_or(source_role = 'inference') THEN 'inference' ELSE 'user' END AS source_role, max(source_count) AS source_count FROM memories GROUP BY ALL")
+@query("merge_survivor", "SELECT lang, kind, arg_max(id, (updated_at, id)) AS id, min(confidence) AS confidence, min(document_date) AS document_date, bool_or(is_static) AS is_static, CASE WHEN bool_or(source_role = 'assistant') THEN 'assistant' WHEN bool_or(source_role = 'inference') THEN 'inference' ELSE 'user' END AS source_role, max(source_count) AS source_count, coalesce(string_agg(DISTINCT strftime(event_start, '%Y-%m-%d'), ',' ORDER BY strftime(event_start, '%Y-%m-%d')), '') AS event_dates FROM memories GROUP BY ALL")
 def merge_survivor(spark, sf):
-    return curation.merged_fields(fx.memories(spark, sf), "lang", "kind")
+    rows = fx.memories(spark, sf).withColumn("event_dates", F.array_compact(F.array(F.date_format("event_start", "yyyy-MM-dd"))))
+    return curation.merged_fields(rows, "lang", "kind").withColumn("event_dates", F.array_join("event_dates", ","))
 
 
 @query("expiry_sweep", f"SELECT id FROM memories WHERE status = 'active' AND valid_until <= {NOW}")
@@ -185,11 +198,13 @@ def apply_ops_outcome(spark, sf):
     return curation.outcomes(ops).groupBy("op", "reason").agg(F.count("*").alias("n"))
 
 
-@query("update_version", "SELECT id, CASE WHEN no % 4 = 0 AND no % 8 = 0 THEN 'edited' ELSE kind END AS kind, CASE WHEN no % 8 = 0 THEN revision + 1 ELSE revision END AS revision, no % 8 = 4 AS conflict FROM memories")
+@query("update_version", "SELECT id, CASE WHEN no % 8 = 0 THEN 'edited' ELSE kind END AS kind, CASE WHEN no % 8 = 0 AND no % 16 = 0 THEN TIMESTAMP '2023-05-05' ELSE event_start END AS event_start, CASE WHEN no % 8 = 0 THEN revision + 1 ELSE revision END AS revision, no % 8 = 4 AS conflict FROM memories")
 def update_version(spark, sf):
-    m = fx.memories(spark, sf).select("no", "id", "kind", "revision")
-    changes = m.filter("no % 4 = 0").select("id", F.lit("edited").alias("kind"), F.when(F.col("no") % 8 == 0, F.col("revision")).otherwise(F.col("revision") + 7).alias("expected_revision"))
-    return curation.new_version(m, changes, "kind").select("id", "kind", "revision", "conflict")
+    """Changes that name the current revision are taken; what they say nothing on (null) stays."""
+    m = fx.memories(spark, sf).select("no", "id", "kind", "event_start", "revision")
+    n = F.col("no")
+    changes = m.filter("no % 4 = 0").select("id", F.lit("edited").alias("kind"), F.when(n % 16 == 0, F.lit("2023-05-05").cast("timestamp")).alias("event_start"), F.when(n % 8 == 0, F.col("revision")).otherwise(F.col("revision") + 7).alias("expected_revision"))
+    return curation.new_version(m, changes, "kind", sticky=["event_start"]).select("id", "kind", "event_start", "revision", "conflict")
 
 
 @query("status_changes", "SELECT id, CASE review_status WHEN 'declined' THEN 'archived' ELSE 'active' END AS status FROM memories WHERE review_status <> 'pending'")
@@ -204,20 +219,20 @@ def add_relation_check(spark, sf):
     return e.select("from_id", "to_id", "relation", ((F.col("x") == F.col("y")) & (F.col("from_id") != F.col("to_id"))).alias("allowed"))
 
 
-@query("already_stated", rf"WITH h AS (SELECT id, no, scope_id, sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS h FROM memories) SELECT DISTINCT f.id FROM h f JOIN h o ON o.h = f.h AND o.no < f.no WHERE f.no % 2 = 1")
+@query("already_stated", f"""WITH h AS (SELECT id, no, scope_id, sha256({_NORM}) AS h, status FROM memories), said AS (SELECT f.id FROM h f JOIN h o ON o.h = f.h AND o.scope_id = f.scope_id AND o.no < f.no WHERE o.status = 'active'),
+ near AS (SELECT a.id FROM vectors a JOIN vectors b ON b.id <> a.id JOIN h f ON f.id = a.id JOIN h o ON o.id = b.id WHERE o.scope_id = f.scope_id AND o.status = 'active' AND o.no < f.no AND list_dot_product(a.v, b.v) >= 0.45)
+ SELECT id FROM said UNION SELECT id FROM near""")
 def already_stated(spark, sf):
-    h = fx.memories(spark, sf).select("id", "no", text.content_hash(F.col("text")).alias("h"))
-    first = h.groupBy("h").agg(F.min("no").alias("first"))
-    return h.filter("no % 2 = 1").join(first, "h").filter("first < no").select("id")
+    """Claims whose words an older active claim of their scope has, or to whose vector one is near."""
+    m = fx.memories(spark, sf).select("id", "no", "scope_id", "status", text.content_hash(F.col("text")).alias("h"))
+    return curation.stated_before(m.join(fx.vectors(spark, sf).select("id", "v"), "id", "left"), cosine=0.45)
 
 
-@query("forget_plan", "SELECT id FROM memories m JOIN vectors v USING (id) JOIN (SELECT v AS q FROM vectors WHERE no = 0) ON true WHERE status = 'active' AND list_dot_product(v, q) >= 0.3".replace("USING (id)", "ON v.id = m.id").replace("SELECT id FROM", "SELECT m.id FROM").replace("list_dot_product(v, q)", "list_dot_product(v.v, q)"))
+@query("forget_plan", "SELECT m.id FROM memories m JOIN vectors v ON v.id = m.id JOIN (SELECT v AS q FROM vectors WHERE no = 0) ON true WHERE status = 'active' AND list_dot_product(v.v, q) >= 0.3")
 def forget_plan(spark, sf):
-    from gistmill.functions.scores import dot
-
     v = fx.vectors(spark, sf)
     q = F.array(*map(F.lit, v.filter("no = 0").select("v").first()[0]))
-    hit = v.filter(dot(F.col("v"), q) >= 0.3).select("id")
+    hit = v.filter(scores.dot(F.col("v"), q) >= 0.3).select("id")
     return fx.memories(spark, sf).filter("status = 'active'").select("id").join(hit, "id", "left_semi")
 
 
@@ -256,7 +271,7 @@ def dream_page(spark, sf):
     return fx.memories(spark, sf).filter(after).orderBy("updated_at", "id").limit(40).select("id", "updated_at")
 
 
-@query("dream_watermark", "SELECT scope_id, max(updated_at) AS at, arg_max(id, (updated_at, id)) AS id FROM memories GROUP BY scope_id".replace("AS at", "AS seen_at"))
+@query("dream_watermark", "SELECT scope_id, max(updated_at) AS seen_at, arg_max(id, (updated_at, id)) AS id FROM memories GROUP BY scope_id")
 def dream_watermark(spark, sf):
     x = fx.memories(spark, sf).groupBy("scope_id").agg(F.max(F.struct("updated_at", "id")).alias("x"))
     return x.select("scope_id", F.col("x.updated_at").alias("seen_at"), F.col("x.id").alias("id"))
@@ -265,9 +280,9 @@ def dream_watermark(spark, sf):
 _DURABLE = "is_static DESC, importance DESC, source_count DESC, updated_at DESC, id"
 
 
-@query("profile_durable", f"SELECT scope_id, id, nth FROM (SELECT scope_id, id, row_number() OVER (PARTITION BY scope_id ORDER BY {_DURABLE}) AS nth FROM memories WHERE {LIVE} AND source_role IN ('user', 'manual', 'tool') AND kind = 'preference') WHERE nth <= 10")
+@query("profile_durable", f"SELECT scope_id, id, nth FROM (SELECT scope_id, id, row_number() OVER (PARTITION BY scope_id ORDER BY {_DURABLE}) AS nth FROM memories WHERE {LIVE} AND (source_role IN ('user', 'manual', 'tool') OR source_role = 'inference' AND review_status = 'confirmed') AND kind = 'preference') WHERE nth <= 10")
 def profile_durable(spark, sf):
-    m = fx.memories(spark, sf).filter(filters.live(fx.now()) & F.col("source_role").isin("user", "manual", "tool") & (F.col("kind") == "preference"))
+    m = fx.memories(spark, sf).filter(filters.live(fx.now()) & profiles.shown() & (F.col("kind") == "preference"))
     order = Window.partitionBy("scope_id").orderBy(F.desc("is_static"), F.desc("importance"), F.desc("source_count"), F.desc("updated_at"), "id")
     return m.withColumn("nth", F.row_number().over(order)).filter("nth <= 10").select("scope_id", "id", "nth")
 
@@ -315,17 +330,40 @@ def review_queue(spark, sf):
     return a.unionAll(b).unionAll(c)
 
 
-@query("candidate_block", "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY scope_id, lang ORDER BY updated_at DESC, id) AS nth FROM memories WHERE status = 'active') WHERE nth <= 6")
+@query("candidate_block", """WITH s AS (SELECT c_custkey AS user_id, 'src' || CAST(c_custkey % 20 AS VARCHAR) AS scope_id, ['en', 'de', 'fr', 'es'][c_custkey % 4 + 1] AS lang, lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS asked FROM customer),
+ a AS (SELECT m.*, v.v FROM memories m LEFT JOIN vectors v ON v.id = m.id WHERE status = 'active'),
+ r AS (SELECT user_id, a.id, row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC, a.id) AS nth FROM s JOIN a ON a.scope_id = s.scope_id AND a.lang = s.lang),
+ n AS (SELECT * FROM r WHERE nth <= 6), k AS (SELECT user_id, count(*) AS k FROM n GROUP BY user_id),
+ d AS (SELECT s.user_id, a.id, list_dot_product(a.v, q.v) AS c FROM s JOIN vectors q ON q.id = s.asked JOIN a ON a.scope_id = s.scope_id AND a.v IS NOT NULL WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.user_id = s.user_id AND n.id = a.id)),
+ e AS (SELECT d.user_id, d.id, row_number() OVER (PARTITION BY d.user_id ORDER BY c DESC, d.id) AS nth, coalesce(k, 0) AS k FROM d LEFT JOIN k ON k.user_id = d.user_id)
+ SELECT user_id, id, nth, 'recent' AS arm FROM n UNION ALL SELECT user_id, id, nth + k, 'dense' FROM e WHERE nth + k <= 10""")
 def candidate_block(spark, sf):
-    order = Window.partitionBy("scope_id", "lang").orderBy(F.desc("updated_at"), "id")
-    return fx.memories(spark, sf).filter("status = 'active'").withColumn("nth", F.row_number().over(order)).filter("nth <= 6").select("id")
-
-
-@query("prompt_entities", "SELECT id, nth FROM (SELECT id, row_number() OVER (ORDER BY CASE kind WHEN 'team' THEN 0 WHEN 'project' THEN 1 ELSE 2 END, id) AS nth FROM entities WHERE NOT archived) WHERE nth <= 40")
+    """What an extraction may change: for each session the newest of its scope and context, filled up to ten with those near to what was said."""
+    c = F.col("c_custkey")
+    sessions = fx.table(spark, sf, "customer").select(
+        c.alias("user_id"), F.concat(F.lit("src"), (c % 20).cast("string")).alias("scope_id"), F.element_at(F.array(*map(F.lit, ["en", "de", "fr", "es"])), (c % 4 + 1).cast("int")).alias("lang"), F.lpad(c.cast("string"), 8, "0").alias("asked")
+    )
+    v = fx.vectors(spark, sf).select("id", "v")
+    sessions = sessions.join(v.select(F.col("id").alias("asked"), F.col("v").alias("q")), "asked", "left")
+    rows = fx.memories(spark, sf).filter("status = 'active'").select("id", "scope_id", "lang", "updated_at").join(v, "id", "left")
+    return curation.candidates(sessions, rows, "user_id")
+
+
+@query("prompt_entities", """WITH u AS (SELECT c_custkey AS user_id FROM customer), o AS (
+ SELECT user_id, 'user' || CAST(user_id AS VARCHAR) AS id, 0 AS place, 'you' AS label FROM u UNION ALL SELECT user_id, 'src0', 1, 'team' FROM u
+ UNION ALL SELECT m.user_id, e.id, 2, e.kind FROM memberships m JOIN entities e ON e.id = m.entity_id WHERE NOT e.archived AND e.kind NOT IN ('user', 'team')
+ UNION ALL SELECT a.user_id, 'user' || CAST(b.user_id AS VARCHAR), 3, 'teammate' FROM memberships a JOIN memberships b ON a.entity_id = b.entity_id AND a.user_id <> b.user_id WHERE a.role = 'owner' AND b.role = 'owner'),
+ f AS (SELECT user_id, id, min(place) AS place, arg_min(label, place) AS label FROM o GROUP BY user_id, id), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY place, id) AS nth FROM f)
+ SELECT user_id, id, label, nth FROM n WHERE nth <= 40""")
 def prompt_entities(spark, sf):
-    place = F.when(F.col("kind") == "team", 0).when(F.col("kind") == "project", 1).otherwise(2)
-    top = fx.entities(spark, sf).filter("NOT archived").withColumn("place", place).orderBy("place", "id").limit(40)
-    return top.select("id", F.row_number().over(Window.orderBy("place", "id")).alias("nth"))
+    """The numbered entities that a speaker may name: themself, the team, their projects, teammates; the first forty."""
+    users = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
+    e = fx.entities(spark, sf)
+    own = users.select("user_id", F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("id"), F.lit(0).alias("place"), F.lit("you").alias("label"))
+    team = users.crossJoin(F.broadcast(e.filter("kind = 'team'").select("id").limit(1))).select("user_id", "id", F.lit(1), F.lit("team"))  # an instance has one team
+    projects = fx.memberships(spark, sf).join(e.filter("NOT archived AND kind NOT IN ('user', 'team')").select(F.col("id").alias("entity_id"), "kind"), "entity_id").select("user_id", F.col("entity_id"), F.lit(2), "kind")
+    mates = teammates(spark, sf).select("user_id", F.concat(F.lit("user"), F.col("mate").cast("string")), F.lit(3), F.lit("teammate"))
+    return curation.numbered_entities(own.unionAll(team).unionAll(projects).unionAll(mates), 40)
 
 
 @query("index_parity", "SELECT 'missing' AS side, m.id FROM memories m WHERE status = 'active' AND NOT EXISTS (SELECT 1 FROM vectors v WHERE v.id = m.id) UNION ALL SELECT 'orphan', v.id FROM vectors v WHERE NOT EXISTS (SELECT 1 FROM memories m WHERE m.id = v.id AND m.status = 'active')")
@@ -334,13 +372,6 @@ def index_parity(spark, sf):
     return live.join(there, "id", "left_anti").select(F.lit("missing").alias("side"), "id").unionAll(there.join(live, "id", "left_anti").select(F.lit("orphan"), "id"))
 
 
-@query("duplicate_veto", "SELECT a.id AS a, b.id AS b, round(list_dot_product(a.v, b.v), 4) AS p FROM vectors a JOIN vectors b ON a.label = b.label AND a.id < b.id WHERE coalesce(list_dot_product(a.v, b.v), 0) >= 0.35")
-def duplicate_veto(spark, sf):
-    from gistmill.operators import graph
-
-    return graph.similar_pairs(fx.vectors(spark, sf), 0.35, "label").select("a", "b", F.round("cosine", 4).alias("p"))
-
-
 @query("memory_summary", "SELECT id, kind, scope_id, round(CAST(importance AS DOUBLE), 3) AS importance, round(CAST(confidence AS DOUBLE), 4) AS confidence, strftime(updated_at, '%Y-%m-%dT%H:%M:%SZ') AS updated_at, length(text) AS size FROM memories")
 def memory_summary(spark, sf):
     return fx.memories(spark, sf).select("id", "kind", "scope_id", F.round(F.col("importance").cast("double"), 3).alias("importance"), F.round(F.col("confidence").cast("double"), 4).alias("confidence"), F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("updated_at"), F.length("text").cast("bigint").alias("size"))
@@ -358,8 +389,6 @@ def memory_summary(spark, sf):
   FROM f JOIN t ON t.scope_id = f.scope_id AND t.k = f.k + 1))
  SELECT scope_id, CASE b WHEN 0 THEN 'about' WHEN 1 THEN 'style' ELSE 'recent' END AS block, nth, id, cost FROM f WHERE took""")
 def profile_render(spark, sf):
-    from gistmill.operators import profiles
-
     m = fx.memories(spark, sf).filter(filters.live(fx.now()) & F.col("source_role").isin("user", "manual", "tool")).withColumn("cost", text.token_count(F.col("text")))
     durable = [F.desc("is_static"), F.desc("importance"), F.desc("source_count"), F.desc("updated_at"), "id"]
     recent = [F.desc(F.greatest("document_date", "updated_at")), "id"]
@@ -377,7 +406,5 @@ def round_robin(spark, sf):
 
 @query("cluster_subsets", "WITH c AS (SELECT conv_id AS no, list_distinct(list(length(text) % 7)) AS members FROM conversations GROUP BY conv_id) SELECT no FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.no < a.no AND list_has_all(b.members, a.members))")
 def cluster_subsets(spark, sf):
-    from gistmill.operators import profiles
-
     c = fx.table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("no")).agg(F.collect_set(F.length("text") % 7).alias("members"))
     return profiles.without_subsets(c).select("no")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gistmill.functions import dates, scores, text
 from gistmill.functions.scores import Policy
-from gistmill.operators import filters, graph, retrieval
+from gistmill.operators import filters, graph, listing, retrieval
 from gistmill.plans.registry import query
 from gistmill.sources import fixtures as fx
 
@@ -15,6 +15,8 @@ SCOPES = ["src0", "src1", "src4", "src8", "src12", "src16"]
 IN_SCOPES = "scope_id IN ('src0','src1','src4','src8','src12','src16')"
 LIVE = f"status = 'active' AND (valid_until IS NULL OR valid_until > {NOW})"
 ASKED = "idiot worthless the STTE"
+#: Words whose stems ``ASKED`` asks for; "the" is a stop word.
+FORMS = "('idiot', 'idiots', 'idiotic', 'idiotically', 'worthless', 'worthlessness', 'worthlessly', 'stte', 'sttes')"
 TERM = r"[\p{L}\p{N}_./:@#-]+"
 
 
@@ -31,7 +33,7 @@ def _probe(spark, sf):
 _ARMS = f"""asked AS (SELECT v AS q FROM vectors WHERE no = 0),
 base AS (SELECT m.*, v.v FROM memories m LEFT JOIN vectors v ON m.id = v.id WHERE {IN_SCOPES} AND status = 'active'),
 da AS (SELECT id, greatest(list_dot_product(v, q), 0) AS dense FROM base, asked WHERE v IS NOT NULL ORDER BY list_dot_product(v, q) DESC, id LIMIT 90),
-lh AS (SELECT id, len(list_filter(regexp_extract_all(text, '{TERM}'), lambda x: lower(x) IN ('idiot', 'worthless', 'the', 'stte'))) AS hits FROM base),
+lh AS (SELECT id, len(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda x: x IN {FORMS})) AS hits FROM base),
 lt AS (SELECT * FROM lh WHERE hits > 0 ORDER BY hits DESC, id LIMIT 90),
 la AS (SELECT id, hits / max(hits) OVER () AS lexical FROM lt),
 ea AS (SELECT id FROM base WHERE contains(lower(text), 'stte') ORDER BY updated_at DESC, id LIMIT 90),
@@ -111,13 +113,7 @@ def rerank_blend(spark, sf):
 @query("knn_neighbours", """WITH p AS (SELECT a.id AS id, b.id AS other, list_dot_product(a.v, b.v) AS s FROM vectors a JOIN vectors b ON a.label = b.label AND a.id <> b.id),
  r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS nth FROM p WHERE s >= 0.2) SELECT id, other, round(s, 4) AS cosine, nth FROM r WHERE nth <= 3""")
 def knn_neighbours(spark, sf):
-    from pyspark.sql import Window
-
-    v = fx.vectors(spark, sf)
-    pairs = v.select("label", "id", "v").join(v.select("label", F.col("id").alias("other"), F.col("v").alias("w")), "label").filter("id != other")
-    near = pairs.withColumn("s", scores.dot(F.col("v"), F.col("w"))).filter("s >= 0.2")
-    nth = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s"), "other"))
-    return near.withColumn("nth", nth).filter("nth <= 3").select("id", "other", F.round("s", 4).alias("cosine"), "nth")
+    return graph.nearest(fx.vectors(spark, sf), 3, 0.2, "label").select("id", "other", F.round("cosine", 4).alias("cosine"), "nth")
 
 
 @query("similar_pairs", "SELECT a.id AS a, b.id AS b, round(list_dot_product(a.v, b.v), 4) AS cosine FROM vectors a JOIN vectors b ON a.label = b.label AND a.id < b.id WHERE list_dot_product(a.v, b.v) >= 0.3")
@@ -125,10 +121,13 @@ def similar_pairs(spark, sf):
     return graph.similar_pairs(fx.vectors(spark, sf), 0.3, "label").withColumn("cosine", F.round("cosine", 4))
 
 
-@query("semantic_clusters", """WITH RECURSIVE e AS (SELECT a.id AS a, b.id AS b FROM vectors a JOIN vectors b ON a.label = b.label AND a.id <> b.id WHERE list_dot_product(a.v, b.v) >= 0.3),
- r AS (SELECT a AS node, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON r.node = e.a) SELECT node, min(root) AS cluster FROM r GROUP BY node""")
+@query("semantic_clusters", f"""WITH RECURSIVE e AS (SELECT a.id AS a, b.id AS b FROM vectors a JOIN vectors b ON a.label = b.label AND a.id <> b.id WHERE list_dot_product(a.v, b.v) >= 0.3),
+ r AS (SELECT a AS node, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON r.node = e.a), c AS (SELECT node, min(root) AS cluster FROM r GROUP BY node),
+ z AS (SELECT cluster, count(*) AS size FROM c LEFT JOIN (SELECT id, {text.normalised_sql("text")} AS w FROM memories) m ON m.id = c.node GROUP BY cluster HAVING count(DISTINCT w) + count(*) FILTER (w IS NULL) > 1)
+ SELECT node, c.cluster, size, size > 6 AS oversized FROM c JOIN z ON z.cluster = c.cluster""")
 def semantic_clusters(spark, sf):
-    return graph.clusters(graph.similar_pairs(fx.vectors(spark, sf), 0.3, "label"))
+    wording = fx.memories(spark, sf).select("id", text.normalised(F.col("text")).alias("wording"))
+    return graph.semantic_groups(graph.similar_pairs(fx.vectors(spark, sf), 0.3, "label"), wording)
 
 
 @query("filter_eq", "SELECT id FROM memories WHERE kind = 'fact' AND lang = 'de'")
@@ -168,17 +167,16 @@ def time_range(spark, sf):
     return fx.memories(spark, sf).filter(filters.in_range(at("2023-03-01"), at("2023-04-15"))).select("id")
 
 
-@query("list_facets", "SELECT id, row_number() OVER (ORDER BY importance DESC, id) AS nth, count(*) OVER () AS total FROM memories WHERE kind = 'fact' AND status = 'active' AND text ILIKE '%idiot%' AND review_status = 'confirmed'")
-def list_facets(spark, sf):
-    from pyspark.sql import Window
+_LISTED = "kind = 'fact' AND status = 'active' AND review_status = 'confirmed' AND source_role = 'user' AND list_contains(tags, 'en') AND importance >= CAST(0.2 AS FLOAT) AND created_at >= TIMESTAMP '2022-06-01' AND created_at <= TIMESTAMP '2024-01-20'"
+
 
-    given = {"kind": "fact", "status": "active", "review_status": "confirmed", "scope_id": None}
-    rows = fx.memories(spark, sf)
-    for column, value in given.items():
-        if value is not None:
-            rows = rows.filter(F.col(column) == value)
-    rows = rows.filter(F.col("text").ilike("%idiot%"))
-    return rows.select("id", F.row_number().over(Window.orderBy(F.desc("importance"), "id")).alias("nth"), F.count("*").over(Window.partitionBy()).alias("total"))
+@query("list_facets", f"""WITH m AS (SELECT * FROM memories WHERE {_LISTED} AND (text ILIKE '%idiot%' OR len(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda x: x IN ('idiot', 'idiots', 'idiotic'))) > 0))
+ SELECT id, nth, total FROM (SELECT id, row_number() OVER (ORDER BY importance DESC, id) AS nth, count(*) OVER () AS total FROM m) WHERE nth > 2 AND nth <= 27""")
+def list_facets(spark, sf):
+    asked = {"kind": "fact", "status": "active", "review_status": "confirmed", "source_role": "user", "subject_id": None, "tag": "en", "importance_min": 0.2, "created_from": "2022-06-01", "created_to": "2024-01-20", "query": "idiot"}
+    found = listing.listed(fx.memories(spark, sf), asked)
+    page = listing.page(found, "importance", limit=25, offset=2)
+    return page.select("id", "nth").crossJoin(F.broadcast(found.agg(F.count("*").alias("total"))))  # one row
 
 
 @query("identifier_match", "SELECT id FROM memories WHERE contains(lower(text), 'stte') OR contains(lower(text), '%%%')")
@@ -188,35 +186,44 @@ def identifier_match(spark, sf):
     return fx.memories(spark, sf).filter(found).select("id")
 
 
-@query("redact", r"""SELECT id, regexp_replace(regexp_replace(regexp_replace(text, '((?i)bearer|(?i)authorization:)\s+\S+', '\1 [REDACTED]', 'g'),
- '(?i)\b(\w*(?:secret|token|password|passwd|api[_-]?key|credential|private[_-]?key|access[_-]?key)\w*)\s*[=:]\s*\S+', '\1=[REDACTED]', 'g'), '://[^:/\s]+:[^@/\s]+@', '://[CRED]@', 'g') AS clean,
- CAST(len(regexp_extract_all(text, '((?i)bearer|(?i)authorization:)\s+\S+')) + len(regexp_extract_all(text, '(?i)\b(\w*(?:secret|token|password|passwd|api[_-]?key|credential|private[_-]?key|access[_-]?key)\w*)\s*[=:]\s*\S+')) + len(regexp_extract_all(text, '://[^:/\s]+:[^@/\s]+@')) AS BIGINT) AS n
- FROM memories WHERE text NOT LIKE '%sk-%' AND text NOT LIKE '%pk-%' AND text NOT LIKE '%AKIA%' AND text NOT LIKE '%gh__%' AND text NOT LIKE '%AIza%' AND text NOT LIKE '%eyJ%' AND text NOT LIKE '%PRIVATE%'""")
+_CLEAN, _COUNT = text.redacted_sql("text")
+
+
+@query("redact", f"SELECT id, {_CLEAN} AS clean, CAST({_COUNT} AS BIGINT) AS n FROM memories")
 def redact(spark, sf):
-    rows = fx.memories(spark, sf)
-    for other in ("%sk-%", "%pk-%", "%AKIA%", "%gh__%", "%AIza%", "%eyJ%", "%PRIVATE%"):
-        rows = rows.filter(~F.col("text").like(other))
-    return rows.select("id", text.redact(F.col("text")).alias("clean"), text.redactions(F.col("text")).cast("bigint").alias("n"))
+    return fx.memories(spark, sf).select("id", text.redact(F.col("text")).alias("clean"), text.redactions(F.col("text")).cast("bigint").alias("n"))
 
 
-@query("content_hash", r"SELECT id, sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS content_hash FROM memories")
+@query("content_hash", f"SELECT id, sha256({text.normalised_sql('text')}) AS content_hash FROM memories")
 def content_hash(spark, sf):
     return fx.memories(spark, sf).select("id", text.content_hash(F.col("text")).alias("content_hash"))
 
 
-@query("alias_norm", r"SELECT c_custkey AS id, lower(trim(regexp_replace('  ' || c_name || '   X ', '\s+', ' ', 'g'))) AS alias_norm FROM customer")
+_ODD = "['Straße', 'GROẞ', 'ſpät', 'ΣΊΣΥΦΟΣ', 'ŉ', 'ﬁx ﬀ', 'İx', 'Ǆ', 'ПРИВЕТ']"
+
+
+@query("casefold", f"SELECT c_custkey AS id, {text.normalised_sql('c_name || chr(160) || chr(8195) || x || chr(28)')} AS folded FROM customer, (SELECT unnest({_ODD}) AS x) WHERE x <> 'İx'")
+def casefold(spark, sf):
+    odd = F.explode(F.array(*[F.lit(x) for x in ["Straße", "GROẞ", "ſpät", "ΣΊΣΥΦΟΣ", "ŉ", "ﬁx ﬀ", "Ǆ", "ПРИВЕТ"]])).alias("x")
+    c = fx.table(spark, sf, "customer").select("c_custkey", "c_name", odd)
+    return c.select(F.col("c_custkey").alias("id"), text.normalised(F.concat("c_name", F.lit("\u00a0\u2003"), "x", F.lit("\x1c"))).alias("folded"))
+
+
+@query("alias_norm", f"SELECT c_custkey AS id, {text.normalised_sql("'  ' || c_name || '   X '")} AS alias_norm FROM customer")
 def alias_norm(spark, sf):
     return fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), text.normalised(F.concat(F.lit("  "), "c_name", F.lit("   X "))).alias("alias_norm"))
 
 
-@query("slugify", r"SELECT id, CASE WHEN s = '' THEN 'entity' ELSE substr(s, 1, 63) END AS slug FROM (SELECT id, regexp_replace(regexp_replace(lower(trim(substr(text, 1, 120))), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM memories)")
+@query("slugify", f"SELECT id, CASE WHEN s = '' THEN 'entity' ELSE substr(s, 1, 63) END AS slug FROM (SELECT id, regexp_replace(regexp_replace({text.casefolded_sql('trim(text)')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM memories)")
 def slugify(spark, sf):
-    return fx.memories(spark, sf).select("id", text.slug(F.substring("text", 1, 120)).alias("slug"))
+    return fx.memories(spark, sf).select("id", text.slug(F.col("text")).alias("slug"))
 
 
-@query("search_terms", f"SELECT no, array_to_string(list_slice(list_transform(list_filter(range(1, len(t) + 1), lambda i: list_position(t, t[i]) = i), lambda i: t[i]), 1, 32), ' ') AS terms FROM (SELECT no, list_transform(regexp_extract_all(substr(text, 1, 400), '{TERM}'), lambda x: lower(x)) AS t FROM memories)")
+@query("search_terms", f"""WITH w AS (SELECT no, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM (SELECT no, regexp_extract_all({text.casefolded_sql('text')}, '{TERM}') AS t FROM memories)),
+ f AS (SELECT no, term, min(pos) AS pos FROM w GROUP BY no, term), n AS (SELECT *, row_number() OVER (PARTITION BY no ORDER BY pos) AS nth FROM f)
+ SELECT m.no, coalesce(string_agg(term, ' ' ORDER BY pos) FILTER (nth <= 32), '') AS terms FROM memories m LEFT JOIN n ON n.no = m.no GROUP BY m.no""")
 def search_terms(spark, sf):
-    return fx.memories(spark, sf).select("no", F.array_join(text.terms(F.substring("text", 1, 400)), " ").alias("terms"))
+    return fx.memories(spark, sf).select("no", F.array_join(text.terms(F.col("text")), " ").alias("terms"))
 
 
 @query("token_count", r"SELECT id, CAST(greatest(1, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'))) AS INTEGER) AS tokens FROM memories")

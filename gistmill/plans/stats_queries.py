@@ -98,7 +98,7 @@ def spend_by_user(spark, sf):
     c = fx.calls(spark, sf).filter(F.date_format("created_at", "yyyy-MM") == "2024-01").groupBy("user_id").agg(F.sum("cost").alias("spend"), F.count("*").alias("calls"))
     named = c.join(fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name")), "user_id")
     named = named.groupBy("name").agg(F.sum("spend").alias("spend"), F.sum("calls").alias("calls"))
-    return named.select("name", F.col("spend").cast("double").alias("spend"), "calls", F.row_number().over(Window.orderBy(F.desc("spend"), "name")).alias("nth"))
+    return stats.ranked(named, [F.desc("spend"), F.asc("name")]).select("name", F.col("spend").cast("double").alias("spend"), "calls", "nth")
 
 
 @query("review_flow", f"""SELECT CAST(created_at AS DATE) AS day, 'opened' AS key, count(*) AS value FROM memories WHERE review_status = 'pending' AND created_at >= {NOW} - to_days(60) GROUP BY ALL
@@ -131,7 +131,7 @@ def stats_entities(spark, sf):
 
 
 @query("stats_users", f"""SELECT c_custkey AS user_id, (SELECT count(*) FROM memories m WHERE m.author_id = c_custkey AND m.created_at >= {NOW} - to_days(30)) AS memories, (SELECT count(*) FROM memories m WHERE m.author_id = c_custkey) AS memories_all_time,
- (SELECT count(*) FROM searches s WHERE s.user_id = c_custkey AND s.created_at >= {NOW} - to_days(30)) AS searches, (SELECT count(DISTINCT session_id) FROM messages g WHERE g.user_id = c_custkey) AS sessions,
+ (SELECT count(*) FROM searches s WHERE s.user_id = c_custkey AND s.created_at >= {NOW} - to_days(30)) AS searches, (SELECT count(DISTINCT session_id) FROM messages g WHERE g.user_id = c_custkey) AS sessions, (SELECT count(*) FROM memberships b WHERE b.user_id = c_custkey) AS memberships,
  (SELECT CAST(coalesce(sum(cost), 0) AS DOUBLE) FROM calls j WHERE j.user_id = c_custkey AND strftime(j.created_at, '%Y-%m') = '2024-01') AS month_spend FROM customer""")
 def stats_users(spark, sf):
     """Correlated counts are aggregated once each and joined."""
@@ -140,6 +140,7 @@ def stats_users(spark, sf):
         fx.memories(spark, sf).groupBy(F.col("author_id").alias("user_id")).agg(F.count_if(F.col("created_at") >= since).alias("memories"), F.count("*").alias("memories_all_time")),
         fx.searches(spark, sf).filter(F.col("created_at") >= since).groupBy("user_id").agg(F.count("*").alias("searches")),
         fx.messages(spark, sf).groupBy("user_id").agg(F.count_distinct("session_id").alias("sessions")),
+        fx.memberships(spark, sf).groupBy("user_id").agg(F.count("*").alias("memberships")),
         fx.calls(spark, sf).filter(F.date_format("created_at", "yyyy-MM") == "2024-01").groupBy("user_id").agg(F.sum("cost").cast("double").alias("month_spend")),
     ]
     out = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
@@ -205,18 +206,24 @@ def calls_by_model(spark, sf):
     return fx.calls(spark, sf).groupBy("kind", "model").agg(F.count("*").alias("n"), F.count("error").alias("errors"), F.sum("tokens_in").alias("tokens_in"), F.round(F.avg("latency"), 4).alias("latency"))
 
 
-@query("reextract_report", "SELECT user_id, CAST(sum(n) AS BIGINT) AS turns, CAST(sum(ceil(n / 10.0)) AS BIGINT) AS windows FROM (SELECT user_id, session_id, count(*) AS n FROM messages WHERE role <> 'system' GROUP BY ALL) GROUP BY user_id")
+_REPORT = " UNION ALL ".join(f"SELECT '{name}' AS what, CAST({column} AS VARCHAR) AS key, count(*) AS n FROM memories WHERE status = 'active' AND scope_id IN ('src0', 'src1', 'src4') GROUP BY ALL" for name, column in (("version", "revision"), ("role", "source_role"), ("review", "review_status"), ("context", "lang")))
+
+
+@query("reextract_report", f"""WITH s AS (SELECT session_id, count(*) AS n FROM messages WHERE scope_id IN ('src0', 'src1', 'src4') GROUP BY session_id)
+ {_REPORT} UNION ALL SELECT 'total', 'sessions', count(*) FROM s UNION ALL SELECT 'total', 'messages', CAST(coalesce(sum(n), 0) AS BIGINT) FROM s UNION ALL SELECT 'total', 'windows', CAST(coalesce(sum(ceil(n / 10.0)), 0) AS BIGINT) FROM s""")
 def reextract_report(spark, sf):
-    s = fx.messages(spark, sf).filter("role != 'system'").groupBy("user_id", "session_id").agg(F.count("*").alias("n"))
-    return s.groupBy("user_id").agg(F.sum("n").alias("turns"), F.sum(F.ceil(F.col("n") / 10)).alias("windows"))
+    """What a new extraction of some scopes would touch: active claims by version, role, review and context, and windows, rounded for each session."""
+    scopes = ["src0", "src1", "src4"]
+    m = fx.memories(spark, sf).filter((F.col("status") == "active") & F.col("scope_id").isin(scopes))
+    return stats.extraction_report(m.withColumn("context", F.col("lang")), fx.messages(spark, sf).filter(F.col("scope_id").isin(scopes)), {"version": "revision", "role": "source_role", "review": "review_status", "context": "context"})
 
 
-@query("searches_visible", "SELECT s.id, f.useful, CASE WHEN m.id IS NULL THEN NULL ELSE substr(m.text, 1, 20) END AS head FROM searches s LEFT JOIN feedback f ON f.run_id = s.id LEFT JOIN (SELECT * FROM memories WHERE scope_id IN ('src0', 'src1')) m ON m.id = f.memory_id WHERE s.id < 3000")
+@query("searches_visible", "SELECT s.id, f.useful, m.text AS said FROM searches s LEFT JOIN feedback f ON f.run_id = s.id LEFT JOIN (SELECT * FROM memories WHERE scope_id IN ('src0', 'src1')) m ON m.id = f.memory_id")
 def searches_visible(spark, sf):
     """Telemetry keeps no text; that of unreadable memories stays masked."""
-    m = fx.memories(spark, sf).filter(F.col("scope_id").isin("src0", "src1")).select(F.col("id").alias("memory_id"), F.substring("text", 1, 20).alias("head"))
+    m = fx.memories(spark, sf).filter(F.col("scope_id").isin("src0", "src1")).select(F.col("id").alias("memory_id"), F.col("text").alias("said"))
     f = fx.feedback(spark, sf).select(F.col("run_id").alias("id"), "useful", "memory_id")
-    return fx.searches(spark, sf).filter("id < 3000").select("id").join(f, "id", "left").join(m, "memory_id", "left").select("id", "useful", "head")
+    return fx.searches(spark, sf).select("id").join(f, "id", "left").join(m, "memory_id", "left").select("id", "useful", "said")
 
 
 _SERIES = "SELECT CAST(ts AS DATE) AS day, event_type AS key, count(*) AS value FROM events WHERE event_type <> 'signup' GROUP BY ALL"
@@ -286,11 +293,8 @@ def eval_binary(spark, sf):
 
 @query("eval_by_category", "SELECT model, list_sort(list(latency))[CAST(round_even(0.95 * (count(*) - 1), 0) AS BIGINT) + 1] AS p95 FROM calls GROUP BY model")
 def eval_by_category(spark, sf):
-    """The element at round-half-even of share * (n - 1): a row number and two counts, no array of a group."""
-    nth = F.row_number().over(Window.partitionBy("model").orderBy("latency"))
-    of = F.count("*").over(Window.partitionBy("model"))
-    c = fx.calls(spark, sf).select("model", "latency", nth.alias("nth"), of.alias("n"))
-    return c.filter(F.col("nth") == F.bround(F.lit(0.95) * (F.col("n") - 1), 0) + 1).select("model", F.col("latency").alias("p95"))
+    """The element at round-half-even of share * (n - 1): counts of equal values are summed before the groups are put in order."""
+    return stats.element_at_share(fx.calls(spark, sf), "model", "latency", 0.95).withColumnRenamed("value", "p95")
 
 
 @query("detail_coverage", "SELECT scope_id, count(*) AS n, count(*) FILTER (contains(lower(text), 'the') OR contains(lower(text), 'der')) AS kept, count(*) FILTER (length(text) > 8000) AS over_budget FROM memories GROUP BY scope_id")

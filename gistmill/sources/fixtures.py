@@ -57,6 +57,7 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lang",
         (1 + n % 3).alias("revision"),
         (F.col("n_chars") > 2000).alias("legacy_imported"),
+        F.array("lang", "source").alias("tags"),
     )
 
 
@@ -84,13 +85,14 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = memories(spark, sf_dir).select("no", "id", "text", "status", "revision", "updated_at")
+    m = memories(spark, sf_dir).select("no", "id", "text", "status", "revision", "updated_at", "valid_until")
     r = m.withColumn("r", F.explode(F.sequence(F.lit(1), F.col("revision").cast("int"))))
     return r.select(
         F.col("id").alias("memory_id"), F.col("r").alias("revision"),
         F.when(F.col("r") == F.col("revision"), F.col("text")).otherwise(F.substr("text", F.lit(1), F.col("r") * 40)).alias("text"),
         F.when(F.col("r") == F.col("revision"), F.col("status")).otherwise("active").alias("status"),
         (F.col("updated_at") - F.make_dt_interval((F.col("revision") - F.col("r")).cast("int"))).alias("at"),
+        (F.col("valid_until") - F.make_dt_interval((F.col("revision") - F.col("r")).cast("int"))).alias("valid_until"),
     )
 
 
@@ -160,7 +162,7 @@ SQL: dict[str, str] = {
  CASE WHEN d.doc_id % 6 = 2 THEN {_NOW} - to_days(CAST(d.doc_id % 700 + 30 AS INTEGER)) END AS event_start,
  CASE WHEN d.doc_id % 6 = 2 THEN {_NOW} - to_days(CAST(d.doc_id % 700 + 28 AS INTEGER)) END AS event_end,
  CASE WHEN d.doc_id % 5 = 1 THEN {_NOW} + to_days(CAST(d.doc_id % 30 - 10 AS INTEGER)) END AS valid_until,
- d.doc_id % 29 = 3 AS is_static, 1 + d.doc_id % 8 AS source_count, lang, 1 + d.doc_id % 3 AS revision, n_chars > 2000 AS legacy_imported
+ d.doc_id % 29 = 3 AS is_static, 1 + d.doc_id % 8 AS source_count, lang, 1 + d.doc_id % 3 AS revision, n_chars > 2000 AS legacy_imported, [lang, source] AS tags
  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "vectors": "SELECT vec_id AS no, lpad(CAST(vec_id AS VARCHAR), 8, '0') AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings",
     "messages": "SELECT conv_id * 1000 + turn AS id, conv_id AS session_id, conv_id % 150 AS user_id, role, text AS content, TIMESTAMP '2024-01-01' + to_hours(CAST(conv_id AS INTEGER)) + to_minutes(CAST(turn AS INTEGER)) AS created_at, 'src' || CAST(conv_id % 20 AS VARCHAR) AS scope_id, turn FROM conversations",
@@ -168,7 +170,7 @@ SQL: dict[str, str] = {
  UNION ALL SELECT lpad(CAST(doc_id AS VARCHAR), 8, '0'), lpad(CAST(doc_id - 20 AS VARCHAR), 8, '0'), 'extends' FROM documents WHERE doc_id % 7 = 5 AND doc_id >= 20
  UNION ALL SELECT lpad(CAST(doc_id AS VARCHAR), 8, '0'), lpad(CAST(doc_id - 1 AS VARCHAR), 8, '0'), 'extends' FROM documents WHERE doc_id % 31 = 1""",
     "revisions": """SELECT m.id AS memory_id, CAST(r AS INTEGER) AS revision, CASE WHEN r = m.revision THEN text ELSE substr(text, 1, CAST(r * 40 AS INTEGER)) END AS text, CASE WHEN r = m.revision THEN status ELSE 'active' END AS status,
- updated_at - to_days(CAST(m.revision - r AS INTEGER)) AS at FROM (SELECT *, unnest(generate_series(1, revision)) AS r FROM memories) m""",
+ updated_at - to_days(CAST(m.revision - r AS INTEGER)) AS at, valid_until - to_days(CAST(m.revision - r AS INTEGER)) AS valid_until FROM (SELECT *, unnest(generate_series(1, revision)) AS r FROM memories) m""",
     "evidence": """SELECT lpad(CAST(doc_id AS VARCHAR), 8, '0') AS memory_id, g.id AS message_id, 0 AS start_char, CAST(least(20, length(content)) AS INTEGER) AS end_char,
  CASE WHEN doc_id % 23 = 0 THEN 'broken' ELSE sha256(substr(content, 1, least(20, length(content)))) END AS sha FROM documents d JOIN messages g ON d.doc_id % 100 = g.session_id AND g.turn = d.doc_id % 3""",
     "entities": """SELECT source AS id, CASE WHEN source = 'src0' THEN 'team' ELSE 'project' END AS kind, CASE WHEN CAST(replace(source, 'src', '') AS INTEGER) % 5 = 0 THEN 'team' ELSE 'private' END AS visibility, source = 'src19' AS archived FROM (SELECT DISTINCT source FROM documents)

@@ -3,8 +3,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from gistmill.functions import dates, text
-from gistmill.operators import curation, filters, graph, retrieval
+from gistmill.functions import dates, fulltext, stemming, text
+from gistmill.operators import curation, filters, graph, listing, retrieval
 from gistmill.sources import transcripts
 from gistmill.streaming import ingest
 
@@ -132,3 +132,59 @@ def test_stream_keeps_first_deliveries(spark, tmp_path):
     q = ingest.first_deliveries(stream).writeStream.format("memory").queryName("first").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.external_id for r in spark.sql("SELECT * FROM first").collect()) == ["a", "b"]
+
+
+def test_case_folding_is_pythons(spark):
+    for t in ("Straße GROẞ", "ſpät ΣΊΣΥΦΟΣ", "ﬁx ﬀ ŉ", "ПРИВЕТ Ёлка", "", "ᾳ ΐ և"):
+        assert one(spark, text.casefolded(F.col("t")), t=t) == t.casefold()
+        assert one(spark, text.normalised(F.col("t")), t=f"  {t}\x1c x ") == " ".join(f"{t} x".split()).casefold()
+
+
+def test_nested_json_loses_secrets(spark):
+    said = '{"a": {"api_key": {"x": 1}, "b": ["sk-abcdefghijklmnopqrstuvwx", {"password": "p", "n": 1}]}, "t": null}'
+    assert one(spark, text.redact_json(F.col("t")), t=said) == '{"a": {"api_key": "[REDACTED]", "b": ["[KEY]", {"password": "[REDACTED]", "n": 1}]}, "t": null}'
+    assert one(spark, text.redact_json(F.col("t")), t="no json") is None
+
+
+# Published examples of the two stemmers.
+STEMS = {
+    "consigned": "consign", "consolation": "consol", "knots": "knot", "generously": "generous", "skies": "sky", "dying": "die", "hopping": "hop", "hoping": "hope", "cries": "cri", "ties": "tie", "luxuriated": "luxuri", "news": "news",
+    "relational": "relat", "happily": "happili", "communication": "communic", "предпочитает": "предпочита", "предпочитаю": "предпочита", "редактора": "редактор", "тему": "тем", "красивейший": "красив", "возможность": "возможн", "книгами": "книг",
+}
+
+
+@pytest.mark.parametrize("word", sorted(STEMS))
+def test_stems(word):
+    assert stemming.stem(word) == STEMS[word]
+
+
+def test_search_finds_other_forms_of_words(spark):
+    said = ["Алиса предпочитает тёмную тему редактора", "We deployed the payments service on Monday", "The and of", None, "ПРЕДПОЧИТАЕТ чай", "deploy deploys deployed payment"]
+    rows = fulltext.indexed(spark.createDataFrame([(i, t) for i, t in enumerate(said)], "id int, text string"))
+    found = lambda q: {r.id: r.n for r in rows.select("id", fulltext.hits(F.col("stems"), fulltext.asked(q)).alias("n")).filter("n > 0").collect()}
+    assert found("предпочитаю") == {0: 1, 4: 1} and found("DEPLOY") == {1: 1, 5: 3} and found("payment deployment") == {1: 2, 5: 4} and found("тема редактора") == {0: 2}
+    assert found("the of") == found("") == found("!!! ###") == {}
+    assert fulltext.asked("a.deploy-payment x") == [["deploy", "payment"], ["x"]] and found("deploy-payment") == {1: 2, 5: 4}
+    both = {r.id for r in rows.filter(fulltext.matches_all(F.col("stems"), "payment deploys")).collect()}
+    assert both == {1, 5}
+
+
+def test_listings_refuse_what_they_do_not_know(spark):
+    rows = spark.createDataFrame([("a", 0.3, "fact"), ("b", 0.5, "fact"), ("c", 0.5, "note")], "id string, importance float, kind string")
+    assert [(r.id, r.nth) for r in listing.page(listing.listed(rows, {"kind": None, "status": "any"}), "importance", 2, 1).collect()] == [("c", 2), ("a", 3)]
+    for bad in (lambda: listing.page(rows, "id; drop", 1), lambda: listing.listed(rows, {"nowhere": 1}), lambda: listing.group_column("text")):
+        with pytest.raises(listing.UnknownChoice):
+            bad()
+
+
+def test_block_products_see_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 7)
+    vectors = [(f"{i:03}", "x" if i % 3 else None, [float((i * 7) % 11), float(i % 5), 1.0]) for i in range(60)] + [("900", "x", None)]
+    rows = spark.createDataFrame(vectors, "id string, label string, v array<double>")
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    want = {(a, b) for a, k, v in vectors for b, m, w in vectors if a < b and k == m and v and w and dot(v, w) >= 40}
+    assert {(r.a, r.b) for r in graph.similar_pairs(rows, 40, "label").collect()} == want
+    got = {(r.id, r.nth): r.other for r in graph.nearest(rows, 2, 0.0, "label").collect()}
+    for a, k, v in vectors[:60]:
+        best = sorted((-dot(v, w), b) for b, m, w in vectors[:60] if b != a and m == k)[:2]
+        assert [got[(a, n + 1)] for n in range(2)] == [b for _, b in best]
