@@ -19,13 +19,14 @@ with the others before them.  Small buckets give their possible pairs at once.
 Sets of fewer than ``LEAST_JOINED`` words match only equal sets: they have no prefix, and the groups of
 equal sets settle them.
 
-Sets are told apart by the sum of 64-bit hashes of their words, of which 44 bits are used.
+Sets are equal if two independent 64-bit sums over their words' 44-bit hashes are: of lines whose sets differ in one word,
+one pair in 2**44 is taken for equal.  Similar sets are verified on the words themselves.
 
 Defined results: lines are parts between line feeds; words are runs without ASCII white
 space, A-Z lower-cased; every line with a word takes part, lines without words stay; order is
 by doc_id, then line number; null texts have no lines; an empty text has one
-empty line; doc_id names a document; rows without doc_id keep their lines; an empty table gives no
-rows; further columns play no part.
+empty line; rows that repeat a doc_id are documents of their own, in the order of a hash of their text; rows without doc_id
+keep their lines; a text may have any number of lines; an empty table gives no rows; further columns play no part.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.lineage import written
+from gistmill.llm.rows import KEY, keyed
 from gistmill.llm.shingles import hashed_words, mixed
 
 SIMILAR, OF = 80, 100
@@ -48,34 +50,39 @@ FREQUENT = 100_000
 OFTEN = 8
 #: Buckets of at most so many lines are paired side by side, those of at most so many by a matrix.
 SMALL, MEDIUM = 64, 2048
-#: Documents whose asked lines are broadcast at most; beyond that they are joined by a shuffle.
-BROADCAST_DOCS = 200_000
+#: Bytes of asked line numbers, or of buckets' first lines, that are broadcast at most; beyond that joins shuffle.
+BROADCAST_BYTES, HUB_BYTES = 48 << 20, 80
 #: Sets of more words have a second word of parity bits.
 LONG = 72
-#: Bytes of text that are handled together.
-CHUNK = 1 << 20
+#: Bytes of text, and lines, that are handled together; a line's number within them takes 20 bits.
+CHUNK, CHUNK_LINES = 1 << 20, 1 << 19
 _SHIFT, _BITS = np.uint64(20), np.uint64(44)
 _HASH = np.uint64((1 << 44) - 1)
+_SECOND = np.uint64(0x9FB21C651E98DF25)
 
 
-def _chunks(batch):
-    """Documents of a batch, joined by line feeds to about CHUNK bytes: bytes, and doc_id and number of each line."""
-    part: list[bytes] = []
-    docs: list[np.ndarray] = []
-    numbers: list[np.ndarray] = []
-    size = 0
-    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        raw = (text or "").encode()
-        lines = raw.count(b"\n") + 1
-        part.append(raw)
-        docs.append(np.full(lines, doc_id))
-        numbers.append(np.arange(lines))
-        size += len(raw)
-        if size >= CHUNK:
-            yield b"\n".join(part), np.concatenate(docs), np.concatenate(numbers)
-            part, docs, numbers, size = [], [], [], 0
-    if part:
-        yield b"\n".join(part), np.concatenate(docs), np.concatenate(numbers)
+def _chunks(batch, size: int = CHUNK):
+    """Runs of lines of about ``size`` bytes, and CHUNK_LINES lines at most: bytes, and doc_id and number of each line.
+
+    Texts come with a line feed at their end, so that Arrow's buffer of them is the lines of all documents as they stand.
+    """
+    text = batch.column(1)
+    wide = np.int64 if pa.types.is_large_string(text.type) else np.int32
+    offsets = np.frombuffer(text.buffers()[1], dtype=wide)[text.offset : text.offset + len(text) + 1]
+    raw = np.frombuffer(text.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    ends = np.flatnonzero(raw == 10)
+    first = np.searchsorted(ends, offsets - offsets[0])
+    lines = np.diff(first)
+    docs, numbers = np.repeat(batch.column(0).to_numpy(), lines), np.arange(len(ends)) - np.repeat(first[:-1], lines)
+    at = start = 0
+    while at < len(ends):
+        to = min(max(at + 1, int(np.searchsorted(ends, start + size))), at + CHUNK_LINES)
+        yield raw[start : ends[to - 1]], docs[at:to], numbers[at:to]
+        at, start = to, int(ends[to - 1]) + 1
+
+
+def _fed(texts: DataFrame) -> DataFrame:
+    return texts.select("doc_id", F.concat("text", F.lit("\n")))
 
 
 def frequent_words(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -83,11 +90,11 @@ def frequent_words(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches):
         for batch in batches:
-            found = [hashed_words(raw)[0] >> _SHIFT for raw, _, _ in _chunks(batch)]
+            found = [hashed_words(raw)[0] >> _SHIFT for raw, _, _ in _chunks(batch, 1 << 17)]
             word, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.array([], dtype=np.uint64), np.array([], dtype=np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(word[n >= OFTEN].view(np.int64)), pa.array(n[n >= OFTEN])], names=["word", "n"])
 
-    top = texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT).toPandas()
+    top = _fed(texts).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT).toPandas()
     words = top["word"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(words)
     return words[order], (len(top) - np.arange(len(top)))[order].astype(np.uint64)
@@ -115,7 +122,7 @@ class Ranks:
 
 
 def line_table(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, line, set_key, n, parity, parity_2, later, prefix: all lines with words.
+    """doc_id, line, set_key, set_key_2, n, parity, parity_2, later, prefix: all lines with words.
 
     ``later`` marks lines whose set an earlier line of the same chunk has; the others carry their prefix, which is empty for
     sets that match only equal ones.
@@ -124,7 +131,7 @@ def line_table(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Dat
     """
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
 
-    def table(ranks: Ranks, raw: bytes, docs: np.ndarray, numbers: np.ndarray):
+    def table(ranks: Ranks, raw: np.ndarray, docs: np.ndarray, numbers: np.ndarray):
         word, line = hashed_words(raw)
         packed = np.sort((line.astype(np.uint64) << _BITS) | (word >> _SHIFT))
         packed = packed[np.concatenate(([True], packed[1:] != packed[:-1]))] if len(packed) else packed
@@ -139,12 +146,13 @@ def line_table(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Dat
         at = np.cumsum(n) - n
         hashed = mixed(word)
         keys = np.add.reduceat(hashed, at).view(np.int64)
+        keys_2 = np.add.reduceat((hashed ^ (hashed >> _SHIFT)) * _SECOND, at).view(np.int64)
         bit = np.uint64(1) << (hashed >> np.uint64(58))
         second = (hashed & np.uint64(1 << 40) != 0) & np.repeat(n > LONG, n)
         parity, parity_2 = (np.bitwise_xor.reduceat(np.where(mine, bit, np.uint64(0)), at).view(np.int64) for mine in (~second, second))
-        order = np.lexsort((numbers, docs, keys))
+        order = np.lexsort((numbers, docs, keys_2, keys))
         later = np.zeros(len(n), dtype=bool)
-        later[order[1:]] = keys[order[1:]] == keys[order[:-1]]
+        later[order[1:]] = (keys[order[1:]] == keys[order[:-1]]) & (keys_2[order[1:]] == keys_2[order[:-1]])
         rank = ranks[word]
         # by line, rank and hash: words come in by hash, so the leading bits suffice for a stable sort
         word = word[np.argsort((line.astype(np.uint64) << np.uint64(40)) | (rank << np.uint64(20)) | (word >> np.uint64(24)), kind="stable")].view(np.int64)
@@ -152,8 +160,8 @@ def line_table(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Dat
         inside = np.arange(len(word)) - np.repeat(at, n) < np.repeat(size, n)
         ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
         prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(word[inside]))
-        columns = [pa.array(docs), pa.array(numbers), pa.array(keys), pa.array(n), pa.array(parity), pa.array(parity_2), pa.array(later), prefix]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "set_key", "n", "parity", "parity_2", "later", "prefix"])
+        columns = [pa.array(docs), pa.array(numbers), pa.array(keys), pa.array(keys_2), pa.array(n), pa.array(parity), pa.array(parity_2), pa.array(later), prefix]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "set_key", "set_key_2", "n", "parity", "parity_2", "later", "prefix"])
 
     def run(batches):
         ranks = Ranks(*shared.value)
@@ -161,9 +169,10 @@ def line_table(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Dat
             for chunk in _chunks(batch):
                 yield from table(ranks, *chunk)
 
-    return texts.mapInArrow(run, "doc_id long, line long, set_key long, n long, parity long, parity_2 long, later boolean, prefix array<long>")
+    return _fed(texts).mapInArrow(run, "doc_id long, line long, set_key long, set_key_2 long, n long, parity long, parity_2 long, later boolean, prefix array<long>")
 
 
+_POS = (1 << 32) - 1
 _ROW = ["word", "n", "pos", "parity", "parity_2", "doc_id", "line"]
 
 
@@ -181,7 +190,7 @@ def _possible(x: list[np.ndarray], i, j) -> np.ndarray:
 
 
 def bucket_pairs(rows: DataFrame) -> DataFrame:
-    """Of rows that come by word, doc_id and line: possible pairs of lines, and rows of buckets that may hold many.
+    """Of rows (word, n << 32 | pos, parity, parity_2, doc_id, line) that come by word, doc_id and line: possible pairs of lines, and rows of buckets that may hold many.
 
     A pair has the later line's row, ``word`` null, and the earlier line as other_doc and other_line; ``nth`` is 0 for the
     earliest possible partner in a bucket.  A row of a large bucket stays as it is, if it has a possible partner there.
@@ -235,7 +244,8 @@ def bucket_pairs(rows: DataFrame) -> DataFrame:
         held, large = [], None
         waiting = 0
         for batch in batches:
-            x = [batch.column(k).to_numpy() for k in range(len(_ROW))]
+            c = [batch.column(k).to_numpy() for k in range(len(_ROW) - 1)]
+            x = [c[0], c[1] >> 32, c[1] & _POS, *c[2:]]
             if large is not None:  # more of a bucket that is known to be large
                 more = x[0] == large
                 if more.any():
@@ -262,7 +272,7 @@ def bucket_pairs(rows: DataFrame) -> DataFrame:
         if waiting:
             yield from settle([np.concatenate(c) for c in zip(*held, strict=True)])
 
-    return rows.select(*_ROW).mapInArrow(run, ", ".join(f"{x} long" for x in [*_ROW, "other_doc", "other_line", "nth"]))
+    return rows.mapInArrow(run, ", ".join(f"{x} long" for x in [*_ROW, "other_doc", "other_line", "nth"]))
 
 
 def _reaches(x: str, y: str) -> F.Column:
@@ -279,9 +289,11 @@ def _reaches(x: str, y: str) -> F.Column:
 def _lines_of(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     """at (doc_id, line), words: the text of each line that ``wanted`` names by doc_id and line."""
     asked = written(wanted.groupBy("doc_id").agg(F.collect_set("line").alias("lines")))
-    if asked.count() <= BROADCAST_DOCS:
+    weight = asked.agg(F.sum(F.size("lines") * 8 + 48).alias("bytes")).first().bytes or 0
+    if weight <= BROADCAST_BYTES:
         asked = F.broadcast(asked)
-    parts = texts.join(asked, "doc_id").withColumn("parts", F.split("text", "\n", -1))
+    # a generator, so that the optimizer leaves a text to be split once
+    parts = texts.join(asked, "doc_id").select("doc_id", "lines", F.explode(F.array(F.split("text", "\n", -1))).alias("parts"))
     each = parts.select("doc_id", F.explode(F.transform("lines", lambda k: F.struct(k.alias("line"), F.element_at("parts", (k + 1).cast("int")).alias("words")))).alias("x"))
     return each.select(F.struct("doc_id", "x.line").alias("at"), "x.words")
 
@@ -317,18 +329,23 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     table = written(line_table(texts, frequent_words(texts)))
     place = F.struct("doc_id", "line")
-    firsts = written(table.filter("NOT later").groupBy("set_key").agg(F.min(place).alias("first")))
-    again = table.filter("NOT later").select("set_key", "doc_id", "line").join(firsts, "set_key").filter(place != F.col("first")).select("doc_id", "line")
+    both = ["set_key", "set_key_2"]
+    firsts = written(table.filter("NOT later").groupBy(*both).agg(F.min(place).alias("first")))
+    again = table.filter("NOT later").select(*both, "doc_id", "line").join(firsts, both).filter(place != F.col("first")).select("doc_id", "line")
 
     # each set that others may resemble once, where it comes first
     heads = table.filter(f"NOT later AND n >= {LEAST_JOINED}").join(firsts.select("first.doc_id", "first.line"), ["doc_id", "line"], "left_semi")
     rows = heads.select("n", "parity", "parity_2", "doc_id", "line", F.posexplode("prefix").alias("pos", "word"))
-    rows = rows.withColumn("pos", F.col("pos").cast("long")).select(*_ROW).repartition("word").sortWithinPartitions("word", "doc_id", "line")
+    packed = F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("n_pos")  # one column less to shuffle and sort
+    rows = rows.select("word", packed, "parity", "parity_2", "doc_id", "line").repartition("word").sortWithinPartitions("word", "doc_id", "line")
     found = written(bucket_pairs(rows))
     pairs = found.filter("word IS NULL").select("nth", F.struct(F.col("other_doc").alias("doc_id"), F.col("other_line").alias("line")).alias("a"), place.alias("b"))
 
     large = found.filter("word IS NOT NULL").select("word", F.struct("doc_id", "line", "n", "pos", "parity", "parity_2").alias("x"))
-    hubs = large.groupBy("word").agg(F.min("x").alias("hub"))
+    hubs = written(large.groupBy("word").agg(F.min("x").alias("hub")))
+    # where the buckets' first lines are few they are broadcast, so that a hot word's rows stay where they are; AQE splits them otherwise
+    if hubs.count() * HUB_BYTES <= BROADCAST_BYTES:
+        hubs = F.broadcast(hubs)
     large = written(large.join(hubs, "word").filter("x != hub"))
     spot = lambda x: F.struct(F.col(f"{x}.doc_id").alias("doc_id"), F.col(f"{x}.line").alias("line"))
     star = large.filter(_reaches("hub", "x")).select(spot("hub").alias("a"), spot("x").alias("b"))
@@ -348,17 +365,22 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_lines, n_removed, removed (line numbers from 0)."""
-    removed = removed_lines(docs, id_col, text_col)
-    counted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.size(F.split(F.col(text_col), "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
-    counted = counted.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
-    out = counted.join(removed, "doc_id", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<bigint>")))
+    rows = keyed(docs, id_col, text_col)
+    removed = removed_lines(rows, KEY, text_col).select(F.col("doc_id").alias(KEY), "removed")
+    n_lines = F.greatest(F.coalesce(F.size(F.split(F.col(text_col), "\n", -1)), F.lit(0)), F.lit(0)).cast("long")
+    counted = rows.select(KEY, F.col(id_col).cast("long").alias("doc_id"), n_lines.alias("n_lines"))
+    out = counted.join(removed, KEY, "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<bigint>")))
     return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
 def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows and columns, with the removed lines gone from the texts."""
-    removed = removed_lines(docs, id_col, text_col).select(F.col("doc_id").alias("__doc"), "removed")
-    parts = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("removed", i.cast("long")))
-    text = F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(F.array_join(parts, "\n"))
-    joined = docs.join(removed, docs[id_col].cast("long") == F.col("__doc"), "left")
-    return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
+    rows = keyed(docs, id_col, text_col)
+    removed = removed_lines(rows, KEY, text_col).select(F.col("doc_id").alias("__doc"), F.col("removed").alias("__removed"))
+    joined = rows.join(removed, rows[KEY] == F.col("__doc"), "left")
+    some = F.when(F.col("__removed").isNotNull(), F.split(F.col(text_col), "\n", -1))
+    joined = joined.select("*", F.explode(F.array(some)).alias("__parts"))  # a generator, so that a text is split once
+    kept = F.array_except(F.sequence(F.lit(0).cast("long"), F.size("__parts") - F.lit(1).cast("long")), F.col("__removed"))
+    lines = F.transform(kept, lambda i: F.get("__parts", i.cast("int")))
+    text = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n"))
+    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])

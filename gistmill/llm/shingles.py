@@ -66,7 +66,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def hashed_words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(text: bytes | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a text, A-Z lower-cased, and the number of the line that each is in.
 
     Without a step for each word: a word's hash is the difference of two prefix sums of a polynomial in its bytes.
