@@ -76,6 +76,15 @@ def normalised(text: Column) -> Column:
     return casefolded(F.trim(F.regexp_replace(text, _WHITE, " ")))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(text, f"^{_WHITE}|{_WHITE}$", "")
+
+
+def stripped_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{_WHITE}|{_WHITE}$', '', 'g')"
+
+
 def casefolded_sql(x: str) -> str:
     """The same for DuckDB."""
     out = f"translate(lower({x}), '{''.join(_ONE)}', '{''.join(_ONE.values())}')"
