@@ -60,5 +60,10 @@ def call_cost(model: Column, tokens_in: Column, tokens_out: Column, prices: dict
     return (tokens_in * of(0) + tokens_out * of(1)) / 1e6
 
 
+def dated_cost(model: Column, tokens_in: Column, tokens_out: Column, day: Column, before: dict[str, tuple[float, float]], after: dict[str, tuple[float, float]], last_day: str) -> Column:
+    """Cost at the prices of a day: some change after ``last_day``; an unknown model costs as the dearest ever does."""
+    return F.when(day > F.lit(last_day).cast("date"), call_cost(model, tokens_in, tokens_out, before | after)).otherwise(call_cost(model, tokens_in, tokens_out, before))
+
+
 def retry_delay(attempts: Column) -> Column:
     return F.least(F.lit(300.0), F.pow(F.lit(2.0), F.least(attempts, F.lit(8)).cast("double")))

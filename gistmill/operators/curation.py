@@ -187,3 +187,27 @@ def interleaved(facts: DataFrame, passages: DataFrame) -> DataFrame:
     """rank, arm, id, cost: facts and passages in turn by their ranks."""
     one = facts.select(F.lit("fact").alias("arm"), "id", (F.col("rank") * 2).alias("rank"), (F.col("cost") + 6).alias("cost"))
     return one.unionAll(passages.select(F.lit("passage"), "id", F.col("rank") * 2 + 1, F.col("cost") + 6))
+
+
+def session_conflicts(events: DataFrame) -> DataFrame:
+    """The events with reason: what is other than the session's first event says; null where all agrees."""
+    first = events.groupBy("session_id").agg(F.min(F.struct("id", "user_id", "agent")).alias("x"))
+    reason = F.when(F.col("user_id") != F.col("x.user_id"), "other_user").when(F.col("agent") != F.col("x.agent"), "other_agent")
+    return events.join(first, "session_id").withColumn("reason", reason).drop("x")
+
+
+def window_jobs(messages: DataFrame, closed: DataFrame, size: int = 10, most: int = 25) -> DataFrame:
+    """session_id, win, n, job: windows that are full, or of a session that has been closed, ``most`` to a job within each queue."""
+    nth = F.row_number().over(Window.partitionBy("session_id").orderBy("id"))
+    w = messages.withColumn("win", F.floor((nth - 1) / size)).groupBy("queue", "session_id", "win").agg(F.count("*").alias("n"))
+    due = w.join(closed.select("session_id", F.lit(True).alias("closed")), "session_id", "left").filter((F.col("n") == size) | F.col("closed"))
+    k = F.row_number().over(Window.partitionBy("queue").orderBy("session_id", "win"))
+    return due.withColumn("job", F.floor((k - 1) / most)).select("session_id", "win", "n", "job")
+
+
+def progress(rows: DataFrame) -> DataFrame:
+    """scope_id, seen_at, id: the last row of each scope, in order of (updated_at, id), before the first that failed."""
+    at = F.struct("updated_at", "id")
+    stop = rows.filter("failed").groupBy("scope_id").agg(F.min(at).alias("stop"))
+    done = rows.join(stop, "scope_id", "left").filter(F.col("stop").isNull() | (at < F.col("stop")))
+    return done.groupBy("scope_id").agg(F.max(at).alias("x")).select("scope_id", F.col("x.updated_at").alias("seen_at"), F.col("x.id").alias("id"))

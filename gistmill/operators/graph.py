@@ -113,3 +113,17 @@ def semantic_groups(pairs: DataFrame, wording: DataFrame, most: int = 6) -> Data
     size = told.groupBy("cluster").agg(F.count("*").alias("size"), F.count_distinct("wording").alias("wordings"), F.count_if(F.col("wording").isNull()).alias("unknown"))
     kept = size.filter((F.col("wordings") + F.col("unknown")) > 1).select("cluster", "size", (F.col("size") > most).alias("oversized"))
     return found.join(kept, "cluster").select("node", "cluster", "size", "oversized")
+
+
+def within_leftover(rows: DataFrame, budget: int, by: str) -> DataFrame:
+    """by, id, other, used: neighbours (by, part, id, other, cost) that fit what is left of a budget, part by part; one too large is skipped.  A group has a bounded number."""
+    items = F.array_sort(F.collect_list(F.struct("part", "id", "other", F.col("cost").cast("long").alias("cost"))))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<id:string,other:string,used:bigint>>").alias("rows"))
+
+    def step(s, x):
+        used = s["used"] + x["cost"]
+        row = F.struct(x["id"].alias("id"), x["other"].alias("other"), used.alias("used"))
+        return F.struct(F.when(used <= budget, used).otherwise(s["used"]).alias("used"), F.when(used <= budget, F.array_append(s["rows"], row)).otherwise(s["rows"]).alias("rows"))
+
+    folded = rows.groupBy(by).agg(F.aggregate(items, start, step, lambda s: s["rows"]).alias("rows"))
+    return folded.select(by, F.explode("rows").alias("x")).select(by, "x.id", "x.other", "x.used")

@@ -60,3 +60,33 @@ def group_column(name: str) -> Column:
     if name not in GROUPS:
         raise UnknownChoice(name)
     return F.col(GROUPS[name])
+
+
+def policies(rows: DataFrame, scopes: DataFrame) -> DataFrame:
+    """scope, kind, id, version, nth: for each scope the policies of the instance (without scope) and its own, the newest first."""
+    everywhere = scopes.crossJoin(F.broadcast(rows.filter("scope_id IS NULL")))  # policies of an instance are few
+    own = scopes.join(rows, scopes["scope"] == rows["scope_id"])
+    nth = F.row_number().over(Window.partitionBy("scope", "kind").orderBy(F.desc("version"), "id"))
+    return everywhere.unionByName(own).withColumn("nth", nth).select("scope", "kind", "id", "version", "nth")
+
+
+def entity_profiles(rows: DataFrame, most: int = 100) -> DataFrame:
+    """entity, part, id, nth: the first claims in each scope, and about each person."""
+    order = [F.desc("importance"), F.desc("updated_at"), "id"]
+    nth = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    inside = rows.withColumn("nth", nth("scope_id")).filter(F.col("nth") <= most).select(F.col("scope_id").alias("entity"), F.lit("in_scope").alias("part"), "id", "nth")
+    about = rows.filter("subject_id IS NOT NULL").withColumn("nth", nth("subject_id")).filter(F.col("nth") <= most)
+    return inside.unionAll(about.select(F.concat(F.lit("user"), F.col("subject_id").cast("string")), F.lit("about"), "id", "nth"))
+
+
+def _iso(column: str) -> Column:
+    return F.coalesce(F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("")).alias(column)
+
+
+def payload(rows: DataFrame) -> DataFrame:
+    """What an index holds of each memory: plain values, times to the second, and the digest of its text."""
+    number = lambda c: F.round(F.col(c).cast("double"), 6).alias(c)
+    return rows.select(
+        "id", "scope_id", F.coalesce(F.col("subject_id").cast("string"), F.lit("")).alias("subject"), "author_id", "kind", number("importance"), number("confidence"), "status", "source_role", "review_status", F.array_join("tags", ",").alias("tags"),
+        _iso("valid_until"), _iso("created_at"), _iso("updated_at"), "revision", _iso("document_date"), _iso("event_start"), _iso("event_end"), "is_static", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha"),
+    )
