@@ -1,21 +1,19 @@
 """Toxicity by class-conditional Kneser-Ney models of expressions.
 
 An expression is a run without ASCII white space, lower-cased, without punctuation at
-its ends.  Each class has a model of expressions that backs off from the whole
-expression to its first 6, 5 and 4 letters, with Kneser-Ney continuation counts (how
-many different longer forms a shorter one has) below the top:
+its ends.  Each class has a Kneser-Ney model of expressions that backs off from the whole
+expression to its first 6, 5 and 4 letters, with the class's continuation counts (how many different
+longer forms a shorter one has) below the top.  The classes share what rare expressions are smoothed through: the discounts,
+the numbers of forms, those seen in either class and one unseen, among which a shorter form's probability is divided
+evenly, and the distribution below the shortest forms.
 
-    P(node | class) = discounted count / class total + what the discounts free * backoff(node)
+* Ordinary: absolute discounts, and what they free goes to the shorter forms.
+* Toxic: toxic text consists mostly of ordinary expressions, so each toxic count is discounted by what ordinary text of the
+  same length would hold, plus ``MARGIN`` standard deviations; what that frees goes to the shorter forms, whose counts are discounted
+  alike, and at last to the ordinary model.
 
-The backoff is the class's probability of the shorter form, divided evenly among its
-forms (those seen in either class, and one unseen), and at the shortest forms the Kneser-Ney
-distribution of both classes' counts together.  So rare expressions are smoothed through
-counts that the classes share, and each model sums to one.
-
-Toxic documents consist mostly of ordinary expressions.  A class keeps counts of its own
-therefore only for nodes that toxic text holds in excess: the toxic count is discounted by what ordinary
-text of the same length would hold, plus ``MARGIN`` standard deviations, the ordinary one by the
-usual absolute discount.  All other nodes back off in both classes.
+Both sum to one.  Where no discounted toxic count is left at any level, their ratio is what the discounts free, a constant; so the
+only counts that scoring needs are those at or below nodes with an excess, and of their shorter forms.
 
 A document is compared by its length-normalised log-likelihoods under both models: over
 the whole text (with ``PRIOR_LENGTH`` neutral expressions added) and over the window of
@@ -51,8 +49,8 @@ NODES = 100_000
 #: Labels that are broadcast at most; beyond that they are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
 LEVELS = (6, 5, 4)
-#: What a node is known by.
-COUNTS = ("ordinary", "children", "pooled", "excess")
+#: What a node is known by; its own count is that of ordinary text.
+COUNTS = ("own", "children", "excess")
 MARGIN = 3.0
 WINDOW, PRIOR_LENGTH = 32, 20
 #: Log-ratios of single expressions are held within these.
@@ -80,34 +78,34 @@ def _held(ratio: float) -> float:
 
 
 class Model:
-    """What scoring needs: counts of nodes with a toxic excess and of their shorter forms, and a few numbers for each level."""
+    """What scoring needs: counts at or below nodes with a toxic excess and of their shorter forms, and a few numbers for each level."""
 
     def __init__(self, levels: list[dict], weights: list[float] | None = None, nodes: list[DataFrame] | None = None):
         self.levels, self.weights, self.nodes = levels, weights, nodes
-        self.plain = _held(sum(math.log(at["toxic_rest"] / at["ordinary_rest"]) for at in levels))
+        self.plain = _held(sum(math.log(at["toxic_rest"]) for at in levels))
 
     def probabilities(self, nodes: list[str]) -> tuple[float, float]:
-        """Ordinary and toxic probability of an expression, given from whole to shortest form, or of a shorter form."""
-        k = len(self.levels)
-        ordinary = toxic = 0.0
-        for at, node in zip(self.levels[::-1], nodes[::-1], strict=False):
-            k -= 1
-            if k + 1 == len(self.levels):
-                ordinary = toxic = max(at["pooled"].get(node, 0) - at["discount"], 0) / at["pooled_total"] + at["pooled_rest"] / (at["types"] + 1)
-            else:
-                forms = self.levels[k + 1]["children"].get(nodes[k + 1 - len(self.levels)], 0) + 1
-                ordinary, toxic = ordinary / forms, toxic / forms
-            excess = at["excess"].get(node)
-            own = max(at["ordinary"].get(node, 0) - at["discount"], 0) if excess else 0
-            toxic = (excess or 0) / at["toxic_total"] + at["toxic_rest"] * toxic
-            ordinary = own / at["ordinary_total"] + at["ordinary_rest"] * ordinary
+        """Ordinary and toxic probability of an expression, given from whole to shortest form."""
+        last = len(self.levels) - 1
+        ordinary, forms = 1 / (self.levels[last]["types"] + 1), [1] * (last + 2)
+        for k in range(last, -1, -1):
+            at = self.levels[k]
+            if k < last:
+                forms[k] = self.levels[k + 1]["children"].get(nodes[k + 1], 0) + 1
+                ordinary /= forms[k]
+            ordinary = max(at["own"].get(nodes[k], 0) - at["discount"], 0) / at["own_total"] + at["own_rest"] * ordinary
+        toxic, share = ordinary, math.prod(forms[:last])
+        for k in range(last, -1, -1):
+            at = self.levels[k]
+            toxic = at["excess"].get(nodes[k], 0) / at["toxic_total"] / share + at["toxic_rest"] * toxic
+            share /= forms[k - 1] if k else 1
         return ordinary, toxic
 
     def log_ratio(self, word: str) -> float:
         """Log of the toxic over the ordinary probability of an expression."""
         nodes = chain(word)
         if not any(node in at["excess"] for at, node in zip(self.levels, nodes, strict=False)):
-            return self.plain  # what is shared cancels
+            return self.plain
         ordinary, toxic = self.probabilities(nodes)
         return _held(math.log(toxic / ordinary))
 
@@ -254,14 +252,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         levels.append(_level(table))
         if levels[-1] is None:
             return Model([])
-    # nodes with an excess and their shorter forms: the counts of others cancel
     nodes = []
     for k, at in enumerate(levels):
-        wanted = at["over"]
-        for shorter in levels[:k]:
-            wanted = wanted.unionAll(shorter["over"].select(F.substring("node", 1, LEVELS[k - 1]).alias("node"), F.lit(None).cast("double").alias("excess")))
-        found = at["table"].join(wanted.groupBy("node").agg(F.max("excess").alias("excess")), "node")
-        nodes.append(written(found.select("node", "ordinary", "children", (F.col("ordinary") + F.col("toxic")).alias("pooled"), "excess")))
+        table = at["table"].join(at["over"], "node", "left")
+        near = F.col("excess").isNotNull()
+        for j in range(k + 1, len(levels)):  # below a node with an excess
+            above = levels[j]["over"].select(F.col("node").alias(f"above{j}"))
+            table = table.join(above, F.substring("node", 1, LEVELS[j - 1]) == F.col(f"above{j}"), "left")
+            near = near | F.col(f"above{j}").isNotNull()
+        if k:  # or the shorter form of a node that is kept
+            shorter = nodes[-1].select(F.substring("node", 1, LEVELS[k - 1]).alias("short")).distinct()
+            table = table.join(shorter, F.col("node") == F.col("short"), "left")
+            near = near | F.col("short").isNotNull()
+        nodes.append(written(table.filter(near).select("node", F.col("ordinary").alias("own"), "children", "excess")))
     for at in levels:
         del at["table"], at["over"]
     if sum(x.count() for x in nodes) > NODES:
@@ -281,13 +284,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _level(table: DataFrame) -> dict | None:
-    """Totals, the shared discount and what it frees in each class, of a level, and its nodes with a toxic excess."""
+    """Totals, the discount of both classes' counts, what discounts free in each class, and the nodes with a toxic excess, of a level."""
     x = table.agg(
         F.sum("ordinary").alias("o"),
         F.sum("toxic").alias("t"),
         F.count_if(F.col("ordinary") + F.col("toxic") == 1).alias("once"),
         F.count_if(F.col("ordinary") + F.col("toxic") == 2).alias("twice"),
         F.count("*").alias("nodes"),
+        F.count_if(F.col("ordinary") > 0).alias("types"),
     ).first()
     if not x.o or not x.t:
         return None
@@ -295,18 +299,16 @@ def _level(table: DataFrame) -> dict | None:
     expected = F.col("ordinary") * (x.t / x.o)
     over = table.select("node", (F.col("toxic") - discount - expected - MARGIN * F.sqrt(expected + 0.3)).alias("excess")).filter("excess > 0")
     over = written(over)
-    own = table.join(over, "node").agg(F.sum("excess").alias("t"), F.sum(F.greatest(F.col("ordinary") - discount, F.lit(0.0))).alias("o")).first()
+    left = over.agg(F.sum("excess")).first()[0] or 0.0
     return {
         "table": table,
         "over": over,
         "types": x.nodes,
-        "ordinary_total": float(x.o),
+        "own_total": float(x.o),
         "toxic_total": float(x.t),
-        "pooled_total": float(x.o + x.t),
         "discount": discount,
-        "ordinary_rest": 1 - (own.o or 0) / x.o,
-        "toxic_rest": 1 - (own.t or 0) / x.t,
-        "pooled_rest": discount * x.nodes / (x.o + x.t),
+        "own_rest": discount * x.types / x.o,
+        "toxic_rest": 1 - left / x.t,
     }
 
 

@@ -185,22 +185,16 @@ def test_class_models_sum_to_one(spark):
         for node, c in counts[k].items():
             for side in (0, 1):
                 counts[k + 1][node[:n]][side] += c[side] > 0
-    for k, at in enumerate(model.levels):  # the nodes that scoring does not need
-        assert at["excess"] and all(sum(counts[k][n]) == v for n, v in at["pooled"].items())
-        at["pooled"] = {n: sum(c) for n, c in counts[k].items()}
+    for k, at in enumerate(model.levels):  # with the nodes that scoring does not need
+        assert at["excess"] and all(counts[k][n][0] == v for n, v in at["own"].items())
+        at["own"] = {n: c[0] for n, c in counts[k].items()}
         at["children"] = dict(Counter(n[: toxicity.LEVELS[k - 1]] for n in counts[k - 1])) if k else {}
-    chains = {n: toxicity.chain(n[:-1]) for n in counts[0]}
-    for side, rest in ((0, "ordinary_rest"), (1, "toxic_rest")):
-        unseen = 0.0
-        for k in (3, 2, 1, 0):
-            nodes = {c[k]: c[k:] for c in chains.values()}
-            at = model.levels[k]
-            if k == 3:
-                unseen = at[rest] * at["pooled_rest"] / (at["types"] + 1)
-            else:
-                above = {c[k + 1]: c[k + 1 :] for c in chains.values()}
-                unseen = at[rest] * (unseen + sum(model.probabilities(c)[side] / (model.levels[k + 1]["children"][n] + 1) for n, c in above.items()))
-            assert abs(sum(model.probabilities(c)[side] for c in nodes.values()) + unseen - 1) < 1e-9
+    chains = [toxicity.chain(n[:-1]) for n in counts[0]]
+    # of each shorter form an unseen one
+    unseen = [["?"] * k + c[k:] for k in (1, 2, 3) for c in {c[k]: c for c in chains}.values()] + [["?"] * 4]
+    for side in (0, 1):
+        assert abs(sum(model.probabilities(c)[side] for c in [*chains, *unseen]) - 1) < 1e-9
+    assert all(abs(toxicity._held(np.log(t / o)) - model.plain) < 1e-9 for c in chains for o, t in [model.probabilities(c)] if not any(n in at["excess"] for at, n in zip(model.levels, c, strict=True)))
 
 
 def test_toxicity_learns_rare_expressions(spark):
@@ -232,7 +226,7 @@ def test_toxicity_counts_all_rows_and_keeps_all_nodes(spark, monkeypatch):
     model = toxicity.train(table, known)
     monkeypatch.setattr(toxicity, "SAMPLE", 20)
     few = toxicity.train(table, known)
-    assert [x["ordinary_total"] for x in few.levels] == [x["ordinary_total"] for x in model.levels]
+    assert [x["own_total"] for x in few.levels] == [x["own_total"] for x in model.levels]
     monkeypatch.setattr(toxicity, "NODES", 5)
     joined = toxicity.train(table, known)
     assert joined.nodes and np.allclose(joined.weights, few.weights, rtol=1e-6)
