@@ -184,3 +184,13 @@ def unique_offset(text: Column, quote: Column) -> Column:
 
 def shortened(text: Column, size: int = 220, mark: str = " […]") -> Column:
     return F.when(F.length(text) > size, F.concat(F.substring(text, 1, size), F.lit(mark))).otherwise(text)
+
+
+def surrounding(text: Column, start: Column, end: Column, most: int = 200) -> Column:
+    """The words around a span of a text, at most so many characters to either side, cut at spaces; the span's own side where there is none."""
+    low, high = F.greatest(start - most, F.lit(0)), F.least(end + most, F.length(text))
+    before, after = F.substr(text, low + 1, start - low), F.substr(text, end + 1, high - end)
+    gap = F.instr(before, " ")
+    first = F.when(low == 0, before).when(gap > 0, F.substr(before, gap + 1)).otherwise(F.lit(""))
+    last = F.when(high == F.length(text), after).otherwise(F.regexp_extract(after, r"(?s)^(.*) [^ ]*$", 1))
+    return F.concat(first, F.substr(text, start + 1, end - start), last)

@@ -351,3 +351,51 @@ def neighbour_budget(spark, sf):
     e = fx.relations(spark, sf).join(fx.memories(spark, sf).select(F.col("id").alias("to_id"), (text.token_count(F.col("text")) + 6).alias("cost")), "to_id")
     rows = e.select(F.floor(F.col("from_id").cast("long") / 100).alias("q"), F.when(F.col("relation") == "updates", 0).otherwise(1).alias("part"), F.col("from_id").alias("id"), F.col("to_id").alias("other"), "cost")
     return graph.within_leftover(rows, 900, "q")
+
+
+@query("redacted_context", """SELECT c_custkey AS id, '{"name": "' || c_name || '", "api_key": "[REDACTED]", "rows": [{"said": "Bearer [REDACTED]", "n": ' || CAST(c_custkey AS VARCHAR) || '}, null]}' AS context FROM customer""")
+def redacted_context(spark, sf):
+    """JSON of any shape: values under sensitive keys go, strings are redacted, at any depth."""
+    c = fx.table(spark, sf, "customer")
+    said = F.concat(F.lit('{"name": "'), "c_name", F.lit('", "api_key": {"x": [1]}, "rows": [{"said": "Bearer '), "c_name", F.lit('", "n": '), F.col("c_custkey").cast("string"), F.lit("}, null]}"))
+    return c.select(F.col("c_custkey").alias("id"), text.redact_json(said).alias("context"))
+
+
+@query("session_lines", "SELECT session_id, string_agg(role || ': ' || CASE WHEN role = 'assistant' AND length(content) > 220 THEN substr(content, 1, 220) || ' […]' ELSE content END, chr(10) ORDER BY turn) AS lines FROM messages GROUP BY session_id")
+def session_lines(spark, sf):
+    """A session as a prompt shows it: turns in order, long ones of the assistant cut."""
+    said = F.when(F.col("role") == "assistant", text.shortened(F.col("content"))).otherwise(F.col("content"))
+    g = fx.messages(spark, sf).select("session_id", F.struct("turn", F.concat(F.col("role"), F.lit(": "), said).alias("line")).alias("x"))
+    lines = g.groupBy("session_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return lines.select("session_id", F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("lines"))
+
+
+@query("context_compact", """WITH RECURSIVE r AS (SELECT no // 40 AS q, no % 40 AS rank, id, list_filter([CASE WHEN no % 3 = 0 THEN lpad(CAST(no - 1 AS VARCHAR), 8, '0') END, CASE WHEN no % 5 = 0 THEN lpad(CAST(no - 2 AS VARCHAR), 8, '0') END], lambda x: x IS NOT NULL) AS dups FROM memories),
+ f AS (SELECT DISTINCT q, CAST(-1 AS BIGINT) AS rank, CAST([] AS VARCHAR[]) AS kept FROM r UNION ALL SELECT f.q, r.rank, CASE WHEN list_has_any(f.kept, r.dups) THEN f.kept ELSE list_append(f.kept, r.id) END FROM f JOIN r ON r.q = f.q AND r.rank = f.rank + 1)
+ SELECT q, CAST(generate_subscripts(kept, 1) - 1 AS INTEGER) AS place, unnest(kept) AS id FROM (SELECT q, arg_max(kept, rank) AS kept FROM f GROUP BY q)""")
+def context_compact(spark, sf):
+    """Lists in order, without rows that a judgment calls redundant to one kept before."""
+    from gistmill.operators import profiles
+
+    m, n = fx.memories(spark, sf).select("no", "id"), F.col("no")
+    back = lambda every, k: m.filter(n % every == 0).select("id", F.lpad((n - k).cast("string"), 8, "0").alias("earlier"))
+    return profiles.unrepeated(m.select(F.floor(n / 40).alias("q"), (n % 40).alias("rank"), "id"), back(3, 1).unionAll(back(5, 2)), "q")
+
+
+@query("text_passages")
+def text_passages(spark, sf):
+    """Verbatim passages of each memory's text; the rules are held against examples by tests."""
+    from gistmill.functions import passages
+
+    each = fx.memories(spark, sf).select("id", F.posexplode(passages.passages("text")).alias("nth", "p"))
+    return each.select("id", "nth", F.col("p.start").alias("start"), F.col("p.end").alias("end"))
+
+
+@query("cited_surroundings", "SELECT e.memory_id, e.message_id, CASE WHEN length(content) <= end_char + 200 THEN content ELSE regexp_replace(substr(content, 1, end_char + 200), '(?s)^(.{' || CAST(end_char AS VARCHAR) || '}.*) .*$', '\\1') END AS around FROM evidence e JOIN messages g ON g.id = e.message_id WHERE length(content) <= end_char + 200 OR contains(substr(content, end_char + 1, 200), ' ')")
+def cited_surroundings(spark, sf):
+    """What stands around each citation, cut between words."""
+    g = fx.messages(spark, sf).select(F.col("id").alias("message_id"), "content")
+    e = fx.evidence(spark, sf).join(g, "message_id")
+    around = text.surrounding(F.col("content"), F.col("start_char"), F.col("end_char"))
+    open_end = (F.length("content") <= F.col("end_char") + 200) | F.contains(F.substr("content", F.col("end_char") + 1, F.lit(200)), F.lit(" "))
+    return e.filter(open_end).select("memory_id", "message_id", around.alias("around"))

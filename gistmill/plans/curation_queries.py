@@ -321,13 +321,14 @@ def pack_context(spark, sf):
     return retrieval.within_budget(curation.interleaved(facts, passages), 1500, 30)
 
 
-@query("review_queue", f"SELECT 'review' AS queue, id, source_role AS why FROM memories WHERE {LIVE} AND review_status = 'pending' AND source_role <> 'user' UNION ALL SELECT 'expiring', id, kind FROM memories WHERE status = 'active' AND valid_until > {NOW} AND valid_until <= {NOW} + to_days(7) UNION ALL SELECT 'failed', CAST(id AS VARCHAR), collection FROM outbox WHERE status = 'failed' AND attempts >= 8")
+@query("review_queue", f"SELECT 'review' AS queue, id, source_role AS why FROM memories WHERE {LIVE} AND review_status = 'pending' AND source_role <> 'user' UNION ALL SELECT 'expiring', id, kind FROM memories WHERE status = 'active' AND valid_until > {NOW} AND valid_until <= {NOW} + to_days(7) UNION ALL SELECT 'failed', CAST(id AS VARCHAR), collection FROM outbox WHERE status = 'failed' AND attempts >= 8 UNION ALL SELECT 'conflict', r.to_id, r.from_id FROM relations r JOIN memories m ON m.id = r.to_id WHERE relation = 'updates' AND m.status = 'active'")
 def review_queue(spark, sf):
     m, now = fx.memories(spark, sf), fx.now()
     a = m.filter(filters.live(now) & (F.col("review_status") == "pending") & (F.col("source_role") != "user")).select(F.lit("review").alias("queue"), "id", F.col("source_role").alias("why"))
     b = m.filter((F.col("status") == "active") & (F.col("valid_until") > now) & (F.col("valid_until") <= now + F.expr("INTERVAL 7 DAYS"))).select(F.lit("expiring"), "id", "kind")
     c = fx.outbox(spark, sf).filter("status = 'failed' AND attempts >= 8").select(F.lit("failed"), F.col("id").cast("string"), "collection")
-    return a.unionAll(b).unionAll(c)
+    open_ends = fx.relations(spark, sf).filter("relation = 'updates'").join(m.filter("status = 'active'").select(F.col("id").alias("to_id")), "to_id", "left_semi")
+    return a.unionAll(b).unionAll(c).unionAll(open_ends.select(F.lit("conflict"), "to_id", "from_id"))
 
 
 @query("candidate_block", """WITH s AS (SELECT c_custkey AS user_id, 'src' || CAST(c_custkey % 20 AS VARCHAR) AS scope_id, ['en', 'de', 'fr', 'es'][c_custkey % 4 + 1] AS lang, lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS asked FROM customer),
@@ -372,9 +373,22 @@ def index_parity(spark, sf):
     return live.join(there, "id", "left_anti").select(F.lit("missing").alias("side"), "id").unionAll(there.join(live, "id", "left_anti").select(F.lit("orphan"), "id"))
 
 
-@query("memory_summary", "SELECT id, kind, scope_id, round(CAST(importance AS DOUBLE), 3) AS importance, round(CAST(confidence AS DOUBLE), 4) AS confidence, strftime(updated_at, '%Y-%m-%dT%H:%M:%SZ') AS updated_at, length(text) AS size FROM memories")
+_ISO = "'%Y-%m-%dT%H:%M:%SZ'"
+
+
+@query("memory_summary", f"""SELECT m.id, sha256(text) AS text_sha, m.kind, round(CAST(importance AS DOUBLE), 3) AS importance, round(CAST(confidence AS DOUBLE), 4) AS confidence, review_status, source_role, status, scope_id AS scope, e.kind AS scope_kind, c.c_name AS subject, 'user' || CAST(subject_id AS VARCHAR) AS subject_slug,
+ array_to_string(tags, ',') AS tags, strftime(created_at, {_ISO}) AS created_at, strftime(updated_at, {_ISO}) AS updated_at, revision, strftime(document_date, {_ISO}) AS document_date, strftime(event_start, '%Y-%m-%d') AS event_dates, is_static, source_count
+ FROM memories m JOIN entities e ON e.id = m.scope_id LEFT JOIN customer c ON c.c_custkey = m.subject_id""")
 def memory_summary(spark, sf):
-    return fx.memories(spark, sf).select("id", "kind", "scope_id", F.round(F.col("importance").cast("double"), 3).alias("importance"), F.round(F.col("confidence").cast("double"), 4).alias("confidence"), F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("updated_at"), F.length("text").cast("bigint").alias("size"))
+    """What every list shows of a memory: twenty fields, names with what links to them."""
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(c)
+    e = fx.entities(spark, sf).select(F.col("id").alias("scope"), F.col("kind").alias("scope_kind"))
+    c = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("subject_id"), F.col("c_name").alias("subject"))
+    m = fx.memories(spark, sf).withColumnRenamed("scope_id", "scope").join(e, "scope").join(c, "subject_id", "left")
+    return m.select(
+        "id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha"), "kind", F.round(F.col("importance").cast("double"), 3).alias("importance"), F.round(F.col("confidence").cast("double"), 4).alias("confidence"), "review_status", "source_role", "status", "scope", "scope_kind", "subject",
+        F.concat(F.lit("user"), F.col("subject_id").cast("string")).alias("subject_slug"), F.array_join("tags", ",").alias("tags"), iso("created_at"), iso("updated_at"), "revision", iso("document_date"), F.date_format("event_start", "yyyy-MM-dd").alias("event_dates"), "is_static", "source_count",
+    )
 
 
 @query("profile_render", f"""WITH RECURSIVE m AS (SELECT *, {TOKENS} AS cost FROM memories WHERE {LIVE} AND source_role IN ('user', 'manual', 'tool')),
