@@ -1,6 +1,6 @@
 """Conversation benchmarks in JSON, as turns and questions.
 
-A file holds one list; each of its elements is read as a variant, so fields that differ between elements need no common schema.
+A file holds one list; each of its elements becomes a variant, so that fields which only some elements have are read alike.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ SPOKEN_DATE = "h:mm a 'on' d MMMM, yyyy"
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """A row for each element of the file's list, as variant ``v``."""
-    return spark.read.option("singleVariantColumn", "v").option("multiLine", True).json(path)
+    return spark.read.option("multiLine", True).json(path).select(F.to_variant_object(F.struct("*")).alias("v"))
 
 
 def _get(v: Column | str, path: str, kind: str = "string") -> Column:

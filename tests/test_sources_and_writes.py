@@ -1,0 +1,130 @@
+import datetime as dt
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from gistmill.functions import embedding, text
+from gistmill.operators import curation, evaluation, judgments, lineage_sets, stats, writes
+from gistmill.sources import benchmarks, snapshots
+
+
+def now():
+    return F.lit("2024-02-01 00:00:00").cast("timestamp")
+
+
+def test_numbered_sessions(spark, tmp_path):
+    sample = {
+        "sample_id": "c1",
+        "conversation": {
+            "speaker_a": "Ann", "session_1_date_time": "1:56 pm on 8 May, 2023", "session_2_date_time": "soon",
+            "session_1": [{"dia_id": "D1:1", "speaker": "Ann", "text": " hi "}, {"dia_id": "D1:2", "speaker": "Bo", "text": "", "blip_caption": "a cat"}, {"dia_id": "D1:3", "speaker": "Bo", "text": " "}],
+            "session_2": [{"dia_id": "D2:1", "speaker": "Bo", "text": "yes"}],
+        },
+        "qa": [{"question": "who?", "answer": 7, "category": 2, "evidence": ["D1:1"]}, {"question": "why?", "category": 5}, {"question": "how?", "answer": "so", "category": 9}],
+    }
+    path = str(tmp_path / "a.json")
+    (tmp_path / "a.json").write_text(json.dumps([sample, {"sample_id": "c2", "conversation": {}, "qa": []}]))
+    v = benchmarks.read(spark, path)
+    turns = {r.turn_id: r for r in benchmarks.spoken_turns(v).collect()}
+    assert {k: r.text for k, r in turns.items()} == {"D1:1": "Ann: hi", "D1:2": "Bo: [shares a photo of a cat]", "D2:1": "Bo: yes"}
+    assert turns["D1:1"].session_id == "c1-s1" and turns["D1:1"].date == dt.datetime(2023, 5, 8, 13, 56) and turns["D2:1"].date is None
+    asked = {r.question_id: (r.answer, r.category, r.evidence, r.abstention) for r in benchmarks.spoken_questions(v, adversarial=True).collect()}
+    assert asked == {"c1-q0": ("7", "temporal", ["D1:1"], False), "c1-q1": ("", "adversarial", [], True), "c1-q2": ("so", "unknown", [], False)}
+    assert benchmarks.spoken_questions(v).count() == 2
+
+
+def test_haystacks(spark, tmp_path):
+    item = {
+        "question_id": "q1_abs", "question_type": "temporal-reasoning", "question": "when?", "answer": "then", "haystack_dates": ["2023/05/20 (Sat) 02:21", "x"], "haystack_sessions": [[{"role": "user", "content": "a"}, {"role": "assistant", "content": " "}], [{"role": "assistant", "content": "b"}]],
+        "haystack_session_ids": ["s1", "s2"], "answer_session_ids": ["s2"],
+    }
+    (tmp_path / "h.json").write_text(json.dumps([item, {**item, "question_id": "q2", "question_type": benchmarks.ABOUT_ASSISTANT}]))
+    v = benchmarks.read(spark, str(tmp_path / "h.json"))
+    got = [(r.session_id, r.turn_id, r.role, r.text, r.date) for r in benchmarks.haystack_turns(v).orderBy("turn_id").collect()]
+    assert got == [("q1_abs-s1", "q1_abs-s1:0", "user", "a", dt.datetime(2023, 5, 20, 2, 21)), ("q1_abs-s2", "q1_abs-s2:0", "assistant", "b", None)]
+    q = benchmarks.haystack_questions(v).collect()
+    assert [(r.conversation_id, r.evidence_sessions, r.abstention) for r in q] == [("q1_abs", ["q1_abs-s2"], True)] and benchmarks.haystack_questions(v, True).count() == 2
+
+
+def test_snapshots_tell_changes(spark, tmp_path):
+    a, b = spark.range(5).withColumn("x", F.array(F.lit(None).cast("string"))), spark.createDataFrame([], "y int")
+    path = str(tmp_path / "snap")
+    assert {(r["name"], r.rows) for r in snapshots.create({"a": a, "b": b}, path).collect()} == {("a", 5), ("b", 0)}
+    assert all(r.whole for r in snapshots.verified(spark, path).collect())
+    spark.range(1, 6).withColumn("x", F.array(F.lit("z"))).write.mode("overwrite").parquet(f"{path}/a")
+    assert {r["name"]: r.whole for r in snapshots.verified(spark, path).collect()} == {"a": False, "b": True}
+    assert [(r["name"], r.whole) for r in lineage_sets.copied({"a": a}, {"a": a.limit(4)}).collect()] == [("a", False)]
+    lineage_sets.export_to({"a": a}, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out" / "a")).count() == 5
+
+
+def test_links_are_taken_in_order(spark):
+    rows = [(i, "s", 1, "c", "user", dt.datetime(2024, 1, d), "active", None) for i, d in (("a", 1), ("b", 2), ("c", 3), ("d", 3))] + [("x", "s", 1, "c", "user", dt.datetime(2024, 1, 1), "archived", None), ("i", "s", 1, "c", "inference", dt.datetime(2024, 1, 9), "active", None)]
+    memories = spark.createDataFrame(rows, "id string, scope_id string, subject_id int, context string, source_role string, document_date timestamp, status string, valid_until timestamp")
+    said = [(1, 0, "c", "b", "updates"), (1, 1, "b", "a", "updates"), (1, 2, "d", "b", "extends"), (1, 3, "a", "c", "updates"), (1, 4, "c", "x", "extends"), (1, 5, "c", "c", "extends"), (1, 6, "c", None, "extends"), (2, 0, "b", "a", "extends"), (2, 1, "i", "a", "updates"), (2, 2, "b", "a", "causes")]
+    answers = spark.createDataFrame(said, "cluster int, nth int, from_id string, to_id string, relation string")
+    got = {(r.cluster, r.nth): r.reason for r in writes.links(answers, memories, now()).collect()}
+    assert got == {(1, 0): None, (1, 1): "link_target_changed", (1, 2): "link_target_changed", (1, 3): "update_not_forward", (1, 4): "link_target_changed", (1, 5): "invalid_link", (1, 6): "invalid_link", (2, 0): None, (2, 1): "update_not_forward", (2, 2): "invalid_link"}
+
+
+def test_repeated_deliveries_change_nothing(spark):
+    schema = "id long, user_id long, role string, content string, external_source string, external_id string"
+    stored = spark.createDataFrame([(1, 7, "user", "said before now", "t", "e1"), (2, 7, "user", "without a name", None, None)], schema)
+    new = [(3, 7, "user", "said before now", "t", "e1"), (4, 8, "user", "said before now, by another", "t", "e1"), (5, 7, "user", "in another source, the same id", None, "e1"), (6, 7, "user", "again from that source", None, "e1"), (7, 7, "tool", "nameless", None, None), (8, 7, "tool", "nameless", None, None), (9, 7, "root", "x", None, None), (10, 7, "user", None, None, None)]
+    out = {r.id: (r.outcome, r.indexed) for r in writes.add_messages(spark.createDataFrame(new, schema), stored).collect()}
+    assert {k: v[0] for k, v in out.items() if k != 10} == {3: "duplicate", 4: "stored", 5: "stored", 6: "duplicate", 7: "stored", 8: "stored", 9: "invalid_role"}
+    assert out[4][1] and not out[7][1] and not out[3][1]
+
+
+def test_modes_and_vetoes(spark):
+    rows = spark.createDataFrame([(1, "a", 1, 0.2), (1, "b", 2, 0.9), (2, "c", 1, None), (2, "d", 2, 0.9)], "q int, id string, rank int, value double")
+    ids = lambda mode: [(r.q, r.id) for r in judgments.in_mode(rows, mode, "q", 0.5).orderBy("q", "rank").collect()]
+    before = [(1, "a"), (1, "b"), (2, "c"), (2, "d")]
+    assert ids("off") == ids("shadow") == before
+    assert ids("rerank") == [(1, "b"), (1, "a"), (2, "c"), (2, "d")] and ids("filter") == ids("contribution") == [(1, "b"), (2, "c"), (2, "d")] and ids("verify") == [(1, "b"), (2, "c"), (2, "d")]
+    with pytest.raises(ValueError):
+        judgments.in_mode(rows, "sometimes", "q")
+    assert [r.vetoed for r in judgments.vetoed(rows).orderBy("id").collect()] == [False, True, False, True]
+
+
+def test_contexts_take_the_sessions_keys(spark):
+    session = F.create_map(F.lit("ws"), F.lit("shop"), F.lit("lang"), F.lit("de"), F.lit("also"), F.lit("de"))
+    take = lambda *own: spark.range(1).select(judgments.reconciled(F.create_map(*map(F.lit, own)), session).alias("x")).first().x
+    assert take("workspace", "shop") == {"ws": "shop"} and take("ws", "shop", "lang", "de") == {"ws": "shop", "lang": "de"}
+    assert take("tongue", "de") is None and take("ws", "other") is None
+
+
+def test_places_over_ranges(spark):
+    rows = spark.range(1000).select(((F.col("id") * 37) % 1000).alias("x")).repartition(7)
+    assert [r.nth for r in stats.ranked(rows, [F.asc("x")]).orderBy("x").collect()] == list(range(1, 1001))
+    assert stats.ranked(rows.limit(0), [F.asc("x")]).count() == 0
+
+
+def test_hashed_vectors_and_query_keys(spark):
+    df = spark.createDataFrame([("deploys services",), ("service deployed",), ("",), (None,)], "t string").select(embedding.hashed(F.col("t")).alias("v"))
+    a, b, none, null = (r.v for r in df.collect())
+    assert a == b and abs(sum(x * x for x in a) - 1) < 1e-9 and not any(none) and null is None
+    assert embedding.query_key("s", "q") != embedding.query_key("t", "q") and len(embedding.query_key("s", "q")) == 64
+    with pytest.raises(ValueError):
+        embedding.query_key("", "q")
+
+
+def test_surroundings(spark):
+    said = "one two " * 60 + "HERE" + " three four" * 60
+    at = said.index("HERE")
+    rows = spark.createDataFrame([(said, at, at + 4), ("a HERE b", 2, 6), ("x" * 500, 300, 310)], "t string, a int, b int")
+    got = [r.x for r in rows.select(text.surrounding(F.col("t"), F.col("a"), F.col("b")).alias("x")).collect()]
+    assert got[0].startswith(("one ", "two ")) and "HERE" in got[0] and got[0].endswith((" three", " four")) and len(got[0]) <= 404 and got[1] == "a HERE b" and got[2] == "x" * 200  # up to the text's end, which is near
+
+
+def test_progress_stops_at_the_first_failure(spark):
+    rows = spark.createDataFrame([("s", dt.datetime(2024, 1, d), str(d), d == 3) for d in (1, 2, 3, 4)] + [("t", dt.datetime(2024, 1, 1), "1", True)], "scope_id string, updated_at timestamp, id string, failed boolean")
+    assert [(r.scope_id, r.id) for r in curation.progress(rows).collect()] == [("s", "2")]
+
+
+def test_metrics_without_results(spark):
+    cases = spark.createDataFrame([(1,), (2,)], "q int")
+    none, expected = spark.createDataFrame([], "q int, id string, rank int"), spark.createDataFrame([(1, "a")], "q int, id string")
+    r = evaluation.hybrid_metrics(cases, none, expected).first()
+    assert (r.queries, r.answerable, r.top1_correct, r.relevant_retained, r.correct_abstentions, r.irrelevant_returned) == (2, 1, 0, 0, 1, 0)
