@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gistmill.functions import text
-from gistmill.functions.scores import dot
-from gistmill.operators.graph import similar_pairs
+from gistmill.operators.graph import nearest_to, similar_pairs
 
 # Source roles from the strongest to the weakest evidence, and the order in which a merge takes the least trusted.
 AUTHORITY = ["user", "tool", "assistant", "agent", "inference"]
@@ -102,17 +101,17 @@ def last_good(revisions: DataFrame, current: DataFrame) -> DataFrame:
 def candidates(sessions: DataFrame, rows: DataFrame, key: str, recent: int = 6, most: int = 10) -> DataFrame:
     """key, id, nth, arm: for each session the newest rows of its scope and language, then those nearest to its vector q in its scope, ``most`` in all.
 
-    The recent arm ranks a scope's rows once, and sessions take the first ones; the dense arm keeps the ``most`` best of each task before the shuffle.
+    The recent arm ranks a scope's rows once, and sessions take the first ones; the dense arm goes through pairs of blocks of sessions and rows.
     """
     newest = Window.partitionBy("scope_id", "lang").orderBy(F.desc("updated_at"), "id")
     top = rows.withColumn("nth", F.row_number().over(newest)).filter(F.col("nth") <= recent).select("scope_id", "lang", "id", "nth")
     first = sessions.join(top, ["scope_id", "lang"]).select(key, "id", "nth", F.lit("recent").alias("arm"))
-    held = first.groupBy(key).agg(F.count("*").alias("held"), F.collect_set("id").alias("own"))  # at most ``recent`` of each
-    asking = sessions.filter("q IS NOT NULL").join(held, key, "left")
-    near = asking.join(rows.filter("v IS NOT NULL").select("scope_id", "id", "v"), "scope_id")
-    near = near.filter(~F.coalesce(F.array_contains("own", F.col("id")), F.lit(False))).select(key, "id", "held", dot(F.col("v"), F.col("q")).alias("c"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("c"), "id")) + F.coalesce("held", F.lit(0))
-    return first.unionAll(near.withColumn("nth", place.cast("int")).filter(F.col("nth") <= most).select(key, "id", "nth", F.lit("dense")))
+    held = first.groupBy(F.col(key).cast("string").alias("asked")).agg(F.count("*").alias("held"), F.collect_set("id").alias("own"))  # at most ``recent`` of each
+    near = nearest_to(sessions.select("scope_id", F.col(key).alias("id"), F.col("q").alias("v")), rows.select("scope_id", "id", "v"), recent + most, "scope_id").join(held, "asked", "left")
+    near = near.filter(~F.coalesce(F.array_contains("own", F.col("other")), F.lit(False)))
+    place = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("cosine"), "other")) + F.coalesce("held", F.lit(0))
+    kind = sessions.schema[key].dataType
+    return first.unionAll(near.withColumn("nth", place.cast("int")).filter(F.col("nth") <= most).select(F.col("asked").cast(kind), "other", "nth", F.lit("dense")))
 
 
 def numbered_entities(offered: DataFrame, most: int) -> DataFrame:

@@ -98,6 +98,24 @@ def nearest(rows: DataFrame, k: int, floor: float, *same: str) -> DataFrame:
     return found.withColumn("nth", nth).filter(F.col("nth") <= k)
 
 
+def nearest_to(asking: DataFrame, rows: DataFrame, k: int, *same: str) -> DataFrame:
+    """asked, other, cosine: for each of ``asking`` (id, v) the k most similar of ``rows`` (id, v) that agree in the columns ``same``, and maybe more for each pair of blocks."""
+    marked = lambda d, mark: d.select(*same, F.concat(F.lit(mark), F.col("id").cast("string")).alias("id"), "v")
+
+    def keep(left, right, products, within: bool) -> pa.Table:
+        out: list[list] = [[], [], []]
+        for ids, others, p in ((left, right, products), (right, left, products.T))[: 1 if within else 2]:
+            held = np.flatnonzero([x[0] == "r" for x in others])
+            for n in np.flatnonzero([x[0] == "q" for x in ids]):
+                at = held[np.lexsort((others[held].astype(str), -p[n][held]))][:k]
+                out[0] += [ids[n][1:]] * len(at)
+                out[1] += [x[1:] for x in others[at]]
+                out[2] += p[n][at].tolist()
+        return pa.table({"asked": pa.array(out[0], pa.string()), "other": pa.array(out[1], pa.string()), "cosine": pa.array(out[2], pa.float64())})
+
+    return block_products(marked(asking, "q").unionByName(marked(rows, "r")), list(same), keep, "asked string, other string, cosine double")
+
+
 def clusters(pairs: DataFrame) -> DataFrame:
     """node, cluster: each member of a pair with the smallest member that it reaches."""
     return components(pairs).select("node", F.col("component").alias("cluster"))
