@@ -502,9 +502,116 @@ def test_cuts_are_optimal():
         assert cost(packing.cuts(places, penalties, 10)) == best[len(places) - 1]
 
 
+# --- the registered queries, on whole tables
+
+
+@pytest.fixture(scope="module")
+def whole(spark):
+    return [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+
+
+def found(spark, name, *columns, key="doc_id"):
+    rows = queries.QUERIES[name](spark, SF).collect()
+    out = {r[key]: tuple(r[c] for c in columns) for r in rows}
+    assert len(out) == len(rows)
+    return out
+
+
+def test_op1_by_the_library(spark, whole):
+    library = bpe.encoder(bpe.vocabulary_path()).library
+    want = {}
+    for i, t in whole:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want[i] = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+    assert found(spark, "op1_bpe", "n_tokens", "ids_sha256", "decoded_sha256") == want
+
+
+def test_op2_by_brute_force(spark, whole):
+    assert found(spark, "op2_minhash", "n_shingles", "component_id", "kept") == near_brute(whole)
+
+
+def test_op3_by_brute_force(spark):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], dtype=float)
+    got = defaultdict(list)
+    for r in queries.QUERIES["op3_ann"](spark, SF).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    assert set(got) == {i for i in ids.tolist() if i % 100 == 0}
+    hits = 0
+    for q, ranked in got.items():
+        d = np.sqrt(((x - x[ids == q]) ** 2).sum(1))
+        want = [i for i in ids[np.lexsort((ids, d))].tolist() if i != q][:10]
+        hits += len({i for _, i, _ in ranked} & set(want))
+        assert [k for k, _, _ in sorted(ranked)] == list(range(1, len(want) + 1)) and all(abs(d[ids == i][0] - s) < 1e-9 for _, i, s in ranked)
+    assert hits >= 0.9 * 10 * len(got)
+
+
+def test_op4_scores_every_document(spark, whole):
+    got = found(spark, "op4_toxicity", "held_out", "score", "predicted")
+    assert got.keys() == {i for i, _ in whole}
+    for i, (held_out, score, predicted) in got.items():
+        assert held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= score <= 1 and predicted == int(score >= 0.5)
+
+
+def test_op5_by_brute_force(spark, whole):
+    want = lines_brute(whole)
+    assert found(spark, "op5_lines", "n_lines", "removed") == {i: (0 if t is None else t.count("\n") + 1, want.get(i, [])) for i, t in whole}
+
+
+def test_op7_by_brute_force(spark, whole):
+    assert found(spark, "op7_suffix", "n_bytes", "n_removed", "n_spans", "kept_sha256") == bytes_brute(whole)
+
+
+def test_op10_keeps_every_id_once(spark, whole):
+    own = bpe.encoder(bpe.vocabulary_path())
+    at, ends = defaultdict(int), defaultdict(list)
+    for p in sorted(queries.QUERIES["op10_packing"](spark, SF).collect(), key=lambda p: (p.doc_id, p.start)):
+        assert p.start == at[p.doc_id]
+        at[p.doc_id] += p.length
+        ends[p.sequence_id].append((p.offset, p.length))
+    assert at == {i: len(own.encode(t)) + 1 for i, t in whole}
+    for pieces in ends.values():
+        assert [o for o, _ in sorted(pieces)] == [sum(n for _, n in sorted(pieces)[:k]) for k in range(len(pieces))] and sum(n for _, n in pieces) <= 2048
+
+
+# --- odd rows
+
+
+def test_rows_with_one_id_are_documents_of_their_own(spark):
+    rng = random.Random(12)
+    own, first, other = ("".join(rng.choice("abcdefghij klm") for _ in range(300)) for _ in range(3))
+    rows = [(1, first + own), (1, other), (2, "before " + own + " after"), (2, "before " + own + " after"), (3, None), (3, "")]
+    got = suffix.substring_dedup(frame(spark, rows)).collect()
+    assert len(got) == 6 and sum(r.n_removed == 0 for r in got if r.doc_id == 1) >= 1 and sorted(r.n_bytes for r in got if r.doc_id == 3) == [0, 0]
+    cut = [r.text for r in suffix.without_repeats(frame(spark, rows)).collect()]
+    assert rows[1][1] in cut and cut.count(None) == 1 and "" in cut
+    twice = [*rows, *rows]
+    assert sorted(r.n_tokens for r in bpe.encode(frame(spark, twice)).collect()) == sorted(2 * [r.n_tokens for r in bpe.encode(frame(spark, rows)).collect()])
+    packed = packing.pack(frame(spark, twice)).collect()
+    assert sum(p.length for p in packed) == 2 * sum(p.length for p in packing.pack(frame(spark, rows)).collect())
+    same = exact_dedup.exact_dedup(frame(spark, twice)).collect()
+    assert len(same) == 12 and {r.group_size for r in same if r.doc_id == 2} == {4} and all(r.kept for r in same if r.doc_id in (1, 3))
+
+
 # --- the pipeline
 
 
+def test_pipeline_stages_on_odd_tables(spark):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, removed string, toxicity string"
+    odd = [(1, None), (2, ""), (None, "alone"), (4, "same words in a row of eight or more"), (4, "same words in a row of eight or more"), (5, "é" * 120), (6, "w " * 30_000)]
+    for rows in (odd, [(1, None)], []):
+        table = spark.createDataFrame([(i, t, "en", "x", 0, "y", "z") for i, t in rows], schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, table, SF)
+            assert out.columns == corpus_pipeline.COLUMNS, name
+            n = out.count()
+            assert n == len(rows), name  # none is toxic, and rows that repeat a kept id stay with it
+        pieces = corpus_pipeline.pack(spark, table, SF)
+        assert pieces.filter("length < 1 OR offset < 0").count() == 0 and (pieces.count() > 0) == bool(rows)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
