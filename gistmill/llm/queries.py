@@ -130,3 +130,69 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op3_ann": op3_ann, "op8_urls": op8_urls}
+
+ORACLES["op2_minhash"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM w
+), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p WHERE 100 * n >= 75 * (na + nb - n)), k AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS node, a AS root FROM k UNION SELECT k.b, r.root FROM r JOIN k ON r.node = k.a),
+c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept FROM s LEFT JOIN c ON c.node = s.doc_id
+"""
+
+ORACLES["op7_suffix"] = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, pos, substr(h, 2 * pos + 1, 200) AS x FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS pos FROM d WHERE len(h) >= 200)),
+g AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY x ORDER BY doc_id, pos) AS nth FROM w),
+m AS (SELECT doc_id, pos, max(pos) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM g WHERE nth > 1),
+i AS (SELECT doc_id, pos, sum(CASE WHEN before IS NULL OR pos > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM m),
+s AS (SELECT doc_id, span, min(pos) AS a, max(pos) + 100 AS b FROM i GROUP BY doc_id, span),
+f AS (SELECT d.doc_id, h, coalesce(list(struct_pack(a := a, b := b) ORDER BY a) FILTER (a IS NOT NULL), []) AS spans FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id, h),
+k AS (SELECT doc_id, h, spans, array_to_string(list_transform(range(0, len(spans) + 1), lambda j: substr(h, CASE WHEN j = 0 THEN 1 ELSE 2 * spans[j].b + 1 END, CASE WHEN j = len(spans) THEN len(h) ELSE 2 * spans[j + 1].a END - CASE WHEN j = 0 THEN 0 ELSE 2 * spans[j].b END)), '') AS kept FROM f)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST((len(h) - len(kept)) // 2 AS BIGINT) AS n_removed, CAST(len(spans) AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM k
+"""
+
+
+def _host(x: str) -> str:
+    return f"translate(regexp_extract({x}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _path(x: str) -> str:
+    return f"regexp_extract({x}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+
+
+def _node(x: str) -> str:
+    plain = f"regexp_replace({x}, '(?s)#.*$', '')"
+    rest = f"regexp_extract({plain}, '(?s)^.*?://[^/?#]*(.*)$', 1)"
+    scheme = f"translate(regexp_extract({plain}, '(?s)^(.*?)://', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"CASE WHEN {_host(plain)} <> '' THEN {scheme} || '://' || {_host(plain)} || CASE WHEN {rest} = '' THEN '/' ELSE {rest} END END"
+
+
+_RULES = ", ".join(f"('{verdict}', '{host}', '{path}')" for verdict, host, path in RULES)
+_ROOT = "regexp_extract(page, '(?s)^(.*?://[^/?#]*)', 1)"
+_FOLDER = "regexp_extract(page, '(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)', 1)"
+ORACLES["op8_urls"] = rf"""
+WITH RECURSIVE rules(verdict, h, p) AS (VALUES {_RULES}),
+found AS (
+  SELECT url AS page, unnest(list_concat(
+    list_transform(regexp_extract_all(coalesce(html, ''), '(?is)(<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>)', 1), lambda x: regexp_extract(x, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+    list_transform(regexp_extract_all(coalesce(html, ''), '(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>)', 1), lambda x: regexp_extract(x, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)))) AS said FROM pages
+), link AS (SELECT page, replace(trim(said), '&amp;', '&') AS x FROM found WHERE said <> '' AND page IS NOT NULL),
+target AS (
+  SELECT page, CASE WHEN regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN x WHEN starts_with(x, '//') THEN regexp_extract(page, '(?s)^(.*?:)//', 1) || x WHEN starts_with(x, '/') THEN {_ROOT} || x WHEN x = '' THEN page
+    WHEN {_FOLDER} = {_ROOT} THEN {_ROOT} || '/' || x ELSE {_FOLDER} || x END AS target FROM link
+), e AS (SELECT {_node("page")} AS a, {_node("target")} AS b FROM target), k AS (SELECT a, b FROM e WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b UNION SELECT b, a FROM e WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b),
+reach AS (SELECT a AS node, a AS other FROM k UNION SELECT r.node, k.b FROM reach r JOIN k ON k.a = r.other),
+n AS (SELECT page_id, url, coalesce({_host("url")}, '') AS host, coalesce({_path("url")}, '') AS path, {_node("url")} AS node FROM pages),
+alias AS (SELECT node, other, {_host("other")} AS host, {_path("other")} AS path FROM reach),
+blocked AS (
+  SELECT DISTINCT node FROM (SELECT alias.node, alias.other, arg_max(verdict, (length(h || p), verdict = 'allow')) AS verdict FROM alias JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY alias.node, alias.other) WHERE verdict = 'block'
+), own AS (SELECT DISTINCT host, path, arg_max(h || p, (length(h || p), verdict = 'allow')) OVER (PARTITION BY host, path) AS rule, arg_max(verdict, (length(h || p), verdict = 'allow')) OVER (PARTITION BY host, path) AS verdict FROM (SELECT DISTINCT host, path FROM n) JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, n.host, n.path, own.rule, coalesce(own.verdict, CASE WHEN blocked.node IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM n LEFT JOIN own ON own.host = n.host AND own.path = n.path LEFT JOIN blocked ON blocked.node = n.node
+"""
