@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gistmill.llm import ann, bpe, chat, exact_dedup, lines, minhash, packing, suffix, toxicity, urls
+from gistmill.llm import ann, bpe, chat, codes, exact_dedup, language, lines, minhash, packing, suffix, toxicity, urls, whitening
+from gistmill.llm.vectors import finite
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -196,3 +197,54 @@ blocked AS (
 SELECT page_id, n.host, n.path, own.rule, coalesce(own.verdict, CASE WHEN blocked.node IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM n LEFT JOIN own ON own.host = n.host AND own.path = n.path LEFT JOIN blocked ON blocked.node = n.node
 """
+
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.transform("embedding", lambda c: F.floor(c.cast("double") * 64) + 1_000_000)
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors.withColumn("embedding", F.when(finite(F.col("embedding"), whitening.MOST / 128), F.col("embedding"))), x)
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(language.fold(F.col("doc_id")) == language.HELD_OUT, F.lit(False))
+    model = language.train(docs.filter(~held_out))
+    return language.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"), F.transform("embedding", lambda c: c.cast("double") * 1024))
+
+
+def _op13_sql(parts: int = 4, rounds: int = 4) -> str:
+    """Every round as three tables: distances to all entries, the nearest one, and its parts' means."""
+    parted = ", ".join(f"({k})" for k in range(parts))
+    said = [
+        f"""WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(CAST(c AS DOUBLE) * 1024) AS BIGINT)) AS x, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+own AS MATERIALIZED (SELECT vec_id, place, label, part, x[part * len(x) // {parts} + 1 : (part + 1) * len(x) // {parts}] AS v FROM kept, (VALUES {parted}) t(part)),
+book0 AS MATERIALIZED (SELECT part, CAST(place AS BIGINT) AS entry, v AS c FROM own WHERE place < 256)"""
+    ]
+    for r in range(rounds + 1):
+        said.append(
+            f"""near{r} AS MATERIALIZED (SELECT place, own.part, min(CAST(list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) * 256 + entry) AS best
+  FROM own JOIN book{r} b ON b.part = own.part GROUP BY place, own.part)"""
+        )
+        if r < rounds:
+            said.append(
+                f"""sums{r} AS (SELECT part, entry, i, CAST(floor_div AS BIGINT) AS c FROM (SELECT own.part, best % 256 AS entry, i, (sum(v[i]) - ((sum(v[i]) % count(*)) + count(*)) % count(*)) // count(*) AS floor_div
+  FROM own JOIN near{r} n ON n.place = own.place AND n.part = own.part, range(1, 1 + (SELECT max(len(v)) FROM own)) t(i) WHERE i <= len(v) GROUP BY own.part, best % 256, i)),
+new{r} AS (SELECT part, entry, list(c ORDER BY i) AS c FROM sums{r} GROUP BY part, entry),
+book{r + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(n.c, b.c) AS c FROM book{r} b LEFT JOIN new{r} n ON n.part = b.part AND n.entry = b.entry)"""
+            )
+    said.append(
+        f"""coded AS (SELECT vec_id, label, string_agg(printf('%02x', CAST(best % 256 AS INTEGER)), '' ORDER BY n.part) AS code, CAST(sum(best // 256) AS BIGINT) AS error
+  FROM near{rounds} n JOIN own ON own.place = n.place AND own.part = n.part GROUP BY n.place, vec_id, label),
+digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, digest"""
+    )
+    return ",\n".join(said)
+
+
+QUERIES |= {"op11_whitening": op11_whitening, "op12_language": op12_language, "op13_codes": op13_codes}
+ORACLES["op13_codes"] = _op13_sql()
