@@ -19,8 +19,8 @@ similar pair.  Every pair in a bucket is thus confirmed, refused, or within one
 Defined results: words are runs without ASCII white space, A-Z lower-cased; texts with
 fewer than five words have one shingle, the whole sequence; null texts and texts
 without words have an empty set and link with nothing; doc_id names a document, so rows
-that repeat one are decided alike; a row without doc_id links with nothing; an empty
-table gives no rows; further columns play no part.
+that repeat one are decided alike, and each of their texts links the document with others; a row
+without doc_id links with nothing; an empty table gives no rows; further columns play no part.
 """
 
 from __future__ import annotations
@@ -57,8 +57,8 @@ def signature(shingles: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
     return ((least * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(64 - BITS)).astype(np.uint16)
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_hash, sig (null for an empty set)."""
+def signatures(texts: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles, set_hash, sig (null for an empty set) of rows of doc_id, text, text_hash."""
 
     def run(batches):
         memory, multipliers = WordHashes(), _multipliers()
@@ -70,14 +70,14 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 hashes.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 sigs.append(signature(found, multipliers).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(hashes, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "set_hash", "sig"]
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(hashes, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "text_hash", "n_shingles", "set_hash", "sig"]
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, sig binary")
+    return texts.select("doc_id", "text", "text_hash").mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_hash binary, sig binary")
 
 
 def index_keys(sets: DataFrame) -> DataFrame:
-    """key, doc_id: an entry for each chunk and each place in it that may be wrong."""
+    """key, node: an entry for each chunk and each place in it that may be wrong."""
 
     def run(batches):
         for batch in batches:
@@ -92,9 +92,9 @@ def index_keys(sets: DataFrame) -> DataFrame:
                 keys[:, :, wrong] = key
             ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), CHUNKS * WIDTH)
             for i in range(0, len(ids), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)[i : i + (1 << 16)].astype(np.int64)), pa.array(ids[i : i + (1 << 16)])], names=["key", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)[i : i + (1 << 16)].astype(np.int64)), pa.array(ids[i : i + (1 << 16)])], names=["key", "node"])
 
-    return sets.select("doc_id", "sig").mapInArrow(run, "key long, doc_id long")
+    return sets.select("node", "sig").mapInArrow(run, "key long, node long")
 
 
 def _near(pairs: DataFrame) -> DataFrame:
@@ -131,15 +131,17 @@ def _same(pairs: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """The links among distinct pairs a, b."""
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
+    """The links among distinct pairs a, b of nodes."""
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
     near = written(_near(pairs.join(side("b"), "b").join(side("a"), "a")))
-    text = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
-    return written(_same(near.join(text("b"), "b").join(text("a"), "a")))
+    place = lambda x: sets.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "text_hash")])
+    text = lambda x: texts.select(*[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "text_hash", "text")])
+    with_text = lambda rows, x: rows.join(place(x), x).join(text(x), [f"doc_id_{x}", f"text_hash_{x}"]).drop(f"doc_id_{x}", f"text_hash_{x}")
+    return written(_same(with_text(with_text(near, "b"), "a")))
 
 
 def crossing(opened: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs a, b across components that may be similar; ``opened`` has doc_id, component, n_shingles.
+    """Pairs a, b across components that may be similar; ``opened`` has node, component, n_shingles, doc_id, text_hash.
 
     Buckets of texts from one template hold pairs that are all somewhat similar.  They are not
     enumerated: each document's shingles are put in order of rarity among these documents, and only pairs
@@ -153,50 +155,67 @@ def crossing(opened: DataFrame, texts: DataFrame) -> DataFrame:
                 part = batch.slice(i, SLICE)
                 found = [shingle_set(text, memory).view(np.int64) for text in part.column(1).to_pylist()]
                 ids = np.repeat(part.column(0).to_numpy(), [len(x) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(found))], names=["doc_id", "shingle"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(found))], names=["node", "shingle"])
 
-    asked = opened.select("doc_id").join(texts, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text")
-    rows = written(asked.mapInArrow(run, "doc_id long, shingle long"))
+    asked = opened.select("node", "doc_id", "text_hash").join(texts, ["doc_id", "text_hash"]).select("node", "text")
+    rows = written(asked.mapInArrow(run, "node long, shingle long"))
     often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("often", "shingle")) - 1
+    place = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle")) - 1
     rows = rows.join(often, "shingle").withColumn("pos", place).filter("often > 1")
-    rows = rows.join(opened.select("doc_id", "component", F.col("n_shingles").alias("n")), "doc_id")
+    rows = rows.join(opened.select("node", "component", F.col("n_shingles").alias("n")), "node")
     n, pos = F.col("n"), F.col("pos")
     # of a pair, the longer shares a shingle within this prefix, the shorter within the next
     longer = written(rows.filter(pos <= n - F.ceil(n * SIMILAR / OF)).drop("often"))
     shorter = longer.filter(pos <= n - F.ceil(n * 2 * SIMILAR / (OF + SIMILAR)))
     x, y = longer.alias("x"), shorter.alias("y")
     at = lambda k: F.col(k)
-    order = (at("x.n") > at("y.n")) | ((at("x.n") == at("y.n")) & (at("x.doc_id") > at("y.doc_id")))
+    order = (at("x.n") > at("y.n")) | ((at("x.n") == at("y.n")) & (at("x.node") > at("y.node")))
     fits = at("y.n") * OF >= at("x.n") * SIMILAR
     reach = F.least(at("x.n") - at("x.pos"), at("y.n") - at("y.pos")) * (OF + SIMILAR) >= (at("x.n") + at("y.n")) * SIMILAR
     apart = at("x.component") != at("y.component")
     pairs = x.join(y, (at("x.shingle") == at("y.shingle")) & order & fits & reach & apart)
-    return pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     rows = written(signatures(texts))
     linkable = rows.filter("set_hash IS NOT NULL AND doc_id IS NOT NULL")
-    first = linkable.groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
-    sets = written(linkable.join(first, "set_hash").filter("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sig", "set_hash"))
+    # a node for each set, which one text stands for
+    first = linkable.groupBy("set_hash").agg(F.min_by(F.struct("doc_id", "text_hash", "n_shingles", "sig"), F.struct("doc_id", "text_hash")).alias("rep"))
+    sets = written(first.select("set_hash", "rep.*").withColumn("node", F.monotonically_increasing_id()))
+    if linkable.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").head(1):
+        texts = texts.groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"))  # equal rows, once
     keys = index_keys(sets)
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("other")).filter("hub < other").select("key", "hub")
+    shared = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub < other").select("key", "hub")
     members = written(keys.join(shared, "key"))
-    star = members.filter("doc_id != hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = confirmed(star, sets, texts)
+    star = members.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    # documents that have several sets link these
+    apart = linkable.groupBy("doc_id").agg(F.min("set_hash").alias("least"), F.max("set_hash").alias("most")).filter("least != most").select("doc_id", "least")
+    number = lambda x, alias: sets.select(F.col("set_hash").alias(x), F.col("node").alias(alias))
+    own = linkable.select("doc_id", "set_hash").distinct().join(apart, "doc_id").filter("set_hash != least")
+    own = own.join(number("set_hash", "b"), "set_hash").join(number("least", "a"), "least").select("a", "b")
+    links = confirmed(star, sets, texts).unionAll(written(own))
     first_parts = written(components(links))
 
     # what the stars leave open: pairs across components, in buckets that hold several
-    part = members.join(first_parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    part = members.join(first_parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     several = part.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    opened = part.join(several, "key", "left_semi").select("doc_id", "component").distinct()
-    cross = crossing(written(opened.join(sets.select("doc_id", "n_shingles"), "doc_id")), texts)
+    opened = part.join(several, "key", "left_semi").select("node", "component").distinct()
+    cross = crossing(written(opened.join(sets.select("node", "n_shingles", "doc_id", "text_hash"), "node")), texts)
     more = confirmed(cross, sets, texts)
     parts = components(first_parts.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
 
-    known = sets.select("set_hash", F.col("doc_id").alias("node")).join(parts, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component_id"))
-    out = rows.drop("sig").join(known, "set_hash", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+    # a component is named by its smallest doc_id
+    placed = written(sets.select("set_hash", "node", "doc_id").join(parts, "node", "left").select("set_hash", "doc_id", F.coalesce("component", "node").alias("component")))
+    names = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    known = placed.join(names, "component").select("set_hash", "component_id")
+    out = rows.drop("sig", "text_hash").join(known, "set_hash", "left")
+    # rows without words follow their document's other rows
+    blank = rows.filter("set_hash IS NULL AND doc_id IS NOT NULL").select("doc_id").distinct()
+    if linkable.join(blank, "doc_id", "left_semi").head(1):
+        named = out.filter("component_id IS NOT NULL").join(blank, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("named"))
+        out = out.join(named, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "named"))
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

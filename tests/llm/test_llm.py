@@ -111,6 +111,20 @@ def test_near_dedup(spark, docs):
     assert minhash.near_dedup(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_near_dedup_keeps_links_of_repeated_ids(spark, seed):
+    """A document's rows are decided alike, and each of its texts links it with others."""
+    rng = random.Random(seed)
+    text = {k: " ".join(rng.choice("abcdefghijklmnop") + str(rng.randrange(40)) for _ in range(60)) for k in "ABCDE"}
+    text["near"] = text["C"].rsplit(" ", 1)[0] + " end"
+    rows = [(1, text["A"]), (5, text["A"]), (5, text["B"]), (5, text["B"]), (7, text["A"]), (8, text["B"]), (9, text["C"]), (10, text["C"]), (10, text["D"]), (10, ""), (11, text["D"]), (12, text["near"]), (13, text["E"]), (13, None), (None, text["A"]), (20, ""), (20, None)]
+    rng.shuffle(rows)
+    got = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_dedup(frame(spark, rows)).collect()}
+    assert got == {(1, 1, True), (5, 1, False), (7, 1, False), (8, 1, False), (9, 9, True), (10, 9, False), (11, 9, False), (12, 9, False), (13, 13, True), (None, None, True), (20, 20, True)}
+    assert (7, 5, False) in {(r.doc_id, r.component_id, r.kept) for r in minhash.near_dedup(frame(spark, [x for x in rows if x[0] != 1])).collect()}
+    assert minhash.near_dedup(frame(spark, rows)).count() == len(rows)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 501), (7, 7), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
