@@ -2,10 +2,11 @@
 
 A record may be a row of role and text, a list of messages, a prompt with its
 completion, an instruction with its input and output, and so on.  The nested field
-paths that a record has, in all elements of its lists and ``DEPTH`` names deep, are hashed to a fingerprint; the
-fingerprint of a declared layout selects its mapping, and any other one that of the layout with the most paths among those
-whose paths the record all has; the mapping turns the record into canonical turns.  The turns
-of a conversation are put in order and marked by a template:
+paths that a record has, in all elements of its lists and to a given depth of names, each with the kind of value that it holds
+(text, list or object), are hashed to a fingerprint, which selects the mapping of a declared layout; the mapping turns the record into
+canonical turns.  Fields that tell nothing of the turns are no part of a fingerprint: those named in ``METADATA``, and numbers, truth values
+and nulls that no layout reads.  Any other field makes a fingerprint that no layout has, so a record is never mapped with a text left out
+or with a list in the place of a text.  The turns of a conversation are put in order and marked by a template:
 
     <|im_start|>role NEWLINE text <|im_end|> NEWLINE
 
@@ -18,7 +19,8 @@ conversation, so only finished blocks of text meet in one row.
 
 Defined results: null text and null role count as empty; turns with equal numbers are
 ordered by role, then text; a null turn number comes first; records with an unknown
-layout, or that are no objects, have no turns and ``layout`` null, and stay in ``canonical_turns`` and ``format_records``;
+layout, or that are no objects, have no turns and ``layout`` null, and stay in ``canonical_turns`` and ``format_records``; very long texts and
+conversations are marked whole;
 a field or list element that a layout names and a record lacks counts as empty; rows that repeat a turn are turns of their
 own; conversations may have any number of turns; an empty table gives no rows; further columns play no part.
 """
@@ -32,19 +34,26 @@ START, END = "<|im_start|>", "<|im_end|>"
 BLOCK = 64
 
 #: Layouts: field paths that a record has (``[]`` marks a list), and where role and text of its turns lie.
-#: A mapping lists (role, path) pairs; a role that starts with ``$`` is itself a path.
+#: Turns are listed as (role, path), where a role that starts with ``$`` is itself a path, or as (list, role, text) for the elements of a list.
 LAYOUTS: dict[str, dict] = {
     "turn_row": {"paths": ["role", "text"], "turns": [("$role", "text")]},
     "content_row": {"paths": ["content", "role"], "turns": [("$role", "content")]},
-    "messages": {"paths": ["messages[].content", "messages[].role"], "list": ("messages", "role", "content")},
-    "speakers": {"paths": ["conversations[].from", "conversations[].value"], "list": ("conversations", "from", "value")},
+    "messages": {"paths": ["messages[].content", "messages[].role"], "turns": [("messages", "role", "content")]},
+    "speakers": {"paths": ["conversations[].from", "conversations[].value"], "turns": [("conversations", "from", "value")]},
     "instruction": {"paths": ["instruction", "output"], "turns": [("user", "instruction"), ("assistant", "output")]},
     "instruction_input": {"paths": ["input", "instruction", "output"], "turns": [("user", "instruction+input"), ("assistant", "output")]},
     "prompt_completion": {"paths": ["completion", "prompt"], "turns": [("user", "prompt"), ("assistant", "completion")]},
     "prompt_response": {"paths": ["prompt", "response"], "turns": [("user", "prompt"), ("assistant", "response")]},
     "system_prompt_response": {"paths": ["prompt", "response", "system"], "turns": [("system", "system"), ("user", "prompt"), ("assistant", "response")]},
     "question_answer": {"paths": ["answer", "question"], "turns": [("user", "question"), ("assistant", "answer")]},
+    "prompt_completion_messages": {
+        "paths": ["completion[].content", "completion[].role", "prompt[].content", "prompt[].role"], "turns": [("prompt", "role", "content"), ("completion", "role", "content")],
+    },
+    "prompt_messages": {"paths": ["completion", "prompt[].content", "prompt[].role"], "turns": [("prompt", "role", "content"), ("assistant", "completion")]},
+    "prompt_response_messages": {"paths": ["prompt[].content", "prompt[].role", "response"], "turns": [("prompt", "role", "content"), ("assistant", "response")]},
 }
+#: Names of fields, at any depth, that hold nothing of a conversation.
+METADATA = ["conv_id", "conversation_id", "created_at", "dataset", "id", "lang", "language", "metadata", "model", "name", "source", "timestamp", "url", "weight"]
 #: Names for the same role.
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
@@ -57,23 +66,38 @@ def _at(record: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(record, f"$.{path}", kind)
 
 
+def _kind(value: Column) -> Column:
+    """A mark for what a variant holds: text, list, object, other values, or null."""
+    said = F.schema_of_variant(value)
+    return F.coalesce(F.when(said == "STRING", ":t").when(F.startswith(said, F.lit("ARRAY")), ":l").when(F.startswith(said, F.lit("OBJECT")), ":o").when(said != "VOID", ":v"), F.lit(":z"))
+
+
 def _names(value: Column, path: Column, depth: int) -> Column:
-    """Paths of the fields of an object, and of what they hold."""
+    """Paths of the fields of an object, and of what they hold, with their kinds."""
     held = lambda e: F.concat(path, e["key"])
-    each = lambda e: F.concat(F.array(held(e)), _under(e["value"], held(e), depth - 1)) if depth > 1 else F.array(held(e))
+    own = lambda e: F.array(F.concat(held(e), _kind(e["value"])))
+    each = lambda e: F.concat(own(e), _under(e["value"], held(e), depth - 1)) if depth > 1 else own(e)
     return F.flatten(F.transform(F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")), each))
 
 
 def _under(value: Column, path: Column, depth: int) -> Column:
-    """Paths below a value: of its fields if it is an object, of its elements' fields if it is a list."""
+    """Paths below a value: of its fields if it is an object, of its elements' fields if it is a list; elements that are no objects count themselves."""
     none = F.array().cast("array<string>")
-    items = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x: F.coalesce(_names(x, F.concat(path, F.lit("[].")), depth), none))
+    item = lambda x: F.coalesce(_names(x, F.concat(path, F.lit("[].")), depth), F.array(F.concat(path, F.lit("[]"), _kind(x))))
+    items = F.transform(F.try_variant_get(value, "$", "array<variant>"), item)
     return F.concat(F.coalesce(_names(value, F.concat(path, F.lit(".")), depth), none), F.coalesce(F.flatten(items), none))
 
 
-def field_paths(record: Column) -> Column:
-    """The nested field paths that a variant has, sorted; fields holding null count as there."""
-    return F.array_sort(F.array_distinct(F.coalesce(_names(record, F.lit(""), DEPTH), F.array().cast("array<string>"))))
+def field_paths(record: Column, depth: int = DEPTH) -> Column:
+    """The nested field paths of a variant that a fingerprint follows, each with the kind of its value, sorted."""
+    all_paths = F.array_distinct(F.coalesce(_names(record, F.lit(""), depth), F.array().cast("array<string>")))
+    read = F.array(*map(F.lit, sorted({p for x in LAYOUTS.values() for p in _declared(x)})))
+    name = lambda p: F.substr(p, F.lit(1), F.length(p) - 2)
+    silent = lambda p: p.rlike(":[vz]$")
+    # values and nulls count as texts where a layout reads a text
+    as_text = F.transform(all_paths, lambda p: F.when(silent(p) & F.array_contains(read, F.concat(name(p), F.lit(":t"))), F.concat(name(p), F.lit(":t"))).otherwise(p))
+    aside = rf"(^|\.)({'|'.join(METADATA)})(\[\])?[.:]"
+    return F.array_sort(F.array_distinct(F.filter(as_text, lambda p: ~silent(p) & ~p.rlike(aside))))
 
 
 def fingerprint(paths: Column) -> Column:
@@ -81,17 +105,14 @@ def fingerprint(paths: Column) -> Column:
 
 
 def layout_of(paths: Column) -> Column:
-    """The name of the layout for a record with these field paths; null where none fits."""
+    """The name of the layout that a record with these field paths has; null for none."""
     marks = [(F.lit(name), F.xxhash64(F.lit("|".join(_declared(x))))) for name, x in LAYOUTS.items()]
-    exact = F.element_at(F.create_map(*[x for name, mark in marks for x in (mark, name)]), fingerprint(paths))
-    fits = lambda x: F.size(F.array_except(F.array(*map(F.lit, x["paths"])), paths)) == 0
-    most = sorted(LAYOUTS, key=lambda name: -len(LAYOUTS[name]["paths"]))
-    return F.coalesce(exact, *[F.when(fits(LAYOUTS[name]), F.lit(name)) for name in most])
+    return F.element_at(F.create_map(*[x for name, mark in marks for x in (mark, name)]), fingerprint(paths))
 
 
 def _declared(layout: dict) -> list[str]:
-    """A layout's paths and those of the lists they lie in."""
-    return sorted({*layout["paths"], *(p.split("[]")[0] for p in layout["paths"])})
+    """A layout's paths and those of the lists they lie in, with their kinds."""
+    return sorted({*(f"{p}:t" for p in layout["paths"]), *(f"{p.split('[]')[0]}:l" for p in layout["paths"] if "[]" in p)})
 
 
 def _role(role: Column) -> Column:
@@ -104,29 +125,30 @@ def _turn(role: Column, text: Column) -> Column:
 
 
 def _turns(record: Column, layout: dict) -> Column:
-    if "list" in layout:
-        name, role, text = layout["list"]
-        items = F.coalesce(F.try_variant_get(record, f"$.{name}", "array<variant>"), F.array().cast("array<variant>"))
-        return F.transform(items, lambda x: _turn(_role(_at(x, role, "string")), _at(x, text, "string")))
-
     def text_of(path: str) -> Column:
         first, *more = path.split("+")
         rest = [F.when(F.coalesce(_at(record, p, "string"), F.lit("")) != "", F.concat(F.lit("\n"), _at(record, p, "string"))) for p in more]
         return F.concat(F.coalesce(_at(record, first, "string"), F.lit("")), *[F.coalesce(x, F.lit("")) for x in rest])
 
-    return F.array(*[_turn(_role(_at(record, role[1:], "string")) if role[0] == "$" else F.lit(role), text_of(path)) for role, path in layout["turns"]])
+    def part(role: str, *path: str) -> Column:
+        if len(path) == 1:
+            return F.array(_turn(_role(_at(record, role[1:], "string")) if role[0] == "$" else F.lit(role), text_of(path[0])))
+        items = F.coalesce(F.try_variant_get(record, f"$.{role}", "array<variant>"), F.array().cast("array<variant>"))
+        return F.transform(items, lambda x: _turn(_role(_at(x, path[0], "string")), _at(x, path[1], "string")))
+
+    return F.concat(*[part(*x) for x in layout["turns"]])
 
 
-def canonical_turns(records: DataFrame, record: Column | str, *keep: Column | str) -> DataFrame:
+def canonical_turns(records: DataFrame, record: Column | str, *keep: Column | str, depth: int = DEPTH) -> DataFrame:
     """The ``keep`` columns, ``fingerprint``, ``layout`` and ``turns`` (array of role, text) of each record.
 
-    ``record`` is a variant, or a string of JSON.
+    ``record`` is a variant, or a string of JSON; ``depth`` tells how many names deep a fingerprint looks.
     """
     record = F.col(record) if isinstance(record, str) else record
     kind = records.select(record.alias("x")).dtypes[0][1]
     rows = records.select(*keep, (F.try_parse_json(record) if kind == "string" else record).alias("__record"))
     # generators, so that the optimizer leaves paths and layouts to be computed once for each record
-    rows = rows.select("*", F.explode(F.array(field_paths(F.col("__record")))).alias("__paths"))
+    rows = rows.select("*", F.explode(F.array(field_paths(F.col("__record"), depth))).alias("__paths"))
     rows = rows.select("*", F.explode(F.array(layout_of(F.col("__paths")))).alias("__layout"))
     turns = F.array().cast("array<struct<role:string,text:string>>")
     for name, x in LAYOUTS.items():

@@ -451,6 +451,15 @@ def test_chats_round_trip(spark):
     assert len(out) == 5 and chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_long_chats(spark):
+    """A conversation of several thousand turns, and a turn of a million characters."""
+    rows = [(1, t, "assistant" if t % 2 else "user", f"<|im_end|>{t}") for t in range(5000)] + [(2, 0, "assistant", "ab <|" * 200_000)]
+    chats = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4))
+    got = {r.conv_id: r for r in chat.masked(chats.select("*", F.size(chat.parse(F.col("formatted"))).alias("n")), "conv_id", "n_turns", "n").collect()}
+    assert (got[1].n_turns, got[1].n, got[2].n) == (5000, 5000, 1)
+    assert got[1].loss == "".join(x for _, t, _, x in rows[:5000] if t % 2) and got[2].loss == "ab <|" * 200_000
+
+
 def test_layouts(spark):
     records = {
         '{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}],"id":3}': ("messages", ["user:q", "assistant:a"]),
@@ -459,20 +468,30 @@ def test_layouts(spark):
         '{"instruction":"do","output":null}': ("instruction", ["user:do", "assistant:"]),
         '{"prompt":"p","completion":"c"}': ("prompt_completion", ["user:p", "assistant:c"]),
         '{"question":"p","answer":"c"}': ("question_answer", ["user:p", "assistant:c"]),
-        '{"messages":[{"role":"system"},{"role":"user","content":"q"}],"prompt":"p"}': ("messages", ["system:", "user:q"]),
-        '{"messages":[{"role":"user","content":["a",1]},{"content":"x","name":"n"}]}': ("messages", ['user:["a",1]', ":x"]),
+        '{"messages":[{"role":"system"},{"role":"user","content":"q"}],"model":{"prompt":"p"}}': ("messages", ["system:", "user:q"]),
+        '{"messages":[{"role":"user","content":7},null,{"content":"x","name":"n"}],"turns":3,"done":true,"note":null}': ("messages", ["user:7", ":", ":x"]),
+        # a list in the place of a text, and texts that a mapping would leave out
+        '{"messages":[{"role":"user","content":["a",1]},{"role":"x","content":"x"}]}': (None, []),
+        '{"messages":[{"role":"user","content":"q"}],"prompt":"p"}': (None, []),
+        '{"messages":[{"role":"user","content":"q"}],"prompt":"p","response":"r"}': (None, []),
+        '{"messages":[{"role":"user","content":"q"},"and more"]}': (None, []),
+        '{"messages":[{"role":"user","content":"q","tool_calls":[{"f":1}]}]}': (None, []),
+        '{"prompt":"p","completion":"c","context":"k"}': (None, []),
+        '{"prompt":{"text":"p"},"completion":"c"}': (None, []),
+        '{"prompt":[{"role":"system","content":"s"},{"role":"user","content":"p"}],"completion":[{"role":"assistant","content":"c"}]}': ("prompt_completion_messages", ["system:s", "user:p", "assistant:c"]),
+        '{"prompt":[{"role":"user","content":"p"}],"completion":"c"}': ("prompt_messages", ["user:p", "assistant:c"]),
+        '{"prompt":[{"role":"user","content":"p"}],"response":"c"}': ("prompt_response_messages", ["user:p", "assistant:c"]),
         '{"odd":{"messages":[{"role":"user","content":"q"}]}}': (None, []), '{"messages":[]}': (None, []), "[1]": (None, []),
         '{"role":"human","text":"x"}': ("turn_row", ["user:x"]), '{"odd":1}': (None, []), "no json": (None, []),
     }
     df = spark.createDataFrame([(k,) for k in records], "record string")
     got = {r.record: (r.layout, [f"{t.role}:{t.text}" for t in r.turns]) for r in chat.canonical_turns(df, "record", "record").collect()}
     assert got == records
-    prints = chat.canonical_turns(df, "record", "record").select("fingerprint").distinct().count()
-    assert prints >= len(records) - 3  # lists, scalars and text that is no JSON have no paths
-    both = chat.format_records(df.select(F.lit(1).alias("conv_id"), F.col("record"), F.lit(None).cast("int").alias("turn")).filter("record LIKE '%odd%' OR record LIKE '%human%'"))
-    assert [(r.n_turns, r.n_unknown, r.formatted.count("<|im_start|>")) for r in both.collect()] == [(3, 2, 3)]
-    lost = chat.format_records(spark.createDataFrame([(3, 0, "{}")], "conv_id long, turn int, record string")).collect()
-    assert [(r.conv_id, r.n_turns, r.n_unknown, r.formatted) for r in lost] == [(3, 0, 1, "")]
+    rows = chat.canonical_turns(df, "record", "record").collect()
+    prints = {(r.layout, r.fingerprint) for r in rows if r.layout}
+    assert len(prints) == len({r.layout for r in rows} - {None})  # one for each layout
+    deep = spark.createDataFrame([('{"a":{"b":{"c":{"d":1,"e":"x"}}}}',), ('{"a":{"b":{"c":{"d":1}}}}',)], "record string")
+    assert [chat.canonical_turns(deep, "record", depth=n).select("fingerprint").distinct().count() for n in (2, 4)] == [1, 2]
 
 
 # --- 10: packing
