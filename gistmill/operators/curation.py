@@ -160,21 +160,6 @@ def outcomes(ops: DataFrame) -> DataFrame:
     return ops.withColumn("reason", reason)
 
 
-def new_version(rows: DataFrame, changes: DataFrame, *columns: str, sticky: list[str] | None = None) -> DataFrame:
-    """Rows with the changed columns and the next revision, where a change names the current one; others as they were, marked as conflict.
-
-    A change that is null in a ``sticky`` column says nothing on it: the row keeps its value.
-    """
-    sticky = sticky or []
-    columns = (*columns, *sticky)
-    c = changes.select("id", "expected_revision", *[F.col(x).alias(f"new_{x}") for x in columns])
-    j = rows.join(c, "id", "left")
-    hit = F.col("expected_revision") == F.col("revision")
-    out = [F.when(hit, F.coalesce(f"new_{x}", x) if x in sticky else F.col(f"new_{x}")).otherwise(F.col(x)).alias(x) for x in columns]
-    rest = [x for x in rows.columns if x not in columns and x != "revision"]
-    return j.select(*rest, *out, F.when(hit, F.col("revision") + 1).otherwise(F.col("revision")).alias("revision"), (F.col("expected_revision").isNotNull() & ~hit).alias("conflict"))
-
-
 def kept_backups(snapshots: DataFrame, keep: dict[str, int]) -> DataFrame:
     """Snapshots to drop: beyond the newest of each kind, and not protected."""
     nth = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("created_at"), "id"))

@@ -60,23 +60,6 @@ def revision_evidence(revisions: DataFrame, evidence: DataFrame) -> DataFrame:
     return r.select("memory_id", "revision").join(evidence.select("memory_id", "message_id"), "memory_id")
 
 
-def set_status(rows: DataFrame, changes: DataFrame, revisions: DataFrame) -> DataFrame:
-    """The changed rows with status, valid_until, forget_reason, revision, conflict and restored.
-
-    ``changes`` has id, to_status, expected_revision (null: any) and reason.  A superseded row that becomes active again gets the validity
-    back that it had before (``restored``); edges that replace it fall away, see ``edges_after``.
-    """
-    before = curation.last_good(revisions, rows.select(F.col("id").alias("memory_id"), F.col("revision").alias("current"))).select(F.col("memory_id").alias("id"), F.col("valid_until").alias("before"))
-    c = rows.join(changes, "id").join(before, "id", "left")
-    conflict = F.coalesce(F.col("expected_revision") != F.col("revision"), F.lit(False))
-    restored = ~conflict & (F.col("to_status") == "active") & (F.col("status") == "superseded")
-    why = F.when(F.col("to_status") != "active", F.nullif(F.substring(F.trim("reason"), 1, REASON_CHARS), F.lit("")))
-    return c.select(
-        "id", F.when(conflict, F.col("status")).otherwise(F.col("to_status")).alias("status"), F.when(restored, F.col("before")).otherwise(F.col("valid_until")).alias("valid_until"),
-        F.when(~conflict, why).alias("forget_reason"), (F.col("revision") + F.when(conflict, 0).otherwise(1)).alias("revision"), conflict.alias("conflict"), restored.alias("restored"),
-    )
-
-
 def edges_after(edges: DataFrame, changed: DataFrame) -> DataFrame:
     """The edges without those by which a restored row was replaced."""
     gone = changed.filter("restored").select(F.col("id").alias("to_id"), F.lit("updates").alias("relation"))
@@ -138,36 +121,6 @@ def routed(ops: DataFrame, listed: DataFrame, aliases: DataFrame, writable: Data
     return o.select(*ops.columns, ok("to_scope"), ok("to_subject"), ok("unresolved"), "reason")
 
 
-def applied(rows: DataFrame, ops: DataFrame, now: Column) -> DataFrame:
-    """The next version of ``rows`` (id, kind, text, status, review_status, revision, document_date, superseded_by) after ops.
-
-    ``ops`` has op, id (of its target), new_id, text, kind, change, said and reason (null: accepted).  An addition is a new row; a deletion archives;
-    an update is the next revision, up for review; one that supersedes adds a row, and the older of the two by when it was said becomes the other's history.
-    """
-    ok = ops.filter("reason IS NULL")
-    edits = ok.filter("op != 'ADD'").select("id", "op", "change", F.col("text").alias("new_text"), F.col("kind").alias("new_kind"), "said", "new_id")
-    j = rows.join(edits, "id", "left")
-    archived, supersedes = F.col("op") == "DELETE", (F.col("op") == "UPDATE") & (F.col("change") == "supersede")
-    rewritten = (F.col("op") == "UPDATE") & ~F.coalesce(supersedes, F.lit(False))
-    backwards = F.coalesce(F.col("said") < F.col("document_date"), F.lit(False))
-    replaced = supersedes & ~backwards
-    nulled = lambda c: F.coalesce(c, F.lit(False))
-    changed = nulled(archived) | nulled(rewritten) | nulled(replaced)
-    pick = lambda new, old: F.when(nulled(rewritten), F.coalesce(new, old)).otherwise(F.col(old))
-    old = j.select(
-        "id", pick("new_kind", "kind").alias("kind"), pick("new_text", "text").alias("text"),
-        F.when(nulled(archived), "archived").when(nulled(replaced), "superseded").otherwise(F.col("status")).alias("status"),
-        F.when(nulled(rewritten), "pending").otherwise(F.col("review_status")).alias("review_status"), (F.col("revision") + changed.cast("int")).alias("revision"), "document_date",
-        F.when(nulled(replaced), F.col("new_id")).otherwise(F.col("superseded_by")).alias("superseded_by"),
-    )
-    born = j.filter(supersedes).select(
-        F.col("new_id").alias("id"), F.coalesce("new_kind", "kind"), F.coalesce("new_text", "text"), F.when(backwards, "superseded").otherwise("active"), F.lit("pending"), F.lit(1).cast("long"), F.coalesce("said", now),
-        F.when(backwards, F.col("id")),
-    )
-    added = ok.filter("op = 'ADD'").select(F.col("new_id"), F.coalesce("kind", F.lit("fact")), "text", F.lit("active"), F.lit("pending"), F.lit(1).cast("long"), F.coalesce("said", now), F.lit(None).cast("string"))
-    return old.unionAll(born).unionAll(added)
-
-
 def links(answers: DataFrame, rows: DataFrame, now: Column) -> DataFrame:
     """cluster, nth, from_id, to_id, relation, reason (null: written) of links that a cluster's answer proposes.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gistmill.functions import scores, text
-from gistmill.operators import curation, filters, graph, profiles, retrieval
+from gistmill.operators import folds, curation, filters, graph, profiles, retrieval
 from gistmill.plans.registry import query
 from gistmill.sources import fixtures as fx
 
@@ -198,13 +198,18 @@ def apply_ops_outcome(spark, sf):
     return curation.outcomes(ops).groupBy("op", "reason").agg(F.count("*").alias("n"))
 
 
-@query("update_version", "SELECT id, CASE WHEN no % 8 = 0 THEN 'edited' ELSE kind END AS kind, CASE WHEN no % 8 = 0 AND no % 16 = 0 THEN TIMESTAMP '2023-05-05' ELSE event_start END AS event_start, CASE WHEN no % 8 = 0 THEN revision + 1 ELSE revision END AS revision, no % 8 = 4 AS conflict FROM memories")
+@query("update_version", """WITH RECURSIVE c AS (SELECT id, k, CASE WHEN no % 16 = 0 THEN TIMESTAMP '2023-05-05' + to_days(CAST(k AS INTEGER)) END AS event_start, revision + CASE WHEN no % 8 = 4 AND k = 0 THEN 7 WHEN no % 24 = 0 THEN 0 ELSE k END AS expected, 'edit' || CAST(k AS VARCHAR) AS kind FROM (SELECT *, unnest(range(0, 1 + no % 3)) AS k FROM memories) WHERE no % 4 = 0),
+ f AS (SELECT id, CAST(-1 AS BIGINT) AS k, kind, event_start, CAST(revision AS BIGINT) AS revision, CAST(0 AS BIGINT) AS conflicts FROM memories
+ UNION ALL SELECT f.id, c.k, CASE WHEN expected = revision THEN c.kind ELSE f.kind END, CASE WHEN expected = revision THEN coalesce(c.event_start, f.event_start) ELSE f.event_start END, revision + CASE WHEN expected = revision THEN 1 ELSE 0 END, conflicts + CASE WHEN expected = revision THEN 0 ELSE 1 END FROM f JOIN c ON c.id = f.id AND c.k = f.k + 1)
+ SELECT id, arg_max(kind, k) AS kind, arg_max(struct_pack(e := event_start), k).e AS event_start, max(revision) AS revision, max(conflicts) AS conflicts FROM f GROUP BY id""")
 def update_version(spark, sf):
-    """Changes that name the current revision are taken; what they say nothing on (null) stays."""
-    m = fx.memories(spark, sf).select("no", "id", "kind", "event_start", "revision")
-    n = F.col("no")
-    changes = m.filter("no % 4 = 0").select("id", F.lit("edited").alias("kind"), F.when(n % 16 == 0, F.lit("2023-05-05").cast("timestamp")).alias("event_start"), F.when(n % 8 == 0, F.col("revision")).otherwise(F.col("revision") + 7).alias("expected_revision"))
-    return curation.new_version(m, changes, "kind", sticky=["event_start"]).select("id", "kind", "event_start", "revision", "conflict")
+    """Up to three changes of one memory, in order: those that name its revision then are taken; what they say nothing on (null) stays."""
+    m, n, k = fx.memories(spark, sf).select("no", "id", "kind", "event_start", "revision"), F.col("no"), F.col("k")
+    c = m.filter("no % 4 = 0").withColumn("k", F.explode(F.sequence(F.lit(0), (n % 3).cast("int"))))
+    event = F.when(n % 16 == 0, F.lit("2023-05-05").cast("timestamp") + F.make_dt_interval(k))
+    expected = F.col("revision") + F.when((n % 8 == 4) & (k == 0), 7).when(n % 24 == 0, 0).otherwise(k)
+    changes = c.select("id", k.alias("nth"), F.concat(F.lit("edit"), k.cast("string")).alias("kind"), event.alias("event_start"), expected.alias("expected_revision"))
+    return folds.versions(m, changes, "kind", sticky=["event_start"]).select("id", "kind", "event_start", "revision", "conflicts")
 
 
 @query("status_changes", "SELECT id, CASE review_status WHEN 'declined' THEN 'archived' ELSE 'active' END AS status FROM memories WHERE review_status <> 'pending'")

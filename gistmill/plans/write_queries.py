@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gistmill.functions import text
-from gistmill.operators import writes
+from gistmill.operators import folds, writes
 from gistmill.plans.registry import query
 from gistmill.sources import fixtures as fx
 
@@ -48,20 +48,26 @@ def revision_evidence(spark, sf):
     return writes.revision_evidence(fx.revisions(spark, sf), fx.evidence(spark, sf))
 
 
-_CHANGES = "SELECT id, CASE no % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'archived' ELSE 'expired' END AS to_status, CASE WHEN no % 10 = 7 THEN revision + 1 WHEN no % 2 = 0 THEN revision END AS expected_revision, ' why ' AS reason FROM memories"
+_CHANGES = "SELECT id, k, CASE (no + k) % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'archived' ELSE 'superseded' END AS to_status, CASE WHEN no % 10 = 7 AND k = 0 THEN revision + 1 WHEN no % 2 = 0 THEN revision + k END AS expected, ' why ' AS reason FROM (SELECT *, unnest(range(0, 1 + no % 4)) AS k FROM memories)"
+_STATUS = f"""c AS ({_CHANGES}), b AS (SELECT r.memory_id, arg_max(struct_pack(v := r.valid_until), r.revision).v AS before FROM revisions r JOIN memories m ON m.id = r.memory_id WHERE r.status <> 'superseded' AND r.revision < m.revision GROUP BY r.memory_id),
+ f AS (SELECT id, CAST(-1 AS BIGINT) AS k, status, valid_until, before AS good, CAST(NULL AS VARCHAR) AS why, CAST(revision AS BIGINT) AS revision, CAST(0 AS BIGINT) AS conflicts, false AS restored FROM memories LEFT JOIN b ON b.memory_id = id
+ UNION ALL SELECT id, k, CASE WHEN stale THEN status ELSE to_status END, CASE WHEN back THEN good ELSE valid_until END, CASE WHEN NOT stale AND status <> 'superseded' THEN valid_until ELSE good END, CASE WHEN stale THEN why WHEN to_status <> 'active' THEN 'why' END,
+  revision + CASE WHEN stale THEN 0 ELSE 1 END, conflicts + CASE WHEN stale THEN 1 ELSE 0 END, restored OR back
+  FROM (SELECT f.*EXCLUDE (k), c.k, to_status, coalesce(expected <> revision, false) AS stale, NOT coalesce(expected <> revision, false) AND to_status = 'active' AND status = 'superseded' AS back FROM f JOIN c ON c.id = f.id AND c.k = f.k + 1)),
+ z AS (SELECT id, arg_max(status, k) AS status, arg_max(struct_pack(v := valid_until), k).v AS valid_until, arg_max(struct_pack(v := why), k).v AS forget_reason, max(revision) AS revision, max(conflicts) AS conflicts, bool_or(restored) AS restored FROM f GROUP BY id)"""
 
 
-@query("set_status", f"""WITH c AS ({_CHANGES}), b AS (SELECT r.memory_id, arg_max(struct_pack(v := r.valid_until), r.revision).v AS before FROM revisions r JOIN memories m ON m.id = r.memory_id WHERE r.status <> 'superseded' AND r.revision < m.revision GROUP BY r.memory_id),
- j AS (SELECT m.*, to_status, coalesce(expected_revision <> revision, false) AS conflict, before FROM memories m JOIN c ON c.id = m.id LEFT JOIN b ON b.memory_id = m.id), k AS (SELECT *, NOT conflict AND to_status = 'active' AND status = 'superseded' AS restored FROM j)
- SELECT id, CASE WHEN conflict THEN status ELSE to_status END AS status, CASE WHEN restored THEN before ELSE valid_until END AS valid_until, CASE WHEN NOT conflict AND to_status <> 'active' THEN 'why' END AS forget_reason, revision + CASE WHEN conflict THEN 0 ELSE 1 END AS revision, conflict, restored FROM k""")
+@query("set_status", f"WITH RECURSIVE {_STATUS} SELECT * FROM z")
 def set_status(spark, sf):
-    m, n = fx.memories(spark, sf), F.col("no")
-    to = F.when(n % 3 == 0, "active").when(n % 3 == 1, "archived").otherwise("expired")
-    changes = m.select("id", to.alias("to_status"), F.when(n % 10 == 7, F.col("revision") + 1).when(n % 2 == 0, F.col("revision")).alias("expected_revision"), F.lit(" why ").alias("reason"))
-    return writes.set_status(m.select("id", "status", "valid_until", "revision"), changes, fx.revisions(spark, sf))
+    """Up to four changes of one memory's status, in order."""
+    m, n, k = fx.memories(spark, sf), F.col("no"), F.col("k")
+    to = F.when((n + k) % 3 == 0, "active").when((n + k) % 3 == 1, "archived").otherwise("superseded")
+    expected = F.when((n % 10 == 7) & (k == 0), F.col("revision") + 1).when(n % 2 == 0, F.col("revision") + k)
+    changes = m.withColumn("k", F.explode(F.sequence(F.lit(0), (n % 4).cast("int")))).select("id", k.alias("nth"), to.alias("to_status"), expected.alias("expected_revision"), F.lit(" why ").alias("reason"))
+    return folds.status_changes(m.select("id", "status", "valid_until", "revision"), changes, fx.revisions(spark, sf), writes.REASON_CHARS)
 
 
-@query("restored_edges", "SELECT from_id, to_id, relation FROM relations r WHERE NOT (relation = 'updates' AND EXISTS (SELECT 1 FROM memories m WHERE m.id = r.to_id AND m.status = 'superseded' AND m.no % 3 = 0 AND m.no % 10 <> 7))")
+@query("restored_edges", f"WITH RECURSIVE {_STATUS} SELECT from_id, to_id, relation FROM relations r WHERE NOT (relation = 'updates' AND to_id IN (SELECT id FROM z WHERE restored))")
 def restored_edges(spark, sf):
     return writes.edges_after(fx.relations(spark, sf), set_status(spark, sf))
 
@@ -115,19 +121,46 @@ def route_ops(spark, sf):
     return writes.routed(ops, fx.entities(spark, sf), aliases, writable, "src0").select("id", "to_scope", "to_subject", "unresolved", "reason")
 
 
-@query("applied_ops", f"""WITH o AS (SELECT *, CASE no % 4 WHEN 0 THEN 'ADD' WHEN 1 THEN 'DELETE' ELSE 'UPDATE' END AS op, 'n' || id AS new_id, CASE WHEN no % 4 = 3 THEN 'supersede' END AS change, CASE WHEN no % 8 = 3 THEN document_date - to_days(5) ELSE document_date + to_days(5) END AS said, no % 9 <> 5 AS ok FROM memories),
- d AS (SELECT id, CASE WHEN ok AND op = 'UPDATE' AND change IS NULL THEN 'edited' ELSE kind END AS kind, CASE WHEN ok AND op = 'DELETE' THEN 'archived' WHEN ok AND change = 'supersede' AND said >= document_date THEN 'superseded' ELSE status END AS status, CASE WHEN ok AND op = 'UPDATE' AND change IS NULL THEN 'pending' ELSE review_status END AS review_status,
-  revision + CASE WHEN ok AND (op = 'DELETE' OR op = 'UPDATE' AND change IS NULL OR change = 'supersede' AND said >= document_date) THEN 1 ELSE 0 END AS revision, CASE WHEN ok AND change = 'supersede' AND said >= document_date THEN new_id END AS superseded_by, document_date FROM o)
- SELECT * FROM d UNION ALL SELECT new_id, 'edited', CASE WHEN said < document_date THEN 'superseded' ELSE 'active' END, 'pending', 1, CASE WHEN said < document_date THEN id END, said FROM o WHERE ok AND change = 'supersede'
- UNION ALL SELECT new_id, 'edited', 'active', 'pending', 1, NULL, said FROM o WHERE ok AND op = 'ADD'""")
-def applied_ops(spark, sf):
-    m, n = fx.memories(spark, sf), F.col("no")
-    rows = m.select("id", "kind", "text", "status", "review_status", "revision", "document_date", F.lit(None).cast("string").alias("superseded_by"))
-    ops = m.select(
-        F.when(n % 4 == 0, "ADD").when(n % 4 == 1, "DELETE").otherwise("UPDATE").alias("op"), "id", F.concat(F.lit("n"), "id").alias("new_id"), F.lit("new").alias("text"), F.lit("edited").alias("kind"), F.when(n % 4 == 3, "supersede").alias("change"),
-        (F.col("document_date") + F.make_dt_interval(F.when(n % 8 == 3, -5).otherwise(5))).alias("said"), F.when(n % 9 == 5, "evidence_invalid").alias("reason"),
+_MANY_OPS = """SELECT id, k, no * 10 + k AS nth, CASE (no + k) % 5 WHEN 0 THEN 'ADD' WHEN 3 THEN 'DELETE' ELSE 'UPDATE' END AS op, CASE WHEN (no + k) % 5 = 2 THEN 'supersede' END AS change, 'n' || id || '-' || CAST(k AS VARCHAR) AS new_id, CASE WHEN no % 3 <> 1 THEN 'edit' || CAST(k AS VARCHAR) END AS new_kind,
+ CASE WHEN no % 7 <> 6 THEN document_date + to_days(CAST(k * 4 - 5 AS INTEGER)) END AS said, CASE WHEN no % 4 = 1 THEN TIMESTAMP '2024-06-01' END AS until, CASE WHEN (no + k) % 5 = 4 THEN revision + k % 2 END AS expected, CASE WHEN no % 9 = 5 AND k = 0 THEN 'evidence_invalid' END AS reason FROM (SELECT *, unnest(range(0, 1 + no % 4)) AS k FROM memories)"""
+_FOLDED = f"""o AS ({_MANY_OPS}), f AS (SELECT id, CAST(-1 AS BIGINT) AS k, kind, status, review_status, CAST(revision AS BIGINT) AS revision, document_date, CAST(NULL AS VARCHAR) AS superseded_by, valid_until, CAST(NULL AS VARCHAR) AS outcome, document_date AS was, kind AS had FROM memories
+ UNION ALL SELECT id, k, CASE WHEN outcome = 'updated' THEN coalesce(new_kind, kind) ELSE kind END, CASE WHEN outcome = 'deleted' THEN 'archived' WHEN forward THEN 'superseded' ELSE status END, CASE WHEN outcome = 'updated' THEN 'pending' ELSE review_status END,
+  revision + CASE WHEN outcome IN ('deleted', 'updated') OR forward THEN 1 ELSE 0 END, CASE WHEN outcome = 'updated' THEN coalesce(said, document_date) ELSE document_date END, CASE WHEN forward THEN new_id ELSE superseded_by END,
+  CASE WHEN outcome = 'updated' THEN coalesce(until, valid_until) WHEN forward THEN least(coalesce(said, {NOW}), valid_until) ELSE valid_until END, outcome, document_date, kind
+  FROM (SELECT *, outcome = 'superseded' AND NOT coalesce(said < document_date, false) AS forward FROM (SELECT f.*EXCLUDE (k, outcome), o.*EXCLUDE (id), CASE WHEN reason IS NOT NULL THEN reason WHEN op = 'ADD' THEN 'added' WHEN status <> 'active' THEN 'skipped' WHEN coalesce(expected <> revision, false) THEN 'conflict' WHEN op = 'DELETE' THEN 'deleted' WHEN change IS NOT NULL THEN 'superseded' ELSE 'updated' END AS outcome FROM f JOIN o ON o.id = f.id AND o.k = f.k + 1)))"""
+
+
+def _folded(spark, sf):
+    """Up to four operations on one memory, one after the other; and the operations."""
+    m, n, k = fx.memories(spark, sf), F.col("no"), F.col("k")
+    rows = m.select("id", "kind", "text", "status", "review_status", "revision", "document_date", F.lit(None).cast("string").alias("superseded_by"), "valid_until")
+    at = (n + k) % 5
+    ops = m.withColumn("k", F.explode(F.sequence(F.lit(0), (n % 4).cast("int")))).select(
+        (n * 10 + k).alias("nth"), F.when(at == 0, "ADD").when(at == 3, "DELETE").otherwise("UPDATE").alias("op"), "id", F.concat(F.lit("n"), "id", F.lit("-"), k.cast("string")).alias("new_id"), F.lit("new").alias("text"),
+        F.when(n % 3 != 1, F.concat(F.lit("edit"), k.cast("string"))).alias("kind"), F.when(at == 2, "supersede").alias("change"), F.when(n % 7 != 6, F.col("document_date") + F.make_dt_interval(k * 4 - 5)).alias("said"),
+        F.when(n % 4 == 1, F.lit("2024-06-01").cast("timestamp")).alias("valid_until"), F.when(at == 4, F.col("revision") + k % 2).alias("expected_revision"), F.when((n % 9 == 5) & (k == 0), "evidence_invalid").alias("reason"),
     )
-    return writes.applied(rows, ops, fx.now()).drop("text")
+    return folds.operations(rows, ops, fx.now()), ops
+
+
+@query("applied_ops", f"""WITH RECURSIVE {_FOLDED}, s AS (SELECT f.*, o.new_id, o.new_kind, o.said, o.until, coalesce(o.said < was, false) AS late FROM f JOIN o ON o.id = f.id AND o.k = f.k)
+ SELECT id, arg_max(kind, k) AS kind, arg_max(status, k) AS status, arg_max(review_status, k) AS review_status, max(revision) AS revision, arg_max(document_date, k) AS document_date, arg_max(struct_pack(v := superseded_by), k).v AS superseded_by, arg_max(struct_pack(v := valid_until), k).v AS valid_until FROM f GROUP BY id
+ UNION ALL SELECT new_id, coalesce(new_kind, had), CASE WHEN late THEN 'superseded' ELSE 'active' END, 'pending', CASE WHEN late THEN 2 ELSE 1 END, coalesce(said, {NOW}), CASE WHEN late THEN id END, CASE WHEN late THEN least(was, until) ELSE until END FROM s WHERE outcome = 'superseded'
+ UNION ALL SELECT new_id, coalesce(new_kind, 'fact'), 'active', 'pending', 1, coalesce(said, {NOW}), NULL, until FROM s WHERE outcome = 'added'""")
+def applied_ops(spark, sf):
+    folded, ops = _folded(spark, sf)
+    return folds.next_rows(folded, ops, fx.now()).drop("text")
+
+
+@query("op_outcomes", f"WITH RECURSIVE {_FOLDED} SELECT nth, outcome FROM f JOIN o ON o.id = f.id AND o.k = f.k")
+def op_outcomes(spark, sf):
+    """What became of each operation: later ones meet what earlier ones left."""
+    return folds.outcomes(*_folded(spark, sf))
+
+
+@query("op_revisions", f"WITH RECURSIVE {_FOLDED}, r AS (SELECT *, lag(revision) OVER (PARTITION BY id ORDER BY k) AS old FROM f) SELECT id AS memory_id, revision, kind, status, document_date, valid_until FROM r WHERE old < revision")
+def op_revisions(spark, sf):
+    return folds.new_revisions(_folded(spark, sf)[0]).select("memory_id", "revision", "kind", "status", "document_date", "valid_until")
 
 
 _PASS = 0.4
