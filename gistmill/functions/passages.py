@@ -1,4 +1,4 @@
-"""Verbatim passages of a text: bounded spans that end at a paragraph or a sentence where they can."""
+"""Verbatim passages of a text: spans that end at a paragraph or a sentence, and are never cut within one."""
 
 from __future__ import annotations
 
@@ -9,44 +9,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SIZE, MOST_SIZE, MOST = 1200, 2400, 8
-_SENTENCE = re.compile(r"[.!?…](?=\s|$)")
+#: A blank line, or the end of a sentence with the white space behind it.
+_END = re.compile(r"\n\s*\n|[.!?]\s+")
 
 
 def spans(text: str, size: int = SIZE, most_size: int = MOST_SIZE, most: int = MOST) -> list[tuple[int, int]]:
-    """(start, end) of consecutive passages: up to ``size`` characters, or on to the next end of a sentence up to ``most_size``."""
-    out, at = [], 0
+    """(start, end) of consecutive passages.
+
+    A passage ends at the last end within ``size`` characters, or else at the first one within ``most_size``.  Where there is none, no passage follows, since a cut might part a
+    sentence from what it excepts.  Passages of white space are left out, and do not count among the ``most`` that are made.
+    """
+    out: list[tuple[int, int]] = []
+    at = 0
     while at < len(text) and len(out) < most:
-        if len(text) - at <= size:
-            end = len(text)
-        else:
-            end = text.rfind("\n\n", at, at + size)
-            if end <= at:
-                ends = [m.end() for m in _SENTENCE.finditer(text, at, at + size)]
-                later = None if ends else _SENTENCE.search(text, at + size, at + most_size)
-                end = ends[-1] if ends else later.end() if later else min(len(text), at + most_size)
-        if text[at:end].strip():
+        end = len(text)
+        if at + size < len(text):
+            near = max((m.end() for m in _END.finditer(text, at, at + size)), default=None)
+            far = _END.search(text, at + size, at + most_size) if near is None else None
+            if near is None and far is None:
+                break
+            end = near if near is not None else far.end()
+        if not text[at:end].isspace():
             out.append((at, end))
         at = end
-        while at < len(text) and text[at].isspace():
-            at += 1
     return out
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
 def passages(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [{"start": a, "end": b} for a, b in spans(t or "")])
-
-
-@F.pandas_udf(T.StringType())
-def surrounding(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-    """The words around a cited span, cut at white space, 200 characters to either side."""
-
-    def around(t: str, a: int, b: int) -> str:
-        lo, hi = max(0, a - 200), min(len(t), b + 200)
-        if lo:
-            lo = t.find(" ", lo, a) + 1 or a
-        if hi < len(t):
-            hi = max(t.rfind(" ", b, hi), b)
-        return t[lo:hi]
-
-    return pd.Series([around(t or "", int(a), int(b)) for t, a, b in zip(texts, starts, ends, strict=True)])

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import json
-import re
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Patterns of secrets and what replaces them, applied in this order.
 SECRETS: list[tuple[str, str]] = [
@@ -60,15 +57,47 @@ _WHITE = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in WHITE) + "]+"
 FOLDED = {c: c.casefold() for c in map(chr, range(0x20000)) if c.lower() == c != c.casefold()}
 _ONE = {c: f for c, f in FOLDED.items() if len(f) == 1}
 _MORE = {c: f for c, f in FOLDED.items() if len(f) > 1}
+#: Those of them that texts in Latin letters hold.
+_LATIN = {c: f for c, f in FOLDED.items() if ord(c) < 0x100}
+
+
+def _ranges(letters: list[str], gap: int = 0x80) -> str:
+    """A character class of a few ranges that holds all of the letters, and others between."""
+    out: list[list[int]] = []
+    for code in sorted(map(ord, letters)):
+        if out and code - out[-1][1] <= gap:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in out) + "]"
+
+
+_BEYOND_LATIN = _ranges([c for c in FOLDED if c not in _LATIN])
+_ANY_FOLDED = f"[{''.join(_LATIN)}\\x{{{min(ord(c) for c in FOLDED if c not in _LATIN):X}}}-\\x{{10FFFF}}]"
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, wherever f reads it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def casefolded(text: Column) -> Column:
-    """Unicode's full case folding; the few letters that fold to several cost a pass each, in texts that hold any."""
-    x = F.translate(F.lower(text), "".join(_ONE), "".join(_ONE.values()))
-    more = x
-    for letter, by in _MORE.items():
-        more = F.replace(more, F.lit(letter), F.lit(by))
-    return F.when(x.rlike(f"[{''.join(_MORE)}]"), more).otherwise(x)
+    """Unicode's full case folding.
+
+    Two tests of a few ranges tell which texts need more than lower case: most need nothing, texts in Latin letters two replacements, and only the
+    others a pass over all letters that fold.
+    """
+
+    def folded(x: Column) -> Column:
+        latin = x
+        for letter, by in _LATIN.items():
+            latin = F.replace(latin, F.lit(letter), F.lit(by))
+        rest = F.translate(x, "".join(_ONE), "".join(_ONE.values()))
+        for letter, by in _MORE.items():
+            rest = F.replace(rest, F.lit(letter), F.lit(by))
+        return F.when(~x.rlike(_ANY_FOLDED), x).when(~x.rlike(_BEYOND_LATIN), latin).otherwise(rest)
+
+    return bound(F.lower(text), folded)
 
 
 def normalised(text: Column) -> Column:
@@ -111,31 +140,48 @@ def content_hash(text: Column) -> Column:
     return F.sha2(normalised(text).cast("binary"), 256)
 
 
-def _scrubbed(value, patterns: list, sensitive):
-    """A JSON value without secrets, at any depth."""
-    if isinstance(value, dict):
-        return {k: "[REDACTED]" if sensitive.search(k) else _scrubbed(v, patterns, sensitive) for k, v in value.items()}
-    if isinstance(value, list):
-        return [_scrubbed(v, patterns, sensitive) for v in value]
-    if isinstance(value, str):
-        for pattern, by in patterns:
-            value = pattern.sub(by, value)
-    return value
+#: What JSON consists of once its escaped quotes are out of the way: a string, with the colon behind it if it is a key, or what stands between strings.
+_JSON_TOKEN = r'("[^"]*"\s*:?|[^"]+)'
+#: Escapes that hide quotes, and control characters, which JSON never holds as such, that stand for them meanwhile.
+_ESCAPES = {"\\\\": "\x01", '\\"': "\x02"}
+
+
+def redact_json(json: Column) -> Column:
+    """A struct of json and count: a JSON text of any shape with all strings redacted, keys too, and with what was replaced.
+
+    A string that is not empty is replaced whole under a sensitive key; numbers, truth values and nulls stay as they are, and objects and lists are gone into whatever
+    their key.  Strings are found in one pass over the text, at any depth; what is no JSON gives null.
+    """
+    mark, hiding = '"[REDACTED]"', json
+    for escape, by in _ESCAPES.items():
+        hiding = F.replace(hiding, F.lit(escape), F.lit(by))
 
+    def plain(t: Column) -> Column:
+        for escape, by in _ESCAPES.items():
+            t = F.replace(t, F.lit(by), F.lit(escape))
+        return t
 
-@F.pandas_udf(T.StringType())
-def redact_json(texts: pd.Series) -> pd.Series:
-    """A JSON text without secrets in strings and without the values of sensitive keys, at any depth; null for what is no JSON."""
-    patterns = [(re.compile(p), by.replace("$1", r"\1")) for p, by in SECRETS]
-    sensitive = re.compile(SENSITIVE_KEY)
+    def cleaned(tokens: Column) -> Column:
+        def token(t: Column, i: Column) -> Column:
+            t = plain(t)
+            is_text, is_key = F.startswith(t, F.lit('"')), F.endswith(t, F.lit(":"))
+            quoted = F.when(is_key, F.regexp_replace(t, r"\s*:$", "")).otherwise(t)
+            said = F.try_variant_get(F.try_parse_json(quoted), "$", "string")
+            before = F.get(tokens, i - 1)
+            # the key's colon stands in the token right before its string; white space may stand between
+            key = F.when(F.trim(before) == "", F.get(tokens, i - 2)).otherwise(before)
+            named = F.endswith(key, F.lit(":")) & F.startswith(key, F.lit('"')) & plain(key).rlike(SENSITIVE_KEY)
+            hidden = ~is_key & F.coalesce(named, F.lit(False)) & (said != "")
+            n = F.when(~is_text, 0).when(hidden, 1).otherwise(redactions(said))
+            again = F.regexp_replace(F.to_json(F.array(redact(said))), r"^\[|\]$", "")
+            new = F.when(hidden, F.lit(mark)).when(n > 0, F.concat(again, F.when(is_key, F.substr(t, F.length(quoted) + 1)).otherwise(F.lit("")))).otherwise(t)
+            return F.struct(F.when(is_text, new).otherwise(t).alias("token"), F.coalesce(n, F.lit(0)).alias("n"))
 
-    def scrub(text):
-        try:
-            return None if text is None else json.dumps(_scrubbed(json.loads(text), patterns, sensitive), ensure_ascii=False)
-        except ValueError:
-            return None
+        return F.transform(tokens, token)
 
-    return texts.map(scrub)
+    parts = bound(F.regexp_extract_all(hiding, F.lit(_JSON_TOKEN), 1), cleaned)
+    out = bound(parts, lambda p: F.struct(F.array_join(F.transform(p, lambda x: x["token"]), "").alias("json"), F.aggregate(p, F.lit(0), lambda n, x: n + x["n"]).alias("count")))
+    return F.when(F.try_parse_json(json).isNotNull(), out)
 
 
 def slug(text: Column, fallback: str = "entity", size: int = 63) -> Column:
@@ -182,15 +228,29 @@ def unique_offset(text: Column, quote: Column) -> Column:
     return F.when((at > 0) & (again == 0), at - 1)
 
 
-def shortened(text: Column, size: int = 220, mark: str = " […]") -> Column:
-    return F.when(F.length(text) > size, F.concat(F.substring(text, 1, size), F.lit(mark))).otherwise(text)
+#: Characters of an assistant's turn that a prompt shows, and the mark behind them; fixed values.
+SHOWN, SHOWN_MARK = 220, " […truncated]"
+
+
+def shortened(text: Column, size: int = SHOWN, mark: str = SHOWN_MARK) -> Column:
+    """The first characters, without white space at their end, and a mark, of a longer text."""
+    return F.when(F.length(text) > size, F.concat(F.regexp_replace(F.substring(text, 1, size), f"{_WHITE}$", ""), F.lit(mark))).otherwise(text)
+
+
+def window(text: Column, start: Column, end: Column, size: Column | int) -> Column:
+    """A struct of low and high: the place of about ``size`` characters in all around a span, cut between words where a space allows it, never within the span."""
+    size = F.lit(size) if isinstance(size, int) else size
+    extra = F.floor(F.greatest(size - (end - start), F.lit(0)) / 2).cast("int")
+    low, high = F.greatest(start - extra, F.lit(0)), F.least(end + extra, F.length(text))
+    gap = F.instr(F.substr(text, low + 1, start - low), " ")
+    tail = F.reverse(F.substr(text, end + 1, high - end))
+    back = F.instr(tail, " ")
+    low = F.when((low > 0) & (gap > 0), low + gap).otherwise(low)
+    high = F.when((high < F.length(text)) & (back > 0), high - back).otherwise(high)
+    whole = (size <= 0) | ((start == 0) & (end >= F.length(text)))
+    return F.struct(F.when(whole, start).otherwise(low).cast("int").alias("low"), F.when(whole, end).otherwise(high).cast("int").alias("high"))
 
 
-def surrounding(text: Column, start: Column, end: Column, most: int = 200) -> Column:
-    """The words around a span of a text, at most so many characters to either side, cut at spaces; the span's own side where there is none."""
-    low, high = F.greatest(start - most, F.lit(0)), F.least(end + most, F.length(text))
-    before, after = F.substr(text, low + 1, start - low), F.substr(text, end + 1, high - end)
-    gap = F.instr(before, " ")
-    first = F.when(low == 0, before).when(gap > 0, F.substr(before, gap + 1)).otherwise(F.lit(""))
-    last = F.when(high == F.length(text), after).otherwise(F.regexp_extract(after, r"(?s)^(.*) [^ ]*$", 1))
-    return F.concat(first, F.substr(text, start + 1, end - start), last)
+def surrounding(text: Column, start: Column, end: Column, size: Column | int) -> Column:
+    """The words around a span of a text."""
+    return bound(window(text, start, end, size), lambda w: span(text, w["low"], w["high"]))

@@ -202,7 +202,7 @@ def content_hash(spark, sf):
 _ODD = "['Straße', 'GROẞ', 'ſpät', 'ΣΊΣΥΦΟΣ', 'ŉ', 'ﬁx ﬀ', 'İx', 'Ǆ', 'ПРИВЕТ']"
 
 
-@query("casefold", f"SELECT c_custkey AS id, {text.normalised_sql('c_name || chr(160) || chr(8195) || x || chr(28)')} AS folded FROM customer, (SELECT unnest({_ODD}) AS x) WHERE x <> 'İx'")
+@query("casefold", f"SELECT c_custkey AS id, {text.normalised_sql('c_name || chr(160) || chr(8195) || x || chr(28)')} AS folded FROM customer, (SELECT unnest({_ODD}) AS x)")
 def casefold(spark, sf):
     odd = F.explode(F.array(*[F.lit(x) for x in ["Straße", "GROẞ", "ſpät", "ΣΊΣΥΦΟΣ", "ŉ", "ﬁx ﬀ", "Ǆ", "ПРИВЕТ"]])).alias("x")
     c = fx.table(spark, sf, "customer").select("c_custkey", "c_name", odd)

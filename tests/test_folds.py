@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gistmill.operators import folds
 
 DAY = lambda n: dt.datetime(2024, 1, n)
-NOW = F.lit("2024-02-01").cast("timestamp")
+NOW = lambda: F.lit("2024-02-01").cast("timestamp")
 ROWS = "id string, kind string, text string, status string, review_status string, revision long, document_date timestamp, superseded_by string, valid_until timestamp"
 OPS = "nth long, op string, id string, new_id string, text string, kind string, change string, said timestamp, valid_until timestamp, expected_revision long, reason string"
 
@@ -22,8 +22,8 @@ def op(nth, kind, target, text=None, change=None, said=None, expected=None, reas
 
 def run(spark, rows, *ops):
     ops = spark.createDataFrame(list(ops), OPS).repartition(3)
-    folded = folds.operations(rows, ops, NOW)
-    table = {r.id: r for r in folds.next_rows(folded, ops, NOW).collect()}
+    folded = folds.operations(rows, ops, NOW())
+    table = {r.id: r for r in folds.next_rows(folded, ops, NOW()).collect()}
     return table, {r.nth: r.outcome for r in folds.outcomes(folded, ops).collect()}, folds.new_revisions(folded)
 
 

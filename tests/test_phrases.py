@@ -39,9 +39,20 @@ def test_questions_of_a_column(spark):
 
 
 def test_passages(spark):
-    text = "One sentence here. " * 200 + "\n\n" + "x" * 3000
-    found = passages.spans(text)
-    assert all(0 < b - a <= 2400 for a, b in found) and text[found[0][0] : found[0][1]].endswith(".") and len(found) <= 8
-    df = spark.createDataFrame([("short",), (None,), (text,)], "t string").select(passages.passages("t").alias("p"), passages.surrounding("t", F.lit(2), F.lit(4)).alias("s"))
-    rows = df.collect()
-    assert [(x.start, x.end) for x in rows[0].p] == [(0, 5)] and rows[1].p == [] and [(x.start, x.end) for x in rows[2].p] == found and rows[0].s == "short"
+    said = "One sentence here. " * 200 + "\n\n" + "x" * 3000
+    found = passages.spans(said)
+    assert all(0 < b - a <= 2400 for a, b in found) and [a for a, _ in found[1:]] == [b for _, b in found[:-1]] and said[slice(*found[0])].endswith(". ")
+    assert said[found[-1][1] :].strip() == "x" * 3000  # what has no end within reach is not cut
+    df = spark.createDataFrame([("short",), (None,), (said,), (" \n ",)], "t string").select(passages.passages("t").alias("p"))
+    rows = [[(x.start, x.end) for x in r.p] for r in df.collect()]
+    assert rows == [[(0, 5)], [], found, []]
+
+
+def test_passages_keep_sentences_whole():
+    assert passages.spans("y" * 3000) == []
+    late = "w " * 700 + "end. " + "z" * 100
+    assert passages.spans(late) == [(0, 1405), (1405, 1505)]  # the first end beyond the size
+    mixed = "First. " + "a" * 500 + "\n\n" + "b" * 400 + "! " + "c" * 900
+    assert passages.spans(mixed) == [(0, 911), (911, 1811)]  # the last end within the size, of whichever kind
+    assert len(passages.spans("A sentence of some length. " * 1000)) == 8
+    assert passages.spans("…" * 1300) == []
