@@ -1,4 +1,4 @@
-"""Full-text search: words of a text as stems, without stop words, and how often they hold what a query asks for."""
+"""Full-text search: words of a text as stems, without stop words, and how closely together they hold what a query asks for."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import re
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,16 +63,63 @@ def asked(query: str) -> list[list[str]]:
     return out
 
 
-def hits(stems: Column, terms: list[list[str]]) -> Column:
-    """How many positions of a text hold a word of a term that the text holds whole."""
-    n = F.lit(0)
-    for term in terms:
-        own = F.size(F.filter(stems, lambda w: w.isin(term)))  # noqa: B023
-        whole = F.lit(True)
-        for part in term:
-            whole = whole & F.array_contains(stems, part)
-        n = n + F.when(whole, own).otherwise(0)
-    return F.coalesce(n, F.lit(0))
+#: What a cover counts when nothing stands between its words; fixed value.
+COVER = 0.1
+
+
+def _may_match(word: Column, wanted: list[str]) -> Column:
+    """Whether a word's stem may be one of some stems: stemming leaves a word's first letter as it is, but for ё."""
+    return F.substring(word, 1, 1).isin(sorted({x for w in wanted for x in (("е", "ё") if w[0] in "её" else w[0])}))
+
+
+def positions(column: Column, wanted: list[str] | None = None) -> Column:
+    """array of (pos, stem): places from 1 of a text's words, stop words counted but left out; of ``wanted`` stems only, where given.
+
+    Only words that may have a wanted stem leave the JVM.
+    """
+    placed = F.transform(words(column), lambda w, i: F.struct((i + 1).alias("pos"), w.alias("word")))
+    keep = F.filter(placed, lambda x: ~x["word"].isin(stop_words()) & (F.lit(True) if wanted is None else _may_match(x["word"], wanted)))
+    both = F.zip_with(keep, _stemmed(F.transform(keep, lambda x: x["word"])), lambda x, stem: F.struct(x["pos"].alias("pos"), stem.alias("stem")))
+    return both if wanted is None else F.filter(both, lambda x: x["stem"].isin(wanted))
+
+
+def wanted(terms: list[list[str]]) -> list[str]:
+    return sorted({stem for term in terms for stem in term})
+
+
+def cover_density(found: Column, terms: list[list[str]]) -> Column:
+    """The rank of a text by its covers: of ``found`` (array of pos, stem, in order), the smallest stretches that hold all words of one of the terms.
+
+    A stretch counts ``COVER`` over one more than the words in it that nobody asked for.  Up to each place, a term's last complete stretch begins
+    at the earliest of its words' last places, so one pass that remembers each word's last place finds all of them: a stretch is
+    a smallest one when it begins later than any that ended before.  Null for null; 0 where no term is held whole.
+    """
+    stems = wanted(terms)
+    if not stems:
+        return F.when(found.isNotNull(), 0.0)
+    number = {stem: k for k, stem in enumerate(stems)}
+    nowhere = F.struct(F.lit(-1).alias("i"), F.lit(0).alias("pos"))
+    items = F.transform(found, lambda x, i: F.struct(i.alias("i"), x["pos"].cast("int").alias("pos"), x["stem"].alias("stem")))
+    start = F.struct(F.array(*[nowhere] * len(stems)).alias("last"), nowhere.alias("begin"), F.lit(0.0).alias("rank"))
+
+    def whole(last: Column, term: list[str]) -> Column:
+        own = [F.get(last, F.lit(number[w])) for w in term]
+        return F.least(*own) if len(own) > 1 else own[0]
+
+    def step(s: Column, x: Column) -> Column:
+        here = F.struct(x["i"].alias("i"), x["pos"].alias("pos"))
+        last = F.transform(s["last"], lambda at, k: F.when(F.get(F.array(*map(F.lit, stems)), k) == x["stem"], here).otherwise(at))
+        begun = F.transform(F.array(last), lambda held: F.struct(held.alias("last"), F.greatest(nowhere, *[whole(held, term) for term in terms]).alias("begin")))
+
+        def after(b: Column) -> Column:
+            begin = b["begin"]
+            noise = x["pos"] - begin["pos"] - (x["i"] - begin["i"])
+            more = F.when(begin["i"] > s["begin"]["i"], F.lit(COVER) / (1 + noise)).otherwise(0.0)
+            return F.struct(b["last"].alias("last"), begin.alias("begin"), (s["rank"] + more).alias("rank"))
+
+        return F.get(F.transform(begun, after), F.lit(0))
+
+    return F.aggregate(items, start, step, lambda s: s["rank"])
 
 
 def matches_all(stems: Column, query: str) -> Column:
@@ -81,6 +128,36 @@ def matches_all(stems: Column, query: str) -> Column:
     return F.size(F.array_except(F.lit(wanted).cast("array<string>"), stems)) == 0 if wanted else F.lit(False)
 
 
+#: Parts of a stored index, by stem.
+BUCKETS = 64
+
+
+def _bucket(stem: Column) -> Column:
+    return F.pmod(F.xxhash64(stem), F.lit(BUCKETS)).cast("int")
+
+
+def write_postings(rows: DataFrame, path: str, id_col: str = "id", text_col: str = "text") -> None:
+    """Stores stem, id and pos of every word of the rows, in parts by stem and in order within them, so that a query reads its own stems' rows only."""
+    each = rows.select(F.col(id_col).alias("id"), F.explode(positions(F.col(text_col))).alias("x")).select("x.stem", "id", "x.pos", _bucket(F.col("x.stem")).alias("bucket"))
+    # a frequent stem's rows are dealt by id
+    each.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("stem", "id", "pos").write.partitionBy("bucket").mode("append").parquet(path)
+
+
+def read_postings(spark: SparkSession, path: str, stems: list[str]) -> DataFrame:
+    """stem, id, pos of some stems."""
+    if not stems:
+        return spark.read.parquet(path).drop("bucket").limit(0)
+    buckets = [r[0] for r in spark.createDataFrame([(s,) for s in stems], "s string").select(_bucket(F.col("s"))).distinct().collect()]
+    return spark.read.parquet(path).filter(F.col("bucket").isin(buckets) & F.col("stem").isin(stems)).drop("bucket")
+
+
+def ranked(postings: DataFrame, query: str) -> DataFrame:
+    """id, rank of the texts that hold what a query asks for, by stem, id and pos of its stems."""
+    terms = asked(query)
+    of_one = postings.filter(F.col("stem").isin(wanted(terms))).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "stem"))).alias("found"))  # a text's own words
+    return of_one.select("id", cover_density(F.col("found"), terms).alias("rank")).filter("rank > 0")
+
+
 def indexed(rows: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows with ``stems``: what a stored search column holds, computed when a text is written."""
     return rows.withColumn("stems", stems(F.col(text_col)))

@@ -27,9 +27,14 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/gistmill-{spark.sparkContext.applicationId}"
 
 
+def fresh(spark: SparkSession) -> str:
+    """A path of this application in the shared folder where nothing is yet."""
+    return f"{_own_dir(spark)}/{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows read back from a Parquet table in the shared folder, so that lost executors cost no more than this table's reading."""
-    path = f"{_own_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = fresh(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -173,20 +173,42 @@ def interleaved(facts: DataFrame, passages: DataFrame) -> DataFrame:
     return one.unionAll(passages.select(F.lit("passage"), "id", F.col("rank") * 2 + 1, F.col("cost") + 6))
 
 
-def session_conflicts(events: DataFrame) -> DataFrame:
-    """The events with reason: what is other than the session's first event says; null where all agrees."""
-    first = events.groupBy("session_id").agg(F.min(F.struct("id", "user_id", "agent")).alias("x"))
+def session_conflicts(events: DataFrame, arrived: str = "id") -> DataFrame:
+    """The events with reason: what is other than the session's first event says, by order of arrival, then id; null where all agrees."""
+    first = events.groupBy("session_id").agg(F.min_by(F.struct("user_id", "agent"), F.struct(arrived, "id")).alias("x"))
     reason = F.when(F.col("user_id") != F.col("x.user_id"), "other_user").when(F.col("agent") != F.col("x.agent"), "other_agent")
     return events.join(first, "session_id").withColumn("reason", reason).drop("x")
 
 
-def window_jobs(messages: DataFrame, closed: DataFrame, size: int = 10, most: int = 25) -> DataFrame:
-    """session_id, win, n, job: windows that are full, or of a session that has been closed, ``most`` to a job within each queue."""
-    nth = F.row_number().over(Window.partitionBy("session_id").orderBy("id"))
-    w = messages.withColumn("win", F.floor((nth - 1) / size)).groupBy("queue", "session_id", "win").agg(F.count("*").alias("n"))
-    due = w.join(closed.select("session_id", F.lit(True).alias("closed")), "session_id", "left").filter((F.col("n") == size) | F.col("closed"))
-    k = F.row_number().over(Window.partitionBy("queue").orderBy("session_id", "win"))
-    return due.withColumn("job", F.floor((k - 1) / most)).select("session_id", "win", "n", "job")
+#: Messages of a window and windows of a job; words that ask for a window at once; fixed values.
+WINDOW, JOB = 10, 25
+_URGENT = r"(?iU)(запомн|не\s+забудь|запиши\s+себе|remember\s+(that|this)|don'?t\s+forget|keep\s+in\s+mind|note\s+that\s+i)"
+
+
+def urgent(said: Column) -> Column:
+    """Whether a message asks for being remembered."""
+    return F.coalesce(said.rlike(_URGENT), F.lit(False))
+
+
+def window_jobs(events: DataFrame, size: int = WINDOW, most: int = JOB) -> DataFrame:
+    """queue, session_id, win, n, first_id, last_id, done, reason, job: windows that are done, ``most`` to a job within each queue, in the order in which they were done.
+
+    ``events`` has queue, session_id, id, closes (no message, but the end of the session), urgent.  A window is full with ``size`` messages, ends behind an urgent one, and when
+    its session closes; what is open stays for later.  ``done`` is the id of the event that ended it.  A stretch between two such ends is cut into windows by itself.
+    """
+    of_session = Window.partitionBy("queue", "session_id")
+    ends = (F.col("closes") | F.col("urgent")).cast("long")
+    e = events.withColumn("seg", F.coalesce(F.sum(ends).over(of_session.orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    key = ["queue", "session_id", "seg"]
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("id")) - 1
+    said = e.filter(~F.col("closes")).withColumn("sub", F.floor(place / size))
+    w = said.groupBy(*key, "sub").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.max_by("urgent", "id").alias("urgent"))
+    w = w.join(e.filter("closes").select(*key, F.col("id").alias("closed")), key, "left")
+    reason = F.when(F.col("n") == size, "full").when(F.col("urgent"), "remember").when(F.col("closed").isNotNull(), "closed")
+    due = w.withColumn("reason", reason).filter("reason IS NOT NULL")
+    due = due.withColumn("done", F.when(F.col("reason") == "closed", F.col("closed")).otherwise(F.col("last_id"))).withColumn("win", (F.row_number().over(of_session.orderBy("seg", "sub")) - 1).cast("long"))
+    k = F.row_number().over(Window.partitionBy("queue").orderBy("done", "session_id", "win")) - 1
+    return due.select("queue", "session_id", "win", "n", "first_id", "last_id", "done", "reason", F.floor(k / most).alias("job"))
 
 
 def progress(rows: DataFrame) -> DataFrame:

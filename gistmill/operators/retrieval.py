@@ -12,17 +12,17 @@ from gistmill.operators import filters
 
 
 def measured(rows: DataFrame, query: str, vector: Column) -> DataFrame:
-    """The rows with what the three arms rank by: ``near`` (null without a vector), ``hits`` of the query's stems, ``named``.
+    """The rows with what the three arms rank by: ``near`` (null without a vector), ``covers``, the cover density of the query's terms, and ``named``.
 
-    ``named`` tells whether a row holds an identifier of the query literally.  Rows that carry ``stems`` are not stemmed again.
+    ``named`` tells whether a row holds an identifier of the query literally.  Rows that carry ``covers``, as read from stored postings, are not stemmed again.
     """
-    stems = F.col("stems") if "stems" in rows.columns else fulltext.stems(F.col("text"))
+    terms = fulltext.asked(query)
     names = F.transform(text.identifiers(F.lit(query)), F.lower)
-    out = rows.withColumn("stems", stems)
-    return out.withColumns(
+    covers = F.col("covers") if "covers" in rows.columns else fulltext.cover_density(fulltext.positions(F.col("text"), fulltext.wanted(terms)), terms) if terms else F.lit(0.0)
+    return rows.withColumns(
         {
             "near": F.when(F.col("v").isNotNull(), scores.dot(F.col("v"), vector)),
-            "hits": fulltext.hits(F.col("stems"), fulltext.asked(query)),
+            "covers": F.coalesce(covers, F.lit(0.0)),
             "named": F.exists(names, lambda x: F.contains(F.lower("text"), x)),
             "cost": text.token_count(F.col("text")),
         }
@@ -35,9 +35,9 @@ def dense_arm(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def lexical_arm(rows: DataFrame, limit: int) -> DataFrame:
-    """id, lexical: rows that hold words of the query, whatever their forms, by how often, over the best."""
-    top = rows.filter("hits > 0").orderBy(F.desc("hits"), "id").limit(limit)
-    return top.select("id", (F.col("hits") / F.max("hits").over(Window.partitionBy())).alias("lexical"))
+    """id, lexical: rows that hold what a query asks for, whatever the words' forms, by cover density over the best."""
+    top = rows.filter("covers > 0").orderBy(F.desc("covers"), "id").limit(limit)
+    return top.select("id", (F.col("covers") / F.max("covers").over(Window.partitionBy())).alias("lexical"))
 
 
 def entity_arm(rows: DataFrame, limit: int) -> DataFrame:
@@ -57,7 +57,7 @@ def search(rows: DataFrame, query: str, vector: Column, policy: Policy, now: Col
     a search without relevant rows stays empty.  ``reranker`` is any function from such rows to rows with other ranks and scores.
     """
     readable = filters.matching(rows.filter(F.col("scope_id").isin(scopes) & (F.col("status") == "active")), expression)
-    slim = written(measured(readable, query, vector).select(*_SCORED, "near", "hits", "named", "cost"))
+    slim = written(measured(readable, query, vector).select(*_SCORED, "near", "covers", "named", "cost"))
     most = max(50, 3 * limit)
     arms = [dense_arm(slim, most), lexical_arm(slim, most), entity_arm(slim, most)]
     merged = arms[0]

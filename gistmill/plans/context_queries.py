@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gistmill.functions import fulltext, phrases, scores, text
+from gistmill.functions import fulltext, phrases, rendering, scores, text
+from gistmill.lineage import fresh
 from gistmill.operators import curation, evaluation, filters, graph, judgments, listing, lineage_sets, retrieval
 from gistmill.plans.registry import query
-from gistmill.plans.retrieval_queries import FORMS, IN_SCOPES, SCOPES
+from gistmill.plans.retrieval_queries import ASKED, COVERS, IN_SCOPES, SCOPES
 from gistmill.sources import fixtures as fx
 
 NOW = f"TIMESTAMP '{fx.NOW}'"
@@ -188,11 +189,24 @@ def raw_search(spark, sf):
     return retrieval.raw_search(turns, F.array(*map(F.lit, v.filter("no = 0").select("v").first()[0])), SCOPES, expression={"all": [{"field": "kind", "op": "eq", "value": "evidence"}, {"field": "subject_id", "op": "absent"}]})
 
 
-@query("fulltext_match", f"SELECT id, hits FROM (SELECT id, len(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda x: x IN {FORMS})) AS hits FROM memories) WHERE hits > 0")
+_RANKED = f"WITH base AS (SELECT id, text FROM memories), {COVERS} SELECT id, round(covers, 6) AS rank FROM lh"
+
+
+@query("fulltext_match", _RANKED)
 def fulltext_match(spark, sf):
-    """Memories that hold any word of a query, in whatever form, with the number of places."""
-    rows = fulltext.indexed(fx.memories(spark, sf).select("id", "text"))
-    return rows.select("id", fulltext.hits(F.col("stems"), fulltext.asked("idiots, worthless the STTE")).alias("hits")).filter("hits > 0")
+    """Memories that hold all words of any term of a query, in whatever form, ranked by how closely together."""
+    terms = fulltext.asked(ASKED)
+    rows = fx.memories(spark, sf).select("id", fulltext.cover_density(fulltext.positions(F.col("text"), fulltext.wanted(terms)), terms).alias("rank"))
+    return rows.filter("rank > 0").select("id", F.round("rank", 6).alias("rank"))
+
+
+@query("postings_rank", _RANKED)
+def postings_rank(spark, sf):
+    """The same from a stored index, of which the query reads its own stems' rows only."""
+    path = fresh(spark)
+    fulltext.write_postings(fx.memories(spark, sf), path)
+    found = fulltext.read_postings(spark, path, fulltext.wanted(fulltext.asked(ASKED)))
+    return fulltext.ranked(found, ASKED).select("id", F.round("rank", 6).alias("rank"))
 
 
 @query("question_times")
@@ -329,12 +343,22 @@ def session_conflicts(spark, sf):
     return curation.session_conflicts(events).select("id", "reason")
 
 
-@query("window_jobs", "WITH w AS (SELECT session_id, CAST((nth - 1) // 2 AS BIGINT) AS win, count(*) AS n FROM (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY id) AS nth FROM messages WHERE role <> 'system') GROUP BY ALL), r AS (SELECT *, n = 2 OR session_id % 2 = 0 AS due FROM w), k AS (SELECT *, row_number() OVER (PARTITION BY session_id % 10 ORDER BY session_id, win) AS k FROM r WHERE due) SELECT session_id, win, n, CAST((k - 1) // 25 AS BIGINT) AS job FROM k")
+_EVENTS = """SELECT CAST(session_id % 10 AS VARCHAR) AS queue, session_id, id, false AS closes, regexp_matches(content, '(?i)remember (that|this)') OR id % 11 = 3 AS urgent FROM messages WHERE role <> 'system'
+ UNION ALL SELECT DISTINCT CAST(session_id % 10 AS VARCHAR), session_id, session_id * 1000 + 999, true, false FROM messages WHERE session_id % 2 = 0"""
+
+
+@query("window_jobs", f"""WITH e AS ({_EVENTS}), s AS (SELECT *, coalesce(sum(CASE WHEN closes OR urgent THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM e),
+ p AS (SELECT *, (row_number() OVER (PARTITION BY session_id, seg ORDER BY id) - 1) // 4 AS sub FROM s WHERE NOT closes), g AS (SELECT queue, session_id, seg, sub, count(*) AS n, min(id) AS first_id, max(id) AS last_id, arg_max(urgent, id) AS urgent FROM p GROUP BY ALL),
+ c AS (SELECT session_id, seg, id AS closed FROM s WHERE closes), w AS (SELECT g.*, closed, CASE WHEN n = 4 THEN 'full' WHEN urgent THEN 'remember' WHEN closed IS NOT NULL THEN 'closed' END AS reason FROM g LEFT JOIN c ON c.session_id = g.session_id AND c.seg = g.seg),
+ d AS (SELECT *, CASE WHEN reason = 'closed' THEN closed ELSE last_id END AS done, row_number() OVER (PARTITION BY session_id ORDER BY seg, sub) - 1 AS win FROM w WHERE reason IS NOT NULL)
+ SELECT queue, session_id, win, n, first_id, last_id, done, reason, (row_number() OVER (PARTITION BY queue ORDER BY done, session_id, win) - 1) // 25 AS job FROM d""")
 def window_jobs(spark, sf):
-    """Windows that are due, full or of closed sessions, dealt to jobs of twenty-five; what is left goes on in the next."""
-    g = fx.messages(spark, sf).filter("role != 'system'").withColumn("queue", F.col("session_id") % 10)
-    closed = g.filter("session_id % 2 = 0").select("session_id").distinct()
-    return curation.window_jobs(g, closed, size=2, most=25)
+    """Windows that are due: full, behind a message that asks to be remembered, or of a session that closed; in jobs of twenty-five."""
+    g = fx.messages(spark, sf).withColumn("queue", (F.col("session_id") % 10).cast("string"))
+    urgent = curation.urgent(F.col("content")) | (F.col("id") % 11 == 3)
+    said = g.filter("role != 'system'").select("queue", "session_id", "id", F.lit(False).alias("closes"), urgent.alias("urgent"))
+    closing = g.filter("session_id % 2 = 0").select("queue", "session_id", (F.col("session_id") * 1000 + 999).alias("id"), F.lit(True), F.lit(False)).distinct()
+    return curation.window_jobs(said.unionAll(closing), size=4)
 
 
 @query("dream_progress", "WITH c AS (SELECT scope_id, updated_at, id, no % 50 = 49 AS failed FROM memories WHERE status = 'active'), f AS (SELECT scope_id, min((updated_at, id)) AS stop FROM c WHERE failed GROUP BY scope_id) SELECT c.scope_id, max(updated_at) AS seen_at, arg_max(id, (updated_at, id)) AS id FROM c LEFT JOIN f ON f.scope_id = c.scope_id WHERE stop IS NULL OR (updated_at, id) < stop GROUP BY c.scope_id")
@@ -353,19 +377,33 @@ def neighbour_budget(spark, sf):
     return graph.within_leftover(rows, 900, "q")
 
 
-@query("redacted_context", """SELECT c_custkey AS id, '{"name": "' || c_name || '", "api_key": "[REDACTED]", "rows": [{"said": "Bearer [REDACTED]", "n": ' || CAST(c_custkey AS VARCHAR) || '}, null]}' AS context FROM customer""")
-def redacted_context(spark, sf):
-    """JSON of any shape: values under sensitive keys go, strings are redacted, at any depth."""
-    c = fx.table(spark, sf, "customer")
-    said = F.concat(F.lit('{"name": "'), "c_name", F.lit('", "api_key": {"x": [1]}, "rows": [{"said": "Bearer '), "c_name", F.lit('", "n": '), F.col("c_custkey").cast("string"), F.lit("}, null]}"))
-    return c.select(F.col("c_custkey").alias("id"), text.redact_json(said).alias("context"))
+_TOKEN = r'"(?:[^"\\]|\\.)*"\s*:?|[^"]+'
+_SCRUBBED, _SCRUBS = text.redacted_sql("said")
+_CONTEXT = """'{"note": ' || to_json(text) || ', "n_tokens": ' || CAST(no AS VARCHAR) || ', "api_key": {"x": [1, true], "password": ' || to_json(scope_id) || '}, "token" : ' || CASE no % 3 WHEN 0 THEN '""' WHEN 1 THEN 'null' ELSE to_json(lang || ' ' || text) END || ', "rows": [' || to_json('password=' || scope_id || ' and on') || ', {"Authorization": [' || to_json(kind) || ']}], "token=' || scope_id || '": 1.50}'"""
 
 
-@query("session_lines", "SELECT session_id, string_agg(role || ': ' || CASE WHEN role = 'assistant' AND length(content) > 220 THEN substr(content, 1, 220) || ' […]' ELSE content END, chr(10) ORDER BY turn) AS lines FROM messages GROUP BY session_id")
+@query("redacted_context", rf"""WITH j AS (SELECT id, {_CONTEXT} AS said FROM memories), t AS (SELECT id, unnest(t) AS tok, generate_subscripts(t, 1) AS pos FROM (SELECT id, regexp_extract_all(said, '{_TOKEN}') AS t FROM j)),
+ k AS (SELECT *, starts_with(tok, '"') AS is_text, ends_with(tok, ':') AS is_key, regexp_replace(tok, '\s*:$', '') AS quoted, lag(tok, 1, '') OVER w AS p1, lag(tok, 2, '') OVER w AS p2 FROM t WINDOW w AS (PARTITION BY id ORDER BY pos)),
+ v AS (SELECT *, json_extract_string(CASE WHEN is_text THEN quoted ELSE '0' END, '$') AS said, CASE WHEN trim(p1) = '' THEN p2 ELSE p1 END AS name FROM k), h AS (SELECT *, is_text AND NOT is_key AND said <> '' AND name LIKE '"%:' AND regexp_matches(name, '{text.SENSITIVE_KEY}') AS hidden FROM v),
+ c AS (SELECT *, CASE WHEN NOT is_text THEN 0 WHEN hidden THEN 1 ELSE {_SCRUBS} END AS n FROM h)
+ SELECT id, string_agg(CASE WHEN hidden THEN '"[REDACTED]"' WHEN n > 0 THEN CAST(to_json({_SCRUBBED}) AS VARCHAR) || substr(tok, length(quoted) + 1) ELSE tok END, '' ORDER BY pos) AS context, CAST(sum(n) AS INTEGER) AS n FROM c GROUP BY id""")
+def redacted_context(spark, sf):
+    """JSON of any shape with texts as they come: strings that are not empty go under sensitive keys, other strings are redacted, keys too, at any depth."""
+    m = fx.memories(spark, sf)
+    quoted = lambda x: F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", "")
+    token = F.when(F.col("no") % 3 == 0, '""').when(F.col("no") % 3 == 1, "null").otherwise(quoted(F.concat("lang", F.lit(" "), "text")))
+    parts = [
+        F.lit('{"note": '), quoted(F.col("text")), F.lit(', "n_tokens": '), F.col("no").cast("string"), F.lit(', "api_key": {"x": [1, true], "password": '), quoted(F.col("scope_id")), F.lit('}, "token" : '), token,
+        F.lit(', "rows": ['), quoted(F.concat(F.lit("password="), "scope_id", F.lit(" and on"))), F.lit(', {"Authorization": ['), quoted(F.col("kind")), F.lit(']}], "token='), F.col("scope_id"), F.lit('": 1.50}'),
+    ]
+    return m.select("id", text.redact_json(F.concat(*parts)).alias("x")).select("id", F.col("x.json").alias("context"), F.col("x.count").alias("n"))
+
+
+@query("session_lines", "SELECT session_id, string_agg('[' || CAST(id AS VARCHAR) || '] ' || role || ': ' || CASE WHEN role = 'assistant' AND length(content) > 220 THEN rtrim(substr(content, 1, 220)) || ' […truncated]' ELSE content END, chr(10) ORDER BY turn) AS lines FROM messages GROUP BY session_id")
 def session_lines(spark, sf):
     """A session as a prompt shows it: turns in order, long ones of the assistant cut."""
     said = F.when(F.col("role") == "assistant", text.shortened(F.col("content"))).otherwise(F.col("content"))
-    g = fx.messages(spark, sf).select("session_id", F.struct("turn", F.concat(F.col("role"), F.lit(": "), said).alias("line")).alias("x"))
+    g = fx.messages(spark, sf).select("session_id", F.struct("turn", F.concat(F.lit("["), F.col("id").cast("string"), F.lit("] "), F.col("role"), F.lit(": "), said).alias("line")).alias("x"))
     lines = g.groupBy("session_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
     return lines.select("session_id", F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("lines"))
 
@@ -382,20 +420,57 @@ def context_compact(spark, sf):
     return profiles.unrepeated(m.select(F.floor(n / 40).alias("q"), (n % 40).alias("rank"), "id"), back(3, 1).unionAll(back(5, 2)), "q")
 
 
-@query("text_passages")
+_END = r"(?:\n\s*\n|[.!?]\s+)"
+
+
+@query("text_passages", rf"""WITH RECURSIVE p AS (SELECT id, text, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS n FROM memories WHERE text IS NOT NULL
+ UNION ALL SELECT id, text, b, to_, n + CASE WHEN regexp_matches(substr(text, CAST(b AS INTEGER) + 1, CAST(to_ - b AS INTEGER)), '\S') THEN 1 ELSE 0 END
+ FROM (SELECT *, CASE WHEN b + 1200 >= length(text) THEN length(text) WHEN near > 0 THEN b + near WHEN far > 0 THEN b + 1200 + far END AS to_
+  FROM (SELECT *, length(regexp_extract(substr(text, CAST(b AS INTEGER) + 1, 1200), '(?s)^.*{_END}')) AS near, length(regexp_extract(substr(text, CAST(b AS INTEGER) + 1201, 1200), '(?s)^.*?{_END}')) AS far FROM p WHERE b < length(text) AND n < 8)) WHERE to_ IS NOT NULL),
+ s AS (SELECT id, a, b FROM p WHERE b > a AND regexp_matches(substr(text, CAST(a AS INTEGER) + 1, CAST(b - a AS INTEGER)), '\S'))
+ SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY a) - 1 AS INTEGER) AS nth, CAST(a AS INTEGER) AS start, CAST(b AS INTEGER) AS "end" FROM s""")
 def text_passages(spark, sf):
-    """Verbatim passages of each memory's text; the rules are held against examples by tests."""
+    """Verbatim passages of each memory's text."""
     from gistmill.functions import passages
 
     each = fx.memories(spark, sf).select("id", F.posexplode(passages.passages("text")).alias("nth", "p"))
     return each.select("id", "nth", F.col("p.start").alias("start"), F.col("p.end").alias("end"))
 
 
-@query("cited_surroundings", "SELECT e.memory_id, e.message_id, CASE WHEN length(content) <= end_char + 200 THEN content ELSE regexp_replace(substr(content, 1, end_char + 200), '(?s)^(.{' || CAST(end_char AS VARCHAR) || '}.*) .*$', '\\1') END AS around FROM evidence e JOIN messages g ON g.id = e.message_id WHERE length(content) <= end_char + 200 OR contains(substr(content, end_char + 1, 200), ' ')")
+@query("cited_surroundings", """WITH c AS (SELECT memory_id, message_id, content, CAST(memory_id AS BIGINT) % 3 * 80 AS size, CAST((CAST(memory_id AS BIGINT) * 13) % (length(content) + 1) AS INTEGER) AS a FROM evidence e JOIN messages g ON g.id = e.message_id),
+ d AS (SELECT *, least(a + 20, length(content)) AS b, greatest(0, size - (least(a + 20, length(content)) - a)) // 2 AS extra FROM c), w AS (SELECT *, greatest(0, a - extra) AS lo, least(length(content), b + extra) AS hi FROM d),
+ g AS (SELECT *, strpos(substr(content, CAST(lo AS INTEGER) + 1, CAST(a - lo AS INTEGER)), ' ') AS gap, length(regexp_extract(substr(content, CAST(b AS INTEGER) + 1, CAST(hi - b AS INTEGER)), '(?s)^.* ')) AS last FROM w),
+ z AS (SELECT *, size <= 0 OR (a = 0 AND b >= length(content)) AS whole FROM g),
+ y AS (SELECT *, CASE WHEN whole THEN a WHEN lo > 0 AND gap > 0 THEN lo + gap ELSE lo END AS low, CASE WHEN whole THEN b WHEN hi < length(content) AND last > 0 THEN b + last - 1 ELSE hi END AS high FROM z)
+ SELECT memory_id, message_id, CAST(low AS INTEGER) AS low, CAST(high AS INTEGER) AS high, substr(content, CAST(low AS INTEGER) + 1, CAST(high - low AS INTEGER)) AS around FROM y""")
 def cited_surroundings(spark, sf):
-    """What stands around each citation, cut between words."""
+    """What stands around each citation, wherever it lies in its message, cut between words; windows of three sizes."""
     g = fx.messages(spark, sf).select(F.col("id").alias("message_id"), "content")
-    e = fx.evidence(spark, sf).join(g, "message_id")
-    around = text.surrounding(F.col("content"), F.col("start_char"), F.col("end_char"))
-    open_end = (F.length("content") <= F.col("end_char") + 200) | F.contains(F.substr("content", F.col("end_char") + 1, F.lit(200)), F.lit(" "))
-    return e.filter(open_end).select("memory_id", "message_id", around.alias("around"))
+    n = F.col("memory_id").cast("long")
+    e = fx.evidence(spark, sf).join(g, "message_id").withColumn("a", ((n * 13) % (F.length("content") + 1)).cast("int")).withColumn("size", (n % 3 * 80).cast("int"))
+    w = text.window(F.col("content"), F.col("a"), F.least(F.col("a") + 20, F.length("content")), F.col("size"))
+    e = e.withColumn("w", w)
+    return e.select("memory_id", "message_id", F.col("w.low").alias("low"), F.col("w.high").alias("high"), text.span(F.col("content"), F.col("w.low"), F.col("w.high")).alias("around"))
+
+
+@query("candidate_lines", f"""SELECT scope_id, string_agg('- id=' || id || ' kind=' || kind || ' said=' || strftime(document_date, '%Y-%m-%d') || CASE WHEN event_start IS NOT NULL THEN ' events=' || strftime(event_start, '%Y-%m-%d') || ',' || strftime(event_end, '%Y-%m-%d') ELSE '' END
+ || ' context=' || CASE WHEN no % 2 = 0 THEN '{{' || chr(39) || 'lang' || chr(39) || ': ' || chr(39) || lang || chr(39) || '}}' ELSE '{{}}' END || ' importance=' || CAST(importance AS VARCHAR) || ': ' || text, chr(10) ORDER BY id) AS lines FROM memories WHERE {IN_SCOPES} GROUP BY scope_id""")
+def candidate_lines(spark, sf):
+    """Candidates as a prompt lists them, with when each was said."""
+    m = fx.memories(spark, sf).filter(F.col("scope_id").isin(SCOPES))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    events = F.when(F.col("event_start").isNotNull(), F.array(day("event_start"), day("event_end")))
+    context = F.when(F.col("no") % 2 == 0, F.create_map(F.lit("lang"), F.col("lang")))
+    line = rendering.candidate(F.col("id"), F.col("kind"), F.col("document_date"), events, context, F.col("importance"), F.col("text"))
+    return rendering.lines(m.select("scope_id", "id", line.alias("line")), "scope_id", "id")
+
+
+@query("entity_lines", """WITH e AS (SELECT user_id, entity_id, row_number() OVER (PARTITION BY user_id ORDER BY entity_id) AS ref FROM (SELECT DISTINCT user_id, entity_id FROM memberships))
+ SELECT user_id, string_agg(CAST(ref AS VARCHAR) || '. project: ' || entity_id || CASE WHEN ref % 2 = 1 THEN ' — aliases: ' || upper(entity_id) || ', the ' || entity_id ELSE '' END, chr(10) ORDER BY ref) AS lines FROM e GROUP BY user_id""")
+def entity_lines(spark, sf):
+    """The entities that a speaker may mean, numbered, with the names that people say."""
+    from pyspark.sql import Window
+
+    e = fx.memberships(spark, sf).select("user_id", "entity_id").distinct().withColumn("ref", F.row_number().over(Window.partitionBy("user_id").orderBy("entity_id")))
+    names = F.when(F.col("ref") % 2 == 1, F.array(F.upper("entity_id"), F.concat(F.lit("the "), "entity_id")))
+    return rendering.lines(e.select("user_id", "ref", rendering.entity(F.col("ref"), F.lit("project"), F.col("entity_id"), names).alias("line")), "user_id", "ref")

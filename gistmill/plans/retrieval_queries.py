@@ -14,9 +14,17 @@ NOW = f"TIMESTAMP '{fx.NOW}'"
 SCOPES = ["src0", "src1", "src4", "src8", "src12", "src16"]
 IN_SCOPES = "scope_id IN ('src0','src1','src4','src8','src12','src16')"
 LIVE = f"status = 'active' AND (valid_until IS NULL OR valid_until > {NOW})"
-ASKED = "idiot worthless the STTE"
-#: Words whose stems ``ASKED`` asks for; "the" is a stop word.
-FORMS = "('idiot', 'idiots', 'idiotic', 'idiotically', 'worthless', 'worthlessness', 'worthlessly', 'stte', 'sttes')"
+#: Terms: a word, two words that a text holds both, a stop word, and an identifier.
+ASKED = "worthless idiots/worthless the STTE"
+#: Forms of the words whose stems are asked for.
+FORMS = {"idiot": "('idiot', 'idiots', 'idiotic', 'idiotically')", "worthless": "('worthless', 'worthlessness', 'worthlessly')", "stte": "('stte', 'sttes')"}
+#: Cover density by windows: id and covers of each text of ``base``.
+COVERS = f"""lw AS (SELECT id, unnest(w) AS w, generate_subscripts(w, 1) AS pos FROM (SELECT id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM base)),
+li AS (SELECT id, pos, CASE {' '.join(f"WHEN w IN {forms} THEN '{stem}'" for stem, forms in FORMS.items())} END AS stem FROM lw),
+lo AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS i FROM li WHERE stem IS NOT NULL),
+ll AS (SELECT *, {', '.join(f"coalesce(max(CASE WHEN stem = '{s}' THEN i END) OVER (PARTITION BY id ORDER BY i ROWS UNBOUNDED PRECEDING), 0) AS {s}" for s in FORMS)} FROM lo),
+lb AS (SELECT *, greatest(worthless, least(idiot, worthless), stte) AS b FROM ll), lc AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY id ORDER BY i) AS had FROM lb),
+lh AS (SELECT c.id, sum(0.1 / (1 + c.pos - f.pos - (c.i - c.b))) AS covers FROM lc c JOIN lc f ON f.id = c.id AND f.i = c.b WHERE c.b > c.had GROUP BY c.id)"""
 TERM = r"[\p{L}\p{N}_./:@#-]+"
 
 
@@ -33,9 +41,9 @@ def _probe(spark, sf):
 _ARMS = f"""asked AS (SELECT v AS q FROM vectors WHERE no = 0),
 base AS (SELECT m.*, v.v FROM memories m LEFT JOIN vectors v ON m.id = v.id WHERE {IN_SCOPES} AND status = 'active'),
 da AS (SELECT id, greatest(list_dot_product(v, q), 0) AS dense FROM base, asked WHERE v IS NOT NULL ORDER BY list_dot_product(v, q) DESC, id LIMIT 90),
-lh AS (SELECT id, len(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda x: x IN {FORMS})) AS hits FROM base),
-lt AS (SELECT * FROM lh WHERE hits > 0 ORDER BY hits DESC, id LIMIT 90),
-la AS (SELECT id, hits / max(hits) OVER () AS lexical FROM lt),
+{COVERS},
+lt AS (SELECT * FROM lh ORDER BY covers DESC, id LIMIT 90),
+la AS (SELECT id, covers / max(covers) OVER () AS lexical FROM lt),
 ea AS (SELECT id FROM base WHERE contains(lower(text), 'stte') ORDER BY updated_at DESC, id LIMIT 90),
 c AS (SELECT id FROM da UNION SELECT id FROM la UNION SELECT id FROM ea),
 s AS (SELECT b.*, coalesce(dense, 0) AS dense, coalesce(lexical, 0) AS lexical, CASE WHEN ea.id IS NULL THEN 0.0 ELSE 1.0 END AS entity
@@ -75,7 +83,8 @@ def hybrid_search(spark, sf):
  + 0.1 * (CAST(epoch_us(en) - min(epoch_us(en)) OVER () AS DOUBLE) / (max(epoch_us(en)) OVER () - min(epoch_us(en)) OVER ())) AS score FROM w)
  SELECT id, round(score, 4) AS score FROM z ORDER BY z.score DESC, id LIMIT 90""")
 def hybrid_search_v2(spark, sf):
-    policy = Policy("temporal-v2", episode_half_life=60, episode_significance=0.7, temporal=0.15, order=0.1, reinforcement=0.05, inference_penalty=0.08)
+    trusted = (*Policy().trusted, "inference")  # with a penalty while nobody has confirmed it
+    policy = Policy("temporal-v2", trusted=trusted, episode_half_life=60, episode_significance=0.7, temporal=0.15, order=0.1, reinforcement=0.05, inference_penalty=0.08)
     window = (F.lit("2023-06-01").cast("timestamp"), F.lit("2023-12-31").cast("timestamp"))
     return _hybrid(spark, sf, policy, order="latest", window=window).select("id", F.round("score", 4).alias("score"))
 
@@ -202,9 +211,9 @@ def content_hash(spark, sf):
 _ODD = "['Straße', 'GROẞ', 'ſpät', 'ΣΊΣΥΦΟΣ', 'ŉ', 'ﬁx ﬀ', 'İx', 'Ǆ', 'ПРИВЕТ']"
 
 
-@query("casefold", f"SELECT c_custkey AS id, {text.normalised_sql('c_name || chr(160) || chr(8195) || x || chr(28)')} AS folded FROM customer, (SELECT unnest({_ODD}) AS x)")
+@query("casefold", f"SELECT c_custkey AS id, {text.normalised_sql("c_name || chr(160) || chr(8195) || replace(x, 'İ', 'i' || chr(775)) || chr(28)")} AS folded FROM customer, (SELECT unnest({_ODD}) AS x)")
 def casefold(spark, sf):
-    odd = F.explode(F.array(*[F.lit(x) for x in ["Straße", "GROẞ", "ſpät", "ΣΊΣΥΦΟΣ", "ŉ", "ﬁx ﬀ", "Ǆ", "ПРИВЕТ"]])).alias("x")
+    odd = F.explode(F.array(*[F.lit(x) for x in ["Straße", "GROẞ", "ſpät", "ΣΊΣΥΦΟΣ", "ŉ", "ﬁx ﬀ", "İx", "Ǆ", "ПРИВЕТ"]])).alias("x")
     c = fx.table(spark, sf, "customer").select("c_custkey", "c_name", odd)
     return c.select(F.col("c_custkey").alias("id"), text.normalised(F.concat("c_name", F.lit("\u00a0\u2003"), "x", F.lit("\x1c"))).alias("folded"))
 

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import json
+import random
 import re
 
 import pytest
@@ -197,17 +198,80 @@ def test_stems(word):
     assert stemming.stem(word) == STEMS[word]
 
 
+def plain_covers(found, terms):
+    """Cover density by trying all stretches: those that hold a term whole, and no smaller one in them."""
+    holds = lambda i, j: any(set(term) <= {stem for _, stem in found[i : j + 1]} for term in terms)
+    n = len(found)
+    covers = [(i, j) for i in range(n) for j in range(i, n) if holds(i, j) and not (j > i and (holds(i + 1, j) or holds(i, j - 1)))]
+    return sum(0.1 / (1 + (found[j][0] - found[i][0]) - (j - i)) for i, j in covers)
+
+
 def test_search_finds_other_forms_of_words(spark):
     said = ["Алиса предпочитает тёмную тему редактора", "We deployed the payments service on Monday", "The and of", None, "ПРЕДПОЧИТАЕТ чай", "deploy deploys deployed payment"]
-    rows = fulltext.indexed(spark.createDataFrame([(i, t) for i, t in enumerate(said)], "id int, text string"))
-    found = lambda q: {r.id: r.n for r in rows.select("id", fulltext.hits(F.col("stems"), fulltext.asked(q)).alias("n")).filter("n > 0").collect()}
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "id int, text string")
+
+    def found(q):
+        terms = fulltext.asked(q)
+        rank = fulltext.cover_density(fulltext.positions(F.col("text"), fulltext.wanted(terms)), terms)
+        return {r.id: round(10 * r.n, 6) for r in rows.select("id", rank.alias("n")).filter("n > 0").collect()}
+
     assert found("предпочитаю") == {0: 1, 4: 1} and found("DEPLOY") == {1: 1, 5: 3} and found("payment deployment") == {1: 2, 5: 4} and found("тема редактора") == {0: 2}
     assert found("the of") == found("") == found("!!! ###") == {}
-    assert fulltext.asked("a.deploy-payment x") == [["deploy", "payment"], ["x"]] and found("deploy-payment") == {1: 2, 5: 4}
-    both = {r.id for r in rows.filter(fulltext.matches_all(F.col("stems"), "payment deploys")).collect()}
+    assert fulltext.asked("a.deploy-payment x") == [["deploy", "payment"], ["x"]]
+    assert found("deploy-payment") == {1: 0.5, 5: 1}  # one word between, of which nobody asked; and next to each other
+    both = {r.id for r in fulltext.indexed(rows).filter(fulltext.matches_all(F.col("stems"), "payment deploys")).collect()}
     assert both == {1, 5}
 
 
+def test_cover_density_by_trying_all_stretches(spark):
+    rng = random.Random(4)
+    cases = []
+    for i in range(60):
+        places = sorted(rng.sample(range(1, 40), rng.randint(0, 12)))
+        cases.append((i, [(p, rng.choice("abcd")) for p in places]))
+    rows = spark.createDataFrame(cases, "id int, found array<struct<pos:int,stem:string>>")
+    for terms in ([["a"]], [["a", "b"]], [["a", "b", "c"], ["d"]], [["a", "b"], ["c", "d"], ["b", "c"]], [["a", "b"], ["a"]]):
+        own = {w for t in terms for w in t}
+        kept = F.filter("found", lambda x: x["stem"].isin(sorted(own)))  # noqa: B023
+        got = {r.id: r.n for r in rows.select("id", fulltext.cover_density(kept, terms).alias("n")).collect()}
+        for i, found in cases:
+            assert abs(got[i] - plain_covers([x for x in found if x[1] in own], terms)) < 1e-12
+
+
+def test_stored_postings_rank_whole_texts(spark, tmp_path):
+    """On all texts of the smallest tables: from the index, from the texts, and by a plain loop."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    query = "nicht/mit pour-que the worthless"
+    terms = fulltext.asked(query)
+    fulltext.write_postings(docs, str(tmp_path / "p"))
+    stored = fulltext.read_postings(spark, str(tmp_path / "p"), fulltext.wanted(terms))
+    assert "bucket" not in stored.columns
+    got = {r.id: r["rank"] for r in fulltext.ranked(stored, query).collect()}
+    direct = docs.select("id", fulltext.cover_density(fulltext.positions(F.col("text"), fulltext.wanted(terms)), terms).alias("rank")).filter("rank > 0")
+    assert {r.id: r["rank"] for r in direct.collect()} == got and len(got) > 20
+    stop, own = set(fulltext.stop_words()), set(fulltext.wanted(terms))
+    for r in docs.collect():
+        found = [(i, stemming.stem(w)) for i, w in enumerate(re.findall(r"[^\W_]+", r.text.lower()), 1) if w not in stop]
+        assert abs(got.get(r.id, 0.0) - fold_covers([x for x in found if x[1] in own], terms)) < 1e-9
+
+
+def fold_covers(found, terms):
+    """The same for long texts: the latest beginning for each end."""
+    total, before = 0.0, -1
+    for j in range(len(found)):
+        latest = {stem: i for i, (_, stem) in enumerate(found[: j + 1])}
+        begin = max((min(latest.get(w, -1) for w in term) for term in terms), default=-1)
+        if begin > before:
+            total += 0.1 / (1 + found[j][0] - found[begin][0] - (j - begin))
+        before = begin
+    return total
+
+
+def test_the_best_hit_counts_one(spark):
+    rows = spark.createDataFrame([(1, 0.3), (2, 0.1), (3, 0.0)], "id int, covers double")
+    assert [(r.id, round(r.lexical, 6)) for r in retrieval.lexical_arm(rows, 50).orderBy("id").collect()] == [(1, 1.0), (2, 0.333333)]
+
+
 def test_listings_refuse_what_they_do_not_know(spark):
     rows = spark.createDataFrame([("a", 0.3, "fact"), ("b", 0.5, "fact"), ("c", 0.5, "note")], "id string, importance float, kind string")
     assert [(r.id, r.nth) for r in listing.page(listing.listed(rows, {"kind": None, "status": "any"}), "importance", 2, 1).collect()] == [("c", 2), ("a", 3)]
