@@ -177,6 +177,22 @@ def crossing(opened: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
+def numbered(sets: DataFrame) -> DataFrame:
+    """The sets with ``node``: the id of the document that stands for each; of the sets of one document all but the first have numbers beyond all ids.
+
+    So the order of nodes is that of documents, and the hub of a bucket tends to be the text that the others were made from.
+    """
+    again = sets.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    if not again.head(1):
+        return sets.withColumn("node", F.col("doc_id"))
+    low, high = sets.agg(F.min("doc_id"), F.max("doc_id")).first()
+    place, room = F.monotonically_increasing_id(), 1 << 62
+    beyond = F.lit(high) + 1 + place if high < room else F.lit(low) - 1 - place
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("set_hash"))
+    node = F.when(nth == 1, F.col("doc_id")).otherwise(beyond) if high < room or low > -room else place
+    return written(sets.withColumn("node", node))
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
@@ -184,7 +200,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     linkable = rows.filter("set_hash IS NOT NULL AND doc_id IS NOT NULL")
     # a node for each set, which one text stands for
     first = linkable.groupBy("set_hash").agg(F.min_by(F.struct("doc_id", "text_hash", "n_shingles", "sig"), F.struct("doc_id", "text_hash")).alias("rep"))
-    sets = written(first.select("set_hash", "rep.*").withColumn("node", F.monotonically_increasing_id()))
+    sets = numbered(written(first.select("set_hash", "rep.*")))
     if linkable.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").head(1):
         texts = texts.groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"))  # equal rows, once
     keys = index_keys(sets)
