@@ -96,11 +96,17 @@ _RELATIVE = [
 ]
 
 
+def _number(digits: str) -> int:
+    """A whole number; one of many digits is as good as one more than any that counts."""
+    digits = digits.lstrip("0")
+    return int(digits or "0") if len(digits) <= len(str(MOST_AGO)) else MOST_AGO + 1
+
+
 def _ago(question: str, today: dt.date) -> Window | None:
     if m := re.search(AGO, question):
-        n, unit = NUMBERS.get(m[1]) or int(m[1]), m[2].removesuffix("s")
+        n, unit = NUMBERS.get(m[1]) or _number(m[1]), m[2].removesuffix("s")
     elif m := re.search(AGO_RU, question):
-        n, unit = int(m[1]), UNITS_RU[m[2][0]]
+        n, unit = _number(m[1]), UNITS_RU[m[2][0]]
     else:
         return None
     if not 0 < n <= MOST_AGO:

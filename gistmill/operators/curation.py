@@ -167,12 +167,6 @@ def kept_backups(snapshots: DataFrame, keep: dict[str, int]) -> DataFrame:
     return snapshots.withColumn("nth", nth).filter(~F.col("protected") & (F.col("nth") > F.coalesce(F.element_at(most, F.col("kind")), F.lit(0)))).drop("nth")
 
 
-def interleaved(facts: DataFrame, passages: DataFrame) -> DataFrame:
-    """rank, arm, id, cost: facts and passages in turn by their ranks."""
-    one = facts.select(F.lit("fact").alias("arm"), "id", (F.col("rank") * 2).alias("rank"), (F.col("cost") + 6).alias("cost"))
-    return one.unionAll(passages.select(F.lit("passage"), "id", F.col("rank") * 2 + 1, F.col("cost") + 6))
-
-
 def session_conflicts(events: DataFrame, arrived: str = "id") -> DataFrame:
     """The events with reason: what is other than the session's first event says, by order of arrival, then id; null where all agrees."""
     first = events.groupBy("session_id").agg(F.min_by(F.struct("user_id", "agent"), F.struct(arrived, "id")).alias("x"))

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gistmill.lineage import written
 from gistmill.operators.components import components
 
 
@@ -22,9 +23,13 @@ def histories(edges: DataFrame, memories: DataFrame, depth: int = 8) -> DataFram
     step = edges.filter("relation = 'updates'").select("from_id", "to_id")
     old = memories.filter("status = 'superseded'").select(F.col("id").alias("to_id"))
     step = step.join(old, "to_id", "left_semi")
+    step = written(step)
     found = front = step.select(F.col("from_id").alias("id"), F.col("to_id").alias("past"), F.lit(1).alias("hops"))
     for hops in range(2, depth + 1):
-        front = front.join(step, F.col("past") == F.col("from_id")).select("id", F.col("to_id").alias("past"), F.lit(hops).alias("hops"))
+        # a level is written once, and the first empty one is the last
+        front = written(front.join(step, F.col("past") == F.col("from_id")).select("id", F.col("to_id").alias("past"), F.lit(hops).alias("hops")).distinct())
+        if front.isEmpty():
+            break
         found = found.unionAll(front)
     return found.groupBy("id", "past").agg(F.min("hops").alias("hops")).filter("id != past")
 
@@ -58,7 +63,8 @@ def block_products(rows: DataFrame, same: list[str], keep, schema: str) -> DataF
     def products(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         own, ids = table.column("own").to_numpy(), np.array(table.column("id").to_pylist(), dtype=object)
-        x = np.array(table.column("v").to_pylist(), dtype=float)
+        v = table.column("v").combine_chunks()
+        x = v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), -1)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         return keep(ids[left], ids[right], x[left] @ x[right].T if len(left) and len(right) else np.zeros((len(left), len(right))), i == j)
 

@@ -20,17 +20,27 @@ def evidence_links(evidence: DataFrame, messages: DataFrame, memories: DataFrame
     return e.select("memory_id", "message_id", listed.alias("revisions"), current.alias("current"), text.span_holds(F.col("content"), F.col("start_char"), F.col("end_char"), F.col("sha")).alias("whole"))
 
 
-def export(tables: dict[str, DataFrame], user_id: int, own_scope: str) -> dict[str, DataFrame]:
-    """The parts of one user's export: what they said, what their own scope holds with its history and citations, what they did, and claims by or about them elsewhere."""
-    m, g, s = tables["memories"], tables["messages"].filter(F.col("user_id") == user_id), tables["searches"].filter(F.col("user_id") == user_id)
-    own = m.filter(F.col("scope_id") == own_scope)
-    ids = own.select(F.col("id").alias("memory_id"))
-    ends = lambda e, end: e.join(own.select(F.col("id").alias(end)), end, "left_semi")
+#: Columns that an export never holds; fixed values.
+SECRETS = ("password_hash", "key_hash")
+
+
+def export(tables: dict[str, DataFrame], user_id: int, own_scope: str, own_entity: str) -> dict[str, DataFrame]:
+    """The seventeen parts of one user's export, from tables of one version.
+
+    What they are and may use, without secrets; what they said; claims in their own scope and those they made elsewhere, with history, sources and
+    citations; edges with both ends among these; what awaits them; their searches with what was said of these, what was said of their claims; and model calls.
+    """
+    of = lambda name: tables[name].filter(F.col("user_id") == user_id)
+    public = lambda rows: rows.drop(*SECRETS)
+    memories = tables["memories"].filter((F.col("scope_id") == own_scope) | (F.col("author_id") == user_id))
+    ids, runs, said = memories.select(F.col("id").alias("memory_id")), of("runs"), of("messages")
+    about = lambda rows: rows.join(ids, "memory_id", "left_semi")
+    ends = lambda e, end: e.join(memories.select(F.col("id").alias(end)), end, "left_semi")
     return {
-        "messages": g, "sessions": g.select("session_id").distinct(), "memories": own, "revisions": tables["revisions"].join(ids, "memory_id", "left_semi"), "evidence": tables["evidence"].join(ids, "memory_id", "left_semi"),
-        "relations": ends(ends(tables["relations"], "from_id"), "to_id"), "memberships": tables["memberships"].filter(F.col("user_id") == user_id), "searches": s,
-        "feedback": tables["feedback"].join(s.select(F.col("id").alias("run_id")), "run_id", "left_semi"), "calls": tables["calls"].filter(F.col("user_id") == user_id),
-        "authored": m.filter((F.col("author_id") == user_id) & (F.col("scope_id") != own_scope)), "about": m.filter((F.col("subject_id") == user_id) & (F.col("scope_id") != own_scope)),
+        "user": public(of("users")), "api_keys": public(of("api_keys")), "entities": tables["entities"].filter(F.col("id") == own_entity), "memberships": of("memberships"), "sessions": said.select("session_id").distinct(), "messages": said,
+        "memories": memories, "revisions": about(tables["revisions"]), "sources": about(tables["sources"]), "evidence": about(tables["evidence"]), "revision_evidence": writes.revision_evidence(about(tables["revisions"]), about(tables["evidence"])),
+        "relations": ends(ends(tables["relations"], "from_id"), "to_id"), "attention": of("attention"), "runs": runs, "run_feedback": tables["feedback"].join(runs.select(F.col("id").alias("run_id")), "run_id", "left_semi"),
+        "feedback": about(tables["feedback"]), "calls": of("calls"),
     }
 
 

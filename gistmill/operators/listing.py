@@ -64,7 +64,7 @@ def group_column(name: str) -> Column:
 
 def policies(rows: DataFrame, scopes: DataFrame) -> DataFrame:
     """scope, kind, id, version, nth: for each scope the policies of the instance (without scope) and its own, the newest first."""
-    everywhere = scopes.crossJoin(F.broadcast(rows.filter("scope_id IS NULL")))  # policies of an instance are few
+    everywhere = scopes.join(rows.filter("scope_id IS NULL"), F.lit(True))  # each holds for each scope
     own = scopes.join(rows, scopes["scope"] == rows["scope_id"])
     nth = F.row_number().over(Window.partitionBy("scope", "kind").orderBy(F.desc("version"), "id"))
     return everywhere.unionByName(own).withColumn("nth", nth).select("scope", "kind", "id", "version", "nth")

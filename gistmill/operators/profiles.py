@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gistmill.lineage import written
 from gistmill.operators.curation import TRUSTED
 
 # The blocks in order, and the share of the budget that each may spend; the last one may spend what is left.
@@ -42,11 +43,21 @@ def rendered(rows: DataFrame, budget: int, blocks: list[str], *by: str) -> DataF
 def without_subsets(clusters: DataFrame) -> DataFrame:
     """Clusters (no, members) without those whose members an earlier one holds all.
 
-    A cluster in a dropped one lies in what that one was dropped for, too, so every earlier cluster may count.
+    A cluster in a dropped one lies in what that one was dropped for, too, so every earlier cluster may count.  Of equal clusters the first stands for all.  What holds
+    a cluster holds its rarest member, so a cluster is held against the larger ones that have this member, and no others.
     """
-    each = clusters.select("no", F.size("members").alias("size"), F.explode("members").alias("m"))
-    shared = each.alias("x").join(each.select(F.col("no").alias("other"), "m"), "m").filter("other < no").groupBy("no", "other").agg(F.count("*").alias("n"), F.first("size").alias("size"))
-    return clusters.join(shared.filter("n = size").select("no").distinct(), "no", "left_anti")
+    sets = written(clusters.select("no", F.array_sort("members").alias("members")).groupBy("members").agg(F.min("no").alias("first")))
+    each = sets.select("first", "members", F.explode("members").alias("m"))
+    often = each.groupBy("m").agg(F.count("*").alias("often"))
+    rarest = each.join(often, "m").groupBy("first").agg(F.min_by("m", F.struct("often", "m")).alias("m"), F.min("often").alias("often")).filter("often > 1").select("first", "m")
+    asked = sets.join(rarest, "first").select("first", F.col("members").alias("own"), "m")
+    holding = each.select(F.col("first").alias("other"), "members", "m")
+    inside = (F.col("other") < F.col("first")) & (F.size("members") > F.size("own")) & (F.size(F.array_except("own", "members")) == 0)
+    held = asked.join(holding, (asked["m"] == holding["m"]) & inside).select("first").distinct()
+    kept = sets.filter(F.size("members") > 0).join(held, "first", "left_anti").select(F.col("first").alias("no"))
+    # nothing lies in any earlier cluster
+    lone = sets.filter(F.size("members") == 0).select("first").filter(F.col("first") == sets.agg(F.min("first")).scalar()).select(F.col("first").alias("no"))
+    return clusters.join(kept.unionAll(lone), "no", "left_semi")
 
 
 def unrepeated(ranked: DataFrame, redundant: DataFrame, *by: str) -> DataFrame:

@@ -121,6 +121,40 @@ def within_budget(ranked: DataFrame, budget: int, limit: int, *by: str) -> DataF
     return folded.select(*by, F.explode("rows").alias("x")).select(*by, "x.rank", "x.cost", "x.used")
 
 
+#: Tokens that a piece of a context costs besides its text; fixed value.
+PIECE = 6
+
+
+def packed(facts: DataFrame, passages: DataFrame, sources: DataFrame, budgets: list[int], limit: int) -> DataFrame:
+    """budget, part, id, fact, rank, cost, used: what a context holds under each budget.
+
+    Facts and passages (id, rank, cost) alternate by rank, ``limit`` of them at most; then the sources (fact, id, nth, cost) of the facts that were taken, fact by fact, from what
+    is left.  A piece too large is skipped, and later ones still count.  One pass over the offered rows, of which there is a bounded number, carries both levels.
+    """
+    text_of = lambda rows, part, b: rows.select(F.lit(0).alias("phase"), F.col("rank").cast("long").alias("a"), F.lit(b).cast("long").alias("b"), F.lit(part).alias("part"), "id", F.lit(None).cast("string").alias("fact"), (F.col("cost") + PIECE).cast("long").alias("cost"))
+    of_fact = sources.join(facts.select(F.col("id").alias("fact"), "rank"), "fact")
+    more = of_fact.select(F.lit(1), F.col("rank").cast("long"), F.col("nth").cast("long"), F.lit("source"), "id", "fact", (F.col("cost") + PIECE).cast("long"))
+    offered = text_of(facts, "fact", 0).unionAll(text_of(passages, "passage", 1)).unionAll(more)
+    kept = "array<struct<part:string,id:string,fact:string,rank:bigint,cost:bigint,used:bigint>>"
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("facts"), F.array().cast(kept).alias("rows"))
+
+    def step(budget: int):
+        def one(s: Column, x: Column) -> Column:
+            used, first = s["used"] + x["cost"], x["phase"] == 0
+            takes = (used <= budget) & F.when(first, s["n"] < limit).otherwise(F.array_contains(s["facts"], x["fact"]))
+            row = F.struct(x["part"].alias("part"), x["id"].alias("id"), x["fact"].alias("fact"), x["a"].alias("rank"), x["cost"].alias("cost"), used.alias("used"))
+            return F.struct(
+                F.when(takes, used).otherwise(s["used"]).alias("used"), (s["n"] + (takes & first).cast("int")).alias("n"),
+                F.when(takes & (x["part"] == "fact"), F.array_append(s["facts"], x["id"])).otherwise(s["facts"]).alias("facts"), F.when(takes, F.array_append(s["rows"], row)).otherwise(s["rows"]).alias("rows"),
+            )
+
+        return one
+
+    items = offered.agg(F.array_sort(F.collect_list(F.struct("phase", "a", "b", "part", "id", "fact", "cost"))).alias("x"))
+    each = items.select(F.explode(F.array(*[F.struct(F.lit(b).alias("budget"), F.aggregate("x", start, step(b), lambda s: s["rows"]).alias("rows")) for b in budgets])).alias("y"))
+    return each.select("y.budget", F.explode("y.rows").alias("z")).select("budget", "z.*")
+
+
 def fused(ranked: DataFrame, k: int = 60) -> DataFrame:
     """id, rrf, score, rank: reciprocal ranks summed over lists (columns list, id, rank, score)."""
     out = ranked.groupBy("id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("rrf"), F.max("score").alias("score"))

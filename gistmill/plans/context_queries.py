@@ -320,14 +320,32 @@ def payload_parity(spark, sf):
     return lineage_sets.parity(live.select("id", "kind", "revision", "status"), held)
 
 
-@query("export_counts", """WITH s AS (SELECT DISTINCT session_id FROM messages WHERE user_id = 7), own AS (SELECT * FROM memories WHERE scope_id = 'src7') SELECT * FROM (SELECT 'messages' AS part, count(*) AS n FROM messages WHERE user_id = 7 UNION ALL SELECT 'sessions', count(*) FROM s UNION ALL SELECT 'memories', count(*) FROM own
- UNION ALL SELECT 'revisions', count(*) FROM revisions WHERE memory_id IN (SELECT id FROM own) UNION ALL SELECT 'evidence', count(*) FROM evidence WHERE memory_id IN (SELECT id FROM own) UNION ALL SELECT 'relations', count(*) FROM relations WHERE from_id IN (SELECT id FROM own) AND to_id IN (SELECT id FROM own)
- UNION ALL SELECT 'memberships', count(*) FROM memberships WHERE user_id = 7 UNION ALL SELECT 'searches', count(*) FROM searches WHERE user_id = 7 UNION ALL SELECT 'feedback', count(*) FROM feedback WHERE run_id IN (SELECT id FROM searches WHERE user_id = 7) UNION ALL SELECT 'calls', count(*) FROM calls WHERE user_id = 7
- UNION ALL SELECT 'authored', count(*) FROM memories WHERE author_id = 7 AND scope_id <> 'src7' UNION ALL SELECT 'about', count(*) FROM memories WHERE subject_id = 7 AND scope_id <> 'src7')""")
+_EXPORTED = """s AS (SELECT DISTINCT session_id FROM messages WHERE user_id = 7), own AS (SELECT * FROM memories WHERE scope_id = 'src7' OR author_id = 7), held AS (SELECT * FROM evidence WHERE memory_id IN (SELECT id FROM own)), runs AS (SELECT * FROM searches WHERE user_id = 7),
+ r AS (SELECT *, coalesce(text = lag(text) OVER (PARTITION BY memory_id ORDER BY revision), true) AS same FROM revisions), k AS (SELECT *, bool_and(same) OVER (PARTITION BY memory_id ORDER BY revision) AS kept FROM r)"""
+_PARTS = {
+    "user": "SELECT c_custkey FROM customer WHERE c_custkey = 7", "api_keys": "SELECT 1 FROM orders WHERE o_custkey = 7", "entities": "SELECT 1 FROM entities WHERE id = 'user7'", "memberships": "SELECT 1 FROM memberships WHERE user_id = 7",
+    "sessions": "SELECT 1 FROM s", "messages": "SELECT 1 FROM messages WHERE user_id = 7", "memories": "SELECT 1 FROM own", "revisions": "SELECT 1 FROM revisions WHERE memory_id IN (SELECT id FROM own)",
+    "sources": "SELECT DISTINCT memory_id, message_id FROM held", "evidence": "SELECT 1 FROM held", "revision_evidence": "SELECT 1 FROM k JOIN held h ON h.memory_id = k.memory_id WHERE kept",
+    "relations": "SELECT 1 FROM relations WHERE from_id IN (SELECT id FROM own) AND to_id IN (SELECT id FROM own)", "attention": "SELECT 1 FROM orders WHERE o_custkey = 7 AND o_orderpriority = '1-URGENT'", "runs": "SELECT 1 FROM runs",
+    "run_feedback": "SELECT 1 FROM feedback WHERE run_id IN (SELECT id FROM runs)", "feedback": "SELECT 1 FROM feedback WHERE memory_id IN (SELECT id FROM own)", "calls": "SELECT 1 FROM calls WHERE user_id = 7",
+}
+
+
+def _store(spark, sf):
+    """The tables that an export reads; users and keys with the secrets that it leaves out."""
+    orders = fx.table(spark, sf, "orders")
+    named = {name: getattr(fx, name)(spark, sf) for name in ("messages", "memories", "revisions", "evidence", "relations", "memberships", "feedback", "calls", "entities")}
+    return named | {
+        "runs": fx.searches(spark, sf), "users": fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"), F.sha2(F.col("c_name").cast("binary"), 256).alias("password_hash")),
+        "api_keys": orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("name"), F.sha2(F.col("o_orderkey").cast("string").cast("binary"), 256).alias("key_hash")),
+        "attention": orders.filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id")), "sources": fx.evidence(spark, sf).select("memory_id", "message_id").distinct(),
+    }
+
+
+@query("export_counts", f"WITH {_EXPORTED} " + " UNION ALL ".join(f"SELECT '{name}' AS part, count(*) AS n FROM ({sql})" for name, sql in _PARTS.items()))
 def export_counts(spark, sf):
-    """How many rows of each part one user's export holds; edges with both ends in it."""
-    tables = {name: getattr(fx, name)(spark, sf) for name in ("messages", "memories", "revisions", "evidence", "relations", "memberships", "searches", "feedback", "calls")}
-    parts = lineage_sets.export(tables, 7, "src7")
+    """How many rows each of the seventeen parts of one user's export holds."""
+    parts = lineage_sets.export(_store(spark, sf), 7, "src7", "user7")
     out = None
     for name, rows in parts.items():
         n = rows.agg(F.lit(name).alias("part"), F.count("*").alias("n"))

@@ -30,7 +30,7 @@ def visible_scopes(spark, sf):
     users = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
     e = fx.entities(spark, sf).filter("NOT archived AND kind != 'user'").select(F.col("id").alias("entity_id"), "visibility")
     own = fx.memberships(spark, sf).join(users, "user_id").join(e, "entity_id").select("user_id", "entity_id")
-    shared = users.crossJoin(F.broadcast(e.filter("visibility = 'team'").select("entity_id")))  # one row for each team scope
+    shared = users.join(e.filter("visibility = 'team'").select("entity_id"), F.lit(True))  # each user sees each team scope; the planner picks the smaller side
     return own.unionAll(shared).distinct()
 
 
@@ -282,6 +282,7 @@ def dream_watermark(spark, sf):
     return x.select("scope_id", F.col("x.updated_at").alias("seen_at"), F.col("x.id").alias("id"))
 
 
+_SHOWN = "(source_role IN ('user', 'manual', 'tool') OR source_role = 'inference' AND review_status = 'confirmed')"
 _DURABLE = "is_static DESC, importance DESC, source_count DESC, updated_at DESC, id"
 
 
@@ -292,38 +293,51 @@ def profile_durable(spark, sf):
     return m.withColumn("nth", F.row_number().over(order)).filter("nth <= 10").select("scope_id", "id", "nth")
 
 
-@query("profile_recent", f"SELECT scope_id, id, nth FROM (SELECT scope_id, id, row_number() OVER (PARTITION BY scope_id ORDER BY (event_end IS NOT NULL AND event_end >= {NOW}) DESC, greatest(document_date, updated_at) DESC, importance DESC, id) AS nth FROM memories WHERE {LIVE}) WHERE nth <= 10")
+@query("profile_recent", f"SELECT scope_id, id, nth FROM (SELECT scope_id, id, row_number() OVER (PARTITION BY scope_id ORDER BY (event_end IS NOT NULL AND event_end >= {NOW}) DESC, greatest(document_date, updated_at) DESC, importance DESC, id) AS nth FROM memories WHERE {LIVE} AND {_SHOWN}) WHERE nth <= 10")
 def profile_recent(spark, sf):
-    m = fx.memories(spark, sf).filter(filters.live(fx.now()))
+    m = fx.memories(spark, sf).filter(filters.live(fx.now()) & profiles.shown())
     coming = F.coalesce(F.col("event_end") >= fx.now(), F.lit(False))
     order = Window.partitionBy("scope_id").orderBy(F.desc(coming), F.desc(F.greatest("document_date", "updated_at")), F.desc("importance"), "id")
     return m.withColumn("nth", F.row_number().over(order)).filter("nth <= 10").select("scope_id", "id", "nth")
 
 
-@query("profile_budget", f"""WITH RECURSIVE r AS (SELECT scope_id, row_number() OVER (PARTITION BY scope_id ORDER BY {_DURABLE}) AS rank, {TOKENS} AS cost FROM memories WHERE {LIVE} AND kind = 'preference'),
+@query("profile_budget", f"""WITH RECURSIVE r AS (SELECT scope_id, row_number() OVER (PARTITION BY scope_id ORDER BY {_DURABLE}) AS rank, {TOKENS} AS cost FROM memories WHERE {LIVE} AND {_SHOWN} AND kind = 'preference'),
  f AS (SELECT DISTINCT scope_id, CAST(0 AS BIGINT) AS rank, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS n, false AS took, CAST(0 AS BIGINT) AS cost FROM r
  UNION ALL SELECT f.scope_id, r.rank, CASE WHEN f.used + r.cost <= 800 AND f.n < 20 THEN f.used + r.cost ELSE f.used END, CASE WHEN f.used + r.cost <= 800 AND f.n < 20 THEN f.n + 1 ELSE f.n END, f.used + r.cost <= 800 AND f.n < 20, r.cost FROM f JOIN r ON r.scope_id = f.scope_id AND r.rank = f.rank + 1 WHERE r.rank <= 60)
  SELECT scope_id, rank, cost, used FROM f WHERE took""")
 def profile_budget(spark, sf):
-    m = fx.memories(spark, sf).filter(filters.live(fx.now()) & (F.col("kind") == "preference"))
+    m = fx.memories(spark, sf).filter(filters.live(fx.now()) & profiles.shown() & (F.col("kind") == "preference"))
     order = Window.partitionBy("scope_id").orderBy(F.desc("is_static"), F.desc("importance"), F.desc("source_count"), F.desc("updated_at"), "id")
     ranked = m.withColumn("rank", F.row_number().over(order)).filter("rank <= 60").select("scope_id", "rank", text.token_count(F.col("text")).alias("cost"))
     return retrieval.within_budget(ranked, 800, 20, "scope_id")
 
 
-@query("pack_context", f"""WITH RECURSIVE c AS (SELECT 'fact' AS arm, id, row_number() OVER (ORDER BY {_DURABLE}) * 2 AS rank, {TOKENS} + 6 AS cost FROM memories WHERE {LIVE} AND kind = 'fact' AND n_ok
- UNION ALL SELECT 'passage', CAST(id AS VARCHAR), row_number() OVER (ORDER BY id) * 2 + 1, greatest(1, len(regexp_extract_all(content, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]'))) + 6 FROM messages WHERE role = 'user'),
- t AS (SELECT *, row_number() OVER (ORDER BY rank) AS k FROM c WHERE rank <= 61),
- f AS (SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS n, false AS took, CAST(0 AS BIGINT) AS rank, CAST(0 AS BIGINT) AS cost
- UNION ALL SELECT t.k, CASE WHEN f.used + t.cost <= 1500 AND f.n < 30 THEN f.used + t.cost ELSE f.used END, CASE WHEN f.used + t.cost <= 1500 AND f.n < 30 THEN f.n + 1 ELSE f.n END, f.used + t.cost <= 1500 AND f.n < 30, t.rank, t.cost FROM f JOIN t ON t.k = f.k + 1)
- SELECT rank, cost, used FROM f WHERE took""".replace(" AND n_ok", ""))
+_PACKED = f"""b AS (SELECT unnest([300, 1500, 6000]) AS budget),
+ fa AS (SELECT id, text, row_number() OVER (ORDER BY {_DURABLE}) AS nth FROM memories WHERE {LIVE} AND kind = 'fact'), pa AS (SELECT CAST(id AS VARCHAR) AS id, content AS text, row_number() OVER (ORDER BY id) AS nth FROM messages WHERE role = 'user'),
+ so AS (SELECT fa.nth AS of_nth, fa.id AS fact, CAST(g.id AS VARCHAR) AS id, row_number() OVER (PARTITION BY fa.id ORDER BY g.id) AS nth, {TOKENS.replace('text', "substr(content, 1, end_char)")} + 6 + CASE WHEN g.id % 2 = 0 THEN {TOKENS.replace('text', 'content')} ELSE 0 END AS cost FROM fa JOIN evidence e ON e.memory_id = fa.id JOIN messages g ON g.id = e.message_id WHERE fa.nth <= 30),
+ c AS (SELECT 0 AS phase, nth AS a, 0 AS b, 'fact' AS part, id, CAST(NULL AS VARCHAR) AS fact, {TOKENS} + 6 AS cost FROM fa WHERE nth <= 30 UNION ALL SELECT 0, nth, 1, 'passage', id, NULL, {TOKENS} + 6 FROM pa WHERE nth <= 30 UNION ALL SELECT 1, of_nth, nth, 'source', id, fact, cost FROM so),
+ t AS (SELECT *, row_number() OVER (ORDER BY phase, a, b) AS k FROM c),
+ f AS (SELECT budget, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS facts, false AS took FROM b
+ UNION ALL SELECT budget, k, CASE WHEN ok THEN used + cost ELSE used END, n + CASE WHEN ok AND phase = 0 THEN 1 ELSE 0 END, CASE WHEN ok AND part = 'fact' THEN list_append(facts, id) ELSE facts END, ok FROM (SELECT f.budget, f.used, f.n, f.facts, t.*, f.used + t.cost <= f.budget AND CASE WHEN phase = 0 THEN f.n < 30 ELSE list_contains(f.facts, fact) END AS ok FROM f JOIN t ON t.k = f.k + 1))"""
+
+
+@query("pack_context", f"WITH RECURSIVE {_PACKED} SELECT budget, part, id, fact, cost, used FROM f JOIN t ON t.k = f.k WHERE took")
 def pack_context(spark, sf):
+    """Facts and passages in turn, and then the sources of the facts taken from what is left, under three budgets."""
     m = fx.memories(spark, sf).filter(filters.live(fx.now()) & (F.col("kind") == "fact"))
     order = [F.desc("is_static"), F.desc("importance"), F.desc("source_count"), F.desc("updated_at"), "id"]
     facts = m.orderBy(*order).limit(30).select("id", F.row_number().over(Window.orderBy(*order)).alias("rank"), text.token_count(F.col("text")).alias("cost"))
-    said = fx.messages(spark, sf).filter("role = 'user'").orderBy("id").limit(30)
+    messages = fx.messages(spark, sf)
+    said = messages.filter("role = 'user'").orderBy("id").limit(30)
     passages = said.select(F.col("id").cast("string").alias("id"), F.row_number().over(Window.orderBy("id")).alias("rank"), text.token_count(F.col("content")).alias("cost"))
-    return retrieval.within_budget(curation.interleaved(facts, passages), 1500, 30)
+    cited = fx.evidence(spark, sf).join(messages.select(F.col("id").alias("message_id"), "content"), "message_id")
+    around = F.when(F.col("message_id") % 2 == 0, text.token_count(F.col("content"))).otherwise(0)  # every other source comes with what stands around it
+    sources = cited.select(
+        F.col("memory_id").alias("fact"), F.col("message_id").cast("string").alias("id"), F.row_number().over(Window.partitionBy("memory_id").orderBy("message_id")).alias("nth"),
+        (text.token_count(F.substr("content", F.lit(1), F.col("end_char"))) + around).alias("cost"),
+    )
+    packed = retrieval.packed(facts, passages, sources, [300, 1500, 6000], 30)
+    return packed.select("budget", "part", "id", "fact", "cost", "used")
 
 
 @query("review_queue", f"SELECT 'review' AS queue, id, source_role AS why FROM memories WHERE {LIVE} AND review_status = 'pending' AND source_role <> 'user' UNION ALL SELECT 'expiring', id, kind FROM memories WHERE status = 'active' AND valid_until > {NOW} AND valid_until <= {NOW} + to_days(7) UNION ALL SELECT 'failed', CAST(id AS VARCHAR), collection FROM outbox WHERE status = 'failed' AND attempts >= 8 UNION ALL SELECT 'conflict', r.to_id, r.from_id FROM relations r JOIN memories m ON m.id = r.to_id WHERE relation = 'updates' AND m.status = 'active'")
@@ -396,7 +410,7 @@ def memory_summary(spark, sf):
     )
 
 
-@query("profile_render", f"""WITH RECURSIVE m AS (SELECT *, {TOKENS} AS cost FROM memories WHERE {LIVE} AND source_role IN ('user', 'manual', 'tool')),
+@query("profile_render", f"""WITH RECURSIVE m AS (SELECT *, {TOKENS} AS cost FROM memories WHERE {LIVE} AND {_SHOWN}),
  o AS (SELECT scope_id, 0 AS b, row_number() OVER (PARTITION BY scope_id ORDER BY {_DURABLE}) AS nth, id, cost FROM m WHERE kind = 'fact' OR is_static
  UNION ALL SELECT scope_id, 1, row_number() OVER (PARTITION BY scope_id ORDER BY {_DURABLE}), id, cost FROM m WHERE kind = 'preference'
  UNION ALL SELECT scope_id, 2, row_number() OVER (PARTITION BY scope_id ORDER BY greatest(document_date, updated_at) DESC, id), id, cost FROM m WHERE kind = 'episode'),
@@ -408,7 +422,7 @@ def memory_summary(spark, sf):
   FROM f JOIN t ON t.scope_id = f.scope_id AND t.k = f.k + 1))
  SELECT scope_id, CASE b WHEN 0 THEN 'about' WHEN 1 THEN 'style' ELSE 'recent' END AS block, nth, id, cost FROM f WHERE took""")
 def profile_render(spark, sf):
-    m = fx.memories(spark, sf).filter(filters.live(fx.now()) & F.col("source_role").isin("user", "manual", "tool")).withColumn("cost", text.token_count(F.col("text")))
+    m = fx.memories(spark, sf).filter(filters.live(fx.now()) & profiles.shown()).withColumn("cost", text.token_count(F.col("text")))
     durable = [F.desc("is_static"), F.desc("importance"), F.desc("source_count"), F.desc("updated_at"), "id"]
     recent = [F.desc(F.greatest("document_date", "updated_at")), "id"]
     block = lambda name, rows, order: rows.select("scope_id", F.lit(name).alias("block"), F.row_number().over(Window.partitionBy("scope_id").orderBy(*order)).alias("nth"), "id", "cost")

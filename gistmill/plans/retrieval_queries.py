@@ -115,8 +115,12 @@ def rrf_fuse(spark, sf):
  u AS (SELECT id, coalesce(b, 0) AS score, row_number() OVER (ORDER BY b DESC, id) AS rank FROM h UNION ALL SELECT id, score, rank FROM r WHERE rank > 30)
  SELECT id, rank, round(score, 4) AS score FROM u""")
 def rerank_blend(spark, sf):
-    ranked = _hybrid(spark, sf).select("id", "rank", "score", ((F.col("id").cast("long") * 37 % 101) / 101.0).alias("cross"))
-    return retrieval.blended(ranked).withColumn("score", F.round("score", 4))
+    """The search with a reranker in its place: any function from ranked rows to rows with other ranks, here one that blends in a second score."""
+
+    def second(rows):
+        return retrieval.blended(rows.select("id", "rank", "score", ((F.col("id").cast("long") * 37 % 101) / 101.0).alias("cross")))
+
+    return _hybrid(spark, sf, reranker=second).withColumn("score", F.round("score", 4))
 
 
 @query("knn_neighbours", """WITH p AS (SELECT a.id AS id, b.id AS other, list_dot_product(a.v, b.v) AS s FROM vectors a JOIN vectors b ON a.label = b.label AND a.id <> b.id),

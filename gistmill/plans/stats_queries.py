@@ -226,12 +226,12 @@ def searches_visible(spark, sf):
     return fx.searches(spark, sf).select("id").join(f, "id", "left").join(m, "memory_id", "left").select("id", "useful", "said")
 
 
-_SERIES = "SELECT CAST(ts AS DATE) AS day, event_type AS key, count(*) AS value FROM events WHERE event_type <> 'signup' GROUP BY ALL"
-_KEYS = ["click", "error", "purchase", "view"]
+_SERIES = "SELECT CAST(ts AS DATE) AS day, event_type AS key, count(*) AS value FROM events GROUP BY ALL"
+_KEYS = ["click", "error", "purchase", "signup", "view"]
 
 
 def _series(spark, sf):
-    return stats.by_day(fx.table(spark, sf, "events").filter("event_type != 'signup'"), "ts", "event_type")
+    return stats.by_day(fx.table(spark, sf, "events"), "ts", "event_type")
 
 
 @query("series_pivot", f"SELECT day, {', '.join(f'CAST(coalesce(sum(value) FILTER (key = $${k}$$), 0) AS BIGINT) AS {k}' for k in _KEYS)} FROM ({_SERIES}) GROUP BY day")
@@ -252,7 +252,8 @@ def series_totals(spark, sf):
 
 @query("heat_levels", f"SELECT day, key, CASE WHEN value <= 0 THEN 0 ELSE CAST(ceil(value / max(value) OVER () * 4) AS INTEGER) END AS level FROM ({_SERIES})")
 def heat_levels(spark, sf):
-    return _series(spark, sf).select("day", "key", stats.heat_level(F.col("value"), F.max("value").over(everything())).alias("level"))
+    rows = _series(spark, sf)
+    return rows.select("day", "key", stats.heat_level(F.col("value"), rows.agg(F.max("value")).scalar()).alias("level"))
 
 
 @query("cost_models", "SELECT DISTINCT substr(k, 6) AS model FROM (SELECT 'cost:' || model AS k FROM calls UNION ALL SELECT 'tokens') WHERE starts_with(k, 'cost:')")
@@ -271,7 +272,7 @@ def spend_pace(spark, sf):
 @query("person_matrix", "SELECT user_id, day, n, max(n) OVER () AS peak, CAST(sum(n) OVER (PARTITION BY user_id) AS BIGINT) AS total FROM (SELECT user_id, CAST(created_at AS DATE) AS day, count(*) AS n FROM searches GROUP BY ALL)")
 def person_matrix(spark, sf):
     d = fx.searches(spark, sf).groupBy("user_id", F.to_date("created_at").alias("day")).agg(F.count("*").alias("n"))
-    return d.withColumns({"peak": F.max("n").over(everything()), "total": F.sum("n").over(Window.partitionBy("user_id"))})
+    return d.withColumns({"peak": d.agg(F.max("n")).scalar(), "total": F.sum("n").over(Window.partitionBy("user_id"))})
 
 
 @query("eval_recall_mrr", """WITH q AS (SELECT f.run_id AS id, row_number() OVER (PARTITION BY f.memory_id ORDER BY f.run_id) AS rank, f.memory_id, useful FROM feedback f),

@@ -56,3 +56,11 @@ def test_passages_keep_sentences_whole():
     assert passages.spans(mixed) == [(0, 911), (911, 1811)]  # the last end within the size, of whichever kind
     assert len(passages.spans("A sentence of some length. " * 1000)) == 8
     assert passages.spans("…" * 1300) == []
+
+
+def test_numbers_of_many_digits(spark):
+    """Any text is answered, however long its numbers are."""
+    for said in ("9" * 5000 + " days ago", "0" * 5000 + "2 days ago", "9" * 5000 + " дней назад", "in " + "2" * 5000):
+        df = spark.createDataFrame([(said,)], "q string").select(phrases.question_time(F.col("q"), TODAY).alias("t"))
+        start = df.first().t[0]
+        assert start == (TODAY - dt.timedelta(days=2) if said.startswith("0") else None)
