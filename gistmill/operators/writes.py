@@ -149,32 +149,53 @@ def links(answers: DataFrame, rows: DataFrame, now: Column) -> DataFrame:
     return folded.select("cluster", F.explode("out").alias("x")).select("cluster", "x.*")
 
 
-def inferences(answers: DataFrame, rows: DataFrame, stated: DataFrame, now: Column, most: int = 2, least_confidence: float = 0.7) -> DataFrame:
-    """cluster, nth, reason (null: written), importance, document_date, subject_id of the inferences that a cluster's answer proposes.
+def inferences(answers: DataFrame, rows: DataFrame, stated: DataFrame, now: Column, most: int = 2, least_confidence: float = 0.7, replaced: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
+    """cluster, nth, reason (null: written), importance, document_date, subject_id of the inferences that the answers of a pass propose.
 
-    ``answers`` has cluster, nth, scope_id, text, confidence, premises (array of ids); ``stated`` scope_id and content_hash of what is said already.
-    Once ``most`` of a cluster are written, later ones are ``beyond``.
+    ``answers`` has cluster, nth, scope_id, text, confidence, premises (array of ids); ``stated`` scope_id and content_hash of what is said already, and ``near`` cluster and nth of
+    those whose vector says nearly what an active claim of the scope says.  ``replaced`` (cluster, id) are claims that links of the same answer have replaced: they are premises no more.
+    Clusters are taken in order, so what one has written is said already for the next ones of its scope; once ``most`` of a cluster are written, later ones are ``beyond``.
+    A scope has a bounded number of clusters in a pass, and each a bounded number of inferences.
     """
     said = text.stripped(F.coalesce("text", F.lit("")))
     a = answers.withColumns({"premises": F.array_distinct(F.array_compact("premises")), "said": said, "h": text.content_hash(said)})
     live = rows.filter(filters.live(now)).select(F.col("id").alias("premise"), F.col("importance").cast("double").alias("importance"), "document_date", "subject_id")
-    each = a.select("cluster", "nth", F.explode_outer("premises").alias("premise")).join(live, "premise", "left")
+    each = a.select("cluster", "nth", F.explode_outer("premises").alias("premise"))
+    if replaced is not None:
+        gone = replaced.select("cluster", F.col("id").alias("premise"), F.lit(True).alias("gone")).distinct()
+        each = each.join(gone, ["cluster", "premise"], "left")
+    else:
+        each = each.withColumn("gone", F.lit(None).cast("boolean"))
+    each = each.join(live, "premise", "left")
     p = each.groupBy("cluster", "nth").agg(
-        F.count_if(F.col("document_date").isNull()).alias("lost"), F.max("importance").alias("importance"), F.max("document_date").alias("document_date"),
+        F.count_if(F.col("document_date").isNull() | F.col("gone").isNotNull()).alias("lost"), F.max("importance").alias("importance"), F.max("document_date").alias("document_date"),
         F.when((F.count_distinct("subject_id") == 1) & (F.count("subject_id") == F.count("premise")), F.min("subject_id")).alias("subject_id"),
     )
     known = stated.select("scope_id", F.col("content_hash").alias("h"), F.lit(True).alias("known")).distinct()
     a = a.join(p, ["cluster", "nth"]).join(known, ["scope_id", "h"], "left")
+    a = a.join(near.select("cluster", "nth", F.lit(True).alias("near")).distinct(), ["cluster", "nth"], "left") if near is not None else a.withColumn("near", F.lit(None).cast("boolean"))
     sure = F.coalesce(F.nanvl("confidence", F.lit(0.0)), F.lit(0.0))
     reason = (
         F.when((F.col("said") == "") | (F.length("said") > INFERENCE_CHARS) | (F.size("premises") < 2), "invalid_inference").when(sure < least_confidence, "low_confidence")
-        .when(F.col("lost") > 0, "premise_changed").when(F.col("known").isNotNull(), "already_stated")
+        .when(F.col("lost") > 0, "premise_changed").when(F.col("known").isNotNull() | F.col("near").isNotNull(), "already_stated")
     )
-    a = a.withColumn("reason", reason)
-    before = F.coalesce(F.count_if(F.col("reason").isNull()).over(Window.partitionBy("cluster").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    a = a.withColumn("before", before).withColumn("reason", F.when(F.col("before") >= most, "beyond").otherwise(F.col("reason")))
+    kinds = ", ".join(f"{c}:{a.schema[c].dataType.simpleString()}" for c in ("cluster", "nth"))
+    kinds = kinds.replace(" ", "")
+    items = F.array_sort(F.collect_list(F.struct("cluster", "nth", reason.alias("reason"), "h")))
+    cluster = a.schema["cluster"].dataType.simpleString()
+    start = F.struct(F.lit(None).cast(cluster).alias("cluster"), F.lit(0).alias("written"), F.array().cast("array<string>").alias("hashes"), F.array().cast(f"array<struct<{kinds},reason:string>>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        had = F.when(s["cluster"].eqNullSafe(x["cluster"]), s["written"]).otherwise(0)
+        why = F.when(had >= most, "beyond").when(x["reason"].isNull() & F.array_contains(s["hashes"], x["h"]), "already_stated").otherwise(x["reason"])
+        row = F.struct(x["cluster"].alias("cluster"), x["nth"].alias("nth"), why.alias("reason"))
+        return F.struct(
+            x["cluster"].alias("cluster"), (had + why.isNull().cast("int")).alias("written"), F.when(why.isNull(), F.array_append(s["hashes"], x["h"])).otherwise(s["hashes"]).alias("hashes"), F.array_append(s["out"], row).alias("out"),
+        )
+
+    told = a.groupBy("scope_id").agg(F.aggregate(items, start, step, lambda s: s["out"]).alias("out")).select(F.explode("out").alias("x")).select("x.*")
     ok = F.col("reason").isNull()
-    return a.select(
+    return told.join(p, ["cluster", "nth"]).select(
         "cluster", "nth", "reason", F.when(ok, F.least(F.lit(0.6), "importance")).alias("importance"), F.when(ok, F.col("document_date")).alias("document_date"), F.when(ok, F.col("subject_id")).alias("subject_id")
     )
 
@@ -212,3 +233,36 @@ def erased(rows: DataFrame, evidence: DataFrame, messages: DataFrame, user_id: i
         "id", F.when(~about, F.col("subject_id")).alias("subject_id"), F.when(F.col("lost").isNull(), F.col("superseded_by")).alias("superseded_by"), (F.col("revision") + touched.cast("int")).alias("revision"),
         F.when(F.col("recount"), F.greatest(F.lit(1), F.coalesce("n", F.lit(0)))).otherwise(F.col("source_count")).alias("source_count"),
     )
+
+
+def erased_tables(tables: dict[str, DataFrame], user_id: int, own_scope: str, own_entity: str) -> dict[str, DataFrame]:
+    """The next version of every table once a user is erased: what is theirs goes, with all that hangs on it; what others have said stays, without naming them.
+
+    ``tables`` are those of ``lineage_sets.export``, with outbox where there is one.  Work for an index goes where its row is gone, and a row that
+    stays and has changed is due there again.
+    """
+    memories, messages = tables["memories"], tables["messages"]
+    gone = memories.filter((F.col("scope_id") == own_scope) | ((F.col("author_id") == user_id) & (F.col("source_role") == "inference"))).select("id")
+    theirs = messages.filter(F.col("user_id") == user_id).select("id")
+    runs = tables["runs"].filter(F.col("user_id") == user_id).select("id")
+    without = lambda rows, column, ids: rows.join(ids.select(F.col("id").alias(column)), column, "left_anti").select(*rows.columns)
+    others = lambda name: tables[name].filter(~F.col("user_id").eqNullSafe(user_id))
+    cited = lambda name: without(without(tables[name], "memory_id", gone), "message_id", theirs)
+    out = {
+        "memories": erased(memories, tables["evidence"], messages, user_id, own_scope), "revisions": without(tables["revisions"], "memory_id", gone), "sources": cited("sources"), "evidence": cited("evidence"),
+        "relations": without(without(tables["relations"], "from_id", gone), "to_id", gone), "feedback": without(without(tables["feedback"], "memory_id", gone), "run_id", runs),
+        "entities": tables["entities"].filter(F.col("id") != own_entity), "memberships": others("memberships").filter(F.col("entity_id") != own_entity),
+    }
+    out |= {name: others(name) for name in ("users", "api_keys", "messages", "attention", "runs", "calls")}
+    if "outbox" in tables:
+        left = tables["outbox"]
+        lost = gone.select(F.lit("memories").alias("collection"), F.col("id").cast("string").alias("entity_id")).unionAll(theirs.select(F.lit("raw"), F.col("id").cast("string")))
+        out["outbox"] = left.join(lost, ["collection", "entity_id"], "left_anti").select(*left.columns)
+    return out
+
+
+def index_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """id, operation: what an index of the rows (id, revision) has to do between two versions of a table."""
+    old, new = before.select("id", F.col("revision").alias("had")), after.select("id", F.col("revision").alias("has"))
+    both = old.join(new, "id", "full")
+    return both.filter(~F.col("had").eqNullSafe(F.col("has"))).select("id", F.when(F.col("has").isNull(), "delete").otherwise("upsert").alias("operation"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gistmill.functions import text
-from gistmill.operators import folds, writes
+from gistmill.lineage import written
+from gistmill.operators import curation, folds, graph, merging, writes
 from gistmill.plans.registry import query
 from gistmill.sources import fixtures as fx
 
@@ -179,6 +180,43 @@ def consolidate_plan(spark, sf):
     return writes.consolidation(rows, fx.now(), _PASS)
 
 
+_MERGES = f"""m AS (SELECT *, concat_ws('|', scope_id, coalesce(CAST(subject_id AS VARCHAR), ''), kind, lang, coalesce(CAST(valid_until AS VARCHAR), ''), source_role) AS same FROM memories),
+ p AS (SELECT same, min(id) AS cluster, count(*) AS planned FROM m WHERE status = 'active' OR no % 31 = 0 GROUP BY same HAVING count(*) BETWEEN 2 AND 6), g AS (SELECT cluster, planned, m.*, revision + CASE WHEN no % 23 = 5 THEN 1 ELSE 0 END AS then_ FROM p JOIN m ON m.same = p.same WHERE status = 'active' OR no % 31 = 0),
+ c AS (SELECT cluster, any_value(planned) AS planned, count(*) FILTER (status = 'active') AS held, count(*) FILTER (status = 'active' AND then_ <> revision) AS moved, row_number() OVER (ORDER BY cluster) AS nth FROM g GROUP BY cluster),
+ v AS (SELECT *, CASE WHEN CAST(cluster AS INTEGER) % 7 = 3 THEN ' ' WHEN CAST(cluster AS INTEGER) % 7 = 4 THEN repeat('long ', 50) ELSE ' merged ' || cluster END AS said, CASE WHEN CAST(cluster AS INTEGER) % 3 = 0 THEN 1.7 END AS importance, CASE WHEN CAST(cluster AS INTEGER) % 7 = 5 THEN 'Timeout: x' END AS error FROM c),
+ t AS (SELECT *, CASE WHEN nth > 40 THEN 'merge_cap' WHEN held < 2 THEN 'members_no_longer_active' WHEN held <> planned OR moved > 0 THEN 'members_changed' WHEN error IS NOT NULL THEN error WHEN trim(said) = '' THEN 'null_merge' WHEN length(trim(said)) > 200 THEN 'merged_text_too_long' END AS reason FROM v)"""
+
+
+def _merges(spark, sf):
+    """Claims that agree in all that a merge keeps, as planned a while ago; and what a model answered."""
+    n = F.col("no")
+    rows = fx.memories(spark, sf).withColumn("context", F.create_map(F.lit("lang"), "lang"))
+    named = rows.filter((F.col("status") == "active") | (n % 31 == 0)).withColumn("same", curation.identity()).select("same", "id", (F.col("revision") + F.when(n % 23 == 5, 1).otherwise(0)).alias("revision"))
+    planned = named.groupBy("same").agg(F.min("id").alias("cluster"), F.count("*").alias("n")).filter("n BETWEEN 2 AND 6")
+    groups = written(named.join(planned, "same").select("cluster", "id", "revision"))
+    k = F.col("cluster").cast("int")
+    answers = groups.select("cluster").distinct().select(
+        "cluster", F.when(k % 7 == 3, " ").when(k % 7 == 4, F.repeat(F.lit("long "), 50)).otherwise(F.concat(F.lit(" merged "), "cluster")).alias("text"), F.when(k % 3 == 0, 1.7).alias("importance"), F.when(k % 7 == 5, "Timeout: x").alias("error"),
+    )
+    return rows, groups, written(merging.verdicts(groups, rows, answers, fx.now(), 40))
+
+
+@query("merge_verdicts", f"WITH {_MERGES} SELECT cluster, reason FROM t")
+def merge_verdicts(spark, sf):
+    """Which planned merges are carried out, and why the others are not."""
+    return _merges(spark, sf)[2].select("cluster", "reason")
+
+
+@query("merged_tables", f"""WITH {_MERGES}, w AS (SELECT g.*, 'merged-' || t.cluster AS survivor, t.importance AS told FROM g JOIN t ON t.cluster = g.cluster WHERE reason IS NULL),
+ e AS (SELECT survivor, count(DISTINCT x.session_id) AS n FROM w JOIN evidence v ON v.memory_id = w.id JOIN messages x ON x.id = v.message_id GROUP BY survivor)
+ SELECT m.id, CASE WHEN w.id IS NULL THEN m.status ELSE 'superseded' END AS status, CAST(m.importance AS DOUBLE) AS importance, m.confidence, m.document_date, m.is_static, m.source_role, m.source_count, m.review_status, m.revision + CASE WHEN w.id IS NULL THEN 0 ELSE 1 END AS revision, w.survivor AS superseded_by FROM m LEFT JOIN w ON w.id = m.id
+ UNION ALL SELECT w.survivor, 'active', coalesce(greatest(0, least(1, any_value(told))), CAST(max(importance) AS DOUBLE)), min(confidence), min(document_date), bool_or(is_static), any_value(source_role), greatest(1, coalesce(any_value(e.n), 0)), 'pending', 1, NULL FROM w LEFT JOIN e ON e.survivor = w.survivor GROUP BY w.survivor""")
+def merged_tables(spark, sf):
+    """Memories after the merges: survivors with what their members share, members as history."""
+    rows, groups, told = _merges(spark, sf)
+    return merging.applied(rows, groups, told, fx.evidence(spark, sf), fx.messages(spark, sf))["memories"].drop("text")
+
+
 _RELATION = "CASE no % 4 WHEN 0 THEN 'updates' WHEN 1 THEN 'extends' WHEN 2 THEN 'causes' ELSE 'updates' END"
 
 
@@ -195,21 +233,33 @@ def dream_links(spark, sf):
     return writes.links(answers, m, fx.now())
 
 
-@query("dream_inferences", f"""WITH a AS (SELECT no // 10 AS cluster, no % 10 AS nth, no, scope_id, CASE WHEN no % 10 = 4 THEN text WHEN no % 10 = 5 THEN '  ' ELSE 'inferred ' || id END AS said, CASE WHEN no % 10 = 6 THEN 0.5 ELSE 0.9 END AS confidence, id AS p1, CASE WHEN no % 10 <> 7 THEN lpad(CAST(no + 20 AS VARCHAR), 8, '0') END AS p2 FROM memories),
+@query("dream_inferences", f"""WITH RECURSIVE a AS (SELECT scope_id || '-' || CAST(no // 200 AS VARCHAR) AS cluster, no % 200 AS nth, no, scope_id, CASE WHEN no % 10 = 4 THEN text WHEN no % 10 = 5 THEN '  ' WHEN no % 10 = 8 THEN 'The same  for all' ELSE 'inferred ' || id END AS said, CASE WHEN no % 10 = 6 THEN 0.5 ELSE 0.9 END AS confidence, id AS p1, CASE WHEN no % 10 <> 7 THEN lpad(CAST(no + 20 AS VARCHAR), 8, '0') END AS p2 FROM memories WHERE no % 4 <> 1),
  m AS (SELECT * FROM memories WHERE {LIVE}), k AS (SELECT DISTINCT scope_id, {_NORM} AS w FROM memories WHERE status = 'active'),
- r AS (SELECT a.*, CASE WHEN trim(said) = '' OR length({text.stripped_sql('said')}) > 200 OR p2 IS NULL THEN 'invalid_inference' WHEN a.confidence < 0.7 THEN 'low_confidence' WHEN x.id IS NULL OR y.id IS NULL THEN 'premise_changed' WHEN k.w IS NOT NULL THEN 'already_stated' END AS own,
+ near AS (SELECT DISTINCT a.no FROM a JOIN vectors v ON v.no = a.no + 3 JOIN memories o ON o.scope_id = a.scope_id AND o.status = 'active' JOIN vectors w ON w.id = o.id WHERE list_dot_product(v.v, w.v) >= 0.45),
+ r AS (SELECT a.*, {text.normalised_sql('said')} AS h, CASE WHEN trim(said) = '' OR length({text.stripped_sql('said')}) > 200 OR p2 IS NULL THEN 'invalid_inference' WHEN a.confidence < 0.7 THEN 'low_confidence' WHEN x.id IS NULL OR y.id IS NULL OR a.no % 37 = 2 OR (a.no + 20) % 37 = 2 AND a.no % 4 <> 1 AND (a.no + 20) // 200 = a.no // 200 AND y.scope_id = a.scope_id THEN 'premise_changed' WHEN k.w IS NOT NULL OR near.no IS NOT NULL THEN 'already_stated' END AS own,
   least(0.6, greatest(CAST(x.importance AS DOUBLE), CAST(y.importance AS DOUBLE))) AS importance, greatest(x.document_date, y.document_date) AS document_date, CASE WHEN x.subject_id = y.subject_id THEN x.subject_id END AS subject_id
-  FROM a LEFT JOIN m x ON x.id = p1 LEFT JOIN m y ON y.id = p2 LEFT JOIN k ON k.scope_id = a.scope_id AND k.w = {text.normalised_sql('said')}),
- b AS (SELECT *, coalesce(count(*) FILTER (own IS NULL) OVER (PARTITION BY cluster ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r), o AS (SELECT *, CASE WHEN before >= 2 THEN 'beyond' ELSE own END AS reason FROM b)
- SELECT cluster, nth, reason, round(CASE WHEN reason IS NULL THEN importance END, 4) AS importance, CASE WHEN reason IS NULL THEN document_date END AS document_date, CASE WHEN reason IS NULL THEN subject_id END AS subject_id FROM o""")
+  FROM a LEFT JOIN m x ON x.id = p1 LEFT JOIN m y ON y.id = p2 LEFT JOIN k ON k.scope_id = a.scope_id AND k.w = {text.normalised_sql('said')} LEFT JOIN near ON near.no = a.no),
+ i AS (SELECT *, row_number() OVER (PARTITION BY scope_id ORDER BY cluster, nth) AS k FROM r),
+ f AS (SELECT DISTINCT scope_id, CAST(0 AS BIGINT) AS k, '' AS cluster, CAST(0 AS BIGINT) AS written, CAST([] AS VARCHAR[]) AS hashes, CAST(NULL AS VARCHAR) AS reason FROM i
+ UNION ALL SELECT scope_id, k, cluster, had + CASE WHEN why IS NULL THEN 1 ELSE 0 END, CASE WHEN why IS NULL THEN list_append(hashes, h) ELSE hashes END, why FROM (SELECT *, CASE WHEN had >= 2 THEN 'beyond' WHEN own IS NULL AND list_contains(hashes, h) THEN 'already_stated' ELSE own END AS why
+  FROM (SELECT i.scope_id, i.k, i.cluster, i.h, i.own, f.hashes, CASE WHEN f.cluster = i.cluster THEN f.written ELSE 0 END AS had FROM f JOIN i ON i.scope_id = f.scope_id AND i.k = f.k + 1)))
+ SELECT i.cluster, i.nth, f.reason, round(CASE WHEN f.reason IS NULL THEN importance END, 4) AS importance, CASE WHEN f.reason IS NULL THEN document_date END AS document_date, CASE WHEN f.reason IS NULL THEN subject_id END AS subject_id FROM i JOIN f ON f.scope_id = i.scope_id AND f.k = i.k""")
 def dream_inferences(spark, sf):
+    """What a pass over clusters of each scope infers: without premises that links of the answer replace, and without what is said already, by wording or by vector."""
     m, n = fx.memories(spark, sf), F.col("no")
-    said = F.when(n % 10 == 4, F.col("text")).when(n % 10 == 5, "  ").otherwise(F.concat(F.lit("inferred "), "id"))
-    answers = m.select(
-        F.floor(n / 10).alias("cluster"), (n % 10).alias("nth"), "scope_id", said.alias("text"), F.when(n % 10 == 6, 0.5).otherwise(0.9).alias("confidence"), F.array("id", F.when(n % 10 != 7, F.lpad((n + 20).cast("string"), 8, "0"))).alias("premises")
+    said = F.when(n % 10 == 4, F.col("text")).when(n % 10 == 5, "  ").when(n % 10 == 8, "The same  for all").otherwise(F.concat(F.lit("inferred "), "id"))
+    answers = m.filter(n % 4 != 1).select(
+        F.concat("scope_id", F.lit("-"), F.floor(n / 200).cast("string")).alias("cluster"), (n % 200).alias("nth"), "no", "id", "scope_id", said.alias("text"), F.when(n % 10 == 6, 0.5).otherwise(0.9).alias("confidence"),
+        F.array("id", F.when(n % 10 != 7, F.lpad((n + 20).cast("string"), 8, "0"))).alias("premises"),
     )
-    stated = m.filter("status = 'active'").select("scope_id", text.content_hash(F.col("text")).alias("content_hash"))
-    return writes.inferences(answers, m, stated, fx.now()).withColumn("importance", F.round("importance", 4))
+    active = m.filter("status = 'active'")
+    stated = active.select("scope_id", text.content_hash(F.col("text")).alias("content_hash"))
+    v = fx.vectors(spark, sf)
+    asking = answers.join(v.select((F.col("no") - 3).alias("no"), "v"), "no").select("scope_id", "id", "v")
+    found = graph.nearest_to(asking, active.select("scope_id", "id").join(v.select("id", "v"), "id"), 1, "scope_id").filter("cosine >= 0.45").select(F.col("asked").alias("id")).distinct()
+    near = answers.join(found, "id").select("cluster", "nth")
+    replaced = answers.filter(n % 37 == 2).select("cluster", "id")
+    return writes.inferences(answers, m, stated, fx.now(), replaced=replaced, near=near).withColumn("importance", F.round("importance", 4))
 
 
 @query("erase_tables", """WITH m AS (SELECT *, CASE WHEN status = 'superseded' THEN lpad(CAST(no + 20 AS VARCHAR), 8, '0') END AS superseded_by FROM memories), g AS (SELECT id FROM m WHERE scope_id = 'src7' OR author_id = 7 AND source_role = 'inference'),
@@ -219,3 +269,42 @@ def dream_inferences(spark, sf):
 def erase_tables(spark, sf):
     m = fx.memories(spark, sf).withColumn("superseded_by", F.when(F.col("status") == "superseded", F.lpad((F.col("no") + 20).cast("string"), 8, "0")))
     return writes.erased(m, fx.evidence(spark, sf), fx.messages(spark, sf), 7, "src7")
+
+
+_ERASED = """m AS (SELECT *, CASE WHEN status = 'superseded' THEN lpad(CAST(no + 20 AS VARCHAR), 8, '0') END AS superseded_by FROM memories), g AS (SELECT id FROM m WHERE scope_id = 'src7' OR author_id = 7 AND source_role = 'inference'), w AS (SELECT id FROM messages WHERE user_id = 7), runs AS (SELECT id FROM searches WHERE user_id = 7),
+ o AS (SELECT *, CASE WHEN collection = 'raw' THEN CAST(entity_id AS VARCHAR) ELSE lpad(CAST(entity_id AS VARCHAR), 8, '0') END AS entity FROM outbox)"""
+_GONE = "memory_id NOT IN (SELECT id FROM g)"
+_LEFT = {
+    "memories": "SELECT 1 FROM m WHERE id NOT IN (SELECT id FROM g)", "revisions": f"SELECT 1 FROM revisions WHERE {_GONE}", "sources": f"SELECT DISTINCT memory_id, message_id FROM evidence WHERE {_GONE} AND message_id NOT IN (SELECT id FROM w)",
+    "evidence": f"SELECT 1 FROM evidence WHERE {_GONE} AND message_id NOT IN (SELECT id FROM w)", "relations": "SELECT 1 FROM relations WHERE from_id NOT IN (SELECT id FROM g) AND to_id NOT IN (SELECT id FROM g)",
+    "feedback": f"SELECT 1 FROM feedback WHERE {_GONE} AND run_id NOT IN (SELECT id FROM runs)", "entities": "SELECT 1 FROM entities WHERE id <> 'user7'", "memberships": "SELECT 1 FROM memberships WHERE user_id <> 7 AND entity_id <> 'user7'", "users": "SELECT 1 FROM customer WHERE c_custkey <> 7",
+    "api_keys": "SELECT 1 FROM orders WHERE o_custkey <> 7", "messages": "SELECT 1 FROM messages WHERE user_id <> 7", "attention": "SELECT 1 FROM orders WHERE o_custkey <> 7 AND o_orderpriority = '1-URGENT'", "runs": "SELECT 1 FROM searches WHERE user_id <> 7", "calls": "SELECT 1 FROM calls WHERE user_id <> 7",
+    "outbox": "SELECT 1 FROM o WHERE NOT (collection = 'memories' AND entity IN (SELECT id FROM g)) AND NOT (collection = 'raw' AND entity IN (SELECT CAST(id AS VARCHAR) FROM w))",
+}
+
+
+def _erased(spark, sf):
+    from gistmill.plans.context_queries import _store
+
+    tables = _store(spark, sf)
+    tables["memories"] = tables["memories"].withColumn("superseded_by", F.when(F.col("status") == "superseded", F.lpad((F.col("no") + 20).cast("string"), 8, "0")))
+    entity = F.when(F.col("collection") == "raw", F.col("entity_id").cast("string")).otherwise(F.lpad(F.col("entity_id").cast("string"), 8, "0"))
+    tables["outbox"] = fx.outbox(spark, sf).withColumn("entity_id", entity)
+    return tables, writes.erased_tables(tables, 7, "src7", "user7")
+
+
+@query("erased_counts", f"WITH {_ERASED} " + " UNION ALL ".join(f"SELECT '{name}' AS part, count(*) AS n FROM ({sql})" for name, sql in _LEFT.items()))
+def erased_counts(spark, sf):
+    """How many rows each table holds once a user is erased."""
+    out = None
+    for name, rows in _erased(spark, sf)[1].items():
+        n = rows.agg(F.lit(name).alias("part"), F.count("*").alias("n"))
+        out = n if out is None else out.unionAll(n)
+    return out
+
+
+@query("erased_index", f"WITH {_ERASED} SELECT m.id, CASE WHEN g.id IS NOT NULL THEN 'delete' ELSE 'upsert' END AS operation FROM m LEFT JOIN g ON g.id = m.id LEFT JOIN g h ON h.id = m.superseded_by WHERE g.id IS NOT NULL OR coalesce(subject_id = 7, false) OR h.id IS NOT NULL")
+def erased_index(spark, sf):
+    """What an index has to do after an erasure: rows that go, and rows that stay without naming the user."""
+    before, after = _erased(spark, sf)
+    return writes.index_changes(before["memories"], after["memories"])
