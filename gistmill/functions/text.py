@@ -25,24 +25,29 @@ CYRILLIC_ONE = ("абвгдеёзийклмнопрстуфыэўқғҳ", "abvgd
 CYRILLIC_MORE = {"ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ю": "yu", "я": "ya", "ъ": "", "ь": ""}
 
 
-#: Whether a text may hold any secret: one pass, so that the others cost no more.
-ANY_SECRET = "|".join(f"(?:{pattern})" for pattern, _ in SECRETS)
+#: What a client takes out before it sends a text: the same, and tokens of one kind by their exact length first; fixed values.
+CLIENT_SECRETS = [*SECRETS[:2], (r"\bghp_[A-Za-z0-9]{36}\b", "[GH_TOKEN]"), *SECRETS[2:]]
 
 
-def redact(text: Column) -> Column:
+def _any(secrets: list[tuple[str, str]]) -> str:
+    """Whether a text may hold any secret: one pass, so that the others cost no more."""
+    return "|".join(f"(?:{pattern})" for pattern, _ in secrets)
+
+
+def redact(text: Column, secrets: list[tuple[str, str]] = SECRETS) -> Column:
     out = text
-    for pattern, by in SECRETS:
+    for pattern, by in secrets:
         out = F.regexp_replace(out, pattern, by)
-    return F.when(text.rlike(ANY_SECRET), out).otherwise(text)
+    return F.when(text.rlike(_any(secrets)), out).otherwise(text)
 
 
-def redactions(text: Column) -> Column:
+def redactions(text: Column, secrets: list[tuple[str, str]] = SECRETS) -> Column:
     """How many secrets ``redact`` replaces; each step counts in what the steps before have left."""
     n, left = F.lit(0), text
-    for pattern, by in SECRETS:
+    for pattern, by in secrets:
         n = n + F.regexp_count(left, F.lit(pattern))
         left = F.regexp_replace(left, pattern, by)
-    return F.when(text.rlike(ANY_SECRET), n).otherwise(F.when(text.isNotNull(), 0))
+    return F.when(text.rlike(_any(secrets)), n).otherwise(F.when(text.isNotNull(), 0))
 
 
 def redact_map(values: Column) -> Column:
@@ -126,10 +131,10 @@ def normalised_sql(x: str) -> str:
     return casefolded_sql(f"trim(regexp_replace({x}, '{_WHITE}', ' ', 'g'))")
 
 
-def redacted_sql(x: str) -> tuple[str, str]:
+def redacted_sql(x: str, secrets: list[tuple[str, str]] = SECRETS) -> tuple[str, str]:
     """Redacted text and number of redactions for DuckDB, each step on what the steps before have left."""
     counts = []
-    for pattern, by in SECRETS:
+    for pattern, by in secrets:
         counts.append(f"len(regexp_extract_all({x}, '{pattern}'))")
         by = by.replace("$1", "\\1")
         x = f"regexp_replace({x}, '{pattern}', '{by}', 'g')"

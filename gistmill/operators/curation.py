@@ -43,8 +43,7 @@ def windows(messages: DataFrame, size: int = 10) -> DataFrame:
 
 def gate(messages: DataFrame, least: int = 10, closed: DataFrame | None = None) -> DataFrame:
     """session_id, ready: enough turns wait, someone asked to remember, or the session is closed."""
-    asked = F.lower("content").rlike(r"\bremember\b")
-    out = messages.groupBy("session_id").agg(((F.count("*") >= least) | F.bool_or(asked)).alias("ready"))
+    out = messages.groupBy("session_id").agg(((F.count("*") >= least) | F.bool_or(urgent(F.col("content")))).alias("ready"))
     if closed is None:
         return out
     return out.join(closed.select("session_id", F.lit(True).alias("closed")), "session_id", "left").select("session_id", (F.col("ready") | F.coalesce("closed", F.lit(False))).alias("ready"))

@@ -215,6 +215,33 @@ def consolidation(rows: DataFrame, now: Column, cosine: float) -> DataFrame:
     return gone.unionAll(idle).unionAll(same).unionAll(merge)
 
 
+def forgotten(candidates: DataFrame, rows: DataFrame, scopes: DataFrame, most: int, threshold: float | None = None, verdicts: DataFrame | None = None, dry_run: bool = True) -> DataFrame:
+    """id, score, verified, forgotten: what a request to forget finds, best first, ``most`` rows at most, and whether it goes.
+
+    ``candidates`` are the ids named (id), or rows that a search found (id, score), of which those of at least ``threshold`` count.  Only active rows in ``scopes`` (scope_id) that may be written are
+    found.  With ``verdicts`` (id) of a judge, none but the rows that it names stay.  A dry run changes nothing; its ids, named in a second request, are what was reviewed.
+    """
+    score = F.col("score") if "score" in candidates.columns else F.lit(1.0)
+    named = candidates.select("id", score.alias("score")).groupBy("id").agg(F.max("score").alias("score"))
+    found = named if threshold is None else named.filter(F.col("score") >= threshold)
+    found = found.join(rows.filter("status = 'active'").join(scopes.select("scope_id").distinct(), "scope_id", "left_semi").select("id", "updated_at"), "id")
+    if verdicts is not None:
+        found = found.join(verdicts.select("id").distinct(), "id", "left_semi")
+    top = found.orderBy(F.desc("score"), F.desc("updated_at"), "id").limit(most)
+    return top.select("id", "score", F.lit(verdicts is not None).alias("verified"), F.lit(not dry_run).alias("forgotten"))
+
+
+def patched_users(users: DataFrame, patches: DataFrame, now: Column) -> DataFrame:
+    """The users (user_id, display_name, role, disabled_at) after patches (user_id, display_name, role, disabled), at most one for each.
+
+    Null says nothing, as does a name of white space or a role that there is not; who is disabled again stays so since the first time.
+    """
+    name, role = F.nullif(text.stripped(F.col("p.display_name")), F.lit("")), F.when(F.col("p.role").isin("admin", "member"), F.col("p.role"))
+    disabled = F.when(F.col("p.disabled").isNull(), F.col("disabled_at")).when(F.col("p.disabled"), F.coalesce("disabled_at", now))
+    j = users.join(patches.select("user_id", F.struct("display_name", "role", "disabled").alias("p")), "user_id", "left")
+    return j.select("user_id", F.coalesce(name, "display_name").alias("display_name"), F.coalesce(role, "role").alias("role"), disabled.alias("disabled_at"))
+
+
 def erased(rows: DataFrame, evidence: DataFrame, messages: DataFrame, user_id: int, own_scope: str) -> DataFrame:
     """The rows that an erasure leaves, with subject_id and superseded_by cleared where they named the user or what is gone, the next revision where that, and mentions counted anew.
 

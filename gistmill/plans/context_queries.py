@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from gistmill.functions import fulltext, phrases, rendering, scores, text
 from gistmill.lineage import fresh
-from gistmill.operators import curation, evaluation, filters, graph, judgments, listing, lineage_sets, retrieval
+from gistmill.operators import curation, evaluation, filters, graph, judgments, lineage_sets, listing, retrieval, writes
 from gistmill.plans.registry import query
 from gistmill.plans.retrieval_queries import ASKED, COVERS, IN_SCOPES, SCOPES
 from gistmill.sources import fixtures as fx
+from gistmill.sources import transcripts
 
 NOW = f"TIMESTAMP '{fx.NOW}'"
 LIVE = f"status = 'active' AND (valid_until IS NULL OR valid_until > {NOW})"
@@ -492,3 +493,54 @@ def entity_lines(spark, sf):
     e = fx.memberships(spark, sf).select("user_id", "entity_id").distinct().withColumn("ref", F.row_number().over(Window.partitionBy("user_id").orderBy("entity_id")))
     names = F.when(F.col("ref") % 2 == 1, F.array(F.upper("entity_id"), F.concat(F.lit("the "), "entity_id")))
     return rendering.lines(e.select("user_id", "ref", rendering.entity(F.col("ref"), F.lit("project"), F.col("entity_id"), names).alias("line")), "user_id", "ref")
+
+
+@query("user_patches", f"SELECT c_custkey AS user_id, CASE WHEN c_custkey % 6 = 0 THEN trim('  Name ' || c_name) ELSE c_name END AS display_name, CASE WHEN c_custkey % 5 = 1 THEN 'admin' ELSE 'member' END AS role, CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 4 = 1 THEN CASE WHEN c_custkey % 3 = 0 THEN TIMESTAMP '2023-01-01' ELSE {NOW} END WHEN c_custkey % 3 = 0 THEN TIMESTAMP '2023-01-01' END AS disabled_at FROM customer")
+def user_patches(spark, sf):
+    """Patches of users: what one says nothing on stays; the first moment of being disabled stays, too."""
+    k = F.col("c_custkey")
+    users = fx.table(spark, sf, "customer").select(k.alias("user_id"), F.col("c_name").alias("display_name"), F.lit("member").alias("role"), F.when(k % 3 == 0, F.lit("2023-01-01").cast("timestamp")).alias("disabled_at"))
+    patches = fx.table(spark, sf, "customer").select(
+        k.alias("user_id"), F.when(k % 6 == 0, F.concat(F.lit("  Name "), "c_name")).when(k % 6 == 1, "").alias("display_name"), F.when(k % 5 == 1, "admin").alias("role"), F.when(k % 4 == 0, F.lit(False)).when(k % 4 == 1, F.lit(True)).alias("disabled"),
+    )
+    return writes.patched_users(users, patches, fx.now())
+
+
+_CLIENT, _CLIENT_N = text.redacted_sql("text", text.CLIENT_SECRETS)
+
+
+@query("client_scrub", f"SELECT id, {_CLIENT} AS clean, CAST({_CLIENT_N} AS INTEGER) AS n FROM memories")
+def client_scrub(spark, sf):
+    """What a client takes out of a text before it sends it."""
+    said = F.col("text")
+    return fx.memories(spark, sf).select("id", text.redact(said, text.CLIENT_SECRETS).alias("clean"), text.redactions(said, text.CLIENT_SECRETS).cast("int").alias("n"))
+
+
+_LINE = "SELECT id, CASE WHEN id % 23 = 4 THEN NULL WHEN id % 19 = 3 THEN 'summary' ELSE role END AS kind, id % 13 = 5 AS side, id % 17 = 3 AS meta, id % 11 = 6 AS tool, CASE WHEN id % 29 = 1 THEN '<system-reminder> ' || content WHEN id % 31 = 2 THEN '[Request interrupted by user]' WHEN id % 37 = 3 THEN ' ' WHEN id % 41 = 5 THEN repeat('x ', 10001) ELSE content END AS said, CASE WHEN id % 7 = 2 THEN 'system' WHEN id % 7 = 3 THEN 'typed' END AS source, CASE WHEN id % 43 <> 7 THEN CAST(id AS VARCHAR) END AS uuid FROM messages"
+
+
+_TURNS = f"""l AS ({_LINE}), t AS (SELECT *, {text.stripped_sql('said')} AS body FROM l), turns AS (SELECT id, coalesce(reason, CASE WHEN kind = 'user' THEN 'user:' || coalesce(source, 'n/a') ELSE 'assistant' END) AS reason, reason IS NULL AS kept, coalesce(reason IS NULL AND kind = 'user' AND length(body) >= 20, false) AS indexed FROM (SELECT *, CASE WHEN id % 47 = 9 THEN 'bad-json' WHEN kind IS NULL OR kind NOT IN ('user', 'assistant') THEN 'type:' || coalesce(kind, 'None')
+ WHEN side THEN 'sidechain' WHEN meta THEN 'meta' WHEN tool THEN 'tool_result' WHEN body = '' THEN 'no-text' WHEN length(body) > 20000 THEN 'oversized-document' WHEN kind = 'user' AND source = 'system' THEN 'source:system' WHEN kind = 'user' AND starts_with(body, '[Request interrupted') THEN 'interrupt-marker'
+ WHEN kind = 'user' AND starts_with(body, '<system-reminder>') THEN 'system-reminder' WHEN uuid IS NULL THEN 'missing-ids' END AS reason FROM t))"""
+
+
+@query("transcript_turns", f"WITH {_TURNS} SELECT * FROM turns")
+def transcript_turns(spark, sf):
+    """Lines of a transcript as JSON, each a turn or refused for the first reason that holds."""
+    return transcripts.classified(_transcript(spark, sf), keep="id").select("id", "reason", "kept", "indexed")
+
+
+@query("transcript_counts", f"WITH {_TURNS} SELECT kept, reason, count(*) AS n FROM turns GROUP BY ALL")
+def transcript_counts(spark, sf):
+    return transcripts.counts(transcripts.classified(_transcript(spark, sf)))
+
+
+def _transcript(spark, sf):
+    n, content = F.col("id"), F.col("content")
+    said = F.when(n % 29 == 1, F.concat(F.lit("<system-reminder> "), content)).when(n % 31 == 2, "[Request interrupted by user]").when(n % 37 == 3, " ").when(n % 41 == 5, F.repeat(F.lit("x "), 10001)).otherwise(content)
+    block = F.array(F.struct(F.when(n % 11 == 6, "tool_result").otherwise("text").alias("type"), said.alias("text")))
+    kind = F.when(n % 23 == 4, F.lit(None)).when(n % 19 == 3, "summary").otherwise(F.col("role"))
+    message = lambda body: F.to_json(F.struct(kind.alias("type"), (n % 13 == 5).alias("isSidechain"), (n % 17 == 3).alias("isMeta"), F.when(n % 7 == 2, "system").when(n % 7 == 3, "typed").alias("promptSource"), F.when(n % 43 != 7, n.cast("string")).alias("uuid"), F.col("session_id").cast("string").alias("sessionId"), F.struct(body.alias("content")).alias("message")))
+    # bodies are plain strings and lists of blocks in turn
+    line = F.when(n % 47 == 9, "{no json").when((n % 2 == 0) & (n % 11 != 6), message(said)).otherwise(message(block))
+    return fx.messages(spark, sf).select("id", line.alias("value"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gistmill.functions import scores, text
-from gistmill.operators import folds, curation, filters, graph, profiles, retrieval
+from gistmill.operators import curation, filters, folds, graph, profiles, retrieval, writes
 from gistmill.plans.registry import query
 from gistmill.sources import fixtures as fx
 
@@ -100,9 +100,11 @@ def extraction_windows(spark, sf):
     return curation.windows(fx.messages(spark, sf).filter("role != 'system'"), 3).withColumnRenamed("window", "win")
 
 
-@query("extraction_gate", r"SELECT session_id, count(*) >= 6 OR bool_or(regexp_matches(lower(content), '\bremember\b')) AS ready FROM messages GROUP BY session_id")
+@query("extraction_gate", r"SELECT session_id, count(*) >= 6 OR bool_or(regexp_matches(content, '(?i)(запомн|не\s+забудь|запиши\s+себе|remember\s+(that|this)|don''?t\s+forget|keep\s+in\s+mind|note\s+that\s+i)')) OR session_id % 9 = 2 AS ready FROM messages GROUP BY session_id")
 def extraction_gate(spark, sf):
-    return curation.gate(fx.messages(spark, sf), 6)
+    """Sessions with enough turns, one that asks to be remembered, or an end."""
+    g = fx.messages(spark, sf)
+    return curation.gate(g, 6, g.filter("session_id % 9 = 2").select("session_id").distinct())
 
 
 @query("dedup_ingest", "SELECT user_id, min(id) AS id FROM (SELECT id, user_id, sha256(content) AS ext FROM messages) GROUP BY user_id, ext")
@@ -233,12 +235,24 @@ def already_stated(spark, sf):
     return curation.stated_before(m.join(fx.vectors(spark, sf).select("id", "v"), "id", "left"), cosine=0.45)
 
 
-@query("forget_plan", "SELECT m.id FROM memories m JOIN vectors v ON v.id = m.id JOIN (SELECT v AS q FROM vectors WHERE no = 0) ON true WHERE status = 'active' AND list_dot_product(v.v, q) >= 0.3")
+@query("forget_plan", f"""WITH q AS (SELECT v AS q FROM vectors WHERE no = 0) SELECT m.id, round(list_dot_product(v.v, q), 6) AS score, true AS verified, false AS forgotten FROM memories m JOIN vectors v ON v.id = m.id, q WHERE status = 'active' AND list_dot_product(v.v, q) >= 0.1 AND scope_id IN (SELECT entity_id FROM memberships WHERE user_id = 7 AND role IN ('owner', 'member') UNION SELECT 'src' || CAST(i AS VARCHAR) FROM range(0, 12) t(i)) AND m.no % 5 <> 4
+ ORDER BY list_dot_product(v.v, q) DESC, updated_at DESC, m.id LIMIT 20""")
 def forget_plan(spark, sf):
-    v = fx.vectors(spark, sf)
+    """What a request to forget finds by vector, in scopes that may be written, and a judge confirms; nothing goes yet."""
+    v, m = fx.vectors(spark, sf), fx.memories(spark, sf)
     q = F.array(*map(F.lit, v.filter("no = 0").select("v").first()[0]))
-    hit = v.filter(scores.dot(F.col("v"), q) >= 0.3).select("id")
-    return fx.memories(spark, sf).filter("status = 'active'").select("id").join(hit, "id", "left_semi")
+    own = fx.memberships(spark, sf).filter((F.col("user_id") == 7) & F.col("role").isin("owner", "member")).select(F.col("entity_id").alias("scope_id"))
+    more = spark.range(12).select(F.concat(F.lit("src"), F.col("id").cast("string")).alias("scope_id"))
+    told = m.filter("no % 5 != 4").select("id")
+    out = writes.forgotten(v.select("id", scores.dot(F.col("v"), q).alias("score")), m, own.unionAll(more), 20, 0.1, told)
+    return out.withColumn("score", F.round("score", 6))
+
+
+@query("forget_named", "SELECT id, 1.0 AS score, false AS verified, true AS forgotten FROM memories WHERE status = 'active' AND scope_id = 'src3' AND no % 4 = 3 ORDER BY updated_at DESC, id LIMIT 15")
+def forget_named(spark, sf):
+    """Ids that a dry run has shown, now archived: those that are still active in a scope of the caller."""
+    m = fx.memories(spark, sf)
+    return writes.forgotten(m.filter("no % 4 = 3").select("id"), m, spark.range(1).select(F.lit("src3").alias("scope_id")), 15, dry_run=False)
 
 
 @query("erase_plan", "SELECT 'memories' AS t, count(*) AS n FROM memories WHERE author_id = 7 UNION ALL SELECT 'messages', count(*) FROM messages WHERE user_id = 7 UNION ALL SELECT 'searches', count(*) FROM searches WHERE user_id = 7 UNION ALL SELECT 'elsewhere', count(*) FROM memories WHERE author_id = 7 AND subject_id IS NOT NULL AND subject_id <> 7")

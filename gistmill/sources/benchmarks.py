@@ -5,6 +5,7 @@ A file holds one list; each of its elements becomes a variant, so that fields wh
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +77,33 @@ def haystack_questions(items: DataFrame, about_assistant: bool = False) -> DataF
     return e.select(
         name.alias("conversation_id"), _get("v", "$.question").alias("question"), _get("v", "$.answer").alias("answer"), _get("v", "$.question_type").alias("category"), sessions.alias("evidence_sessions"), F.endswith(name, F.lit("_abs")).alias("abstention")
     )
+
+
+def corpora(spark: SparkSession, path: str) -> DataFrame:
+    """file, nth, v (variant): the cases of evaluation corpora, files of YAML or JSON that hold a list each; one that holds none has no rows.
+
+    A file is read whole by one task, as a list has to be.  YAML needs a parser on the workers.
+    """
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{json,yaml,yml}").select(F.col("_metadata.file_path").alias("file"), "value")
+
+    def cases(batches):
+        import json
+
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if file.endswith(".json"):
+                    found = json.loads(text)
+                else:
+                    try:
+                        import yaml
+                    except ImportError as missing:
+                        raise RuntimeError(f"{file} is YAML, for which the workers have no parser") from missing
+                    found = yaml.safe_load(text)
+                for nth, case in enumerate(found if isinstance(found, list) else []):
+                    for column, value in zip(out, (file, nth, json.dumps(case, ensure_ascii=False, default=str)), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string())], names=["file", "nth", "json"])
+
+    rows = files.mapInArrow(cases, "file string, nth int, json string")
+    return rows.select("file", "nth", F.parse_json("json").alias("v"))

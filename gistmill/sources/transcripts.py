@@ -34,10 +34,11 @@ def body_text(content: Column) -> Column:
     return F.regexp_replace(F.coalesce(plain, joined, F.lit("")), r"^\s+|\s+$", "")
 
 
-def classified(lines: DataFrame, value: str = "value") -> DataFrame:
-    """reason, kept, and the fields of a turn for each line; a line that is no JSON has reason ``bad-json``."""
+def classified(lines: DataFrame, value: str = "value", keep: str | None = None) -> DataFrame:
+    """reason, kept, and the fields of a turn for each line, with the column ``keep``; a line that is no JSON has reason ``bad-json``."""
     v = F.try_parse_json(F.col(value))
-    rows = lines.select(v.alias("v"))
+    own = [F.col(keep).alias("__keep")] if keep else []
+    rows = lines.select(v.alias("v"), *own)
     get = lambda path, kind="string": F.try_variant_get("v", f"$.{path}", kind)
     content = get("message.content", "variant")
     blocks = F.try_variant_get(content, "$", "array<struct<type:string>>")
@@ -52,13 +53,18 @@ def classified(lines: DataFrame, value: str = "value") -> DataFrame:
         reason = reason.when((kind == "user") & text.rlike(pattern), name)
     reason = reason.when((F.coalesce(get("uuid"), F.lit("")) == "") | (F.coalesce(get("sessionId"), F.lit("")) == ""), "missing-ids")
     out = rows.select(
-        reason.alias("refused"), kind.alias("role"), text.alias("text"), source.alias("source"), get("uuid").alias("external_id"), get("sessionId").alias("session_id"), get("timestamp").alias("created_at"),
+        *(["__keep"] if keep else []), reason.alias("refused"), kind.alias("role"), text.alias("text"), source.alias("source"), get("uuid").alias("external_id"), get("sessionId").alias("session_id"), get("timestamp").alias("created_at"),
         F.element_at(F.split(get("cwd"), "/"), -1).alias("project"), get("gitBranch").alias("git_branch"),
     )
     kept = F.col("refused").isNull()
     label = F.when(F.col("role") == "user", F.concat(F.lit("user:"), F.coalesce("source", F.lit("n/a")))).otherwise("assistant")
     indexed = (F.col("role") == "user") & (F.length("text") >= LEAST_INDEXED)
-    return out.select(F.coalesce("refused", label).alias("reason"), kept.alias("kept"), "role", "text", "external_id", "session_id", "created_at", "project", "git_branch", (kept & indexed).alias("indexed"))
+    return out.select(*([F.col("__keep").alias(keep)] if keep else []), F.coalesce("refused", label).alias("reason"), kept.alias("kept"), "role", "text", "external_id", "session_id", "created_at", "project", "git_branch", (kept & indexed).alias("indexed"))
+
+
+def in_time(rows: DataFrame) -> DataFrame:
+    """Turns that are kept, in order of when they were said and their names: a sort by ranges."""
+    return rows.filter("kept").orderBy("created_at", "external_id")
 
 
 def counts(rows: DataFrame) -> DataFrame:

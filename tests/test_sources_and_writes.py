@@ -47,6 +47,45 @@ def test_haystacks(spark, tmp_path):
     assert [(r.conversation_id, r.evidence_sessions, r.abstention) for r in q] == [("q1_abs", ["q1_abs-s2"], True)] and benchmarks.haystack_questions(v, True).count() == 2
 
 
+def test_corpora_of_two_formats(spark, tmp_path):
+    yaml = pytest.importorskip("yaml")
+    cases = [{"id": "a", "patterns": ["x+", "é"], "n": 1.5}, {"id": "b", "on": dt.date(2024, 1, 2)}, "plain"]
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "one.yaml").write_text(yaml.safe_dump(cases, allow_unicode=True))
+    (tmp_path / "deep" / "two.json").write_text(json.dumps(cases[:1]))
+    (tmp_path / "none.yml").write_text("a: 1")
+    (tmp_path / "other.txt").write_text("- x")
+    got = {(r.file.rsplit("/", 1)[1], r.nth): json.loads(r.j) for r in benchmarks.corpora(spark, str(tmp_path)).select("file", "nth", F.to_json("v").alias("j")).collect()}
+    assert got == {("one.yaml", 0): cases[0], ("one.yaml", 1): {"id": "b", "on": "2024-01-02"}, ("one.yaml", 2): "plain", ("two.json", 0): cases[0]}
+
+
+def test_forgetting_takes_what_was_reviewed(spark):
+    rows = spark.createDataFrame([(i, s, "active" if i != "x" else "archived", dt.datetime(2024, 1, d)) for i, s, d in (("a", "own", 1), ("b", "own", 2), ("c", "other", 3), ("x", "own", 4), ("d", "own", 5))], "id string, scope_id string, status string, updated_at timestamp")
+    own = spark.createDataFrame([("own",)], "scope_id string")
+    hits = spark.createDataFrame([("a", 0.9), ("b", 0.5), ("c", 0.9), ("x", 0.9), ("d", 0.1)], "id string, score double")
+    ids = lambda out: [r.id for r in out.orderBy(F.desc("score"), "id").collect()]
+    dry = writes.forgotten(hits, rows, own, 10, 0.3)
+    assert ids(dry) == ["a", "b"] and not any(r.forgotten or r.verified for r in dry.collect())
+    assert ids(writes.forgotten(hits, rows, own, 10, 0.3, verdicts=hits.filter("id = 'b'"))) == ["b"] and ids(writes.forgotten(hits, rows, own, 1, 0.3)) == ["a"]
+    done = writes.forgotten(dry.select("id").unionAll(dry.select("id")), rows, own, 10, dry_run=False).collect()
+    assert sorted((r.id, r.score, r.forgotten) for r in done) == [("a", 1.0, True), ("b", 1.0, True)]
+
+
+def test_erasure_leaves_no_table_with_the_user(spark):
+    from test_catalog import stored
+
+    tables = stored(spark, 12)
+    tables["memories"] = tables["memories"].withColumns({"source_role": F.when(F.col("id") == 4, "inference").otherwise("user"), "superseded_by": F.when(F.col("id") == 6, F.lit(1)).cast("long"), "revision": F.lit(1), "source_count": F.lit(3)})
+    tables["outbox"] = spark.createDataFrame([("memories", "1"), ("memories", "2"), ("raw", "3"), ("raw", "77")], "collection string, entity_id string")
+    left = writes.erased_tables(tables, 1, "own", "user1")
+    kept = {r.id: r for r in left["memories"].collect()}
+    assert set(kept) == {i for i in range(12) if i % 2 == 0 and i != 4} and kept[6].superseded_by is None and kept[6].revision == 2 and kept[2].revision == 1
+    assert all(left[name].count() == 0 for name in ("users", "api_keys", "messages", "attention", "runs", "calls", "evidence", "sources", "entities", "memberships", "feedback"))
+    assert {r.memory_id for r in left["revisions"].collect()} == set(kept) and left["relations"].count() == 0
+    assert sorted(map(tuple, left["outbox"].collect())) == [("memories", "2"), ("raw", "77")]
+    assert {(r.id, r.operation) for r in writes.index_changes(tables["memories"], left["memories"]).collect()} == {(i, "delete") for i in range(12) if i not in kept} | {(6, "upsert")}
+
+
 def test_snapshots_tell_changes(spark, tmp_path):
     a, b = spark.range(5).withColumn("x", F.array(F.lit(None).cast("string"))), spark.createDataFrame([], "y int")
     path = str(tmp_path / "snap")
