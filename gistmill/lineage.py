@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,9 +29,33 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/gistmill-{spark.sparkContext.applicationId}"
 
 
+_OPEN: list[list[str]] = []
+
+
 def fresh(spark: SparkSession) -> str:
     """A path of this application in the shared folder where nothing is yet."""
-    return f"{_own_dir(spark)}/{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{uuid.uuid4().hex}"
+    for paths in _OPEN:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The paths that are given out meanwhile, in order."""
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield paths
+    finally:
+        _OPEN[:] = [x for x in _OPEN if x is not paths]
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Removes intermediate tables that nothing reads any more."""
+    for x in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame) -> DataFrame:
