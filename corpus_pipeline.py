@@ -1,7 +1,10 @@
 """A corpus pipeline of five stages: toxicity, line dedup, near-dedup, substring dedup, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet in the shared
-folder and reads it again as the next stage's documents.
+folder and reads it again as the next stage's documents.  What a stage wrote on its way, and the documents it began with, are removed then.
+
+Defined results: null and empty texts pass all stages, as do rows without doc_id, each judged on its own text; rows that repeat a doc_id stay or go together as near
+copies, and lose lines and bytes each for itself; very long texts are read whole; further columns are dropped by the first stage; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gistmill.llm import lines, minhash, packing, suffix, toxicity
-from gistmill.lineage import written
+from gistmill.lineage import noted, remove, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -61,9 +64,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs)
-    return docs
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for _, stage in STAGES[:-1]:
+        with noted() as paths:
+            docs = written(stage(spark, docs, sf_dir))
+        remove(spark, [*before, *paths[:-1]])  # the last one holds the stage's result
+        before = paths[-1:]
+    return STAGES[-1][1](spark, docs, sf_dir)
