@@ -22,7 +22,8 @@ the two, fitted on labelled rows that trained no counts, is the score.
 
 Counts come from all labelled documents that are neither held out nor kept for the logistic function; only that function
 is fitted on ``SAMPLE`` documents of each class at most, chosen by a hash of doc_id.  A model of at most ``NODES`` nodes goes
-to the workers; a larger one stays a table, which the documents' expressions are joined to.
+to the workers as sorted arrays of node hashes (64 bits) and counts, 32 bytes a node; a larger one stays a table, which the documents'
+expressions are joined to.
 
 Defined results: null and empty texts get the score of a text without expressions;
 rows whose label is null or neither 0 nor 1 train nothing; doc_ids labelled both ways train nothing;
@@ -34,9 +35,11 @@ from __future__ import annotations
 
 import math
 import string
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,7 +48,7 @@ from gistmill.lineage import written
 
 FOLDS = 5
 SAMPLE = 12_000
-NODES = 100_000
+NODES = 4_000_000
 #: Labels that are broadcast at most; beyond that they are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
 LEVELS = (6, 5, 4)
@@ -55,6 +58,8 @@ MARGIN = 3.0
 WINDOW, PRIOR_LENGTH = 32, 20
 #: Log-ratios of single expressions are held within these.
 LEAST, MOST = -2.0, 6.0
+#: Texts whose expressions a task holds as Python objects at a time.
+SLICE = 256
 _EDGE = string.punctuation + "¿¡«»„“”‘’…–—"
 
 
@@ -78,12 +83,53 @@ def _held(ratio: float) -> float:
 
 
 class Model:
-    """What scoring needs: counts at or below nodes with a toxic excess and of their shorter forms, and a few numbers for each level."""
+    """What scoring needs: counts at or below nodes with a toxic excess and of their shorter forms, and a few numbers for each level.
 
-    def __init__(self, levels: list[dict], weights: list[float] | None = None, nodes: list[DataFrame] | None = None):
-        self.levels, self.weights, self.nodes = levels, weights, nodes
+    ``levels`` holds the numbers, and counts by node where they are few (``named``); ``packed`` the counts as arrays by hashes of nodes; ``nodes`` the
+    tables that documents are joined to where counts are too many for either.
+    """
+
+    def __init__(self, levels: list[dict], weights: list[float] | None = None, nodes: list[DataFrame] | None = None, packed: list[dict] | None = None):
+        self.levels, self.weights, self.nodes, self.packed = levels, weights, nodes, packed
         self.plain = _held(sum(math.log(at["toxic_rest"]) for at in levels))
 
+    def ratios(self, words: list[str]) -> np.ndarray:
+        """Log-ratios of expressions; ``log_ratio`` for many at once, from ``packed``."""
+        out = np.full(len(words), self.plain)
+        if not self.packed or not words:
+            return out
+        chains = list(zip(*map(chain, words), strict=True))
+        found = []
+        for at, own in zip(self.packed, chains, strict=True):
+            h = np.fromiter((xxhash.xxh64_intdigest(node.encode(), seed=42) for node in own), dtype=np.uint64, count=len(own)).view(np.int64)
+            place = np.minimum(np.searchsorted(at["hash"], h), max(len(at["hash"]) - 1, 0))
+            held = at["hash"][place] == h if len(at["hash"]) else np.zeros(len(h), dtype=bool)
+            found.append({name: np.where(held, at[name][place], 0.0) if len(at["hash"]) else np.zeros(len(h)) for name in COUNTS})
+        last = len(self.levels) - 1
+        ordinary, forms = np.full(len(words), 1 / (self.levels[last]["types"] + 1)), [np.ones(len(words)) for _ in range(last + 2)]
+        for k in range(last, -1, -1):
+            at = self.levels[k]
+            if k < last:
+                forms[k] = found[k + 1]["children"] + 1
+                ordinary = ordinary / forms[k]
+            ordinary = np.maximum(found[k]["own"] - at["discount"], 0) / at["own_total"] + at["own_rest"] * ordinary
+        toxic, share = ordinary, np.prod(forms[:last], axis=0)
+        for k in range(last, -1, -1):
+            at = self.levels[k]
+            toxic = found[k]["excess"] / at["toxic_total"] / share + at["toxic_rest"] * toxic
+            share = share / (forms[k - 1] if k else 1)
+        near = np.any([x["excess"] > 0 for x in found], axis=0)
+        out[near] = np.clip(np.log(toxic[near] / ordinary[near]), LEAST, MOST)
+        return out
+
+    def named(self, nodes: list[DataFrame]) -> Model:
+        """The model with its counts by node, for models of few nodes."""
+        for at, x in zip(self.levels, nodes, strict=True):
+            found = x.collect()
+            for name in COUNTS:
+                at[name] = {r.node: r[name] for r in found if r[name]}
+        return self
+
     def probabilities(self, nodes: list[str]) -> tuple[float, float]:
         """Ordinary and toxic probability of an expression, given from whole to shortest form."""
         last = len(self.levels) - 1
@@ -109,8 +155,11 @@ class Model:
         ordinary, toxic = self.probabilities(nodes)
         return _held(math.log(toxic / ordinary))
 
-    def features(self, text: str | None, memory: dict) -> tuple[float, float]:
-        return self.summed(np.fromiter(map(memory.__getitem__, (text or "").encode().split()), dtype=float))
+    def features(self, texts: list[str | None], memory: _Memory) -> np.ndarray:
+        """The features of texts, a row for each."""
+        runs = [(text or "").encode().split() for text in texts]
+        memory.learn({x for own in runs for x in own})
+        return np.array([self.summed(np.fromiter(map(memory.__getitem__, own), dtype=float, count=len(own))) for own in runs]).reshape(-1, 2)
 
     def summed(self, x: np.ndarray) -> tuple[float, float]:
         """The features of a text with these log-ratios."""
@@ -128,17 +177,24 @@ class Model:
 
 
 class _Memory(dict):
-    """Log-ratios of runs met by this worker, up to a bound."""
+    """Log-ratios of the runs that this worker has met of late."""
 
     def __init__(self, model: Model):
         self.model = model
 
-    def __missing__(self, run: bytes) -> float:
-        word = expression(run)
-        value = self.model.log_ratio(word) if word else 0.0
-        if len(self) < 500_000:
-            self[run] = value
-        return value
+    def learn(self, runs: set[bytes]) -> None:
+        if len(self) > 500_000:
+            self.clear()
+        new = [x for x in runs if x not in self]
+        words = [expression(x) for x in new]
+        ratios = self.model.ratios(words)
+        ratios[[not word for word in words]] = 0.0
+        self.update(zip(new, ratios.tolist(), strict=True))
+
+
+def _slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from (batch.slice(i, size) for i in range(0, batch.num_rows, size))
 
 
 def _features(docs: DataFrame, model: Model, extra: str) -> DataFrame:
@@ -149,8 +205,8 @@ def _features(docs: DataFrame, model: Model, extra: str) -> DataFrame:
 
     def run(batches):
         memory = _Memory(shared.value)
-        for batch in batches:
-            found = np.array([shared.value.features(x, memory) for x in batch.column(1).to_pylist()]).reshape(-1, 2)
+        for batch in _slices(batches):
+            found = shared.value.features(batch.column(1).to_pylist(), memory)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found[:, 0]), pa.array(found[:, 1]), batch.column(2)], names=["doc_id", "best", "whole", extra])
 
     return docs.select("doc_id", "text", extra).mapInArrow(run, f"doc_id long, best double, whole double, {extra} int")
@@ -162,7 +218,7 @@ def _joined_features(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
     slim = Model(model.levels, model.weights)
 
     def expressions(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             out: list[list] = [[], [], []]
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 places: dict[str, list[int]] = {}
@@ -195,7 +251,7 @@ def _joined_features(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
     scored = found.join(ratio, "word").groupBy("__row").agg(F.collect_list(F.struct("places", "ratio")).alias("parts"))
 
     def features(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for parts in batch.column(1).to_pylist():
                 x = np.zeros(sum(len(part["places"]) for part in parts))
@@ -215,7 +271,7 @@ def _counts(docs: DataFrame) -> DataFrame:
     def run(batches):
         from collections import Counter
 
-        for batch in batches:
+        for batch in _slices(batches, 8 * SLICE):
             n: Counter = Counter()
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 n.update((word, toxic) for x in (text or "").encode().split() if (word := expression(x)))
@@ -270,11 +326,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if sum(x.count() for x in nodes) > NODES:
         model = Model(levels, nodes=nodes)
     else:
-        for at, x in zip(levels, nodes, strict=True):
-            found = x.collect()
-            for name in COUNTS:
-                at[name] = {r.node: r[name] for r in found if r[name]}
-        model = Model(levels)
+        model = Model(levels, packed=[_packed(x) for x in nodes])
     fitting = known.filter(F.col("part") == FOLDS - 1).orderBy(F.xxhash64("doc_id"), "doc_id")
     both = fitting.filter("toxic = 1").limit(SAMPLE).unionAll(fitting.filter("toxic = 0").limit(SAMPLE))
     held = _features(texts.join(F.broadcast(both), "doc_id"), model, "toxic").collect()  # rows of 2 * SAMPLE documents at most
@@ -283,6 +335,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model
 
 
+def _packed(nodes: DataFrame) -> dict:
+    """Hashes of nodes in order, and their counts."""
+    rows = nodes.select(F.xxhash64("node").alias("hash"), *[F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c) for c in COUNTS]).toArrow()
+    columns = {name: rows.column(name).to_numpy() for name in rows.column_names}
+    order = np.argsort(columns["hash"])
+    return {name: x[order] for name, x in columns.items()}
+
+
 def _level(table: DataFrame) -> dict | None:
     """Totals, the discount of both classes' counts, what discounts free in each class, and the nodes with a toxic excess, of a level."""
     x = table.agg(
@@ -332,8 +392,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         memory = _Memory(shared.value)
-        for batch in batches:
-            found = np.array([shared.value.features(x, memory) for x in batch.column(at).to_pylist()]).reshape(-1, 2)
+        for batch in _slices(batches):
+            found = shared.value.features(batch.column(at).to_pylist(), memory)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(found))], names=[*batch.schema.names, "toxicity"])
 
     return rows.mapInArrow(run, out)

@@ -1,6 +1,7 @@
 """The operators against brute force, the library, round trips, and SQL, with odd rows."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -11,7 +12,9 @@ import pytest
 from compare import same
 from pyspark.sql import functions as F
 
+from gistmill import lineage
 from gistmill.llm import ann, bpe, chat, exact_dedup, lines, minhash, packing, queries, suffix, toxicity, urls
+from gistmill.llm import rows as rows_module
 from gistmill.llm.shingles import hashed_words
 from gistmill.operators.components import components
 
@@ -186,10 +189,14 @@ def test_search_with_repeated_ids_and_vectors_of_any_size(spark):
 # --- 4: toxicity
 
 
-def test_class_models_sum_to_one(spark):
+def test_class_models_sum_to_one(spark, monkeypatch):
     rows = [(i, f"plain{i % 90} common{i % 7} " + (f"vile{i % 50} vile{i % 50} foul" if i % 3 == 0 else f"vilest{i} word") * 2) for i in range(600)]
     known = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
-    model = toxicity.train(frame(spark, rows), known)
+    seen = []
+    monkeypatch.setattr(toxicity, "_packed", lambda nodes, own=toxicity._packed: (seen.append(nodes), own(nodes))[1])
+    model = toxicity.train(frame(spark, rows), known).named(seen)
+    words = sorted({toxicity.expression(x) for _, t in rows for x in t.encode().split()} | {"unknown", "vi", "vilex", "plainest", "ü"})
+    assert np.allclose(model.ratios(words), [model.log_ratio(w) for w in words], rtol=0, atol=1e-12)
     counts = [defaultdict(lambda: [0, 0]) for _ in range(4)]
     for i, t in rows:
         if zlib.crc32(str(i).encode()) % 5 not in (0, 4):
@@ -248,6 +255,102 @@ def test_toxicity_counts_all_rows_and_keeps_all_nodes(spark, monkeypatch):
     assert plain.keys() == wide.keys() and all(abs(plain[i] - wide[i]) < 1e-6 for i in plain)
 
 
+def plain_toxicity(rows, labels):
+    """The same formulas in plain Python: counts of both classes, discounts, excesses, log-ratios, features, logistic function."""
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    label = {}
+    for i, t in labels:
+        label[i] = t if label.get(i, t) == t else None
+    label = {i: t for i, t in label.items() if t in (0, 1) and fold(i) != 0}
+    counts = [defaultdict(lambda: [0, 0, 0]) for _ in range(4)]
+    for i, text in rows:
+        if label.get(i) is not None and fold(i) != 4:
+            for x in (text or "").encode().split():
+                if word := toxicity.expression(x):
+                    counts[0][word + "$"][label[i]] += 1
+    for c in counts[0].values():
+        c[2] = 1
+    for k, n in enumerate(toxicity.LEVELS):
+        for node, c in counts[k].items():
+            below = counts[k + 1][node[:n]]
+            below[0] += c[0] > 0
+            below[1] += c[1] > 0
+            below[2] += 1
+    levels = []
+    for level in counts:
+        o, t = sum(c[0] for c in level.values()), sum(c[1] for c in level.values())
+        once, twice = (sum(c[0] + c[1] == n for c in level.values()) for n in (1, 2))
+        d = max(once, 1) / (max(once, 1) + 2 * twice) if twice else 0.75
+        over = {n: c[1] - d - c[0] * t / o - 3 * (c[0] * t / o + 0.3) ** 0.5 for n, c in level.items()}
+        over = {n: x for n, x in over.items() if x > 0}
+        levels.append((level, o, t, d, d * sum(c[0] > 0 for c in level.values()) / o, 1 - sum(over.values()) / t, over))
+
+    def ratio(word):
+        nodes = [word + "$", *((word + "$")[:n] for n in toxicity.LEVELS)]
+        if not any(n in x[6] for n, x in zip(nodes, levels, strict=True)):
+            value = sum(np.log(x[5]) for x in levels)
+        else:
+            ordinary, forms = 1 / (len(levels[3][0]) + 1), [levels[k + 1][0].get(nodes[k + 1], (0, 0, 0))[2] + 1 for k in range(3)]
+            for k in (3, 2, 1, 0):
+                level, o, _, d, rest, _, _ = levels[k]
+                ordinary = max(level.get(nodes[k], (0, 0))[0] - d, 0) / o + rest * ordinary / (forms[k] if k < 3 else 1)
+            toxic = ordinary
+            for k in (3, 2, 1, 0):
+                toxic = levels[k][6].get(nodes[k], 0) / levels[k][2] / np.prod(forms[:k]) + levels[k][5] * toxic
+            value = np.log(toxic / ordinary)
+        return min(6.0, max(-2.0, value))
+
+    def features(text):
+        x = [ratio(w) if (w := toxicity.expression(r)) else 0.0 for r in (text or "").encode().split()]
+        n = min(32, len(x))
+        return (max(sum(x[k : k + n]) for k in range(len(x) - n + 1)) / 32, sum(x) / (len(x) + 20)) if x else (0.0, 0.0)
+
+    own = [(features(t), label[i]) for i, t in rows if label.get(i) is not None and fold(i) == 4]
+    a, b, c = toxicity._logistic(np.array([f for f, _ in own]), np.array([y for _, y in own]))
+    return {i: 1 / (1 + np.exp(-np.clip(a * f + b * g + c, -40, 40))) for i, t in rows for f, g in [features(t)]}
+
+
+def test_toxicity_by_plain_formulas(spark):
+    rng = random.Random(31)
+    rows, labels = [], []
+    for i in range(700):
+        words = [f"word{rng.randrange(300)}" for _ in range(rng.randint(0, 90))]
+        if i % 3 == 0 and words:
+            for _ in range(4):
+                words[rng.randrange(len(words))] = rng.choice(["vile", "viler!", "Vilest", f"foul{rng.randrange(30)}", "word7"])
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(i % 3 == 0)))
+    labels += [(5, 1, 1), (8, 1, None), (9999, 1, 1)]
+    rows.append((2000, "word3 vile " * 30_000))
+    table = frame(spark, [*rows, (3000, None)])
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.toxicity for r in toxicity.score(table, toxicity.train(table, known)).collect()}
+    want = plain_toxicity([*rows, (3000, None)], [(i, t) for i, _, t in labels if t is not None])
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in got) < 1e-6
+
+
+def test_very_long_texts(spark):
+    """Texts of some hundred thousand characters, near copies and repeats among them."""
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(5000)}" for _ in range(60_000)]
+    near = words[:]
+    near[30_000] = "other"
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " \n".join(words)), (4, "x" * 300_000)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_dedup(frame(spark, rows)).collect()}
+    assert got == {i: x[:2] for i, x in near_brute(rows).items()} and got[3][1] == 1 and got[4][1] == 4
+    same = {r.doc_id: r.keep_id for r in exact_dedup.exact_dedup(frame(spark, rows)).collect()}
+    assert same == {1: 1, 2: 2, 3: 1, 4: 4}
+    cut = {r.doc_id: r.n_removed for r in suffix.substring_dedup(frame(spark, rows[:2] + rows[3:])).collect()}
+    assert cut[1] == 0 and len(rows[1][1]) - cut[2] <= 210 and cut[4] == 299_999  # all but the first byte
+
+
+def test_urls_in_long_html(spark):
+    filler = "<p>" + "text " * 200_000 + "</p>"
+    rows = [(1, "http://a.com/x", filler + '<link rel="canonical" href="http://bad.org/es/1">' + filler), (2, "http://b.com/", filler)]
+    got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), queries.RULES).collect()}
+    assert got == {1: "block", 2: "allow"}
+
+
 # --- 5: lines
 
 
@@ -610,7 +713,21 @@ def test_op10_keeps_every_id_once(spark, whole):
 # --- odd rows
 
 
-def test_rows_with_one_id_are_documents_of_their_own(spark):
+@pytest.mark.parametrize("ids", [1_000_000, 0])
+def test_keys_of_repeated_ids(spark, ids, monkeypatch):
+    """Unique, in the order of ids, whether the rows whose ids repeat are numbered alone or all rows are."""
+    monkeypatch.setattr(rows_module, "BROADCAST_IDS", ids)
+    docs = [(i, f"t{i}") for i in (-5, 0, 3, 3, 3, 7, 7, 9, 1 << 40)] + [(None, "a"), (None, "b"), (3, "t3"), (3, None)]
+    got = sorted((r[rows_module.KEY], r.doc_id) for r in rows_module.keyed(frame(spark, docs), "doc_id", "text").collect() if r.doc_id is not None)
+    assert [i for _, i in got] == sorted(i for i, _ in docs if i is not None) and len({k for k, _ in got}) == 11
+    assert all(r[rows_module.KEY] is None for r in rows_module.keyed(frame(spark, docs), "doc_id", "text").collect() if r.doc_id is None)
+    wide = [(1 << 61, "x"), (1 << 61, "y"), (-(1 << 61), "z")]
+    assert [i for _, i in sorted((r[rows_module.KEY], r.doc_id) for r in rows_module.keyed(frame(spark, wide), "doc_id", "text").collect())] == sorted(i for i, _ in wide)
+
+
+@pytest.mark.parametrize("ids", [1_000_000, 0])
+def test_rows_with_one_id_are_documents_of_their_own(spark, ids, monkeypatch):
+    monkeypatch.setattr(rows_module, "BROADCAST_IDS", ids)
     rng = random.Random(12)
     own, first, other = ("".join(rng.choice("abcdefghij klm") for _ in range(300)) for _ in range(3))
     rows = [(1, first + own), (1, other), (2, "before " + own + " after"), (2, "before " + own + " after"), (3, None), (3, "")]
@@ -663,7 +780,9 @@ def test_pipeline_stages(spark):
     cut = corpus_pipeline.drop_repeated_bytes(spark, docs, SF)
     brute = bytes_brute(list(texts.items()))
     assert cut.columns == corpus_pipeline.COLUMNS and sum(r.n_chars for r in cut.collect()) <= sum(v[0] - v[1] for v in brute.values())
-    assert corpus_pipeline.run(spark, SF).count() > 0
+    with lineage.noted() as paths:
+        assert corpus_pipeline.run(spark, SF).count() > 0
+    assert len(paths) > 20 and [p for p in paths if os.path.exists(p)] == paths[-1:]  # what the last stage reads
 
 
 def test_pipeline_keeps_rows_without_id(spark):
