@@ -11,7 +11,8 @@ the library holds, which makes the concatenation the library's own encoding.
 
 Defined results: null text counts as empty; an empty text has no ids and decodes to
 an empty string; special-token strings inside a text are the special tokens, as in
-the library with its defaults; repeated rows are encoded each on their own.
+the library with its defaults; repeated rows are encoded each on their own, also where they share a doc_id or have none; texts of any length
+are encoded whole; an empty table gives no rows; further columns play no part.
 """
 
 from __future__ import annotations

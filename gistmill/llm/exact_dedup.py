@@ -9,7 +9,7 @@ remain are aggregated with partial sums and joined back.
 Defined results: null text counts as empty; texts are equal after each run of ASCII
 white space becomes one space; of equal texts the smallest doc_id stays (rows that
 repeat the keeper's doc_id stay with it; a null doc_id stays only where all are null);
-an empty table gives no rows; further columns play no part.
+texts of any length are hashed whole; an empty table gives no rows; further columns play no part.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ of documents, since windows are closed up as ``flush`` ids have been gathered.
 
 Defined results: null text counts as empty, and an empty document is its end id alone;
 a text longer than a window lies in several pieces; repeated rows are packed each on
-their own; an empty table gives no pieces.  ``sequence_id`` is the number of the
+their own, also where they share a doc_id or have none; further columns play no part; an empty table gives no pieces.  ``sequence_id`` is the number of the
 partition times 2**40 plus a running number: it is unique, and depends on how the
 table is partitioned, as does the packing.
 """

@@ -10,7 +10,7 @@ suffix of the host, where the url is read.
 Defined results: a url that is null or has no ``://`` has an empty host and path, fits no rule and
 has no aliases; hosts are compared with A-Z lower-cased; links are read from
 ``<link rel=canonical>`` and ``<meta http-equiv=refresh>`` in the html (null: none), relative ones against
-the page's url; fragments play no part in what a link joins; repeated rows are each judged; an empty table
+the page's url; html of any length is searched whole; of rules of one length that fit a url one that allows decides; fragments play no part in what a link joins; repeated rows are each judged; an empty table
 gives no rows; further columns play no part.
 """
 
