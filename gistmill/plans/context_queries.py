@@ -418,7 +418,7 @@ def redacted_context(spark, sf):
     return m.select("id", text.redact_json(F.concat(*parts)).alias("x")).select("id", F.col("x.json").alias("context"), F.col("x.count").alias("n"))
 
 
-@query("session_lines", "SELECT session_id, string_agg('[' || CAST(id AS VARCHAR) || '] ' || role || ': ' || CASE WHEN role = 'assistant' AND length(content) > 220 THEN rtrim(substr(content, 1, 220)) || ' […truncated]' ELSE content END, chr(10) ORDER BY turn) AS lines FROM messages GROUP BY session_id")
+@query("session_lines", "SELECT session_id, string_agg('[' || CAST(id AS VARCHAR) || '] ' || role || ': ' || CASE WHEN role = 'assistant' AND length(content) > 220 THEN regexp_replace(substr(content, 1, 220), '\\s+$', '') || ' […truncated]' ELSE content END, chr(10) ORDER BY turn) AS lines FROM messages GROUP BY session_id")
 def session_lines(spark, sf):
     """A session as a prompt shows it: turns in order, long ones of the assistant cut."""
     said = F.when(F.col("role") == "assistant", text.shortened(F.col("content"))).otherwise(F.col("content"))
