@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gistmill.lineage import written
@@ -127,18 +127,29 @@ def clusters(pairs: DataFrame) -> DataFrame:
     return components(pairs).select("node", F.col("component").alias("cluster"))
 
 
-def semantic_groups(pairs: DataFrame, wording: DataFrame, most: int = 6) -> DataFrame:
-    """node, cluster, size, oversized: clusters of similar rows, without those whose members all have one wording (columns id, wording).
+def semantic_groups(pairs: DataFrame, rows: DataFrame, wording: Column | str = "wording", most: int = 6) -> DataFrame:
+    """node, cluster, size, oversized: clusters of similar rows, without those whose members all have one ``wording``, which is worked out from ``rows`` (with id) for members only.
 
     Clusters of more than ``most`` members are named, but too large to be merged.
     """
     found = clusters(pairs)
-    told = found.join(wording.select(F.col("id").alias("node"), "wording"), "node", "left")
+    told = found.join(rows.withColumnRenamed("id", "node"), "node", "left").select("node", "cluster", (F.col(wording) if isinstance(wording, str) else wording).alias("wording"))
     size = told.groupBy("cluster").agg(F.count("*").alias("size"), F.count_distinct("wording").alias("wordings"), F.count_if(F.col("wording").isNull()).alias("unknown"))
     kept = size.filter((F.col("wordings") + F.col("unknown")) > 1).select("cluster", "size", (F.col("size") > most).alias("oversized"))
     return found.join(kept, "cluster").select("node", "cluster", "size", "oversized")
 
 
+def linked(edges: DataFrame, rows: DataFrame) -> DataFrame:
+    """id, other, relation and what a reader is shown of the other: text, kind, status, source_role, document_date, event_dates (days, in order), valid_until.
+
+    ``edges`` has id, other and label.
+    """
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    dates = F.array_distinct(F.array_compact(F.array(day("event_start"), day("event_end"))))
+    shown = rows.select(F.col("id").alias("other"), "text", "kind", "status", "source_role", "document_date", dates.alias("event_dates"), "valid_until")
+    return edges.select("id", "other", F.col("label").alias("relation")).join(shown, "other").select("id", "other", "relation", *shown.columns[1:])
+
+
 def within_leftover(rows: DataFrame, budget: int, by: str) -> DataFrame:
     """by, id, other, used: neighbours (by, part, id, other, cost) that fit what is left of a budget, part by part; one too large is skipped.  A group has a bounded number."""
     items = F.array_sort(F.collect_list(F.struct("part", "id", "other", F.col("cost").cast("long").alias("cost"))))

@@ -83,10 +83,23 @@ def _iso(column: str) -> Column:
     return F.coalesce(F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("")).alias(column)
 
 
+def _context() -> Column:
+    """The context as JSON, in order of its keys; an empty object for none."""
+    return F.coalesce(F.to_json(F.map_from_entries(F.array_sort(F.map_entries("context")))), F.lit("{}")).alias("context")
+
+
+def raw_payload(messages: DataFrame) -> DataFrame:
+    """What an index holds of each message: ten fields."""
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return messages.select(
+        plain("user_id").alias("user_id"), plain("scope_id").alias("scope_id"), plain("agent_id").alias("agent_id"), "session_id", "role", F.col("content").alias("text"), _context(), _iso("created_at"), F.col("id").alias("message_id"), "redacted",
+    )
+
+
 def payload(rows: DataFrame) -> DataFrame:
-    """What an index holds of each memory: plain values, times to the second, and the digest of its text."""
+    """What an index holds of each memory: 22 fields as plain values, times to the second, and the digest of its text in the text's place."""
     number = lambda c: F.round(F.col(c).cast("double"), 6).alias(c)
     return rows.select(
         "id", "scope_id", F.coalesce(F.col("subject_id").cast("string"), F.lit("")).alias("subject"), "author_id", "kind", number("importance"), number("confidence"), "status", "source_role", "review_status", F.array_join("tags", ",").alias("tags"),
-        _iso("valid_until"), _iso("created_at"), _iso("updated_at"), "revision", _iso("document_date"), _iso("event_start"), _iso("event_end"), "is_static", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha"),
+        _iso("valid_until"), _iso("created_at"), _iso("updated_at"), "revision", _iso("document_date"), _iso("event_start"), _iso("event_end"), "is_static", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha"), F.coalesce("agent_id", F.lit("")).alias("agent_id"), _context(), "redacted",
     )

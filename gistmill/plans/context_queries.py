@@ -306,10 +306,20 @@ def entity_profile(spark, sf):
     return listing.entity_profiles(fx.memories(spark, sf).filter(filters.live(fx.now())))
 
 
-@query("index_payload", "SELECT id, scope_id, coalesce(CAST(subject_id AS VARCHAR), '') AS subject, author_id, kind, round(CAST(importance AS DOUBLE), 6) AS importance, round(CAST(confidence AS DOUBLE), 6) AS confidence, status, source_role, review_status, array_to_string(tags, ',') AS tags, coalesce(strftime(valid_until, '%Y-%m-%dT%H:%M:%SZ'), '') AS valid_until, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created_at, strftime(updated_at, '%Y-%m-%dT%H:%M:%SZ') AS updated_at, revision, strftime(document_date, '%Y-%m-%dT%H:%M:%SZ') AS document_date, coalesce(strftime(event_start, '%Y-%m-%dT%H:%M:%SZ'), '') AS event_start, coalesce(strftime(event_end, '%Y-%m-%dT%H:%M:%SZ'), '') AS event_end, is_static, sha256(text) AS text_sha FROM memories")
+@query("index_payload", "SELECT id, scope_id, coalesce(CAST(subject_id AS VARCHAR), '') AS subject, author_id, kind, round(CAST(importance AS DOUBLE), 6) AS importance, round(CAST(confidence AS DOUBLE), 6) AS confidence, status, source_role, review_status, array_to_string(tags, ',') AS tags, coalesce(strftime(valid_until, '%Y-%m-%dT%H:%M:%SZ'), '') AS valid_until, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created_at, strftime(updated_at, '%Y-%m-%dT%H:%M:%SZ') AS updated_at, revision, strftime(document_date, '%Y-%m-%dT%H:%M:%SZ') AS document_date, coalesce(strftime(event_start, '%Y-%m-%dT%H:%M:%SZ'), '') AS event_start, coalesce(strftime(event_end, '%Y-%m-%dT%H:%M:%SZ'), '') AS event_end, is_static, sha256(text) AS text_sha, CASE WHEN no % 5 <> 0 THEN 'agent' || CAST(no % 3 AS VARCHAR) ELSE '' END AS agent_id, CASE WHEN no % 4 = 0 THEN '{}' ELSE '{\"lang\":\"' || lang || '\",\"source\":\"' || scope_id || '\"}' END AS context, no % 8 = 0 AS redacted FROM memories")
 def index_payload(spark, sf):
     """What the index holds of a memory, as it is written there."""
-    return listing.payload(fx.memories(spark, sf))
+    n = F.col("no")
+    more = {"agent_id": F.when(n % 5 != 0, F.concat(F.lit("agent"), (n % 3).cast("string"))), "context": F.when(n % 4 != 0, F.create_map(F.lit("source"), "scope_id", F.lit("lang"), "lang")), "redacted": n % 8 == 0}
+    return listing.payload(fx.memories(spark, sf).withColumns(more))
+
+
+@query("raw_payload", "SELECT CAST(user_id AS VARCHAR) AS user_id, scope_id, CASE WHEN id % 5 <> 0 THEN 'agent' || CAST(id % 3 AS VARCHAR) ELSE '' END AS agent_id, session_id, role, content AS text, CASE WHEN id % 4 = 0 THEN '{}' ELSE '{\"a\":\"' || role || '\"}' END AS context, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created_at, id AS message_id, id % 8 = 0 AS redacted FROM messages")
+def raw_payload(spark, sf):
+    """What the index holds of a message."""
+    n = F.col("id")
+    more = {"agent_id": F.when(n % 5 != 0, F.concat(F.lit("agent"), (n % 3).cast("string"))), "context": F.when(n % 4 != 0, F.create_map(F.lit("a"), "role")), "redacted": n % 8 == 0}
+    return listing.raw_payload(fx.messages(spark, sf).withColumns(more))
 
 
 @query("payload_parity", "WITH m AS (SELECT id, kind, revision, status FROM memories WHERE status = 'active'), x AS (SELECT id, kind, CASE WHEN no % 41 = 7 THEN revision - 1 ELSE revision END AS revision, status FROM memories WHERE status = 'active' AND no % 37 <> 5 UNION ALL SELECT 'x' || id, kind, revision, status FROM memories WHERE no % 43 = 6) SELECT 'missing' AS side, id FROM m WHERE id NOT IN (SELECT id FROM x) UNION ALL SELECT 'orphan', id FROM x WHERE id NOT IN (SELECT id FROM m) UNION ALL SELECT 'stale', m.id FROM m JOIN x ON x.id = m.id WHERE x.revision <> m.revision")

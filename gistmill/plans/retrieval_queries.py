@@ -139,8 +139,7 @@ def similar_pairs(spark, sf):
  z AS (SELECT cluster, count(*) AS size FROM c LEFT JOIN (SELECT id, {text.normalised_sql("text")} AS w FROM memories) m ON m.id = c.node GROUP BY cluster HAVING count(DISTINCT w) + count(*) FILTER (w IS NULL) > 1)
  SELECT node, c.cluster, size, size > 6 AS oversized FROM c JOIN z ON z.cluster = c.cluster""")
 def semantic_clusters(spark, sf):
-    wording = fx.memories(spark, sf).select("id", text.normalised(F.col("text")).alias("wording"))
-    return graph.semantic_groups(graph.similar_pairs(fx.vectors(spark, sf), 0.3, "label"), wording)
+    return graph.semantic_groups(graph.similar_pairs(fx.vectors(spark, sf), 0.3, "label"), fx.memories(spark, sf).select("id", "text"), text.normalised(F.col("text")))
 
 
 @query("filter_eq", "SELECT id FROM memories WHERE kind = 'fact' AND lang = 'de'")
@@ -295,6 +294,14 @@ def history_chain(spark, sf):
     return graph.histories(fx.relations(spark, sf), fx.memories(spark, sf))
 
 
+@query("linked_view", """WITH b AS (SELECT from_id AS id, to_id AS other, relation AS label FROM relations UNION SELECT to_id, from_id, relation || '_by' FROM relations), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY other, label) AS nth FROM b)
+ SELECT r.id, other, label AS relation, sha256(text) AS text, kind, status, source_role, document_date, CASE WHEN event_start IS NULL THEN '' WHEN CAST(event_start AS DATE) = CAST(event_end AS DATE) THEN strftime(event_start, '%Y-%m-%d') ELSE strftime(event_start, '%Y-%m-%d') || ',' || strftime(event_end, '%Y-%m-%d') END AS event_dates, valid_until FROM r JOIN memories m ON m.id = other WHERE nth <= 3""")
+def linked_view(spark, sf):
+    """What a reader is shown of each memory's neighbours."""
+    rows = graph.linked(graph.neighbours(fx.relations(spark, sf)), fx.memories(spark, sf))
+    return rows.withColumns({"text": F.sha2(F.col("text").cast("binary"), 256), "event_dates": F.array_join("event_dates", ",")})
+
+
 @query("neighbours", """WITH b AS (SELECT from_id AS id, to_id AS other, relation AS label FROM relations UNION SELECT to_id, from_id, relation || '_by' FROM relations),
  r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY other, label) AS nth FROM b) SELECT id, other, label, nth FROM r WHERE nth <= 3""")
 def neighbours(spark, sf):
