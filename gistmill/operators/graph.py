@@ -104,22 +104,49 @@ def nearest(rows: DataFrame, k: int, floor: float, *same: str) -> DataFrame:
     return found.withColumn("nth", nth).filter(F.col("nth") <= k)
 
 
-def nearest_to(asking: DataFrame, rows: DataFrame, k: int, *same: str) -> DataFrame:
-    """asked, other, cosine: for each of ``asking`` (id, v) the k most similar of ``rows`` (id, v) that agree in the columns ``same``, and maybe more for each pair of blocks."""
-    marked = lambda d, mark: d.select(*same, F.concat(F.lit(mark), F.col("id").cast("string")).alias("id"), "v")
+#: Rows of each side in a task of ``nearest_to``, and those of them whose products are held at a time.
+SIDE, STRIP = 8192, 512
 
-    def keep(left, right, products, within: bool) -> pa.Table:
-        out: list[list] = [[], [], []]
-        for ids, others, p in ((left, right, products), (right, left, products.T))[: 1 if within else 2]:
-            held = np.flatnonzero([x[0] == "r" for x in others])
-            for n in np.flatnonzero([x[0] == "q" for x in ids]):
-                at = held[np.lexsort((others[held].astype(str), -p[n][held]))][:k]
-                out[0] += [ids[n][1:]] * len(at)
-                out[1] += [x[1:] for x in others[at]]
-                out[2] += p[n][at].tolist()
-        return pa.table({"asked": pa.array(out[0], pa.string()), "other": pa.array(out[1], pa.string()), "cosine": pa.array(out[2], pa.float64())})
 
-    return block_products(marked(asking, "q").unionByName(marked(rows, "r")), list(same), keep, "asked string, other string, cosine double")
+def nearest_to(asking: DataFrame, rows: DataFrame, k: int, *same: str, floor: float | None = None) -> DataFrame:
+    """asked, other, cosine: for each of ``asking`` (id, v) the k most similar of ``rows`` (id, v) that agree in the columns ``same``, at or above a floor, and maybe more for each pair of blocks.
+
+    Ties go to the smaller id.  Only blocks of the one side meet blocks of the other; each pair of blocks is one task's matrix product, a strip of which is held at a time.
+    """
+    sides = [d.filter("v IS NOT NULL").select(F.struct(*same).alias("g"), F.col("id").cast("string").alias("id"), "v") for d in (asking, rows)]
+    blocks = [d.groupBy(F.col("g").alias("h")).agg(F.ceil(F.count("*") / SIDE).cast("int").alias(n)) for d, n in zip(sides, ("is", "js"), strict=True)]
+    both = blocks[0].join(blocks[1].withColumnRenamed("h", "h2"), F.col("h").eqNullSafe(F.col("h2"))).select("h", "is", "js")
+
+    def dealt(side: DataFrame, asks: bool) -> DataFrame:
+        own, others = ("is", "js") if asks else ("js", "is")
+        x = side.join(both, F.col("g").eqNullSafe(F.col("h"))).withColumn("own", F.pmod(F.xxhash64("id"), own).cast("int"))
+        x = x.select("g", "id", "v", "own", F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias("other"))
+        i, j = ("own", "other") if asks else ("other", "own")
+        return x.select("g", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(asks).alias("asks"), "id", "v")
+
+    def found(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy(zero_copy_only=False)
+        ids, v = np.array(table.column("id").to_pylist(), dtype=object), table.column("v").combine_chunks()
+        x = v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), -1)
+        held = np.flatnonzero(~asks)
+        held = held[np.argsort(ids[held].astype(str), kind="stable")]  # the first of equal products has the smaller id
+        asked, y, out = np.flatnonzero(asks), x[held].T, []
+        for n in range(0, len(asked) if len(held) else 0, STRIP):
+            mine = asked[n : n + STRIP]
+            products, at = x[mine] @ y, np.arange(len(mine))
+            products[np.isnan(products)] = -np.inf
+            for _ in range(min(k, len(held))):
+                best = products.argmax(axis=1)
+                cosine = products[at, best]
+                kept = cosine > -np.inf if floor is None else cosine >= floor
+                if not kept.any():
+                    break
+                out.append((ids[mine[kept]], ids[held[best[kept]]], cosine[kept]))
+                products[at, best] = -np.inf
+        parts = [np.concatenate(p) for p in zip(*out, strict=True)] if out else [[], [], []]
+        return pa.table({"asked": pa.array(parts[0], pa.string()), "other": pa.array(parts[1], pa.string()), "cosine": pa.array(parts[2], pa.float64())})
+
+    return dealt(sides[0], True).unionAll(dealt(sides[1], False)).groupBy("g", "i", "j").applyInArrow(found, "asked string, other string, cosine double")
 
 
 def clusters(pairs: DataFrame) -> DataFrame:

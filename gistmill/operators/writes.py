@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gistmill.functions import dates, text
+from gistmill.lineage import written
 from gistmill.operators import curation, filters
 
 MESSAGE_CHARS, CLAIM_CHARS, INFERENCE_CHARS, KIND_CHARS, REASON_CHARS = 100_000, 2_000, 200, 64, 500
@@ -155,7 +159,7 @@ def inferences(answers: DataFrame, rows: DataFrame, stated: DataFrame, now: Colu
     ``answers`` has cluster, nth, scope_id, text, confidence, premises (array of ids); ``stated`` scope_id and content_hash of what is said already, and ``near`` cluster and nth of
     those whose vector says nearly what an active claim of the scope says.  ``replaced`` (cluster, id) are claims that links of the same answer have replaced: they are premises no more.
     Clusters are taken in order, so what one has written is said already for the next ones of its scope; once ``most`` of a cluster are written, later ones are ``beyond``.
-    A scope has a bounded number of clusters in a pass, and each a bounded number of inferences.
+    A cluster has a bounded number of inferences, a scope any number of clusters.
     """
     said = text.stripped(F.coalesce("text", F.lit("")))
     a = answers.withColumns({"premises": F.array_distinct(F.array_compact("premises")), "said": said, "h": text.content_hash(said)})
@@ -179,27 +183,51 @@ def inferences(answers: DataFrame, rows: DataFrame, stated: DataFrame, now: Colu
         F.when((F.col("said") == "") | (F.length("said") > INFERENCE_CHARS) | (F.size("premises") < 2), "invalid_inference").when(sure < least_confidence, "low_confidence")
         .when(F.col("lost") > 0, "premise_changed").when(F.col("known").isNotNull() | F.col("near").isNotNull(), "already_stated")
     )
-    kinds = ", ".join(f"{c}:{a.schema[c].dataType.simpleString()}" for c in ("cluster", "nth"))
-    kinds = kinds.replace(" ", "")
-    items = F.array_sort(F.collect_list(F.struct("cluster", "nth", reason.alias("reason"), "h")))
-    cluster = a.schema["cluster"].dataType.simpleString()
-    start = F.struct(F.lit(None).cast(cluster).alias("cluster"), F.lit(0).alias("written"), F.array().cast("array<string>").alias("hashes"), F.array().cast(f"array<struct<{kinds},reason:string>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        had = F.when(s["cluster"].eqNullSafe(x["cluster"]), s["written"]).otherwise(0)
-        why = F.when(had >= most, "beyond").when(x["reason"].isNull() & F.array_contains(s["hashes"], x["h"]), "already_stated").otherwise(x["reason"])
-        row = F.struct(x["cluster"].alias("cluster"), x["nth"].alias("nth"), why.alias("reason"))
-        return F.struct(
-            x["cluster"].alias("cluster"), (had + why.isNull().cast("int")).alias("written"), F.when(why.isNull(), F.array_append(s["hashes"], x["h"])).otherwise(s["hashes"]).alias("hashes"), F.array_append(s["out"], row).alias("out"),
-        )
-
-    told = a.groupBy("scope_id").agg(F.aggregate(items, start, step, lambda s: s["out"]).alias("out")).select(F.explode("out").alias("x")).select("x.*")
+    a = written(a.select("scope_id", "cluster", "nth", "h", reason.alias("own"), "importance", "document_date", "subject_id"))
+    inside = Window.partitionBy("scope_id", "cluster").orderBy("nth", "own", "h")  # of one cluster
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    first = a.filter("own IS NULL").groupBy("scope_id", "cluster", "h").agg(F.min("nth").alias("nth"))
+    said_by = _written_ones(first, most).select("scope_id", "cluster", "nth", "h", F.lit(True).alias("writes"))
+    # the first of equal wordings in an answer, should some share a place too
+    copy = F.row_number().over(Window.partitionBy("scope_id", "cluster", "nth", "h").orderBy(F.col("own").isNotNull()))
+    told = a.withColumn("copy", copy).join(said_by, _null_safe(a, said_by, "scope_id", "cluster", "nth", "h"), "left").select(*[a[c] for c in a.columns], (F.col("writes").isNotNull() & F.col("own").isNull() & (F.col("copy") == 1)).alias("writes"))
+    had = F.coalesce(F.count_if("writes").over(before), F.lit(0))
+    why = F.when(had >= most, "beyond").when(~F.col("writes") & F.col("own").isNull(), "already_stated").otherwise(F.col("own"))
     ok = F.col("reason").isNull()
-    return told.join(p, ["cluster", "nth"]).select(
+    return told.withColumn("reason", why).select(
         "cluster", "nth", "reason", F.when(ok, F.least(F.lit(0.6), "importance")).alias("importance"), F.when(ok, F.col("document_date")).alias("document_date"), F.when(ok, F.col("subject_id")).alias("subject_id")
     )
 
 
+def _null_safe(x: DataFrame, y: DataFrame, *columns: str) -> Column:
+    return functools.reduce(operator.and_, [x[c].eqNullSafe(y[c]) for c in columns])
+
+
+def _written_ones(first: DataFrame, most: int) -> DataFrame:
+    """Of the wordings that clusters propose (scope_id, cluster, nth, h, each once in a cluster), those that are written: at most ``most`` of a cluster, and none that an earlier cluster of the scope has written.
+
+    Whether one is written hangs on earlier ones, but mostly on few: each round tells from what is known which are ``out``, since an earlier cluster has written their wording for sure, and which
+    are ``free``, since none can have.  A round settles at least the first open one of every scope, and all that hang on nothing else; there are as many rounds as the longest chain of
+    wordings that hang on each other.  No scope and no wording is brought together in one task, but for the few values that tell its state.
+    """
+    inside = Window.partitionBy("scope_id", "cluster").orderBy("nth", "h")
+    state = written(first.withColumns({"out": F.lit(False), "free": F.lit(False)}))
+    while True:
+        # the place in the cluster if all that are open before are out, and if none is
+        low = F.count_if("free").over(inside.rowsBetween(Window.unboundedPreceding, -1)) + 1
+        high = F.count_if(~F.col("out")).over(inside.rowsBetween(Window.unboundedPreceding, -1)) + 1
+        placed = state.withColumns({"low": low, "high": high})
+        can, must = ~F.col("out") & (F.col("low") <= most), ~F.col("out") & (F.col("high") <= most)
+        known = placed.groupBy(F.col("scope_id").alias("s"), F.col("h").alias("w")).agg(F.min(F.when(can, F.col("cluster"))).alias("earliest"), F.min(F.when(must, F.col("cluster"))).alias("sure"))
+        j = placed.join(known, F.col("scope_id").eqNullSafe(F.col("s")) & (F.col("h") == F.col("w")))
+        out = F.col("out") | F.coalesce(F.col("cluster") > F.col("sure"), F.lit(False))
+        free = ~out & F.coalesce(F.col("cluster") <= F.col("earliest"), F.lit(True))
+        state = written(j.select("scope_id", "cluster", "nth", "h", out.alias("out"), (F.col("free") | free).alias("free")))
+        if state.filter("NOT out AND NOT free").isEmpty():
+            break
+    return state.filter("free").withColumn("place", F.row_number().over(inside)).filter(F.col("place") <= most)
+
+
 def consolidation(rows: DataFrame, now: Column, cosine: float) -> DataFrame:
     """action, id, survivor of what a pass would do to live rows (with identity columns and v): expired, demoted, duplicate, merge, oversized."""
     from gistmill.operators import graph

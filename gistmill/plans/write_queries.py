@@ -256,7 +256,7 @@ def dream_inferences(spark, sf):
     stated = active.select("scope_id", text.content_hash(F.col("text")).alias("content_hash"))
     v = fx.vectors(spark, sf)
     asking = answers.join(v.select((F.col("no") - 3).alias("no"), "v"), "no").select("scope_id", "id", "v")
-    found = graph.nearest_to(asking, active.select("scope_id", "id").join(v.select("id", "v"), "id"), 1, "scope_id").filter("cosine >= 0.45").select(F.col("asked").alias("id")).distinct()
+    found = graph.nearest_to(asking, active.select("scope_id", "id").join(v.select("id", "v"), "id"), 1, "scope_id", floor=0.45).select(F.col("asked").alias("id")).distinct()
     near = answers.join(found, "id").select("cluster", "nth")
     replaced = answers.filter(n % 37 == 2).select("cluster", "id")
     return writes.inferences(answers, m, stated, fx.now(), replaced=replaced, near=near).withColumn("importance", F.round("importance", 4))
