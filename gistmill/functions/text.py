@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -34,11 +36,27 @@ def _any(secrets: list[tuple[str, str]]) -> str:
     return "|".join(f"(?:{pattern})" for pattern, _ in secrets)
 
 
+#: What every secret holds, whatever its case: a text without any of it is not searched for whole ones.  All of a tuple's parts are needed.
+_HINTS = [("k-",), ("akia",), ("gh", "_"), ("aiza",), ("eyj",), ("bearer",), ("authorization:",), ("secret",), ("token",), ("passw",), ("key",), ("credential",), ("://",)]
+_HINT = r"(?i)k-|AKIA|gh[pousr]_|AIza|eyJ|bearer|authorization:|secret|token|passw|api[_-]?key|private[ _-]?key|access[_-]?key|credential|://"
+
+
+def may_hold(text: Column) -> Column:
+    """Whether a text may hold any secret, by letters that each of them has; plain searches tell of most texts that they hold none."""
+    found = bound(F.lower(text), lambda x: functools.reduce(operator.or_, [functools.reduce(operator.and_, [F.contains(x, F.lit(y)) for y in parts]) for parts in _HINTS]))
+    return found & text.rlike(_HINT)
+
+
+def _holds(text: Column, secrets: list[tuple[str, str]]) -> Column:
+    whole = text.rlike(_any(secrets))
+    return may_hold(text) & whole if secrets in (SECRETS, CLIENT_SECRETS) else whole
+
+
 def redact(text: Column, secrets: list[tuple[str, str]] = SECRETS) -> Column:
     out = text
     for pattern, by in secrets:
         out = F.regexp_replace(out, pattern, by)
-    return F.when(text.rlike(_any(secrets)), out).otherwise(text)
+    return F.when(_holds(text, secrets), out).otherwise(text)
 
 
 def redactions(text: Column, secrets: list[tuple[str, str]] = SECRETS) -> Column:
@@ -47,7 +65,18 @@ def redactions(text: Column, secrets: list[tuple[str, str]] = SECRETS) -> Column
     for pattern, by in secrets:
         n = n + F.regexp_count(left, F.lit(pattern))
         left = F.regexp_replace(left, pattern, by)
-    return F.when(text.rlike(_any(secrets)), n).otherwise(F.when(text.isNotNull(), 0))
+    return F.when(_holds(text, secrets), n).otherwise(F.when(text.isNotNull(), 0))
+
+
+def _redacted(text: Column, secrets: list[tuple[str, str]] = SECRETS) -> Column:
+    """A struct of text and n, the redacted text and the number of redactions, each step worked out once from the one before; for texts inside lambdas, where nothing else shares work."""
+    def step(pattern: str, by: str) -> Callable[[Column], Column]:
+        return lambda s: F.when(s["text"].rlike(pattern), F.struct(F.regexp_replace(s["text"], pattern, by).alias("text"), (s["n"] + F.regexp_count(s["text"], F.lit(pattern))).alias("n"))).otherwise(s)
+
+    state = F.struct(text.alias("text"), F.lit(0).alias("n"))
+    for pattern, by in secrets:
+        state = bound(state, step(pattern, by))
+    return state
 
 
 def redact_map(values: Column) -> Column:
@@ -167,23 +196,37 @@ def redact_json(json: Column) -> Column:
         return t
 
     def cleaned(tokens: Column) -> Column:
-        def token(t: Column, i: Column) -> Column:
-            t = plain(t)
-            is_text, is_key = F.startswith(t, F.lit('"')), F.endswith(t, F.lit(":"))
-            quoted = F.when(is_key, F.regexp_replace(t, r"\s*:$", "")).otherwise(t)
-            said = F.try_variant_get(F.try_parse_json(quoted), "$", "string")
+        def token(hidden_t: Column, i: Column) -> Column:
             before = F.get(tokens, i - 1)
             # the key's colon stands in the token right before its string; white space may stand between
             key = F.when(F.trim(before) == "", F.get(tokens, i - 2)).otherwise(before)
-            named = F.endswith(key, F.lit(":")) & F.startswith(key, F.lit('"')) & plain(key).rlike(SENSITIVE_KEY)
-            hidden = ~is_key & F.coalesce(named, F.lit(False)) & (said != "")
-            n = F.when(~is_text, 0).when(hidden, 1).otherwise(redactions(said))
-            again = F.regexp_replace(F.to_json(F.array(redact(said))), r"^\[|\]$", "")
-            new = F.when(hidden, F.lit(mark)).when(n > 0, F.concat(again, F.when(is_key, F.substr(t, F.length(quoted) + 1)).otherwise(F.lit("")))).otherwise(t)
-            return F.struct(F.when(is_text, new).otherwise(t).alias("token"), F.coalesce(n, F.lit(0)).alias("n"))
+            named = F.coalesce(F.endswith(key, F.lit(":")) & F.startswith(key, F.lit('"')) & plain(key).rlike(SENSITIVE_KEY), F.lit(False))
+
+            def text_of(t: Column) -> Column:
+                is_key = F.endswith(t, F.lit(":"))
+                quoted = F.when(is_key, F.regexp_replace(t, r"\s*:$", "")).otherwise(t)
+                return bound(quoted, lambda q: said_of(t, is_key, q))
+
+            def said_of(t: Column, is_key: Column, quoted: Column) -> Column:
+                # a string without escapes says what stands between its quotes
+                said = F.when(F.contains(quoted, F.lit("\\")), F.try_variant_get(F.try_parse_json(quoted), "$", "string")).otherwise(F.substring_index(F.substr(quoted, F.lit(2)), '"', 1))
+                return bound(said, lambda s: F.when(~is_key & named & (s != ""), F.struct(F.lit(mark).alias("token"), F.lit(1).alias("n"))).when(may_hold(s), changed(t, is_key, quoted, s)).otherwise(same(t)))
+
+            def changed(t: Column, is_key: Column, quoted: Column, said: Column) -> Column:
+                def told(x: Column) -> Column:
+                    again = F.regexp_replace(F.to_json(F.array(x["text"])), r"^\[|\]$", "")
+                    tail = F.when(is_key, F.substr(t, F.length(quoted) + 1)).otherwise(F.lit(""))
+                    return F.struct(F.when(x["n"] > 0, F.concat(again, tail)).otherwise(t).alias("token"), x["n"].alias("n"))
+
+                return bound(_redacted(said), told)
+
+            return F.when(F.startswith(hidden_t, F.lit('"')), bound(plain(hidden_t), text_of)).otherwise(same(plain(hidden_t)))
 
         return F.transform(tokens, token)
 
+    def same(t: Column) -> Column:
+        return F.struct(t.alias("token"), F.lit(0).alias("n"))
+
     parts = bound(F.regexp_extract_all(hiding, F.lit(_JSON_TOKEN), 1), cleaned)
     out = bound(parts, lambda p: F.struct(F.array_join(F.transform(p, lambda x: x["token"]), "").alias("json"), F.aggregate(p, F.lit(0), lambda n, x: n + x["n"]).alias("count")))
     return F.when(F.try_parse_json(json).isNotNull(), out)
