@@ -128,6 +128,15 @@ def matches_all(stems: Column, query: str) -> Column:
     return F.size(F.array_except(F.lit(wanted).cast("array<string>"), stems)) == 0 if wanted else F.lit(False)
 
 
+def holds_all(column: Column, query: str) -> Column:
+    """The same of a text itself: of its words only those that may have a wanted stem leave the JVM, each once."""
+    own = wanted(asked(query))
+    if not own:
+        return F.lit(False)
+    near = F.filter(words(column), lambda w: _may_match(w, own) & ~w.isin(stop_words()))
+    return matches_all(_stemmed(F.array_distinct(near)), query)
+
+
 #: Parts of a stored index, by stem.
 BUCKETS = 64
 

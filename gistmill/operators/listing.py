@@ -41,7 +41,7 @@ def listed(rows: DataFrame, facets: dict[str, Any]) -> DataFrame:
         elif name == "created_to":
             out = out.filter(F.col("created_at") <= F.lit(value).cast("timestamp"))
         elif name == "query":
-            out = out.filter(fulltext.matches_all(fulltext.stems(F.col("text")), value) | F.col("text").ilike(f"%{value}%"))
+            out = out.filter(fulltext.holds_all(F.col("text"), value) | F.col("text").ilike(f"%{value}%"))
         else:
             raise UnknownChoice(name)
     return out

@@ -7,9 +7,9 @@ from compare import same
 from pyspark.sql import functions as F
 
 from gistmill import plans
-from gistmill.functions import text
+from gistmill.functions import fulltext, text
 from gistmill.functions.scores import Policy
-from gistmill.operators import graph, writes
+from gistmill.operators import graph, listing, writes
 from gistmill.plans import retrieval_queries
 
 SF = "/root/testdata/sf0.1"
@@ -93,3 +93,12 @@ def test_hints_miss_no_secret_and_json_is_read_once(spark):
     # a string's text stands in the plan a few times, not once for each step of each pattern
     plan = rows.select(text.redact_json(F.col("t"))["json"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("try_variant_get") <= 2
+
+
+def test_listing_sends_few_words_to_python(spark, monkeypatch):
+    sent = []
+    whole = fulltext._stemmed
+    monkeypatch.setattr(fulltext, "_stemmed", lambda c: sent.append(c) or whole(c))
+    rows = spark.createDataFrame([("a", "Ideas of idiots, idiots and IDIOTIC others"), ("b", "no such word"), ("c", None), ("d", "pre-IDIOTs1")], "id string, text string")
+    assert sorted(r.id for r in listing.listed(rows, {"query": "idiot"}).collect()) == ["a", "d"]
+    assert {r.id: r.x for r in rows.select("id", sent[0].alias("x")).collect()} == {"a": ["ideas", "idiots", "idiotic"], "b": [], "c": None, "d": ["idiots1"]}
