@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.feature import StopWordsRemover
@@ -32,14 +33,29 @@ def _stem(word: str) -> str:
     return found
 
 
+def _stems_of(found: pa.Array) -> pa.Array:
+    """Stems of words, each distinct one of which is stemmed once."""
+    flat = found.dictionary_encode()
+    return pc.take(pa.array([_stem(x) for x in flat.dictionary.to_pylist()], pa.string()), flat.indices)
+
+
+def _listed(found: pa.Array, items: pa.Array) -> pa.Array:
+    """Lists of ``items`` where ``found`` has its own."""
+    first = found.offsets[0].as_py() if len(found) else 0
+    return pa.ListArray.from_arrays(pc.subtract(found.offsets, first), items, mask=found.is_null() if found.null_count else None)
+
+
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def _stemmed(found: pa.Array) -> pa.Array:
-    """Stems of lists of words; each distinct word of a batch is stemmed once."""
-    flat = found.flatten().dictionary_encode()
-    stems = pa.array([_stem(x) for x in flat.dictionary.to_pylist()], pa.string())
-    out = pc.take(stems, flat.indices)
-    first = found.offsets[0].as_py() if len(found) else 0
-    return pa.ListArray.from_arrays(pc.subtract(found.offsets, first), out, mask=found.is_null() if found.null_count else None)
+    """Stems of lists of words."""
+    return _listed(found, _stems_of(found.flatten()))
+
+
+@F.arrow_udf(T.ArrayType(T.StructType().add("pos", T.IntegerType()).add("stem", T.StringType())))
+def _placed(found: pa.Array) -> pa.Array:
+    """Places and stems of lists of places and words."""
+    each = found.flatten()
+    return _listed(found, pa.StructArray.from_arrays([each.field("pos"), _stems_of(each.field("word"))], names=["pos", "stem"]))
 
 
 def stop_words() -> list[str]:
@@ -75,11 +91,11 @@ def _may_match(word: Column, wanted: list[str]) -> Column:
 def positions(column: Column, wanted: list[str] | None = None) -> Column:
     """array of (pos, stem): places from 1 of a text's words, stop words counted but left out; of ``wanted`` stems only, where given.
 
-    Only words that may have a wanted stem leave the JVM.
+    Only words that may have a wanted stem leave the JVM, with their places, so that a text is split once.
     """
     placed = F.transform(words(column), lambda w, i: F.struct((i + 1).alias("pos"), w.alias("word")))
     keep = F.filter(placed, lambda x: ~x["word"].isin(stop_words()) & (F.lit(True) if wanted is None else _may_match(x["word"], wanted)))
-    both = F.zip_with(keep, _stemmed(F.transform(keep, lambda x: x["word"])), lambda x, stem: F.struct(x["pos"].alias("pos"), stem.alias("stem")))
+    both = _placed(keep)
     return both if wanted is None else F.filter(both, lambda x: x["stem"].isin(wanted))
 
 
@@ -137,27 +153,52 @@ def holds_all(column: Column, query: str) -> Column:
     return matches_all(_stemmed(F.array_distinct(near)), query)
 
 
-#: Parts of a stored index, by stem.
-BUCKETS = 64
+#: Words that are put in order at once, and entries of one stored row, at most.
+SLICE, ENTRIES = 1 << 22, 1 << 16
 
 
-def _bucket(stem: Column) -> Column:
-    return F.pmod(F.xxhash64(stem), F.lit(BUCKETS)).cast("int")
+def _by_stem(ids: pa.Array, found: pa.Array, stop: frozenset[str]) -> pa.RecordBatch:
+    """Of texts' ids and words: each stem with the ids and places where it stands, side by side, in the texts' order."""
+    flat = found.flatten().dictionary_encode()
+    n = pc.fill_null(pc.list_value_length(found), 0).to_numpy()
+    row = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    pos = np.arange(1, len(flat) + 1, dtype=np.int32) - np.repeat((np.cumsum(n) - n).astype(np.int32), n)
+    stems = pa.array([None if w in stop else _stem(w) for w in flat.dictionary.to_pylist()], pa.string()).dictionary_encode()
+    stem = pc.fill_null(stems.indices, -1).to_numpy()[flat.indices.to_numpy()]
+    order = np.argsort(stem, kind="stable")
+    order = order[np.searchsorted(stem[order], 0) :]
+    stem = stem[order]
+    first = np.unique(np.concatenate([np.flatnonzero(np.diff(stem, prepend=-1)), np.arange(0, len(stem), ENTRIES)]))
+    ends = pa.array(np.append(first, len(stem)), pa.int32())
+    columns = [stems.dictionary.take(pa.array(stem[first])), pa.ListArray.from_arrays(ends, ids.take(pa.array(row[order]))), pa.ListArray.from_arrays(ends, pa.array(pos[order]))]
+    return pa.RecordBatch.from_arrays(columns, names=["stem", "id", "pos"])
 
 
 def write_postings(rows: DataFrame, path: str, id_col: str = "id", text_col: str = "text") -> None:
-    """Stores stem, id and pos of every word of the rows, in parts by stem and in order within them, so that a query reads its own stems' rows only."""
-    each = rows.select(F.col(id_col).alias("id"), F.explode(positions(F.col(text_col))).alias("x")).select("x.stem", "id", "x.pos", _bucket(F.col("x.stem")).alias("bucket"))
-    # a frequent stem's rows are dealt by id
-    each.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("stem", "id", "pos").write.partitionBy("bucket").mode("append").parquet(path)
+    """Stores ids and places of every word of the rows; each task's file is in order of stems, so that a query reads its own stems' pages of it only.
+
+    A stored row holds one stem of a slice of texts.  No word is shuffled.
+    """
+    stop = frozenset(stop_words())
+
+    def run(batches):
+        for batch in batches:
+            ids, found = batch.columns
+            number = np.cumsum(pc.fill_null(pc.list_value_length(found), 0).to_numpy()) // SLICE
+            for at in np.split(np.arange(len(number)), np.flatnonzero(np.diff(number)) + 1):
+                if len(at):
+                    yield _by_stem(ids.slice(at[0], len(at)), found.slice(at[0], len(at)), stop)
+
+    each = rows.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("words"))
+    kept = T.StructType().add("stem", "string").add("id", T.ArrayType(each.schema["id"].dataType)).add("pos", T.ArrayType(T.IntegerType()))
+    each.mapInArrow(run, kept).sortWithinPartitions("stem").write.mode("append").parquet(path)
 
 
 def read_postings(spark: SparkSession, path: str, stems: list[str]) -> DataFrame:
     """stem, id, pos of some stems."""
-    if not stems:
-        return spark.read.parquet(path).drop("bucket").limit(0)
-    buckets = [r[0] for r in spark.createDataFrame([(s,) for s in stems], "s string").select(_bucket(F.col("s"))).distinct().collect()]
-    return spark.read.parquet(path).filter(F.col("bucket").isin(buckets) & F.col("stem").isin(stems)).drop("bucket")
+    stored = spark.read.parquet(path)
+    stored = stored.filter(F.col("stem").isin(stems)) if stems else stored.limit(0)
+    return stored.select("stem", F.explode(F.arrays_zip("id", "pos")).alias("x")).select("stem", "x.id", "x.pos")
 
 
 def ranked(postings: DataFrame, query: str) -> DataFrame:

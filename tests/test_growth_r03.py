@@ -2,12 +2,14 @@
 
 import dataclasses
 import random
+import re
 
+import pyarrow as pa
 from compare import same
 from pyspark.sql import functions as F
 
 from gistmill import plans
-from gistmill.functions import fulltext, text
+from gistmill.functions import fulltext, stemming, text
 from gistmill.functions.scores import Policy
 from gistmill.operators import graph, listing, writes
 from gistmill.plans import retrieval_queries
@@ -102,3 +104,51 @@ def test_listing_sends_few_words_to_python(spark, monkeypatch):
     rows = spark.createDataFrame([("a", "Ideas of idiots, idiots and IDIOTIC others"), ("b", "no such word"), ("c", None), ("d", "pre-IDIOTs1")], "id string, text string")
     assert sorted(r.id for r in listing.listed(rows, {"query": "idiot"}).collect()) == ["a", "d"]
     assert {r.id: r.x for r in rows.select("id", sent[0].alias("x")).collect()} == {"a": ["ideas", "idiots", "idiotic"], "b": [], "c": None, "d": ["idiots1"]}
+
+
+def by_plain_loop(rows):
+    """stem, id and place of every word but stop words."""
+    stop = set(fulltext.stop_words())
+    return sorted((stemming.stem(w), i, at) for i, t in rows for at, w in enumerate(re.findall(r"[^\W_]+", (t or "").lower()), 1) if w not in stop)
+
+
+def test_postings_are_stored_by_stems_of_slices(spark, tmp_path, monkeypatch):
+    """Not a row for each word; and every word of every text is found, however the texts are cut."""
+    draw = random.Random(5)
+    said = ["pay paid payments", "deploy", "deploys deployed", "тёмную темы", "the", "and of", "--", "x1 x_2", "Niño"]
+    rows = [(i, " ".join(draw.choice(said) for _ in range(draw.randint(1, 30)))) for i in range(120)] + [(7, "deploy twice"), (200, None), (201, ""), (202, "the of"), (203, "pay " * 500)]
+    frame = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    want = by_plain_loop(rows)
+    stems = sorted({x[0] for x in want})
+    for name, limit in (("whole", fulltext.SLICE), ("cut", 40), ("none", 1)):
+        monkeypatch.setattr(fulltext, "SLICE", limit)
+        path = str(tmp_path / name)
+        fulltext.write_postings(frame, path)
+        if name == "whole":
+            assert spark.read.parquet(path).count() == len(stems) < len(want) / 50
+        found = fulltext.read_postings(spark, path, stems)
+        assert found.columns == ["stem", "id", "pos"] and sorted(map(tuple, found.collect())) == want
+        assert sorted(map(tuple, fulltext.read_postings(spark, path, ["pay", "absent"]).collect())) == [x for x in want if x[0] == "pay"]
+        assert fulltext.read_postings(spark, path, []).count() == 0
+    # appended texts are found beside the others, and an empty table stores none
+    fulltext.write_postings(frame.filter("id < 0"), path)
+    fulltext.write_postings(frame.filter("id = 203").withColumn("id", F.lit(204).cast("long")), path)
+    assert fulltext.read_postings(spark, path, ["pay"]).filter("id = 204").count() == 500
+
+
+def test_entries_of_a_stored_row_are_bounded(monkeypatch):
+    monkeypatch.setattr(fulltext, "ENTRIES", 3)
+    words = pa.array([["a", "pays", "b"], None, [], ["paid", "pay", "pay", "pay", "b"]])
+    got = fulltext._by_stem(pa.array(["x", "y", "z", None]), words, frozenset({"a"})).to_pylist()
+    assert max(len(r["id"]) for r in got) <= 3
+    assert sorted((r["stem"], i or "", p) for r in got for i, p in zip(r["id"], r["pos"], strict=True)) == [("b", "", 5), ("b", "x", 3), ("paid", "", 1), ("pay", "", 2), ("pay", "", 3), ("pay", "", 4), ("pay", "x", 2)]
+    for none in ([None], [["a", "a"]], [[]]):
+        assert fulltext._by_stem(pa.array(["x"]), pa.array(none, pa.list_(pa.string())), frozenset({"a"})).num_rows == 0
+
+
+def test_a_text_is_split_once_for_its_places(spark):
+    rows = spark.createDataFrame([(1, "the Deploys of a deployed one"), (2, None), (3, "the of")], "id int, text string")
+    found = rows.select("id", fulltext.positions(F.col("text"), ["deploy"]).alias("x"), fulltext.positions(F.col("text")).alias("every"))
+    assert {r.id: (r.x and [tuple(x) for x in r.x], r.every and [tuple(x) for x in r.every]) for r in found.collect()} == {1: ([(2, "deploy"), (5, "deploy")], [(2, "deploy"), (5, "deploy"), (6, "one")]), 2: (None, None), 3: ([], [])}
+    plan = rows.select(fulltext.positions(F.col("text"), ["deploy"]).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
